@@ -40,18 +40,21 @@ def key_bucket(df: DataFrame, key: str, max_buckets: int = MAX_BUCKETS) -> Colum
 
 
 def global_index(df: DataFrame, order_cols: list[str], bucket: Column, out: str = "idx",
-                 total: str | None = None) -> DataFrame:
-    """0-based position of every row in the order (bucket, *order_cols)."""
+                 total: str | None = None, partition_cols: list[str] | None = None) -> DataFrame:
+    """0-based position of every row in the order (bucket, *order_cols), restarted
+    for every value of ``partition_cols``."""
+    parts = list(partition_cols or [])
     d = df.withColumn("__b", bucket)
-    counts = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
-    whole = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(*parts, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(
+        *parts,
         "__b",
-        F.coalesce(F.sum("__c").over(whole), F.lit(0)).cast("bigint").alias("__off"),
-        F.sum("__c").over(Window.partitionBy(F.lit(1))).cast("bigint").alias("__n"),
+        F.coalesce(F.sum("__c").over(before), F.lit(0)).cast("bigint").alias("__off"),
+        F.sum("__c").over(Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(1))).cast("bigint").alias("__n"),
     )
-    j = d.join(F.broadcast(offs), "__b")  # at most MAX_BUCKETS rows
-    w = Window.partitionBy("__b").orderBy(*order_cols)
+    j = d.join(F.broadcast(offs), [*parts, "__b"])  # partitions x buckets rows, buckets <= MAX_BUCKETS
+    w = Window.partitionBy(*parts, "__b").orderBy(*order_cols)
     j = j.withColumn(out, (F.col("__off") + F.row_number().over(w) - F.lit(1)).cast("bigint"))
     if total:
         j = j.withColumnRenamed("__n", total)
@@ -60,10 +63,14 @@ def global_index(df: DataFrame, order_cols: list[str], bucket: Column, out: str
     return j.drop("__b", "__off")
 
 
-def seeded_order(df: DataFrame, key: str, seed, *salt, out: str = "idx", total: str | None = None) -> DataFrame:
-    """Rows in md5(seed:salt:key) order (ties by key), numbered from 0."""
-    d = df.withColumn("__h", seeded_hash(seed, *[F.lit(s) for s in salt], key))
-    return global_index(d, ["__h", key], hash_bucket("__h"), out=out, total=total).drop("__h")
+def seeded_order(df: DataFrame, key: str, seed, *salt, out: str = "idx", total: str | None = None,
+                 partition_cols: list[str] | None = None) -> DataFrame:
+    """Rows in md5(seed:salt...:key) order (ties by key), numbered from 0. A salt is a
+    literal value or a Column (e.g. the epoch)."""
+    salts = [s if isinstance(s, Column) else F.lit(s) for s in salt]
+    d = df.withColumn("__h", seeded_hash(seed, *salts, key))
+    return global_index(d, ["__h", key], hash_bucket("__h"), out=out, total=total,
+                        partition_cols=partition_cols).drop("__h")
 
 
 def exact_split(df: DataFrame, key: str, fraction: float, seed, out: str = "split",

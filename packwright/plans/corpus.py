@@ -31,17 +31,24 @@ def q(name, sql=None):
 GROUP = ["split", "source", "pack_group"]
 
 
-def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain corpus -> text + eos -> ids -> rows of L tokens with segment numbers."""
-    docs = A.corpus(spark, sf_dir).withColumn("pack_group", F.expr(f"doc_id div {P.group_rows}"))
-    docs = docs.withColumn("text", T.assemble_plain("text"))
+def packed(spark: SparkSession, sf_dir: str, corpus: str = "plain") -> DataFrame:
+    """Corpus -> text + eos -> ids -> rows of L tokens with segment numbers."""
+    if corpus == "wikipedia":
+        docs = A.wikipedia(spark, sf_dir).withColumn("text", T.assemble_wikipedia("title", "text"))
+    else:
+        docs = A.corpus(spark, sf_dir).withColumn("text", T.assemble_plain("text"))
+    docs = docs.withColumn("pack_group", F.expr(f"doc_id div {P.group_rows}"))
     return pack_text(docs, "text", GROUP, "doc_id", vocab(spark, sf_dir), P)
 
 
-def packed_sql_cte() -> str:
+def packed_sql_cte(corpus: str = "plain") -> str:
     """DuckDB: token-level packed rows m(split, source, pack_group, chunk, g, id, seg)."""
+    if corpus == "wikipedia":
+        src, text = A.WIKIPEDIA_SQL, f"title || chr(10) || {S.cut_tail('text')} || {EOS_LIT}"
+    else:
+        src, text = A.CORPUS_SQL, "text || " + EOS_LIT
     return f"""vocab AS {vocab_sql()},
-docs AS (SELECT split, source, doc_id // {P.group_rows} AS pack_group, doc_id, {S.pretokens('text || ' + EOS_LIT)} AS toks FROM ({A.CORPUS_SQL})),
+docs AS (SELECT split, source, doc_id // {P.group_rows} AS pack_group, doc_id, {S.pretokens(text)} AS toks FROM ({src})),
 offs AS (SELECT *, sum(len(toks)) OVER (PARTITION BY split, source, pack_group ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - len(toks) AS start FROM docs),
 t AS (SELECT split, source, pack_group, start, unnest({tokens_sql('toks')}) AS s FROM offs),
 c AS (SELECT split, source, pack_group, CAST((start + s.pos - 1) // {L} AS BIGINT) AS chunk, CAST(start + s.pos - 1 AS BIGINT) AS g, coalesce(v.id, 0) AS id FROM t LEFT JOIN vocab v ON v.token = t.s.token),

@@ -57,7 +57,7 @@ def encode_blocks(df: DataFrame, key: list[str], blocks: str, vocab: DataFrame,
                  F.posexplode(pretokens(F.col("__blk.text"))).alias("__pos", "__tok"))
     t = lookup_ids(t, vocab, params, token="__tok")
     return t.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("__b", "__pos", "id", "trained", "side"))).alias("toks")
+        F.sort_array(F.collect_list(F.struct("__b", "__pos", "id", "trained", "side"))).alias("toks")
     )
 
 

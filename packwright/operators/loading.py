@@ -52,7 +52,7 @@ def fixed_batches(df: DataFrame, idx: str, batch_size: int) -> DataFrame:
 def collate(df: DataFrame, group_cols: list[str], pos: str, cols: list[str], out_prefix: str = "") -> DataFrame:
     """Rows -> one matrix per batch, rows in position order (a batch is bounded by the
     batch size, so the gather is bounded too)."""
-    s = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("__pos"), *[F.col(c) for c in cols])))
+    s = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("__pos"), *[F.col(c) for c in cols])))
     g = df.groupBy(*group_cols).agg(s.alias("__rows"))
     return g.select(*group_cols, F.size("__rows").alias("n_rows"),
                     *[F.transform("__rows", _field(c)).alias(out_prefix + c) for c in cols])

@@ -63,23 +63,31 @@ def _finish(rows: DataFrame, params: Params, ids: str = "input_ids") -> DataFram
 
 
 def pack_text(df: DataFrame, text_col: str, group_cols: list[str], order_col: str, vocab: DataFrame,
-              params: Params = DEFAULT, bucket_width: int | None = None) -> DataFrame:
+              params: Params = DEFAULT, bucket_width: int | None = None, shuffle_text: bool = True) -> DataFrame:
     """Encode + pack in one pass on the JVM.
 
     Pre-tokens are exploded after the group exchange, ids come from the broadcast
     vocabulary (a map-side hash join), and tokens are gathered straight into their
-    chunk: the only shuffle moves each document once."""
+    chunk: the only shuffle moves each document once. With ``shuffle_text`` the
+    exchange carries the raw text and its token count (compact) and the pre-tokens
+    are extracted again after it, instead of shuffling arrays of token strings."""
     L = params.max_length
-    d = df.select(*group_cols, order_col, pretokens(text_col).alias("__toks"))
-    d = d.withColumn("__n", F.size("__toks"))
-    d = running_offsets(d, group_cols, order_col, "__n", bucket_width, out="__start")
+    if shuffle_text:
+        d = df.select(*group_cols, order_col, F.col(text_col).alias("__text"),
+                      F.size(pretokens(text_col)).alias("__n"))
+        d = running_offsets(d, group_cols, order_col, "__n", bucket_width, out="__start")
+        d = d.withColumn("__toks", pretokens("__text"))
+    else:
+        d = df.select(*group_cols, order_col, pretokens(text_col).alias("__toks"))
+        d = d.withColumn("__n", F.size("__toks"))
+        d = running_offsets(d, group_cols, order_col, "__n", bucket_width, out="__start")
     t = d.select(*group_cols, "__start", F.posexplode("__toks").alias("__pos", "__tok"))
     t = t.withColumn("__g", F.col("__start") + F.col("__pos")).withColumn(
         CHUNK, F.floor(F.col("__g") / F.lit(L)).cast("bigint")
     )
     t = lookup_ids(t, vocab, params, token="__tok")
     rows = t.groupBy(*group_cols, CHUNK).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__g", "id"))), lambda s: s["id"]).alias("input_ids")
+        F.transform(F.sort_array(F.collect_list(F.struct("__g", "id"))), lambda s: s["id"]).alias("input_ids")
     )
     return _finish(rows, params)
 
@@ -113,7 +121,7 @@ def pack_ids(df: DataFrame, ids_col: str, group_cols: list[str], order_col: str,
     d = running_offsets(d, group_cols, order_col, "__n", bucket_width, out="__start")
     s = d.select(*group_cols, F.explode(chunk_slices("__ids", "__start", L)).alias("__s"))
     rows = s.groupBy(*group_cols, F.col("__s.chunk").alias(CHUNK)).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__s.g", "__s.part"))), lambda x: x["part"]))
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__s.g", "__s.part"))), lambda x: x["part"]))
         .alias("input_ids")
     )
     return _finish(rows, params)

@@ -113,9 +113,9 @@ def top_n_in_order(arr: Column, score, ratio: float) -> Column:
     asc), returned in position order. Runs inside the row, no shuffle."""
     n = F.size(arr)
     keep = F.floor(n * F.lit(ratio)).cast("int")
-    ranked = F.array_sort(F.transform(arr, lambda x, i: F.struct((-score(x)).alias("k"), i.alias("pos"))))
+    ranked = F.sort_array(F.transform(arr, lambda x, i: F.struct((-score(x)).alias("k"), i.alias("pos"))))
     best = F.slice(ranked, 1, keep)
-    return F.array_sort(F.transform(best, lambda s: s["pos"]))
+    return F.sort_array(F.transform(best, lambda s: s["pos"]))
 
 
 def capacity_assign(df: DataFrame, group: list[str], item: str, probs: str, n_buckets: int, k: int) -> DataFrame:

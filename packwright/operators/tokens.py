@@ -8,6 +8,7 @@ safe at any data size.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def encode(df: DataFrame, text_col: str, key: list[str], vocab: DataFrame, param
     toks = explode_tokens(df, text_col, key)
     ided = lookup_ids(toks, vocab, params)
     return ided.groupBy(*key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias(out)
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias(out)
     )
 
 
@@ -99,36 +100,24 @@ def encode_with_arrow(df: DataFrame, text_col: str, vocab: DataFrame, params: Pa
     """Same ids as :func:`encode`, computed per Arrow batch in Python without a
     shuffle. The vocabulary (<= ``vocab_size`` rows) is shipped once as a broadcast
     variable. This is the form an external tokenizer plugs into."""
-    import pandas as pd
-    import pyarrow as pa
     from pyspark.sql.functions import pandas_udf
 
     rows = vocab.select("token", "id").collect()  # bounded by params.vocab_size
     bvocab = df.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in rows})
     unk = params.unk_id
+    pattern = PRETOKEN_PATTERN
 
     @pandas_udf("array<int>")
     def _enc(texts: pd.Series) -> pd.Series:
-        import regex
+        import regex  # the module caches compiled patterns per worker
 
-        rx = _compiled(regex)
-        table = bvocab.value
-        get = table.get
-        return pd.Series([None if t is None else [get(p, unk) for p in rx.findall(t)] for t in texts])
+        findall = regex.compile(pattern).findall
+        get = bvocab.value.get
+        return pd.Series([None if t is None else [get(p, unk) for p in findall(t)] for t in texts])
 
     return df.withColumn(out, _enc(F.col(text_col)))
 
 
-_RX = None
-
-
-def _compiled(regex_mod):
-    global _RX
-    if _RX is None:
-        _RX = regex_mod.compile(PRETOKEN_PATTERN)
-    return _RX
-
-
 def decode_tokens(df: DataFrame, ids_col: str, key: list[str], vocab: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """id -> token per position via broadcast join (one row per position)."""
     v = vocab_for_join(vocab, params).select(F.col("id").alias("__id"), F.col("token"))

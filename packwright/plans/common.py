@@ -15,8 +15,22 @@ P: Params = DEFAULT
 L = P.max_length
 
 
+_VOCABS: dict = {}
+
+
 def vocab(spark: SparkSession, sf_dir: str, params: Params = P) -> DataFrame:
-    return build_vocab(A.table(spark, sf_dir, "documents"), "text", params)
+    """The corpus vocabulary, built once per session and input folder and kept as a
+    written table in the shared checkpoint folder (like a saved tokenizer file); later
+    queries read it instead of re-scanning the corpus."""
+    key = (spark.sparkContext.applicationId, sf_dir, params.vocab_size)
+    path = _VOCABS.get(key)
+    if path is None:
+        from packwright.sources.readers import new_location
+
+        path = new_location(spark, "vocab")
+        build_vocab(A.table(spark, sf_dir, "documents"), "text", params).write.parquet(path)
+        _VOCABS[key] = path
+    return spark.read.parquet(path)
 
 
 def vocab_sql(params: Params = P) -> str:

@@ -109,7 +109,9 @@ def pretokenize(spark, sf_dir):
 
 @q("build_vocab", f"SELECT token, id, cnt::BIGINT AS cnt FROM {vocab_sql()}")
 def build_vocab_q(spark, sf_dir):
-    return vocab(spark, sf_dir)
+    from packwright.operators.tokens import build_vocab
+
+    return build_vocab(A.table(spark, sf_dir, "documents"), "text", P)
 
 
 ENCODED_SQL = f"""vocab AS {vocab_sql()},
@@ -136,7 +138,7 @@ def _decoded_rows(spark, sf_dir):
     p = packed(spark, sf_dir)
     d = _decode(p, "input_ids", [*GROUP, "chunk"], vocab(spark, sf_dir), P)
     return d.groupBy(*GROUP, "chunk").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("tokens")
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("tokens")
     )
 
 
@@ -185,7 +187,7 @@ def segment_mask_q(spark, sf_dir):
     c = A.table(spark, sf_dir, "conversations")
     conv = c.groupBy("conv_id").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: F.concat(s["text"], F.lit(EOS_TOKEN))),
+            F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: F.concat(s["text"], F.lit(EOS_TOKEN))),
             "",
         ).alias("text")
     )

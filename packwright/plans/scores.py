@@ -254,7 +254,7 @@ f AS (SELECT conv_id, least({L}, coalesce(min(pos) FILTER (WHERE id = {EOS}), co
 SELECT conv_id, count(*)::INTEGER AS n_ids, array_to_string(list(id ORDER BY pos), ' ') AS ids FROM i JOIN f USING (conv_id) WHERE pos <= keep GROUP BY conv_id""")
 def truncate_at_eos(spark, sf_dir):
     c = A.table(spark, sf_dir, "conversations")
-    conv = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
+    conv = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))),
                                                             lambda s: F.concat(s["text"], F.lit(EOS_TOKEN))), "").alias("text"))
     e = encode(conv, "text", ["conv_id"], vocab(spark, sf_dir), P)
     t = e.select("conv_id", truncate_at("ids", P.eos_id, L).alias("ids"))

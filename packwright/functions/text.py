@@ -21,16 +21,18 @@ def _c(x) -> Column:
 
 
 def clean_text(text) -> Column:
-    """Whitespace clean-up, five ordered rules: newline+ws -> newline, ws+newline ->
-    newline, newline+ws+newline -> two newlines, strip leading, strip trailing.
-    ``WS`` is Python's Unicode whitespace set (Java's ``\\s`` is ASCII only)."""
+    """Whitespace clean-up with the result of the five ordered rules (newline+ws ->
+    newline, ws+newline -> newline, newline+ws+newline -> two newlines, strip leading,
+    strip trailing), in two regex passes.
+
+    The first two rules turn every maximal whitespace run that holds a newline into a
+    single newline and leave other runs alone; after them the third rule can never
+    match (no newline is followed by whitespace any more). So pass one rewrites
+    ``ws* newline ws*`` to one newline, pass two strips both ends. ``WS`` is Python's
+    Unicode whitespace set (Java's ``\\s`` is ASCII only)."""
     t = _c(text)
-    t = F.regexp_replace(t, F.lit("\n" + WS + "+"), F.lit("\n"))
-    t = F.regexp_replace(t, F.lit(WS + "+\n"), F.lit("\n"))
-    t = F.regexp_replace(t, F.lit("\n" + WS + "+\n"), F.lit("\n\n"))
-    t = F.regexp_replace(t, F.lit(r"\A" + WS + "+"), F.lit(""))
-    t = F.regexp_replace(t, F.lit(WS + r"+\z"), F.lit(""))
-    return t
+    t = F.regexp_replace(t, F.lit(WS + "*\n" + WS + "*"), F.lit("\n"))
+    return F.regexp_replace(t, F.lit(r"\A" + WS + "+|" + WS + r"+\z"), F.lit(""))
 
 
 def cut_tail(text) -> Column:
@@ -68,10 +70,13 @@ def normalise_text_end(text) -> Column:
     return t
 
 
-def assemble_baike(title, summary, sections) -> Column:
+def assemble_baike(title, summary, sections, title_is_clean: bool = False) -> Column:
     """Encyclopedia article: cleaned title, optional summary paragraph, every kept
-    section as ``title-section_title\\ncontent``; then eos and the end rewrites."""
-    t = clean_text(title)
+    section as ``title-section_title\\ncontent``; then eos and the end rewrites.
+
+    Pass an already cleaned title column with ``title_is_clean`` (see
+    :func:`with_baike_text`) so it is not re-cleaned inside the per-section lambda."""
+    t = _c(title) if title_is_clean else clean_text(title)
     s = _c(summary)
     summary_part = (
         F.when(s.isNull() | (s == t) | (F.length(s) < MIN_SUMMARY_CHARS), F.lit(""))
@@ -79,13 +84,16 @@ def assemble_baike(title, summary, sections) -> Column:
     )
     skipped = F.array(*[F.lit(x) for x in SKIPPED_SECTION_TITLES])
 
-    def piece(sec: Column) -> Column:
+    def cleaned(sec: Column) -> Column:
         content = F.replace(clean_text(sec["content"]), F.concat(F.lit("\xa0\xa0"), t))
-        joiner = F.when(sec["title"].endswith("\n") | content.startswith("\n"), F.lit("")).otherwise(F.lit("\n"))
-        return F.concat(t, F.lit("-"), sec["title"], joiner, content)
+        return F.struct(sec["title"].alias("title"), content.alias("content"))
+
+    def piece(sec: Column) -> Column:
+        joiner = F.when(sec["title"].endswith("\n") | sec["content"].startswith("\n"), F.lit("")).otherwise(F.lit("\n"))
+        return F.concat(t, F.lit("-"), sec["title"], joiner, sec["content"])
 
     kept = F.filter(_c(sections), lambda sec: ~F.array_contains(skipped, sec["title"]))
-    body = F.array_join(F.transform(kept, piece), "")
+    body = F.array_join(F.transform(F.transform(kept, cleaned), piece), "")
     text = F.concat(summary_part, F.coalesce(body, F.lit("")), F.lit(EOS_TOKEN))
     return strip_controls(normalise_text_end(text))
 
@@ -119,3 +127,11 @@ def template_replace(text, pairs) -> Column:
     for a, b in pairs:
         t = F.replace(t, F.lit(a), F.lit(b))
     return t
+
+
+def with_baike_text(df, out: str = "text", title: str = "title", summary: str = "summary",
+                    sections: str = "sections"):
+    """DataFrame form of :func:`assemble_baike`: the title is cleaned once per row."""
+    d = df.withColumn("__clean_title", clean_text(title))
+    return d.withColumn(out, assemble_baike("__clean_title", summary, sections, title_is_clean=True)).drop(
+        "__clean_title")

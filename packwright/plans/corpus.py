@@ -254,7 +254,7 @@ def filter_min_length(spark, sf_dir):
 @q("assemble_baike", f"SELECT doc_id, {S.assemble_baike('title', 'summary', 'sections')} AS text FROM ({A.BAIKE_SQL}) WHERE {S.content_length('summary', 'sections')} > 50")
 def assemble_baike_q(spark, sf_dir):
     b = A.baike(spark, sf_dir).filter(T.content_length("summary", "sections") > 50)
-    return b.select("doc_id", T.assemble_baike("title", "summary", "sections").alias("text"))
+    return T.with_baike_text(b).select("doc_id", "text")
 
 
 @q("filter_language", f"SELECT doc_id, path, size FROM ({A.CODE_SQL}) WHERE language = {S.lit(P.code_language)}")

@@ -100,3 +100,14 @@ def test_decode_rules(spark):
     toks = ["a", "<|endoftext|>", "<|startoftext|>", "b", "<unk>"]
     assert one(spark, tokens_to_string("t"), t=(toks, "array<string>")) == "a <|endoftext|><|startoftext|>b <unk>"
     assert one(spark, strip_specials("t"), t=(toks, "array<string>")) == ["a", "b"]
+
+
+def test_clean_text_random_equivalence(spark):
+    import random
+
+    rnd = random.Random(7)
+    alphabet = [" ", "\n", "\t", "\xa0", "　", "\x1c", "\x0b", " ", "a", "b", "。"]
+    samples = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, t string")
+    got = {r["i"]: r["r"] for r in df.select("i", T.clean_text("t").alias("r")).collect()}
+    assert all(got[i] == _py_clean(s) for i, s in enumerate(samples))

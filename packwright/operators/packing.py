@@ -45,6 +45,7 @@ def running_offsets(df: DataFrame, group_cols: list[str], order_col: str, n_col:
     if bucket_width is None:
         w = Window.partitionBy(*group_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, (F.sum(n_col).over(w) - F.col(n_col)).cast("bigint"))
+    bucket_width = auto_bucket_width(df, order_col, bucket_width)
     b = "__bucket"
     d = df.withColumn(b, F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint"))
     sums = d.groupBy(*group_cols, b).agg(F.sum(n_col).alias("__bn"))
@@ -57,6 +58,19 @@ def running_offsets(df: DataFrame, group_cols: list[str], order_col: str, n_col:
     )
 
 
+MAX_OFFSET_BUCKETS = 1 << 20
+
+
+def auto_bucket_width(df: DataFrame, order_col: str, min_width: int, max_buckets: int = MAX_OFFSET_BUCKETS) -> int:
+    """Keys per offset bucket: at least ``min_width``, and wide enough that the key range
+    has at most ``max_buckets`` buckets, so the per-group window over bucket sums stays
+    bounded (two numbers come back to the driver)."""
+    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
+    if lo is None:
+        return min_width
+    return max(min_width, -(-(hi - lo + 1) // max_buckets))
+
+
 def _finish(rows: DataFrame, params: Params, ids: str = "input_ids") -> DataFrame:
     rows = rows.filter(F.size(ids) == params.max_length)
     return rows.withColumn("attention_mask", segment_mask(ids, params.eos_id))

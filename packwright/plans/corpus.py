@@ -41,14 +41,14 @@ def packed(spark: SparkSession, sf_dir: str, corpus: str = "plain") -> DataFrame
     return pack_text(docs, "text", GROUP, "doc_id", vocab(spark, sf_dir), P)
 
 
-def packed_sql_cte(corpus: str = "plain") -> str:
+def packed_sql_cte(corpus: str = "plain", group_expr: str = f"doc_id // {P.group_rows}") -> str:
     """DuckDB: token-level packed rows m(split, source, pack_group, chunk, g, id, seg)."""
     if corpus == "wikipedia":
         src, text = A.WIKIPEDIA_SQL, f"title || chr(10) || {S.cut_tail('text')} || {EOS_LIT}"
     else:
         src, text = A.CORPUS_SQL, "text || " + EOS_LIT
     return f"""vocab AS {vocab_sql()},
-docs AS (SELECT split, source, doc_id // {P.group_rows} AS pack_group, doc_id, {S.pretokens(text)} AS toks FROM ({src})),
+docs AS (SELECT split, source, CAST({group_expr} AS BIGINT) AS pack_group, doc_id, {S.pretokens(text)} AS toks FROM ({src})),
 offs AS (SELECT *, sum(len(toks)) OVER (PARTITION BY split, source, pack_group ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - len(toks) AS start FROM docs),
 t AS (SELECT split, source, pack_group, start, unnest({tokens_sql('toks')}) AS s FROM offs),
 c AS (SELECT split, source, pack_group, CAST((start + s.pos - 1) // {L} AS BIGINT) AS chunk, CAST(start + s.pos - 1 AS BIGINT) AS g, coalesce(v.id, 0) AS id FROM t LEFT JOIN vocab v ON v.token = t.s.token),
@@ -65,6 +65,22 @@ def pack_sequences(spark, sf_dir):
     return p.select(*GROUP, "chunk", ids_str("input_ids").alias("input_ids"), ids_str("attention_mask").alias("attention_mask"))
 
 
+OFFSET_BUCKET_KEYS = 250  # keys per offset bucket in corpus-wide packing
+
+
+@q("pack_by_source", f"""WITH {packed_sql_cte(group_expr='0')}
+SELECT split, source, chunk, md5(array_to_string(list(id ORDER BY g), ' ')) AS ids_md5, max(seg)::INTEGER AS n_segments
+FROM m GROUP BY ALL""")
+def pack_by_source(spark, sf_dir):
+    """Corpus-wide packing per (split, source), with no row bound per group: offsets
+    come from the two-level running sum, so a source holding a third of the corpus is
+    still spread over key buckets instead of landing in one task."""
+    docs = A.corpus(spark, sf_dir).withColumn("text", T.assemble_plain("text"))
+    p = pack_text(docs, "text", ["split", "source"], "doc_id", vocab(spark, sf_dir), P, bucket_width=OFFSET_BUCKET_KEYS)
+    return p.select("split", "source", "chunk", F.md5(ids_str("input_ids")).alias("ids_md5"),
+                    F.array_max("attention_mask").alias("n_segments"))
+
+
 @q("token_budget", f"""WITH {packed_sql_cte()}
 SELECT source, split, count(DISTINCT (pack_group, chunk))::BIGINT AS n_rows, count(*)::BIGINT AS n_tokens,
        round(count(*) / 1e9, 9) AS billions FROM m GROUP BY source, split""")
@@ -134,6 +150,23 @@ def encode_vocab(spark, sf_dir):
     )
 
 
+@q("encode_arrow", ORACLES["encode_vocab"])
+def encode_arrow(spark, sf_dir):
+    """The Arrow-batch encoder (the form an external tokenizer plugs into): ids per
+    row without a shuffle, equal to the set-based encoder."""
+    from packwright.operators.tokens import encode_with_arrow
+
+    d = A.table(spark, sf_dir, "documents").withColumn("text", T.assemble_plain("text"))
+    e = encode_with_arrow(d, "text", vocab(spark, sf_dir), P).select("doc_id", "ids")
+    return e.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_ids"),
+        F.size(F.filter("ids", lambda x: x == P.unk_id)).cast("bigint").alias("n_unk"),
+        F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
+        F.md5(ids_str("ids")).alias("ids_md5"),
+    )
+
+
 def _decoded_rows(spark, sf_dir):
     p = packed(spark, sf_dir)
     d = _decode(p, "input_ids", [*GROUP, "chunk"], vocab(spark, sf_dir), P)

@@ -8,6 +8,8 @@ safe at any data size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +120,48 @@ def encode_with_arrow(df: DataFrame, text_col: str, vocab: DataFrame, params: Pa
     return df.withColumn(out, _enc(F.col(text_col)))
 
 
+def encode_with_sentencepiece(df: DataFrame, text_col: str, model_path: str, specials: dict[str, int] | None = None,
+                              out: str = "ids") -> DataFrame:
+    """External-model provider: a SentencePiece model file is shipped once with
+    ``addFile`` and loaded once per Python worker; special tokens are split out first
+    and kept as single ids (special tokens are never added automatically)."""
+    import os
+    import re
+
+    from pyspark import SparkFiles
+    from pyspark.sql.functions import pandas_udf
+
+    df.sparkSession.sparkContext.addFile(model_path)
+    name = os.path.basename(model_path)
+    specials = dict(specials or {})
+    split_rx = re.compile("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
+
+    @pandas_udf("array<int>")
+    def _enc(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":
+        import sentencepiece as spm
+
+        sp = spm.SentencePieceProcessor(model_file=SparkFiles.get(name))
+        for texts in batches:
+            rows = []
+            for t in texts:
+                if t is None:
+                    rows.append(None)
+                    continue
+                parts = split_rx.split(t) if split_rx else [t]
+                ids: list[int] = []
+                for part in parts:
+                    if not part:
+                        continue
+                    if part in specials:
+                        ids.append(specials[part])
+                    else:
+                        ids.extend(sp.encode(part))
+                rows.append(ids)
+            yield pd.Series(rows)
+
+    return df.withColumn(out, _enc(F.col(text_col)))
+
+
 def decode_tokens(df: DataFrame, ids_col: str, key: list[str], vocab: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """id -> token per position via broadcast join (one row per position)."""
     v = vocab_for_join(vocab, params).select(F.col("id").alias("__id"), F.col("token"))

@@ -111,3 +111,37 @@ def test_sample_rows_exact_n(spark, tmp_path):
     p = str(tmp_path / "rows")
     spark.createDataFrame([(i, f"t{i}") for i in range(10)], "k int, text string").write.json(p)
     assert read_jsonl(spark, p, "k int, text string", order_col="k", num_samples=3).count() == 3
+
+
+def test_map_batches_may_change_row_count(spark):
+    import pandas as pd
+
+    from packwright.operators.batch_map import map_batches
+
+    df = spark.createDataFrame([(i, [i] * (i % 3)) for i in range(2500)], "k int, ids array<int>").coalesce(1)
+
+    def pack(batch):  # flatten a batch and cut rows of 4, dropping the tail (per batch)
+        flat = [t for ids in batch["ids"] for t in ids]
+        return pd.DataFrame({"row": [flat[i:i + 4] for i in range(0, len(flat) // 4 * 4, 4)]})
+
+    out = map_batches(df, pack, "row array<int>", batch_rows=1000)
+    assert all(len(r.row) == 4 for r in out.collect()) and out.count() > 0
+
+
+def test_sentencepiece_provider(spark, tmp_path):
+    import sentencepiece as spm
+
+    from packwright.operators.tokens import encode_with_sentencepiece
+
+    lines = [f"the quick brown fox {i} jumps over the lazy dog number {i}" for i in range(200)]
+    corpus = tmp_path / "c.txt"
+    corpus.write_text("\n".join(lines))
+    prefix = str(tmp_path / "m")
+    spm.SentencePieceTrainer.train(input=str(corpus), model_prefix=prefix, vocab_size=60, bos_piece="<|startoftext|>",
+                                   eos_piece="<|endoftext|>", unk_piece="<unk>", pad_id=-1, minloglevel=2)
+    sp = spm.SentencePieceProcessor(model_file=prefix + ".model")
+    specials = {"<|startoftext|>": sp.piece_to_id("<|startoftext|>"), "<|endoftext|>": sp.piece_to_id("<|endoftext|>")}
+    df = spark.createDataFrame([(1, "the lazy fox<|endoftext|>"), (2, "<|startoftext|>dog 7")], "k int, text string")
+    got = {r.k: r.ids for r in encode_with_sentencepiece(df, "text", prefix + ".model", specials).collect()}
+    assert got[1] == sp.encode("the lazy fox") + [specials["<|endoftext|>"]]
+    assert got[2] == [specials["<|startoftext|>"]] + sp.encode("dog 7")

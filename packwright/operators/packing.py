@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.functions.arrays import segment_mask
-from packwright.operators.tokens import lookup_ids, pretokens
+from packwright.operators.tokens import lookup_ids, pretoken_count, pretokens
 from packwright.params import DEFAULT, Params
 
 CHUNK = "chunk"
@@ -88,7 +88,7 @@ def pack_text(df: DataFrame, text_col: str, group_cols: list[str], order_col: st
     L = params.max_length
     if shuffle_text:
         d = df.select(*group_cols, order_col, F.col(text_col).alias("__text"),
-                      F.size(pretokens(text_col)).alias("__n"))
+                      pretoken_count(text_col).alias("__n"))
         d = running_offsets(d, group_cols, order_col, "__n", bucket_width, out="__start")
         d = d.withColumn("__toks", pretokens("__text"))
     else:

@@ -36,6 +36,12 @@ def pretokens(text) -> Column:
     return F.regexp_extract_all(t, F.lit(PRETOKEN_PATTERN), 0)
 
 
+def pretoken_count(text) -> Column:
+    """Number of pre-tokens, counted without materialising them."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.regexp_count(t, F.lit(PRETOKEN_PATTERN)).cast("int")
+
+
 def build_vocab(df: DataFrame, text_col: str = "text", params: Params = DEFAULT) -> DataFrame:
     """Corpus vocabulary: token counts (map-side combined), the ``vocab_size - 3`` most
     frequent tokens ranked by (count desc, token asc) get ids 3.., specials get 0..2.

@@ -103,11 +103,14 @@ REF_LANG = "en"
 
 
 def _ref_logp(spark, sf_dir):
-    """Reference-model stand-in: unigram of one language's documents over the same ids."""
+    """Reference-model stand-in: unigram of one language's documents over the same ids.
+    Tokens are matched to the broadcast vocabulary before counting, so both sides of
+    the final join are vocabulary-sized."""
     d = A.table(spark, sf_dir, "documents").filter(F.col("lang") == REF_LANG)
-    cnt = d.select(F.explode(pretokens("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c_ref"))
     v = vocab(spark, sf_dir).select("token", "id")
-    j = v.join(cnt, "token", "left").select("id", F.coalesce("c_ref", F.lit(0)).cast("bigint").alias("cnt"))
+    toks = d.select(F.explode(pretokens("text")).alias("token")).join(F.broadcast(v), "token")
+    cnt = toks.groupBy("id").agg(F.count(F.lit(1)).alias("c_ref"))
+    j = v.join(cnt, "id", "left").select("id", F.coalesce("c_ref", F.lit(0)).cast("bigint").alias("cnt"))
     return SC.unigram_logp(j).withColumnRenamed("logp", "logp_ref")
 
 

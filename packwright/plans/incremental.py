@@ -10,7 +10,9 @@ from packwright.functions import text as T
 from packwright.operators import instruct as I
 from packwright.operators.packing import pack_text
 from packwright.operators.tokens import encode_with_arrow, pretokens
+from packwright.functions.arrays import segment_mask
 from packwright.plans.common import EOS_LIT, P, ids_str, vocab
+from packwright.plans.corpus import packed_sql_cte
 from packwright.plans.instruct import KEY_SQL
 from packwright.sources import adapters as A
 from packwright.sources import readers as R
@@ -19,7 +21,9 @@ from packwright.streaming import incremental as ST
 QUERIES: dict = {}
 ORACLES: dict = {}
 N_FILES = 4
+EVENT_TIME_BASE = 1_000_000_000  # seconds; keeps every event after the first watermark (0)
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+LANDED_SCHEMA = "doc_id bigint, source string, lang string, text string, split string, pack_group bigint"
 
 
 def q(name, sql=None):
@@ -33,8 +37,10 @@ def q(name, sql=None):
 
 
 def _landed_docs(spark, sf_dir):
-    path = R.new_location(spark, "landing")
-    return ST.land(A.table(spark, sf_dir, "documents"), path, N_FILES, "doc_id")
+    """The corpus as key-ordered files; a packing block (``group_rows`` consecutive
+    ids) never spans two files, so per-micro-batch packing equals batch packing."""
+    d = A.corpus(spark, sf_dir).withColumn("pack_group", F.expr(f"doc_id div {P.group_rows}"))
+    return ST.land(d, R.new_location(spark, "landing"), "doc_id", unit="pack_group", min_files=N_FILES)
 
 
 @q("stream_encode", f"""SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, chr(31))) AS tokens_md5
@@ -42,44 +48,50 @@ FROM (SELECT doc_id, {S.pretokens('text || ' + EOS_LIT)} AS t FROM documents)"""
 def stream_encode(spark, sf_dir):
     """Stateless stream over landed shards; the result equals the batch computation."""
     landing = _landed_docs(spark, sf_dir)
-    s = ST.source(spark, landing, DOC_SCHEMA)
+    s = ST.source(spark, landing, LANDED_SCHEMA)
     t = s.select("doc_id", pretokens(T.assemble_plain("text")).alias("t"))
     r = t.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.md5(F.array_join("t", "\x1f")).alias("tokens_md5"))
     out = ST.run_to_table(r, R.new_location(spark, "stream-encode"), R.new_location(spark, "ckpt-encode"))
     return spark.read.parquet(out)
 
 
-@q("stream_pack")
+@q("stream_pack", f"""WITH {packed_sql_cte()}
+SELECT split, source, pack_group, chunk, md5(array_to_string(list(id ORDER BY g), ' ')) AS ids_md5 FROM m GROUP BY ALL""")
 def stream_pack(spark, sf_dir):
-    """Micro-batch packing: every micro-batch is one packing group (like one map batch
-    of the reference), written under its batch id so a replay overwrites, not appends."""
+    """Micro-batch packing: packing never crosses a micro-batch (the reference packs per
+    map batch); inside a batch the groups are the packing blocks, which landing keeps
+    whole, so the result equals batch packing. Each batch is written under its batch
+    id, so a replay overwrites instead of appending."""
     landing = _landed_docs(spark, sf_dir)
     v = vocab(spark, sf_dir)
     out = R.new_location(spark, "stream-pack")
 
     def per_batch(batch, batch_id):
-        docs = batch.select("doc_id", "source", T.assemble_plain("text").alias("text")).withColumn(
-            "pack_group", F.lit(batch_id).cast("bigint"))
-        rows = pack_text(docs, "text", ["source", "pack_group"], "doc_id", v, P)
+        docs = batch.select("doc_id", "split", "source", "pack_group", T.assemble_plain("text").alias("text"))
+        rows = pack_text(docs, "text", ["split", "source", "pack_group"], "doc_id", v, P)
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    ST.run_batches(ST.source(spark, landing, DOC_SCHEMA), per_batch, R.new_location(spark, "ckpt-pack"))
+    ST.run_batches(ST.source(spark, landing, LANDED_SCHEMA), per_batch, R.new_location(spark, "ckpt-pack"))
     back = spark.read.parquet(out)
-    return back.select("batch_id", "source", "chunk", F.md5(ids_str("input_ids")).alias("ids_md5"))
+    return back.select("split", "source", "pack_group", "chunk", F.md5(ids_str("input_ids")).alias("ids_md5"))
 
 
-@q("stream_pack_stateful")
+@q("stream_pack_stateful", f"""WITH {packed_sql_cte(group_expr='0')}
+SELECT split, source, chunk, md5(array_to_string(list(id ORDER BY g), ' ')) AS ids_md5, max(seg)::INTEGER AS n_segments
+FROM m GROUP BY ALL""")
 def stream_pack_stateful(spark, sf_dir):
-    """Carry-over packing: each source keeps its remainder between micro-batches. The
-    encoder runs in Arrow batches inside the stream (no shuffle before the state)."""
+    """Carry-over packing: each (split, source) keeps its remainder between
+    micro-batches, so with key-ordered arrivals the stream equals corpus-wide packing.
+    The encoder runs in Arrow batches inside the stream (no shuffle before the state)."""
     landing = _landed_docs(spark, sf_dir)
     v = vocab(spark, sf_dir)
-    s = ST.source(spark, landing, DOC_SCHEMA).select("doc_id", "source", T.assemble_plain("text").alias("text"))
-    e = encode_with_arrow(s, "text", v, P).select("doc_id", "source", "ids")
-    packed = ST.carry_over_pack(e, ["source"], "doc_id", "ids", P)
+    s = ST.source(spark, landing, LANDED_SCHEMA).select("doc_id", "split", "source", T.assemble_plain("text").alias("text"))
+    e = encode_with_arrow(s, "text", v, P).select("doc_id", "split", "source", "ids")
+    packed = ST.carry_over_pack(e, ["split", "source"], "doc_id", "ids", P)
     out = ST.run_to_table(packed, R.new_location(spark, "stream-pack-state"), R.new_location(spark, "ckpt-state"))
     back = spark.read.parquet(out)
-    return back.select("source", "chunk", F.size("input_ids").alias("n_tokens"), F.md5(ids_str("input_ids")).alias("ids_md5"))
+    return back.select("split", "source", "chunk", F.md5(ids_str("input_ids")).alias("ids_md5"),
+                       F.array_max(segment_mask("input_ids", P.eos_id)).alias("n_segments"))
 
 
 @q("stream_dedup", f"SELECT DISTINCT md5({KEY_SQL}) AS key_md5 FROM ({A.SFT_DUP_SQL})")
@@ -87,9 +99,9 @@ def stream_dedup(spark, sf_dir):
     """Streaming repeat removal on the instruction key within a watermark; the copies
     share the original's event time, so exactly one row per key survives."""
     d = A.sft_with_duplicates(spark, sf_dir).withColumn("key", I.dedup_key(P)).withColumn(
-        "event_time", F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn")))
+        "event_time", F.timestamp_seconds(F.lit(EVENT_TIME_BASE) + F.col("conv_id") * 1000 + F.col("turn")))
     landing = R.new_location(spark, "landing-sft")
-    ST.land(d.select("idx", "key", "event_time"), landing, N_FILES, "idx")
+    ST.land(d.select("idx", "key", "event_time"), landing, "idx", min_files=N_FILES)
     s = ST.source(spark, landing, "idx bigint, key string, event_time timestamp", files_per_trigger=N_FILES)
     u = ST.dedup_within_watermark(s, ["key"], "event_time", "1 hour")
     out = ST.run_to_table(u.select(F.md5("key").alias("key_md5")), R.new_location(spark, "stream-dedup"),

@@ -13,9 +13,31 @@ from pyspark.sql.types import StructType
 from packwright.params import DEFAULT, Params
 
 
-def land(df: DataFrame, path: str, n_files: int, key: str) -> str:
-    """Write a table as ``n_files`` key-range shards (what a stream would see land)."""
-    df.repartitionByRange(n_files, key).sortWithinPartitions(key).write.parquet(path)
+ROWS_PER_LANDED_FILE = 250_000
+
+
+def land(df: DataFrame, path: str, key: str, unit: str | None = None, min_files: int = 4,
+         rows_per_file: int = ROWS_PER_LANDED_FILE) -> str:
+    """Land a table as key-ordered files, the way a stream would see shards arrive.
+
+    One distributed write: rows are range-partitioned on ``unit`` (default ``key``), so
+    rows sharing a unit are never split across files, sorted by ``key`` inside each
+    file; the file count grows with the data. File modification times are then set in
+    key order (metadata only), so a file stream (oldest first) reads them in order.
+    A test-side helper: in production the files arrive from upstream."""
+    n = max(min_files, -(-df.count() // rows_per_file))
+    part = F.col(unit) if unit else F.col(key)
+    df.repartitionByRange(n, part).sortWithinPartitions(key).write.parquet(path)
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(conf)
+    files = sorted((s.getPath() for s in fs.listStatus(base) if s.getPath().getName().startswith("part-")),
+                   key=lambda p: p.getName())
+    t0 = int(__import__("time").time() * 1000) - 1000 * (len(files) + 1)
+    for i, f in enumerate(files):
+        fs.setTimes(f, t0 + 1000 * i, -1)
     return path
 
 
@@ -64,9 +86,9 @@ def carry_over_pack(stream: DataFrame, group_cols: list[str], order_col: str, id
         else:
             tail, next_chunk = [], 0
         parts = [np.asarray(tail, dtype=np.int32)]
-        frames = [p.sort_values(order_col) for p in pdfs]
-        for p in frames:
-            parts.extend(np.asarray(x, dtype=np.int32) for x in p[ids_col])
+        # this key's rows of one micro-batch (bounded by the trigger size), in order
+        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(order_col)
+        parts.extend(np.asarray(x, dtype=np.int32) for x in batch[ids_col])
         flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
         n = len(flat) // L
         rows = [flat[i * L:(i + 1) * L].tolist() for i in range(n)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packwright import sql as S
 from packwright.functions import text as T
 from packwright.functions.arrays import attention_pairs, segment_mask
-from packwright.operators.packing import pack_text
+from packwright.operators.packing import pack_text, packed_counts
 from packwright.operators.tokens import decode_tokens as _decode, encode, pretokens, strip_specials, tokens_to_string
 from packwright.params import EOS_TOKEN, SPECIAL_TOKENS, WS
 from packwright.plans.common import EOS, EOS_LIT, L, P, ids_str, tokens_sql, vocab, vocab_sql
@@ -85,11 +85,14 @@ def pack_by_source(spark, sf_dir):
 SELECT source, split, count(DISTINCT (pack_group, chunk))::BIGINT AS n_rows, count(*)::BIGINT AS n_tokens,
        round(count(*) / 1e9, 9) AS billions FROM m GROUP BY source, split""")
 def token_budget(spark, sf_dir):
-    p = packed(spark, sf_dir)
-    return p.groupBy("source", "split").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.size("input_ids")).cast("bigint").alias("n_tokens"),
-        F.round(F.sum(F.size("input_ids")) / F.lit(1e9), 9).alias("billions"),
+    """Packed rows and tokens per (source, split), counted from per-group token totals
+    (n div L rows of L tokens per group) instead of materialising the rows."""
+    docs = A.corpus(spark, sf_dir).withColumn("pack_group", F.expr(f"doc_id div {P.group_rows}"))
+    c = packed_counts(docs.withColumn("text", T.assemble_plain("text")), "text", GROUP, P)
+    return c.groupBy("source", "split").agg(
+        F.sum("n_rows").cast("bigint").alias("n_rows"),
+        F.sum("packed_tokens").cast("bigint").alias("n_tokens"),
+        F.round(F.sum("packed_tokens") / F.lit(1e9), 9).alias("billions"),
     )
 
 
@@ -109,10 +112,8 @@ def attention_pairs_q(spark, sf_dir):
 FROM ({A.CORPUS_SQL}) GROUP BY ALL""")
 def pack_groups(spark, sf_dir):
     d = A.corpus(spark, sf_dir).withColumn("pack_group", F.expr(f"doc_id div {P.group_rows}"))
-    n = F.size(pretokens(T.assemble_plain("text")))
-    g = d.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(n).cast("bigint").alias("n_tokens"))
-    return g.select(*GROUP, "n_docs", "n_tokens", F.expr(f"n_tokens div {L}").alias("n_rows"),
-                    F.expr(f"n_tokens % {L}").alias("dropped_tokens"))
+    g = packed_counts(d.withColumn("text", T.assemble_plain("text")), "text", GROUP, P)
+    return g.select(*GROUP, "n_docs", "n_tokens", "n_rows", "dropped_tokens")
 
 
 @q("pretokenize", f"""SELECT doc_id, len(toks)::BIGINT AS n_tokens, md5(array_to_string(toks, chr(31))) AS tokens_md5

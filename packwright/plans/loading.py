@@ -124,13 +124,23 @@ def _plan_sql(task: str, n: str) -> str:
             f"{B * P.grad_accumulation * W}::BIGINT AS global_batch")
 
 
+def _pretrain_rows(spark, sf_dir):
+    """Packed training rows, counted without packing (n div L per group)."""
+    from packwright.functions import text as T
+    from packwright.operators.packing import packed_counts
+
+    d = A.corpus(spark, sf_dir).filter(F.col("split") == "train").withColumn("pack_group", F.expr(f"doc_id div {P.group_rows}"))
+    c = packed_counts(d.withColumn("text", T.assemble_plain("text")), "text", GROUP, P)
+    return c.agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
+
+
 @q("step_plan", f"""{_plan_sql('pretrain', f"(SELECT count(*) FROM {_packed_rows_sql('plain')} WHERE split = 'train')")}
 UNION ALL {_plan_sql('sft', f"(SELECT count(*) FROM {SFT_ROWS_SQL})")}
 UNION ALL {_plan_sql('dpo', f"(WITH {dpo_encoded_sql()} SELECT count(*) FROM de WHERE len(chosen_ids) < {L} AND len(rejected_ids) < {L})")}""")
 def step_plan(spark, sf_dir):
     v = vocab(spark, sf_dir)
     counts = (
-        packed(spark, sf_dir).filter(F.col("split") == "train").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("task", F.lit("pretrain"))
+        _pretrain_rows(spark, sf_dir).withColumn("task", F.lit("pretrain"))
         .unionByName(_sft_rows(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("task", F.lit("sft")))
         .unionByName(X.dpo_examples(A.preference(spark, sf_dir), KEY, v, P).agg(F.count(F.lit(1)).alias("n_rows"))
                      .withColumn("task", F.lit("dpo")))

@@ -12,19 +12,24 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda variable bound through
+    a one-element array), instead of repeating the expression inside lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def segment_mask(ids, eos_id: int) -> Column:
     """Segment numbers: start at 1 and step up *after* every eos.
 
-    eos positions -> run boundaries -> runs of the segment number; O(n) per row."""
+    eos positions -> run boundaries (computed once per row) -> runs of the segment
+    number; O(n) per row."""
     a = _c(ids)
     n = F.size(a)
     eos_pos = F.filter(F.transform(a, lambda x, i: F.when(x == eos_id, i).otherwise(F.lit(-1))), lambda p: p >= 0)
     bounds = F.concat(F.array(F.lit(-1)), eos_pos, F.array(n - 1))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(eos_pos) + 1),
-        lambda k: F.array_repeat(k, F.get(bounds, k) - F.get(bounds, k - 1)),
-    )
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.flatten(runs))
+    runs = _let(bounds, lambda b: F.flatten(F.transform(
+        F.sequence(F.lit(1), F.size(b) - 1), lambda k: F.array_repeat(k, F.get(b, k) - F.get(b, k - 1)))))
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(runs)
 
 
 def right_pad(arr, length: int, value: int) -> Column:
@@ -103,14 +108,17 @@ def attention_pairs(mask) -> Column:
         F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
         lambda i: (i < n) & ((i == 0) | (F.get(m, i) != F.get(m, i - 1))),
     )
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
-    block = F.aggregate(
-        F.arrays_zip(starts.alias("s"), ends.alias("e")),
-        F.lit(0).cast("bigint"),
-        lambda acc, r: acc
-        + F.when(F.get(m, r["s"]) != 0, ((r["e"] - r["s"]) * (r["e"] - r["s"] + 1) / 2).cast("bigint")).otherwise(0),
-    )
+
+    def blocks(s: Column) -> Column:
+        ends = F.concat(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.array(n))
+        return F.aggregate(
+            F.arrays_zip(s.alias("s"), ends.alias("e")),
+            F.lit(0).cast("bigint"),
+            lambda acc, r: acc + F.when(F.get(m, r["s"]) != 0,
+                                        ((r["e"] - r["s"]) * (r["e"] - r["s"] + 1) / 2).cast("bigint")).otherwise(0),
+        )
+
     causal = F.aggregate(
         F.transform(m, lambda x, j: (x * (n - j)).cast("bigint")), F.lit(0).cast("bigint"), lambda acc, x: acc + x
     )
-    return F.when(n == 0, F.lit(0).cast("bigint")).when(F.array_max(m) > 1, block).otherwise(causal)
+    return F.when(n == 0, F.lit(0).cast("bigint")).when(F.array_max(m) > 1, _let(starts, blocks)).otherwise(causal)

@@ -168,6 +168,32 @@ def encode_with_sentencepiece(df: DataFrame, text_col: str, model_path: str, spe
     return df.withColumn(out, _enc(F.col(text_col)))
 
 
+MAX_LITERAL_VOCAB = 2_000_000
+
+
+def vocab_literal(vocab: DataFrame, params: Params = DEFAULT) -> Column | None:
+    """id -> token as one constant array (index = id), or None when the ids are not
+    dense or the table is larger than ``MAX_LITERAL_VOCAB``. The vocabulary is bounded
+    by ``vocab_size``; it travels once as a JSON string that the optimizer folds into a
+    literal, so tasks index it directly (no join, no shuffle)."""
+    import json
+
+    if params.vocab_size > MAX_LITERAL_VOCAB:
+        return None
+    rows = vocab.select("id", "token").collect()  # <= vocab_size rows
+    rows.sort(key=lambda r: r["id"])
+    if [r["id"] for r in rows] != list(range(len(rows))):
+        return None
+    doc = json.dumps([r["token"] for r in rows], ensure_ascii=False)
+    return F.from_json(F.lit(doc), "array<string>")
+
+
+def decode_ids(ids, table: Column, unk: str = UNK_TOKEN) -> Column:
+    """Per-row id -> token with the constant table from :func:`vocab_literal`."""
+    a = F.col(ids) if isinstance(ids, str) else ids
+    return F.transform(a, lambda i: F.coalesce(F.try_element_at(table, i + 1), F.lit(unk)))
+
+
 def decode_tokens(df: DataFrame, ids_col: str, key: list[str], vocab: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """id -> token per position via broadcast join (one row per position)."""
     v = vocab_for_join(vocab, params).select(F.col("id").alias("__id"), F.col("token"))

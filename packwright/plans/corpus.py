@@ -169,8 +169,16 @@ def encode_arrow(spark, sf_dir):
 
 
 def _decoded_rows(spark, sf_dir):
+    """Packed rows decoded back to tokens: a constant id -> token table indexed inside
+    each row (no join, no shuffle); the broadcast-join form is the fallback."""
+    from packwright.operators.tokens import decode_ids, vocab_literal
+
     p = packed(spark, sf_dir)
-    d = _decode(p, "input_ids", [*GROUP, "chunk"], vocab(spark, sf_dir), P)
+    v = vocab(spark, sf_dir)
+    table = vocab_literal(v, P)
+    if table is not None:
+        return p.select(*GROUP, "chunk", decode_ids("input_ids", table).alias("tokens"))
+    d = _decode(p, "input_ids", [*GROUP, "chunk"], v, P)
     return d.groupBy(*GROUP, "chunk").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("tokens")
     )

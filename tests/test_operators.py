@@ -145,3 +145,16 @@ def test_sentencepiece_provider(spark, tmp_path):
     got = {r.k: r.ids for r in encode_with_sentencepiece(df, "text", prefix + ".model", specials).collect()}
     assert got[1] == sp.encode("the lazy fox") + [specials["<|endoftext|>"]]
     assert got[2] == [specials["<|startoftext|>"]] + sp.encode("dog 7")
+
+
+def test_literal_decoder_equals_join_decoder(spark):
+    from packwright.operators.tokens import decode_ids, decode_tokens, vocab_literal
+
+    df = spark.createDataFrame([(1, "Ab c1 <unk>é!"), (2, "x<|startoftext|>yy zz")], "k int, text string")
+    v = build_vocab(df, "text")
+    e = encode(df, "text", ["k"], v).withColumn("ids", F.concat("ids", F.array(F.lit(10_000))))  # unknown id
+    lit = {r.k: r.t for r in e.select("k", decode_ids("ids", vocab_literal(v)).alias("t")).collect()}
+    j = decode_tokens(e, "ids", ["k"], v).groupBy("k").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token", F.lit("<unk>")).alias("t")))),
+                    lambda s: s["t"]).alias("t"))
+    assert lit == {r.k: r.t for r in j.collect()}

@@ -33,8 +33,10 @@ def rank_shards(df: DataFrame, key: str, params: Params = DEFAULT, epoch: int =
     w = params.world_size
     d = seeded_order(df, key, params.seed, F.lit(epoch), out="__p", total="__n")
     pad = (F.lit(w) - F.col("__n") % F.lit(w)) % F.lit(w)
-    extra = d.filter(F.col("__p") < pad).withColumn("__p", F.col("__p") + F.col("__n"))
-    both = d.unionByName(extra)
+    # the first `pad` rows appear a second time at position p + n; a generator, so the
+    # input is computed once (no self-union)
+    both = d.withColumn("__p", F.explode(F.when(F.col("__p") < pad, F.array("__p", F.col("__p") + F.col("__n")))
+                                         .otherwise(F.array("__p"))))
     return both.withColumn("rank", (F.col("__p") % w).cast("int")).withColumn(
         "position", F.expr(f"__p div {w}")).drop("__p", "__n")
 

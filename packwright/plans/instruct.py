@@ -160,7 +160,10 @@ SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SE
 
 
 def combined(spark, sf_dir):
-    d = A.sft_with_duplicates(spark, sf_dir)
+    from packwright.session import cut_lineage
+
+    # the four sources are slices of one frame: build it once, cut lineage
+    d = cut_lineage(A.sft_with_duplicates(spark, sf_dir))
     first = F.col("idx") < F.lit(10_000_000_000)
     a = d.filter((F.col("conv_id") % 4 == 0) & first).drop("history")
     b = d.filter((F.col("conv_id") % 4 == 1) & first)

@@ -208,9 +208,9 @@ def sft_with_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SFT rows plus a second copy of every conversation with conv_id % 5 = 0; the
     copy comes later in input order (``idx``)."""
     s = sft(spark, sf_dir)
-    a = s.withColumn("idx", F.col("conv_id") * 1000 + F.col("turn"))
-    b = s.filter(F.col("conv_id") % 5 == 0).withColumn("idx", F.lit(10_000_000_000) + F.col("conv_id") * 1000 + F.col("turn"))
-    return a.unionByName(b)
+    base = F.col("conv_id") * 1000 + F.col("turn")
+    copies = F.when(F.col("conv_id") % 5 == 0, F.array(base, F.lit(10_000_000_000) + base)).otherwise(F.array(base))
+    return s.withColumn("idx", F.explode(copies))  # one pass over the SFT rows, no self-union
 
 
 SFT_DUP_SQL = (

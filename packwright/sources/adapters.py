@@ -18,8 +18,26 @@ SFT_INPUT_SUFFIX = "Reply in the same language."
 SCREENSHOT_TITLE = "截图"
 
 
+# Row key of every shared table (the column the tables are spread by when needed).
+TABLE_KEYS = {"documents": "doc_id", "conversations": "conv_id", "embeddings": "vec_id", "benchmark": "item_id",
+              "labels": "doc_id", "pages": "page_id", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), TABLE_KEYS.get(name))
+
+
+def spread(df: DataFrame, key: str | None) -> DataFrame:
+    """Inputs stored in fewer files than the cluster has task slots (e.g. one large
+    file with one row group) would be read, tokenized and cleaned by a handful of
+    tasks; such inputs are hash-partitioned by their row key first. Inputs with enough
+    files are left alone, so at scale this adds nothing. Hashing by the key keeps rows
+    of one key together, so later windows and aggregations by that key reuse it."""
+    spark = df.sparkSession
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if key is None or len(df.inputFiles()) >= slots:
+        return df
+    return df.repartition(slots, key)
 
 
 def split_col(key: str = "doc_id"):

@@ -41,9 +41,7 @@ def rank_shards(df: DataFrame, key: str, params: Params = DEFAULT, epoch: int =
         "position", F.expr(f"__p div {w}")).drop("__p", "__n")
 
 
-def sequential_index(df: DataFrame, order_cols: list[str], bucket_key: str, out: str = "idx") -> DataFrame:
-    """Exact position in key order; ``bucket_key`` is the integer leading order column."""
-    return global_index(df, order_cols, key_bucket(df, bucket_key), out=out)
+from packwright.operators.ordering import sequential_index  # noqa: E402,F401  (re-export)
 
 
 def fixed_batches(df: DataFrame, idx: str, batch_size: int) -> DataFrame:

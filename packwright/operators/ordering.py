@@ -29,6 +29,16 @@ def hash_bucket(hex_col: str) -> Column:
     return F.conv(F.substring(F.col(hex_col), 1, HASH_PREFIX_HEX), 16, 10).cast("int")
 
 
+def sequential_index(df: DataFrame, order_cols: list[str], bucket_key: str, out: str = "idx") -> DataFrame:
+    """Exact position in key order; ``bucket_key`` is the integer leading order column.
+    The input is checkpointed once and then read for the key range, the bucket counts
+    and the numbering."""
+    from packwright.session import cut_lineage
+
+    d = cut_lineage(df)
+    return global_index(d, order_cols, key_bucket(d, bucket_key), out=out, materialize=False)
+
+
 def key_bucket(df: DataFrame, key: str, max_buckets: int = MAX_BUCKETS) -> Column:
     """Range bucket of an integer key, width chosen from min/max so that there are at
     most ``max_buckets`` buckets (two numbers come back to the driver)."""
@@ -40,11 +50,20 @@ def key_bucket(df: DataFrame, key: str, max_buckets: int = MAX_BUCKETS) -> Colum
 
 
 def global_index(df: DataFrame, order_cols: list[str], bucket: Column, out: str = "idx",
-                 total: str | None = None, partition_cols: list[str] | None = None) -> DataFrame:
+                 total: str | None = None, partition_cols: list[str] | None = None,
+                 materialize: bool = True) -> DataFrame:
     """0-based position of every row in the order (bucket, *order_cols), restarted
-    for every value of ``partition_cols``."""
+    for every value of ``partition_cols``.
+
+    The input is read twice (bucket counts, then numbering); with ``materialize`` it is
+    first checkpointed to the shared checkpoint folder, so an expensive upstream plan
+    runs once."""
     parts = list(partition_cols or [])
     d = df.withColumn("__b", bucket)
+    if materialize:
+        from packwright.session import cut_lineage
+
+        d = cut_lineage(d)
     counts = d.groupBy(*parts, "__b").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(

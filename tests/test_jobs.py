@@ -74,3 +74,27 @@ def test_cli_entry(spark, tmp_path):
     jobs.main(["--task", "pretrain", "--dataset", "pile", "--train_dir", tr, "--valid_dir", va,
                "--output_path", out, "--max_length", "8", "--vocab_size", "64"])
     assert spark.read.parquet(out).filter(F.size("input_ids") != 8).count() == 0
+
+
+def test_pretrain_job_nested_encyclopedia_json_and_code_filter(spark, tmp_path):
+    rows = [{"title": f"T{i}", "summary": None if i % 2 else f"summary number {i} long enough",
+             "sections": [{"title": "S", "content": f" body {i} " * 10}, {"title": "截图", "content": "x"}],
+             "tags": [], "url": f"u{i}"} for i in range(50)]
+    for name in ("train", "valid"):
+        d = tmp_path / name
+        d.mkdir()
+        (d / "part.json").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows))
+    out = str(tmp_path / "out")
+    jobs.pretrain(spark, "baidubaike", str(tmp_path / "train"), str(tmp_path / "valid"), out,
+                  Params(max_length=32, vocab_size=200))
+    res = spark.read.parquet(out)
+    assert res.count() > 0 and res.filter(F.size("input_ids") != 32).count() == 0
+
+    code = tmp_path / "code"
+    spark.createDataFrame([(f"print({i})", "r", "p", "Python" if i % 3 else "Go", "mit", 10) for i in range(90)],
+                          jobs.SCHEMAS["code"]).write.parquet(str(code / "train"))
+    spark.createDataFrame([(f"print({i})", "r", "p", "Python", "mit", 10) for i in range(9)],
+                          jobs.SCHEMAS["code"]).write.parquet(str(code / "valid"))
+    raw = jobs.read_pretraining(spark, "code", str(code / "train"), str(code / "valid"))
+    kept = jobs.corpus_text(raw, "code", Params(code_language="Python"))
+    assert kept.filter("split = 'train'").count() == 60

@@ -1,22 +1,12 @@
 """Exact global row numbers, seeded orders and exact-size splits without a
-single-partition window.
-
-``global_index`` numbers rows in a total order that is first split into buckets
-by a monotone bucket function (hash prefix for seeded orders, key range for key
-orders). Per-bucket counts form a table of at most ``max_buckets`` rows, so it is
-safe to broadcast; the row numbers inside a bucket come from a window partitioned by
-bucket, so the work is spread over as many tasks as there are buckets.
-"""
+single-partition window: a balanced range sort, a checkpoint, per-partition counts
+(one small row per partition) and in-partition row numbers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_PREFIX_HEX = 4                      # 16**4 = 65,536 buckets for hash orders
-MAX_BUCKETS = 16 ** HASH_PREFIX_HEX
-
-
 def seeded_hash(seed, *parts) -> Column:
     """md5 hex of ``seed:part1:part2...`` -- the same value DuckDB's md5 gives."""
     cols = [F.lit(str(seed))]
@@ -25,61 +15,47 @@ def seeded_hash(seed, *parts) -> Column:
     return F.md5(F.concat(*cols))
 
 
-def hash_bucket(hex_col: str) -> Column:
-    return F.conv(F.substring(F.col(hex_col), 1, HASH_PREFIX_HEX), 16, 10).cast("int")
-
-
-def sequential_index(df: DataFrame, order_cols: list[str], bucket_key: str, out: str = "idx") -> DataFrame:
-    """Exact position in key order; ``bucket_key`` is the integer leading order column.
-    The input is checkpointed once and then read for the key range, the bucket counts
-    and the numbering."""
+def global_index(df: DataFrame, order_cols: list[str], out: str = "idx", total: str | None = None,
+                 partition_cols: list[str] | None = None) -> DataFrame:
+    """0-based position of every row in ``order_cols`` order (restarted for every value
+    of ``partition_cols``), exact, with no single-partition window over the data.
+
+    1. a range-partitioned sort on the full order (Spark samples the keys, so the
+       partitions are balanced however the keys cluster);
+    2. a reliable checkpoint to the shared folder fixes partitions and row order;
+    3. rows per sorted partition (at most one row per partition and partition value);
+    4. position = rows before this partition + row number inside it, read from
+       ``monotonically_increasing_id`` (partition index in the high bits).
+    The order must be total (end it with a unique column)."""
     from packwright.session import cut_lineage
 
-    d = cut_lineage(df)
-    return global_index(d, order_cols, key_bucket(d, bucket_key), out=out, materialize=False)
-
-
-def key_bucket(df: DataFrame, key: str, max_buckets: int = MAX_BUCKETS) -> Column:
-    """Range bucket of an integer key, width chosen from min/max so that there are at
-    most ``max_buckets`` buckets (two numbers come back to the driver)."""
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    lo = lo or 0
-    hi = hi if hi is not None else 0
-    width = max(1, -(-(hi - lo + 1) // max_buckets))
-    return F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("bigint")
-
-
-def global_index(df: DataFrame, order_cols: list[str], bucket: Column, out: str = "idx",
-                 total: str | None = None, partition_cols: list[str] | None = None,
-                 materialize: bool = True) -> DataFrame:
-    """0-based position of every row in the order (bucket, *order_cols), restarted
-    for every value of ``partition_cols``.
-
-    The input is read twice (bucket counts, then numbering); with ``materialize`` it is
-    first checkpointed to the shared checkpoint folder, so an expensive upstream plan
-    runs once."""
     parts = list(partition_cols or [])
-    d = df.withColumn("__b", bucket)
-    if materialize:
-        from packwright.session import cut_lineage
-
-        d = cut_lineage(d)
-    counts = d.groupBy(*parts, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(
-        *parts,
-        "__b",
-        F.coalesce(F.sum("__c").over(before), F.lit(0)).cast("bigint").alias("__off"),
-        F.sum("__c").over(Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(1))).cast("bigint").alias("__n"),
-    )
-    j = d.join(F.broadcast(offs), [*parts, "__b"])  # partitions x buckets rows, buckets <= MAX_BUCKETS
-    w = Window.partitionBy(*parts, "__b").orderBy(*order_cols)
-    j = j.withColumn(out, (F.col("__off") + F.row_number().over(w) - F.lit(1)).cast("bigint"))
-    if total:
-        j = j.withColumnRenamed("__n", total)
+    s = cut_lineage(df.orderBy(*parts, *order_cols))
+    s = s.withColumn("__m", F.monotonically_increasing_id())
+    s = s.withColumn("__pid", F.shiftright("__m", 33)).withColumn("__local", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
+    # rows before each sorted partition (one row per partition)
+    per_pid = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
+    pid_off = per_pid.select("__pid", F.coalesce(F.sum("__c").over(
+        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint").alias("__off"),
+        F.sum("__c").over(Window.partitionBy(F.lit(1))).cast("bigint").alias("__all"))
+    j = s.join(F.broadcast(pid_off), "__pid").withColumn("__g", F.col("__off") + F.col("__local"))
+    if parts:
+        # rows before each partition value and its size (one row per value)
+        per_part = s.groupBy(*parts).agg(F.count(F.lit(1)).alias("__size"))
+        w = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+        part_off = per_part.select(*parts, "__size", F.coalesce(F.sum("__size").over(w), F.lit(0)).cast("bigint").alias("__start"))
+        j = j.join(F.broadcast(part_off), parts)
     else:
-        j = j.drop("__n")
-    return j.drop("__b", "__off")
+        j = j.withColumn("__start", F.lit(0).cast("bigint")).withColumn("__size", F.col("__all"))
+    j = j.withColumn(out, (F.col("__g") - F.col("__start")).cast("bigint"))
+    if total:
+        j = j.withColumn(total, F.col("__size").cast("bigint"))
+    return j.drop("__m", "__pid", "__local", "__off", "__all", "__g", "__start", "__size")
+
+
+def sequential_index(df: DataFrame, order_cols: list[str], out: str = "idx") -> DataFrame:
+    """Exact position in key order (``order_cols`` must end with a unique column)."""
+    return global_index(df, order_cols, out=out)
 
 
 def seeded_order(df: DataFrame, key: str, seed, *salt, out: str = "idx", total: str | None = None,
@@ -88,8 +64,7 @@ def seeded_order(df: DataFrame, key: str, seed, *salt, out: str = "idx", total:
     literal value or a Column (e.g. the epoch)."""
     salts = [s if isinstance(s, Column) else F.lit(s) for s in salt]
     d = df.withColumn("__h", seeded_hash(seed, *salts, key))
-    return global_index(d, ["__h", key], hash_bucket("__h"), out=out, total=total,
-                        partition_cols=partition_cols).drop("__h")
+    return global_index(d, ["__h", key], out=out, total=total, partition_cols=partition_cols).drop("__h")
 
 
 def exact_split(df: DataFrame, key: str, fraction: float, seed, out: str = "split",

@@ -92,7 +92,7 @@ def collate_batches(spark, sf_dir):
 @q("fixed_batches", f"""SELECT (i // {B})::BIGINT AS batch, count(*)::BIGINT AS n_rows, min(idx) AS first_key, max(idx) AS last_key
 FROM (SELECT idx, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM {SFT_ROWS_SQL}) GROUP BY ALL""")
 def fixed_batches(spark, sf_dir):
-    s = LD.sequential_index(_sft_rows(spark, sf_dir), KEY, "conv_id", out="i")
+    s = LD.sequential_index(_sft_rows(spark, sf_dir), KEY, out="i")
     b = LD.fixed_batches(s, "i", B)
     return b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"), F.min("idx").alias("first_key"),
                                   F.max("idx").alias("last_key"))
@@ -109,7 +109,7 @@ SELECT (i // {PB})::BIGINT AS batch, (2 * count(*))::INTEGER AS n_rows,
 FROM r GROUP BY ALL""")
 def stack_preference(spark, sf_dir):
     d = X.dpo_examples(A.preference(spark, sf_dir), KEY, vocab(spark, sf_dir), P)
-    s = LD.sequential_index(d, KEY, "conv_id", out="i")
+    s = LD.sequential_index(d, KEY, out="i")
     b = LD.fixed_batches(s, "i", PB)
     c = LD.collate(b, ["batch"], "i", ["chosen_ids", "rejected_ids"])
     st = LD.stack_preference(c, "chosen_ids", "rejected_ids", "input_ids")

@@ -145,7 +145,7 @@ def perplexity(spark, sf_dir):
     """exp of the mean per-batch mean loss (how the reference reports it), plus the
     token-weighted value, over every validation batch."""
     p = packed(spark, sf_dir).filter(F.col("split") == "validation")
-    p = sequential_index(p, ["pack_group", "source", "chunk"], "pack_group", out="i")
+    p = sequential_index(p, ["pack_group", "source", "chunk"], out="i")
     p = fixed_batches(p, "i", P.batch_size)
     t = p.select("batch", F.posexplode("input_ids").alias("pos", "id")).filter(F.col("pos") >= 1)
     t = t.join(F.broadcast(_logp(spark, sf_dir)), "id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from packwright.operators import examples as X
 from packwright.operators import instruct as I
-from packwright.operators.ordering import exact_split, global_index, key_bucket, seeded_order
+from packwright.operators.ordering import exact_split, global_index, seeded_order, sequential_index
 from packwright.operators.packing import pack_ids, pack_text, running_offsets
 from packwright.operators.tokens import build_vocab, encode, encode_with_arrow
 from packwright.params import Params
@@ -73,10 +73,24 @@ def test_exact_split_and_global_index(spark):
     assert s.filter("split = 'test'").count() == 100
     idx = [r.idx for r in seeded_order(df, "k", 42).collect()]
     assert sorted(idx) == list(range(1000))
-    g = global_index(df, ["k"], key_bucket(df, "k", max_buckets=13))
+    g = global_index(df, ["k"])
     assert all(r.idx == r.k - 1 for r in g.collect())
 
 
+def test_global_index_with_clustered_keys_and_partitions(spark):
+    # a third of the keys sit in a narrow range; positions stay exact per partition value
+    keys = [(e, k) for e in range(3) for k in list(range(300)) + [10_000_000 + i for i in range(150)]]
+    df = spark.createDataFrame(keys, "e int, k long").repartition(7)
+    g = global_index(df, ["k"], partition_cols=["e"], total="n")
+    rows = g.collect()
+    for e in range(3):
+        got = sorted((r.idx, r.k) for r in rows if r.e == e)
+        assert [i for i, _ in got] == list(range(450)) and [k for _, k in got] == sorted(k for ee, k in keys if ee == e)
+        assert all(r.n == 450 for r in rows if r.e == e)
+    s = sequential_index(df.filter("e = 0"), ["k"], out="i")
+    assert sorted(r.i for r in s.collect()) == list(range(450))
+
+
 def test_dedup_keeps_first_and_compat_key_collides(spark):
     rows = [(1, "ab", "c", []), (2, "a", "bc", []), (3, "ab", "c", []), (4, "q", "", [["h", "i"]])]
     df = spark.createDataFrame(rows, "idx int, instruction string, input string, history array<array<string>>")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packwright.operators.ordering import global_index, seeded_order
+from packwright.operators.ordering import seeded_order
 from packwright.params import DEFAULT, Params
 
 

@@ -10,7 +10,6 @@ from packwright.functions import arrays as AR
 from packwright.functions.text import prompt_text, template_replace
 from packwright.operators import examples as X
 from packwright.operators import instruct as I
-from packwright.operators.tokens import decode_tokens, lookup_ids, pretokens
 from packwright.params import BOS_ID, BOS_TOKEN, EOS_TOKEN, ROLE_ASSISTANT, ROLE_USER
 from packwright.plans.common import EOS, EOS_LIT, L, P, ids_str, tokens_sql, vocab, vocab_sql
 from packwright.sources import adapters as A

@@ -4,7 +4,6 @@ come from ``embeddings``; candidates and history from token counts and ``benchma
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from packwright import sql as S

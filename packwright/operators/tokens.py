@@ -46,18 +46,27 @@ def build_vocab(df: DataFrame, text_col: str = "text", params: Params = DEFAULT)
     """Corpus vocabulary: token counts (map-side combined), the ``vocab_size - 3`` most
     frequent tokens ranked by (count desc, token asc) get ids 3.., specials get 0..2.
 
-    ``orderBy(...).limit(k)`` plans as a per-partition top-k then a merge of at most
-    ``k`` rows per partition, so no task ever holds more than ``k`` rows; the final
-    numbering window runs over those ``k`` rows only."""
+    The counts table (one row per distinct token) is written once to the shared
+    checkpoint folder. A histogram of count values (one row per distinct count) gives
+    the k-th largest count c*; only tokens with count >= c* enter the final top-k, so
+    its single merge task receives about k rows instead of k rows per partition. The
+    numbering window runs over those k rows only."""
+    from packwright.session import cut_lineage
+
     specials = F.array(*[F.lit(t) for t in SPECIAL_TOKENS])
-    counts = (
+    counts = cut_lineage(
         df.select(F.explode(pretokens(text_col)).alias("token"))
         .filter(~F.array_contains(specials, F.col("token")))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
     k = params.vocab_size - len(SPECIAL_IDS)
-    top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(k)
+    hist = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("m"))
+    running = hist.withColumn("at_least", F.sum("m").over(
+        Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, 0)))
+    cut = running.filter(F.col("at_least") >= k).agg(F.max("cnt")).first()[0]  # one number
+    cand = counts if cut is None else counts.filter(F.col("cnt") >= cut)
+    top = cand.orderBy(F.desc("cnt"), F.asc("token")).limit(k)
     ranked = top.select(
         "token",
         (F.row_number().over(Window.orderBy(F.desc("cnt"), F.asc("token"))) + F.lit(len(SPECIAL_IDS) - 1))

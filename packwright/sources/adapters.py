@@ -28,16 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str | None) -> DataFrame:
-    """Inputs stored in fewer files than the cluster has task slots (e.g. one large
-    file with one row group) would be read, tokenized and cleaned by a handful of
-    tasks; such inputs are hash-partitioned by their row key first. Inputs with enough
-    files are left alone, so at scale this adds nothing. Hashing by the key keeps rows
-    of one key together, so later windows and aggregations by that key reuse it."""
+    """A scan planned as fewer splits than the cluster has task slots (a small table,
+    or one file with one row group) would be read, tokenized and cleaned by a handful
+    of tasks; such a table is small relative to the cluster, so it is hash-partitioned
+    by its row key first (cheap). Scans with at least as many splits as slots are left
+    alone, so large inputs are never reshuffled here. Hashing by the key keeps rows of
+    one key together, so later windows and aggregations by that key reuse it."""
     spark = df.sparkSession
-    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if key is None or len(df.inputFiles()) >= slots:
+    slots = spark.sparkContext.defaultParallelism
+    if key is None or df.rdd.getNumPartitions() >= slots:
         return df
-    return df.repartition(slots, key)
+    return df.repartition(max(slots, 2 * df.rdd.getNumPartitions()), key)
 
 
 def split_col(key: str = "doc_id"):

@@ -41,6 +41,23 @@ def packed(spark: SparkSession, sf_dir: str, corpus: str = "plain") -> DataFrame
     return pack_text(docs, "text", GROUP, "doc_id", vocab(spark, sf_dir), P)
 
 
+_PACKED: dict = {}
+
+
+def saved_packed(spark: SparkSession, sf_dir: str, corpus: str = "plain") -> DataFrame:
+    """The packed corpus as a saved table (pre-tokenize once, load for training, as the
+    reference does): packed once per session and input folder, written under the shared
+    checkpoint folder, then read. Loading-side queries start from it."""
+    key = (spark.sparkContext.applicationId, sf_dir, corpus, P.max_length)
+    path = _PACKED.get(key)
+    if path is None:
+        from packwright.sources.readers import new_location, write_splits
+
+        path = write_splits(packed(spark, sf_dir, corpus), new_location(spark, f"packed-{corpus}"))
+        _PACKED[key] = path
+    return spark.read.parquet(path)
+
+
 def packed_sql_cte(corpus: str = "plain", group_expr: str = f"doc_id // {P.group_rows}") -> str:
     """DuckDB: token-level packed rows m(split, source, pack_group, chunk, g, id, seg)."""
     if corpus == "wikipedia":
@@ -100,7 +117,7 @@ def token_budget(spark, sf_dir):
 SELECT split, source, pack_group, chunk, sum(c * (c + 1) // 2)::BIGINT AS pairs, max(seg)::INTEGER AS n_segments
 FROM (SELECT split, source, pack_group, chunk, seg, count(*) AS c FROM m GROUP BY ALL) GROUP BY ALL""")
 def attention_pairs_q(spark, sf_dir):
-    p = packed(spark, sf_dir)
+    p = saved_packed(spark, sf_dir)
     return p.select(*GROUP, "chunk", attention_pairs("attention_mask").alias("pairs"),
                     F.array_max("attention_mask").alias("n_segments"))
 
@@ -173,7 +190,7 @@ def _decoded_rows(spark, sf_dir):
     each row (no join, no shuffle); the broadcast-join form is the fallback."""
     from packwright.operators.tokens import decode_ids, vocab_literal
 
-    p = packed(spark, sf_dir)
+    p = saved_packed(spark, sf_dir)
     v = vocab(spark, sf_dir)
     table = vocab_literal(v, P)
     if table is not None:

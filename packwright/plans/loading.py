@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packwright.operators import examples as X
 from packwright.operators import loading as LD
 from packwright.plans.common import L, P, ids_str, vocab
-from packwright.plans.corpus import GROUP, packed, packed_sql_cte
+from packwright.plans.corpus import GROUP, packed_sql_cte, saved_packed
 from packwright.plans.instruct import KEY, dpo_encoded_sql, pad_sql, s_, sft_encoded_sql
 from packwright.sources import adapters as A
 
@@ -36,7 +36,7 @@ SELECT split, source, pack_group, chunk, md5(array_to_string(list(id ORDER BY g)
 @q("corpus_union", f"""SELECT 'plain' AS corpus, * FROM {_packed_rows_sql('plain')}
 UNION ALL SELECT 'wikipedia' AS corpus, * FROM {_packed_rows_sql('wikipedia')}""")
 def corpus_union(spark, sf_dir):
-    frames = {c: packed(spark, sf_dir, c).select(*GROUP, "chunk", F.md5(ids_str("input_ids")).alias("ids_md5"))
+    frames = {c: saved_packed(spark, sf_dir, c).select(*GROUP, "chunk", F.md5(ids_str("input_ids")).alias("ids_md5"))
               for c in ("plain", "wikipedia")}
     u = LD.union_corpora(frames)
     return u.select("corpus", *GROUP, "chunk", "ids_md5")
@@ -49,7 +49,7 @@ ROWKEY_SQL = "source || ':' || CAST(pack_group AS VARCHAR) || ':' || CAST(chunk
   (row_number() OVER (PARTITION BY epoch ORDER BY md5('{P.seed}:' || CAST(epoch AS VARCHAR) || ':' || rk), rk) - 1)::BIGINT AS position
 FROM (SELECT *, unnest(range(0, {P.epochs})) AS epoch FROM (SELECT *, {ROWKEY_SQL} AS rk FROM {_packed_rows_sql('plain')} WHERE split = 'train'))""")
 def epoch_shuffle(spark, sf_dir):
-    p = packed(spark, sf_dir).filter(F.col("split") == "train")
+    p = saved_packed(spark, sf_dir).filter(F.col("split") == "train")
     p = p.withColumn("rk", F.concat_ws(":", "source", F.col("pack_group").cast("string"), F.col("chunk").cast("string")))
     o = LD.epoch_order(p.select("source", "pack_group", "chunk", "rk"), "rk", P)
     return o.select("source", "pack_group", "chunk", "epoch", "position")

@@ -14,7 +14,7 @@ from packwright.operators.loading import fixed_batches, sequential_index
 from packwright.operators.tokens import encode, pretokens
 from packwright.params import EOS_TOKEN, SPECIAL_TOKENS
 from packwright.plans.common import EOS, L, P, ids_str, tokens_sql, vocab, vocab_sql
-from packwright.plans.corpus import CONV_TEXT_SQL, packed, packed_sql_cte
+from packwright.plans.corpus import CONV_TEXT_SQL, packed_sql_cte, saved_packed
 from packwright.plans.instruct import KEY, dpo_encoded_sql, sft_encoded_sql
 from packwright.sources import adapters as A
 
@@ -143,7 +143,7 @@ SELECT count(*)::BIGINT AS n_batches, sum(n)::BIGINT AS n_tokens, round(exp(avg(
 def perplexity(spark, sf_dir):
     """exp of the mean per-batch mean loss (how the reference reports it), plus the
     token-weighted value, over every validation batch."""
-    p = packed(spark, sf_dir).filter(F.col("split") == "validation")
+    p = saved_packed(spark, sf_dir).filter(F.col("split") == "validation")  # partition pruning
     p = sequential_index(p, ["pack_group", "source", "chunk"], out="i")
     p = fixed_batches(p, "i", P.batch_size)
     t = p.select("batch", F.posexplode("input_ids").alias("pos", "id")).filter(F.col("pos") >= 1)

@@ -27,10 +27,22 @@ from packwright.params import DEFAULT, Params
 CHUNK = "chunk"
 
 
+def key_div(col: str, n: int) -> Column:
+    """Exact integer division of a named 64-bit key column (SQL ``div``; no double
+    round trip, so keys beyond 2**53 stay exact)."""
+    return F.expr(f"`{col}` div {int(n)}")
+
+
+def pos_div(x: Column, n: int) -> Column:
+    """Floor division of a token position; positions stay far below 2**53, where the
+    double division is exact."""
+    return F.floor(x / F.lit(n)).cast("bigint")
+
+
 def with_pack_group(df: DataFrame, order_col: str, params: Params = DEFAULT, name: str = "pack_group") -> DataFrame:
     """Packing batch number: ``order_key div group_rows`` (1000 consecutive keys by
     default, like the reference's 1000-row map batches). Independent of worker count."""
-    return df.withColumn(name, F.floor(F.col(order_col) / F.lit(params.group_rows)).cast("bigint"))
+    return df.withColumn(name, key_div(order_col, params.group_rows))
 
 
 def running_offsets(df: DataFrame, group_cols: list[str], order_col: str, n_col: str,
@@ -47,7 +59,7 @@ def running_offsets(df: DataFrame, group_cols: list[str], order_col: str, n_col:
         return df.withColumn(out, (F.sum(n_col).over(w) - F.col(n_col)).cast("bigint"))
     bucket_width = auto_bucket_width(df, order_col, bucket_width)
     b = "__bucket"
-    d = df.withColumn(b, F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint"))
+    d = df.withColumn(b, key_div(order_col, bucket_width))
     sums = d.groupBy(*group_cols, b).agg(F.sum(n_col).alias("__bn"))
     wb = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, 0)
     offs = sums.select(*group_cols, b, (F.sum("__bn").over(wb) - F.col("__bn")).alias("__boff"))
@@ -97,7 +109,7 @@ def pack_text(df: DataFrame, text_col: str, group_cols: list[str], order_col: st
         d = running_offsets(d, group_cols, order_col, "__n", bucket_width, out="__start")
     t = d.select(*group_cols, "__start", F.posexplode("__toks").alias("__pos", "__tok"))
     t = t.withColumn("__g", F.col("__start") + F.col("__pos")).withColumn(
-        CHUNK, F.floor(F.col("__g") / F.lit(L)).cast("bigint")
+        CHUNK, pos_div(F.col("__g"), L)
     )
     t = lookup_ids(t, vocab, params, token="__tok")
     rows = t.groupBy(*group_cols, CHUNK).agg(
@@ -109,8 +121,8 @@ def pack_text(df: DataFrame, text_col: str, group_cols: list[str], order_col: st
 def chunk_slices(ids: str, start: str, L: int) -> Column:
     """Per document: (chunk, first global position, slice) for every chunk it touches."""
     n = F.size(ids)
-    first = F.floor(F.col(start) / F.lit(L))
-    last = F.floor((F.col(start) + n - F.lit(1)) / F.lit(L))
+    first = pos_div(F.col(start), L)
+    last = pos_div(F.col(start) + n - F.lit(1), L)
 
     def one(c: Column) -> Column:
         lo = F.greatest(c * L - F.col(start), F.lit(0))

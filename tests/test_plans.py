@@ -51,3 +51,32 @@ def test_dedup_reduces_before_the_shuffle(spark):
     assert "partial_min" in p
     kept = {r.idx for r in out.collect()}
     assert 0 in kept and 3 not in kept and len(kept) == 201
+
+
+def test_hot_source_spreads_over_bounded_pack_groups(spark):
+    from packwright.operators.packing import pack_ids, with_pack_group
+
+    # source "hot" holds a third of the rows
+    rows = [(k, "hot" if k % 3 == 0 else f"s{k % 7}", [k % 50 + 3] * (k % 5 + 1) + [2]) for k in range(30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, ids array<int>")
+    g = with_pack_group(df, "doc_id", Params(group_rows=1000))
+    sizes = g.groupBy("source", "pack_group").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 1000
+    hot_groups = sizes.filter("source = 'hot'").count()
+    assert hot_groups >= 10
+    # the hot source's groups land on many hash partitions of the packing exchange
+    n = 16
+    parts = g.filter("source = 'hot'").select(F.pmod(F.hash("source", "pack_group"), F.lit(n)).alias("p")).distinct().count()
+    assert parts >= 8
+    # and packing per group equals the per-group loop
+    out = pack_ids(g, "ids", ["source", "pack_group"], "doc_id", Params(max_length=8))
+    got = {(r.source, r.pack_group, r.chunk): r.input_ids for r in out.collect()}
+    want = {}
+    by = {}
+    for k, s, ids in rows:
+        by.setdefault((s, k // 1000), []).append((k, ids))
+    for (s, grp), docs in by.items():
+        flat = [t for _, ids in sorted(docs) for t in ids]
+        for c in range(len(flat) // 8):
+            want[(s, grp, c)] = flat[c * 8:(c + 1) * 8]
+    assert got == want

@@ -111,3 +111,19 @@ def test_clean_text_random_equivalence(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, t string")
     got = {r["i"]: r["r"] for r in df.select("i", T.clean_text("t").alias("r")).collect()}
     assert all(got[i] == _py_clean(s) for i, s in enumerate(samples))
+
+
+def test_chat_template_two_rows_like_the_reference_check(spark):
+    from packwright.operators.examples import chat_blocks, system_block
+    from packwright.params import DEFAULT
+
+    rows = [("q1", "", "a1", [["u1", "r1"], ["u2", "r2"]]), ("q2", "", "a2", [])]
+    df = spark.createDataFrame(rows, "instruction string, input string, output string, history array<array<string>>")
+    got = [r.b for r in df.select(chat_blocks(DEFAULT).alias("b")).collect()]
+    sys_ = system_block(DEFAULT)
+    user = lambda t: f"\n<|startoftext|>user\n{t}<|endoftext|>\n<|startoftext|>assistant\n"
+    first = [(b.text, b.trained) for b in got[0]]
+    assert first == [(sys_ + user("u1"), False), ("r1<|endoftext|>", True), (user("u2"), False),
+                     ("r2<|endoftext|>", True), (user("q1"), False), ("a1", True)]
+    second = [(b.text, b.trained) for b in got[1]]
+    assert second == [(sys_ + user("q2"), False), ("a2", True)]

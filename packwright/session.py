@@ -21,6 +21,8 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "pack
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        # checkpoints whose DataFrames are gone are removed from the shared folder
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -39,6 +39,17 @@ def norm(v):
     return repr(v) if v is not None else "NULL"
 
 
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT"}
+
+
+def type_diff(df, rel):
+    """Columns whose Spark type differs from the DuckDB result type."""
+    st = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    dt = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (st[c], dt.get(c)) for c in st if st[c] != dt.get(c)}
+
+
 def digest(rows, cols):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted("|".join(norm(r[i]) for i in order) for r in rows)
@@ -84,6 +95,9 @@ def main():
             print(f"FAIL {name}: columns spark={cols} duck={dcols}")
             bad += 1
             continue
+        td_ = type_diff(df, rel)
+        if td_:
+            print(f"TYPES {name}: {td_}")
         h1, l1 = digest(rows, cols)
         h2, l2 = digest(drows, dcols)
         if h1 == h2:

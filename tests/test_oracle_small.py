@@ -4,7 +4,7 @@ remaining (streaming) queries run and return rows."""
 import pytest
 
 import __spark_entry__ as E
-from tests.check_oracle import digest, duck
+from tests.check_oracle import digest, duck, type_diff
 
 SF = "/root/testdata/sf0.001"
 QUERIES = E.queries()
@@ -26,6 +26,7 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.sql(ORACLES[name])
     drows, dcols = rel.fetchall(), rel.columns
     assert sorted(df.columns) == sorted(dcols)
+    assert type_diff(df, rel) == {}
     assert digest(rows, df.columns)[0] == digest(drows, dcols)[0]
 
 

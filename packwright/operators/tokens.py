@@ -137,17 +137,17 @@ def encode_with_arrow(df: DataFrame, text_col: str, vocab: DataFrame, params: Pa
 
 def encode_with_sentencepiece(df: DataFrame, text_col: str, model_path: str, specials: dict[str, int] | None = None,
                               out: str = "ids") -> DataFrame:
-    """External-model provider: a SentencePiece model file is shipped once with
-    ``addFile`` and loaded once per Python worker; special tokens are split out first
-    and kept as single ids (special tokens are never added automatically)."""
-    import os
+    """External-model provider: the SentencePiece model file (one small file, read
+    through Spark's ``binaryFile`` source so any filesystem works) travels as a
+    broadcast variable and is loaded once per Python worker; special tokens are split
+    out first and kept as single ids (special tokens are never added automatically)."""
     import re
 
-    from pyspark import SparkFiles
     from pyspark.sql.functions import pandas_udf
 
-    df.sparkSession.sparkContext.addFile(model_path)
-    name = os.path.basename(model_path)
+    spark = df.sparkSession
+    blob = spark.read.format("binaryFile").load(model_path).select("content").first()["content"]  # one file
+    model = spark.sparkContext.broadcast(bytes(blob))
     specials = dict(specials or {})
     split_rx = re.compile("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
 
@@ -155,7 +155,7 @@ def encode_with_sentencepiece(df: DataFrame, text_col: str, model_path: str, spe
     def _enc(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":
         import sentencepiece as spm
 
-        sp = spm.SentencePieceProcessor(model_file=SparkFiles.get(name))
+        sp = spm.SentencePieceProcessor(model_proto=model.value)
         for texts in batches:
             rows = []
             for t in texts:

@@ -98,3 +98,29 @@ def test_pretrain_job_nested_encyclopedia_json_and_code_filter(spark, tmp_path):
     raw = jobs.read_pretraining(spark, "code", str(code / "train"), str(code / "valid"))
     kept = jobs.corpus_text(raw, "code", Params(code_language="Python"))
     assert kept.filter("split = 'train'").count() == 60
+
+
+def test_pretrain_job_with_sentencepiece_model(spark, tmp_path):
+    import sentencepiece as spm
+
+    lines = [f"doc {i} " + " ".join(f"w{j}" for j in range(i % 7 + 1)) for i in range(300)]
+    corpus = tmp_path / "c.txt"
+    corpus.write_text("\n".join(lines))
+    prefix = str(tmp_path / "m")
+    spm.SentencePieceTrainer.train(input=str(corpus), model_prefix=prefix, vocab_size=40, bos_piece="<|startoftext|>",
+                                   eos_piece="<|endoftext|>", unk_piece="<unk>", pad_id=-1, minloglevel=2)
+    tr, va, out = str(tmp_path / "train"), str(tmp_path / "valid"), str(tmp_path / "out")
+    _write_pile(spark, tr, 300, 2)
+    _write_pile(spark, va, 30, 1)
+    sp = spm.SentencePieceProcessor(model_file=prefix + ".model")
+    p = Params(max_length=16, eos_id=sp.piece_to_id("<|endoftext|>"), bos_id=sp.piece_to_id("<|startoftext|>"))
+    jobs.pretrain(spark, "pile", tr, va, out, p, tokenizer_model=prefix + ".model")
+    res = spark.read.parquet(out)
+    assert res.count() > 0 and res.filter(F.size("input_ids") != 16).count() == 0
+    # every packed row's segment numbers step after the model's eos id
+    eos = p.eos_id
+    for r in res.limit(20).collect():
+        cur = 1
+        for t, m in zip(r.input_ids, r.attention_mask):
+            assert m == cur
+            cur += t == eos

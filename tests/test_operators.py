@@ -172,3 +172,10 @@ def test_literal_decoder_equals_join_decoder(spark):
         F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token", F.lit("<unk>")).alias("t")))),
                     lambda s: s["t"]).alias("t"))
     assert lit == {r.k: r.t for r in j.collect()}
+
+
+def test_literal_decoder_refuses_sparse_ids(spark):
+    from packwright.operators.tokens import vocab_literal
+
+    v = spark.createDataFrame([("<unk>", 0), ("a", 1), ("b", 5)], "token string, id int")
+    assert vocab_literal(v) is None

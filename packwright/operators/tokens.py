@@ -178,6 +178,7 @@ def encode_with_sentencepiece(df: DataFrame, text_col: str, model_path: str, spe
 
 
 MAX_LITERAL_VOCAB = 2_000_000
+_LITERALS: dict = {}
 
 
 def vocab_literal(vocab: DataFrame, params: Params = DEFAULT) -> Column | None:
@@ -189,11 +190,17 @@ def vocab_literal(vocab: DataFrame, params: Params = DEFAULT) -> Column | None:
 
     if params.vocab_size > MAX_LITERAL_VOCAB:
         return None
-    rows = vocab.select("id", "token").collect()  # <= vocab_size rows
-    rows.sort(key=lambda r: r["id"])
-    if [r["id"] for r in rows] != list(range(len(rows))):
-        return None
-    doc = json.dumps([r["token"] for r in rows], ensure_ascii=False)
+    files = tuple(sorted(vocab.inputFiles()))  # a saved vocabulary table is read once
+    key = (vocab.sparkSession.sparkContext.applicationId, files) if files else None
+    doc = _LITERALS.get(key) if key else None
+    if doc is None:
+        rows = vocab.select("id", "token").collect()  # <= vocab_size rows
+        rows.sort(key=lambda r: r["id"])
+        if [r["id"] for r in rows] != list(range(len(rows))):
+            return None
+        doc = json.dumps([r["token"] for r in rows], ensure_ascii=False)
+        if key:
+            _LITERALS[key] = doc
     return F.from_json(F.lit(doc), "array<string>")
 
 

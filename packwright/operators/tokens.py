@@ -112,6 +112,9 @@ def encode(df: DataFrame, text_col: str, key: list[str], vocab: DataFrame, param
     )
 
 
+_BROADCASTS: dict = {}
+
+
 def encode_with_arrow(df: DataFrame, text_col: str, vocab: DataFrame, params: Params = DEFAULT,
                       out: str = "ids") -> DataFrame:
     """Same ids as :func:`encode`, computed per Arrow batch in Python without a
@@ -119,8 +122,15 @@ def encode_with_arrow(df: DataFrame, text_col: str, vocab: DataFrame, params: Pa
     variable. This is the form an external tokenizer plugs into."""
     from pyspark.sql.functions import pandas_udf
 
-    rows = vocab.select("token", "id").collect()  # bounded by params.vocab_size
-    bvocab = df.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in rows})
+    sc = df.sparkSession.sparkContext
+    files = tuple(sorted(vocab.inputFiles()))  # a saved vocabulary table is shipped once
+    key = (sc.applicationId, files) if files else None
+    bvocab = _BROADCASTS.get(key) if key else None
+    if bvocab is None:
+        rows = vocab.select("token", "id").collect()  # bounded by params.vocab_size
+        bvocab = sc.broadcast({r["token"]: r["id"] for r in rows})
+        if key:
+            _BROADCASTS[key] = bvocab
     unk = params.unk_id
     pattern = PRETOKEN_PATTERN
 

@@ -46,7 +46,7 @@ def with_pack_group(df: DataFrame, order_col: str, params: Params = DEFAULT, nam
 
 
 def running_offsets(df: DataFrame, group_cols: list[str], order_col: str, n_col: str,
-                    bucket_width: int | None = None, out: str = "start") -> DataFrame:
+                    bucket_width: int | None = None, out: str = "start", keep_bucket: str | None = None) -> DataFrame:
     """Exclusive running sum of ``n_col`` per group in ``order_col`` order.
 
     ``bucket_width=None``: one window per group (groups must be bounded).
@@ -65,9 +65,8 @@ def running_offsets(df: DataFrame, group_cols: list[str], order_col: str, n_col:
     offs = sums.select(*group_cols, b, (F.sum("__bn").over(wb) - F.col("__bn")).alias("__boff"))
     j = d.join(offs, on=[*group_cols, b], how="inner")
     wi = Window.partitionBy(*group_cols, b).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return j.withColumn(out, (F.col("__boff") + F.sum(n_col).over(wi) - F.col(n_col)).cast("bigint")).drop(
-        b, "__boff"
-    )
+    j = j.withColumn(out, (F.col("__boff") + F.sum(n_col).over(wi) - F.col(n_col)).cast("bigint")).drop("__boff")
+    return j.withColumnRenamed(b, keep_bucket) if keep_bucket else j.drop(b)
 
 
 MAX_OFFSET_BUCKETS = 1 << 20
@@ -98,6 +97,8 @@ def pack_text(df: DataFrame, text_col: str, group_cols: list[str], order_col: st
     exchange carries the raw text and its token count (compact) and the pre-tokens
     are extracted again after it, instead of shuffling arrays of token strings."""
     L = params.max_length
+    if bucket_width is not None:
+        return _pack_text_two_level(df, text_col, group_cols, order_col, vocab, params, bucket_width)
     if shuffle_text:
         d = df.select(*group_cols, order_col, F.col(text_col).alias("__text"),
                       pretoken_count(text_col).alias("__n"))
@@ -118,6 +119,31 @@ def pack_text(df: DataFrame, text_col: str, group_cols: list[str], order_col: st
     return _finish(rows, params)
 
 
+def _pack_text_two_level(df: DataFrame, text_col: str, group_cols: list[str], order_col: str, vocab: DataFrame,
+                         params: Params, bucket_width: int) -> DataFrame:
+    """Corpus-wide packing. After the (group, offset bucket) exchange the ids of each
+    document are gathered by (group, bucket, document) -- a clustering that exchange
+    already provides, so no second exchange of token rows -- and only L-sized id slices
+    are shuffled to assemble the chunks."""
+    d = df.select(*group_cols, order_col, F.col(text_col).alias("__text"), pretoken_count(text_col).alias("__n"))
+    d = running_offsets(d, group_cols, order_col, "__n", bucket_width, out="__start", keep_bucket="__obk")
+    t = d.select(*group_cols, "__obk", order_col, "__start", F.posexplode(pretokens("__text")).alias("__pos", "__tok"))
+    t = lookup_ids(t, vocab, params, token="__tok")
+    docs = t.groupBy(*group_cols, "__obk", order_col, "__start").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("__pos", "id"))), lambda s: s["id"]).alias("__ids"))
+    return _assemble(docs, group_cols, "__ids", "__start", params)
+
+
+def _assemble(d: DataFrame, group_cols: list[str], ids: str, start: str, params: Params) -> DataFrame:
+    """Per document (ids, start) -> L-sized slices -> rows of L tokens per chunk."""
+    s = d.select(*group_cols, F.explode(chunk_slices(ids, start, params.max_length)).alias("__s"))
+    rows = s.groupBy(*group_cols, F.col("__s.chunk").alias(CHUNK)).agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__s.g", "__s.part"))), lambda x: x["part"]))
+        .alias("input_ids")
+    )
+    return _finish(rows, params)
+
+
 def chunk_slices(ids: str, start: str, L: int) -> Column:
     """Per document: (chunk, first global position, slice) for every chunk it touches."""
     n = F.size(ids)
@@ -145,12 +171,7 @@ def pack_ids(df: DataFrame, ids_col: str, group_cols: list[str], order_col: str,
     L = params.max_length
     d = df.select(*group_cols, order_col, F.col(ids_col).alias("__ids")).withColumn("__n", F.size("__ids"))
     d = running_offsets(d, group_cols, order_col, "__n", bucket_width, out="__start")
-    s = d.select(*group_cols, F.explode(chunk_slices("__ids", "__start", L)).alias("__s"))
-    rows = s.groupBy(*group_cols, F.col("__s.chunk").alias(CHUNK)).agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__s.g", "__s.part"))), lambda x: x["part"]))
-        .alias("input_ids")
-    )
-    return _finish(rows, params)
+    return _assemble(d, group_cols, "__ids", "__start", params)
 
 
 def packed_counts(df: DataFrame, text_col: str, group_cols: list[str], params: Params = DEFAULT) -> DataFrame:

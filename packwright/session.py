@@ -8,9 +8,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "packwright") -> SparkSession:
+def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "packwright",
+                  extra_conf: dict | None = None) -> SparkSession:
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -179,3 +179,13 @@ def test_literal_decoder_refuses_sparse_ids(spark):
 
     v = spark.createDataFrame([("<unk>", 0), ("a", 1), ("b", 5)], "token string, id int")
     assert vocab_literal(v) is None
+
+
+def test_two_level_pack_text_equals_single_window(spark):
+    texts = [(k % 2, k, f"w{k % 13} x{k % 5} and text {k}.<|endoftext|>") for k in range(400)]
+    df = spark.createDataFrame(texts, "g int, k long, text string")
+    v = build_vocab(df, "text", Params(vocab_size=60))
+    p = Params(max_length=16, vocab_size=60)
+    a = {(r.g, r.chunk): r.input_ids for r in pack_text(df, "text", ["g"], "k", v, p).collect()}
+    b = {(r.g, r.chunk): r.input_ids for r in pack_text(df, "text", ["g"], "k", v, p, bucket_width=37).collect()}
+    assert a == b and len(a) > 10

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.llm import common as C
-from packwright.llm import decontamination, line_dedup, near_dup
+from packwright.llm import byte_bpe, decontamination, line_dedup, near_dup, token_files
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,14 +70,44 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write(C.table(spark, sf_dir, "documents"), token_files.new_folder(spark),
+                             vocabulary("byte_bpe_50k.json"), end_id=0)
+    out = token_files.read(spark, path)
+    return out.select(F.col("id").alias("doc_id"), "start", F.size("ids").cast("long").alias("n_tokens"),
+                      F.arrow_udf(token_files.ids_crc32, "long")("ids").alias("ids_crc32"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dup.near_duplicates(C.table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_digests(byte_bpe.encode(C.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"),
+                                       public_tokenizers.PATTERN))
+
+
+def bpe_digests(encoded: DataFrame) -> DataFrame:
+    out = byte_bpe.decode(encoded, vocabulary("byte_bpe_50k.tiktoken"))
+    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
+    "op4_token_files": op4_token_files,
     "op7_near_dup": op7_near_dup,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.llm import common as C
-from packwright.llm import byte_bpe, decontamination, line_dedup, near_dup, token_files
+from packwright.llm import byte_bpe, decontamination, language_id, line_dedup, near_dup, quality, token_files
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    out = language_id.predict(docs, language_id.train(docs, vocabulary("byte_bpe_multi_50k.tiktoken")))
+    return out.select(F.col("id").alias("doc_id"), quality.held_out("id").alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write(C.table(spark, sf_dir, "documents"), token_files.new_folder(spark),
                              vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -84,6 +90,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.arrow_udf(token_files.ids_crc32, "long")("ids").alias("ids_crc32"))
 
 
+QUALITY_THRESHOLD = 0.3
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.train(docs, C.table(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("doc_id"), quality.held_out("id").alias("held_out"), "score",
+                      F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dup.near_duplicates(C.table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
@@ -106,7 +122,9 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
+    "op5_quality": op5_quality,
     "op7_near_dup": op7_near_dup,
     "op9_byte_bpe": op9_byte_bpe,
 }

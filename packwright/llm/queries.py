@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.llm import common as C
-from packwright.llm import byte_bpe, decontamination, language_id, line_dedup, near_dup, quality, token_files
+from packwright.llm import byte_bpe, decontamination, language_id, line_dedup, near_dup, quality, token_files, vector_search
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.table(spark, sf_dir, "embeddings")
+    return vector_search.search(rows, rows.filter("vec_id % 20 = 0"), top=20)
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dup.near_duplicates(C.table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
     "op5_quality": op5_quality,
+    "op6_vector_search": op6_vector_search,
     "op7_near_dup": op7_near_dup,
     "op9_byte_bpe": op9_byte_bpe,
 }

@@ -220,7 +220,7 @@ def smooth(counts: np.ndarray, mass: float = 500.0) -> np.ndarray:
 
 
 def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          docs_per_language: int = 1500, steps: int = 2) -> Model:
+          docs_per_language: int = 1000, steps: int = 2) -> Model:
     spark = docs.sparkSession
     pieces = Pieces.of(vocabulary(vocabulary_path))
     learn = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.llm import common as C
-from packwright.llm import byte_bpe, chat, decontamination, language_id, line_dedup, near_dup, quality, token_files, vector_search
+from packwright.llm import byte_bpe, chat, decontamination, html_extract, language_id, line_dedup, near_dup, quality, token_files, vector_search
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +154,11 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(C.table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -164,5 +169,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_dup": op7_near_dup,
     "op8_chat": op8_chat,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_html_extract": op10_html_extract,
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op8_chat": OP8_SQL}

@@ -7,6 +7,7 @@ digits and non-ASCII characters (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``).
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.session import cut_lineage
+from packwright.session import cut_lineage, scratch_path
 
 #: Rows per Arrow batch handed to a Python function. Batches are the unit of memory in a
 #: Python worker, and rows are whole texts.
@@ -95,6 +96,14 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: its size is then known,
+    and Spark broadcasts it in joins only if it is below its threshold."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def split_texts(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of texts (bytes) of about ``limit`` bytes each, one text at least."""
     i, size = 0, 0

@@ -183,3 +183,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.select("id", "th", "n_words", n_hit.alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                       ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    bad = contamination(docs, items, id_col, text_col, **options).filter("contaminated").select("id", "th")
+    return C.join_results(docs, C.saved(bad, "contaminated"), id_col, text_col, "left_anti").select("row.*")

@@ -97,7 +97,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` as (row: all its columns, kept: new text, n_lines, n_dropped)."""
     gone = lines_to_drop(docs, id_col, text_col, min_docs, min_chars, hot_share)
     C.ready(docs.sparkSession)
-    joined = C.join_results(docs, gone, id_col, text_col)
+    joined = C.join_results(docs, C.saved(gone, "line-dedup"), id_col, text_col)
     text = F.col(f"row.`{text_col}`")
     kept = F.arrow_udf(without_lines, "string")(text, F.col("gone"))
     return joined.select(
@@ -107,3 +107,14 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
          + 1).cast("long").alias("n_lines"),
         F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_dropped"),
     )
+
+
+def with_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       chars_col: str | None = "n_chars", **options) -> DataFrame:
+    """``docs`` with the new texts, and their code points in ``chars_col`` (if it is there)."""
+    out = drop_repeated_lines(docs, id_col, text_col, **options)
+    row = F.col("row").withField(f"`{text_col}`", F.col("kept"))
+    if chars_col in docs.columns:
+        kind = docs.schema[chars_col].dataType
+        row = F.when(F.col("n_dropped") > 0, row.withField(f"`{chars_col}`", F.length("kept").cast(kind))).otherwise(row)
+    return out.select(row.alias("row")).select("row.*")

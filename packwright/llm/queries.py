@@ -147,9 +147,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        public_tokenizers.PATTERN))
 
 
-def bpe_digests(encoded: DataFrame) -> DataFrame:
+def bpe_digests(encoded: DataFrame, *more: str) -> DataFrame:
     out = byte_bpe.decode(encoded, vocabulary("byte_bpe_50k.tiktoken"))
-    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+    return out.select(F.col("id").alias("doc_id"), *more, F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -67,6 +67,18 @@ def with_order(df: DataFrame) -> DataFrame:
     return df.withColumn(ORDER, F.monotonically_increasing_id())
 
 
+def in_file_order(df: DataFrame, out: str) -> DataFrame:
+    """Records with their position in the source (file path, place in the file), from 0: the
+    same for any cluster size. The records are written once, as their order rests on the scan."""
+    from packwright.operators.ordering import global_index
+    from packwright.session import cut_lineage
+
+    d = cut_lineage(df.select("*", F.col("_metadata.file_path").alias("__file"),
+                              F.col("_metadata.file_block_start").alias("__at"),
+                              F.monotonically_increasing_id().alias("__row")))
+    return global_index(d, ["__file", "__at", "__row"], out=out).drop("__file", "__at", "__row")
+
+
 def read_pretraining(spark: SparkSession, dataset: str, train_dir: str, valid_dir: str,
                      num_files: int | None = None, file_type: str | None = None) -> DataFrame:
     fmt = file_type or ("json" if dataset in JSON_CORPORA else "parquet")
@@ -146,15 +158,16 @@ def combine(spark: SparkSession, sources: list[str], dedup_source: str | None, p
     """Concatenate instruction sources in order, drop repeats of the first occurrence
     inside ``dedup_source`` only, rewrite placeholders in ``placeholder_source``, give
     every record a history, split exactly (test fraction, seed), write JSON lines."""
-    frames = []
-    for path in sources:
-        frames.append(read_records(spark, path, "sft", array=array))
+    def records(path):
+        return in_file_order(read_records(spark, path, "sft", array=array), ORDER)
+
+    frames = [records(path) for path in sources]
     if dedup_source:
-        d = with_order(read_records(spark, dedup_source, "sft", array=array))
-        frames.append(I.dedup_first(d, I.dedup_key(params), ORDER).drop(ORDER))
+        frames.append(I.dedup_first(records(dedup_source), I.dedup_key(params), ORDER))
     if placeholder_source:
-        frames.append(I.rewrite_placeholders(read_records(spark, placeholder_source, "sft", array=array), "output", params))
-    u = with_order(I.union_sources(frames))
+        frames.append(I.rewrite_placeholders(records(placeholder_source), "output", params))
+    # the split rests on (source, position in it), both fixed before anything is shuffled
+    u = I.union_sources(frames).withColumn(ORDER, F.shiftleft(F.col("source_rank").cast("long"), 40) + F.col(ORDER))
     s = I.split_train_test(u, ORDER, params)
     cols = ["instruction", "input", "output", "history"]
     R.write_jsonl(s.select(*cols, "split"), output_dir, partition_by=["split"], mode="overwrite")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packwright.functions.arrays import ones_like, right_pad
 from packwright.functions.text import prompt_text
-from packwright.operators.tokens import lookup_ids, pretokens
+from packwright.operators.tokens import lookup_ids, pretoken_count, pretokens
 from packwright.params import BOS_TOKEN, DEFAULT, EOS_TOKEN, ROLE_ASSISTANT, ROLE_SYSTEM, ROLE_USER, Params
 
 BLOCK = "struct<text:string,trained:boolean,side:int>"
@@ -52,13 +52,13 @@ def chat_blocks(params: Params = DEFAULT, history: str = "history", query: Colum
 
 def encode_blocks(df: DataFrame, key: list[str], blocks: str, vocab: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """(key..., blocks) -> (key..., toks: array<struct<b,pos,id,trained,side>>) in order."""
-    b = df.select(*key, F.posexplode(blocks).alias("__b", "__blk"))
+    b = df.select(*key, F.posexplode_outer(blocks).alias("__b", "__blk"))
     t = b.select(*key, "__b", F.col("__blk.trained").alias("trained"), F.col("__blk.side").alias("side"),
-                 F.posexplode(pretokens(F.col("__blk.text"))).alias("__pos", "__tok"))
+                 F.posexplode_outer(pretokens(F.col("__blk.text"))).alias("__pos", "__tok"))
     t = lookup_ids(t, vocab, params, token="__tok")
-    return t.groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.struct("__b", "__pos", "id", "trained", "side"))).alias("toks")
-    )
+    # rows without any token stay, with an empty list
+    placed = F.when(F.col("__pos").isNotNull(), F.struct("__b", "__pos", "id", "trained", "side"))
+    return t.groupBy(*key).agg(F.sort_array(F.collect_list(placed)).alias("toks"))
 
 
 def sft_examples(df: DataFrame, key: list[str], vocab: DataFrame, params: Params = DEFAULT,
@@ -128,13 +128,36 @@ def dpo_examples(df: DataFrame, key: list[str], vocab: DataFrame, params: Params
     )
 
 
+def block_tokens(blocks: Column, keep=None) -> Column:
+    """Tokens of all blocks (of those that ``keep`` admits), counted without encoding."""
+    chosen = F.filter(blocks, keep) if keep else blocks
+    return F.aggregate(chosen, F.lit(0), lambda n, b: n + F.coalesce(pretoken_count(b["text"]), F.lit(0)))
+
+
+def sft_lengths(df: DataFrame, key: list[str], params: Params = DEFAULT) -> DataFrame:
+    """key, n_tokens (with the end), n_trained (labels that count: replies and the end), as
+    :func:`sft_examples` would give them."""
+    d = df.select(*key, chat_blocks(params).alias("__b"))
+    return d.select(*key, (block_tokens(F.col("__b")) + 1).alias("n_tokens"),
+                    (block_tokens(F.col("__b"), lambda b: b["trained"]) + 1).alias("n_trained"))
+
+
+def dpo_lengths(df: DataFrame, key: list[str], params: Params = DEFAULT) -> DataFrame:
+    """key, n_chosen, n_rejected of the pairs that :func:`dpo_examples` encodes."""
+    prompt = pretoken_count(F.concat(F.lit(system_block(params)), user_block(prompt_text("instruction", "input"))))
+    side = lambda i: F.coalesce(pretoken_count(F.get(F.col("output"), i)), F.lit(0))
+    prompt = F.coalesce(prompt, F.lit(0))
+    return df.filter(F.size("output") == 2).select(*key, (prompt + side(0) + 1).alias("n_chosen"),
+                                                   (prompt + side(1) + 1).alias("n_rejected"))
+
+
 def overlength_report(sft: DataFrame, dpo: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Dropped examples by kind: SFT by full length; preference pairs report the chosen
-    side first and the rejected side only when the chosen side fits."""
+    """Dropped examples by kind, from :func:`sft_lengths` and :func:`dpo_lengths`: SFT by full
+    length; preference pairs report the chosen side first and the rejected side only when the
+    chosen side fits."""
     L = params.max_length
     s = sft.filter(F.col("n_tokens") >= L).select(F.lit("sft").alias("kind"), F.col("n_tokens").alias("length"))
-    c = F.size("chosen_ids")
-    r = F.size("rejected_ids")
+    c, r = F.col("n_chosen"), F.col("n_rejected")
     p = dpo.filter((c >= L) | (r >= L)).select(
         F.when(c >= L, F.lit("chosen")).otherwise(F.lit("rejected")).alias("kind"),
         F.when(c >= L, c).otherwise(r).alias("length"),
@@ -151,3 +174,8 @@ def validate_preferences(df: DataFrame, strict: bool = False) -> tuple[DataFrame
         checked = df.filter(F.assert_true(F.size("output") == 2, "preference output must hold 2 items").isNull())
         return checked, df.limit(0)
     return df.filter(F.size("output") == 2), df.filter(F.size("output") != 2)
+
+
+def preference_status(df: DataFrame, out: str = "status") -> DataFrame:
+    """Both in one pass: every row with its status."""
+    return df.withColumn(out, F.when(F.size("output") == 2, "valid").otherwise("quarantined"))

@@ -21,21 +21,25 @@ def dedup_key(params: Params = DEFAULT, history: str = "history", instruction: s
     return F.array_join(parts, "" if params.dedup_compat else params.key_separator)
 
 
+def hashed(key: Column) -> Column:
+    """A key of fixed size in place of a long text: 128-bit hash and length."""
+    return F.concat(F.unhex(F.md5(key)), F.unhex(F.lpad(F.hex(F.length(key)), 8, "0")))
+
+
 def dedup_first(df: DataFrame, key: Column, order_col: str, partition_cols: list[str] | None = None) -> DataFrame:
     """Keep the first row (smallest ``order_col``) of every key, within each partition
     value (e.g. source).
 
-    ``min(order)`` per key is map-side combined, so a key shared by a third of all rows
-    is reduced before the shuffle; the semi join is keyed by (key, order), which is
-    unique per row, so the hot key's rows spread evenly over tasks."""
+    One pass and one exchange: the first row of each hashed key is found map-side before
+    the shuffle, so a key shared by a third of all rows sends one row per task."""
     parts = list(partition_cols or [])
-    d = df.withColumn("__key", key)
-    firsts = d.groupBy(*parts, "__key").agg(F.min(order_col).alias(order_col))
-    return d.join(firsts, on=[*parts, "__key", order_col], how="left_semi").drop("__key")
+    row = F.struct(*[F.col(c) for c in df.columns])
+    d = df.select(*parts, hashed(key).alias("__key"), F.col(order_col).alias("__order"), row.alias("__row"))
+    return d.groupBy(*parts, "__key").agg(F.min_by("__row", "__order").alias("__row")).select("__row.*")
 
 
 def duplicate_report(df: DataFrame, key: Column) -> DataFrame:
-    d = df.select(key.alias("__key"))
+    d = df.select(hashed(key).alias("__key"))
     return d.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct("__key").alias("n_distinct"),

@@ -29,21 +29,17 @@ def epoch_order(df: DataFrame, key: str, params: Params = DEFAULT, epochs: int |
 
 def rank_shards(df: DataFrame, key: str, params: Params = DEFAULT, epoch: int = 0) -> DataFrame:
     """Distributed-sampler layout: seeded order, padded to a multiple of the world size
-    by repeating rows from the start, position p goes to rank p % world."""
+    by repeating rows from the start as often as needed (more than once if there are fewer
+    rows than ranks), position p goes to rank p % world."""
     w = params.world_size
     d = seeded_order(df, key, params.seed, F.lit(epoch), out="__p", total="__n")
-    pad = (F.lit(w) - F.col("__n") % F.lit(w)) % F.lit(w)
-    # the first `pad` rows appear a second time at position p + n; a generator, so the
-    # input is computed once (no self-union)
-    both = d.withColumn("__p", F.explode(F.when(F.col("__p") < pad, F.array("__p", F.col("__p") + F.col("__n")))
-                                         .otherwise(F.array("__p"))))
+    last = F.ceil(F.col("__n") / F.lit(w)) * w - 1
+    # row p stands at p, p + n, p + 2n, ...; a generator, so the input is computed once
+    both = d.withColumn("__p", F.explode(F.sequence(F.col("__p"), last.cast("bigint"), F.col("__n"))))
     return both.withColumn("rank", (F.col("__p") % w).cast("int")).withColumn(
         "position", F.expr(f"__p div {w}")).drop("__p", "__n")
 
 
-from packwright.operators.ordering import sequential_index  # noqa: E402,F401  (re-export)
-
-
 def fixed_batches(df: DataFrame, idx: str, batch_size: int) -> DataFrame:
     """Batch number = position div batch size; the last batch may be short."""
     return df.withColumn("batch", F.expr(f"{idx} div {batch_size}"))
@@ -62,9 +58,17 @@ def _field(name: str):
     return lambda r: r[name]
 
 
-def stack_preference(batch: DataFrame, chosen: str, rejected: str, out: str) -> DataFrame:
-    """Preference batch: chosen rows stacked above rejected rows."""
-    return batch.withColumn(out, F.concat(F.col(chosen), F.col(rejected)))
+#: Columns of a batch by task.
+LM_COLUMNS = ["input_ids", "attention_mask"]
+SFT_COLUMNS = ["input_ids", "attention_mask", "labels"]
+PREFERENCE_COLUMNS = [f"{side}_{c}" for side in ("chosen", "rejected") for c in ("ids", "attention_mask", "labels")]
+
+
+def stack_preference(batch: DataFrame) -> DataFrame:
+    """Preference batch: chosen rows stacked above rejected rows, for ids, masks and labels."""
+    for out, c in (("input_ids", "ids"), ("attention_mask", "attention_mask"), ("labels", "labels")):
+        batch = batch.withColumn(out, F.concat(F.col(f"chosen_{c}"), F.col(f"rejected_{c}")))
+    return batch.drop(*PREFERENCE_COLUMNS)
 
 
 def matrix_str(m) -> Column:

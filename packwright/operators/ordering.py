@@ -26,10 +26,15 @@ def global_index(df: DataFrame, order_cols: list[str], out: str = "idx", total:
     3. rows per sorted partition (at most one row per partition and partition value);
     4. position = rows before this partition + row number inside it, read from
        ``monotonically_increasing_id`` (partition index in the high bits).
-    The order must be total (end it with a unique column)."""
+    Only the order and partition columns go through this; other columns are joined back
+    by them, so they must name a row (end the order with a unique column)."""
     from packwright.session import cut_lineage
 
     parts = list(partition_cols or [])
+    keys = list(dict.fromkeys([*parts, *order_cols]))
+    if set(df.columns) - set(keys):
+        indexed = global_index(df.select(*keys), order_cols, out, total, parts)
+        return df.join(indexed, on=keys)
     s = cut_lineage(df.orderBy(*parts, *order_cols))
     s = s.withColumn("__m", F.monotonically_increasing_id())
     s = s.withColumn("__pid", F.shiftright("__m", 33)).withColumn("__local", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
@@ -44,7 +49,7 @@ def global_index(df: DataFrame, order_cols: list[str], out: str = "idx", total:
         per_part = s.groupBy(*parts).agg(F.count(F.lit(1)).alias("__size"))
         w = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
         part_off = per_part.select(*parts, "__size", F.coalesce(F.sum("__size").over(w), F.lit(0)).cast("bigint").alias("__start"))
-        j = j.join(F.broadcast(part_off), parts)
+        j = j.join(part_off, parts)
     else:
         j = j.withColumn("__start", F.lit(0).cast("bigint")).withColumn("__size", F.col("__all"))
     j = j.withColumn(out, (F.col("__g") - F.col("__start")).cast("bigint"))
@@ -67,12 +72,47 @@ def seeded_order(df: DataFrame, key: str, seed, *salt, out: str = "idx", total:
     return global_index(d, ["__h", key], out=out, total=total, partition_cols=partition_cols).drop("__h")
 
 
+DIGITS = 4  # hex digits that one round of the cut looks at
+
+
+def smallest(df: DataFrame, hash_col: str, key: str, k: int) -> tuple[str, object] | None:
+    """(hash, key) of the k-th row in (hash, key) order, None if k is 0: a histogram of the
+    next hash digits narrows the range (at most 16^4 counts come back a round), until the rows
+    that share the whole prefix are few."""
+    prefix, left, rows = "", k, df
+    while left > 0:
+        n = len(prefix)
+        digits = F.substring(hash_col, n + 1, DIGITS)
+        hist = sorted(tuple(r) for r in rows.groupBy(digits.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for d, count in hist:
+            if left <= count:
+                break
+            left -= count
+        prefix += d
+        rows = rows.filter(F.col(hash_col).startswith(prefix))
+        if count <= FEW or len(prefix) >= 32:
+            last = rows.select(hash_col, key).orderBy(hash_col, key).limit(left).orderBy(F.desc(hash_col), F.desc(key)).first()
+            return last[0], last[1]
+    return None
+
+
+FEW = 1000  # rows among which the last place is found by sorting
+
+
 def exact_split(df: DataFrame, key: str, fraction: float, seed, out: str = "split",
                 test_name: str = "test", train_name: str = "train") -> DataFrame:
-    """Seeded split with exactly ceil(fraction * n) test rows: the first rows of the
-    seeded order are the test rows."""
-    d = seeded_order(df, key, seed, out="__i", total="__n")
-    k = F.ceil(F.col("__n") * F.lit(fraction))
-    return d.withColumn(out, F.when(F.col("__i") < k, F.lit(test_name)).otherwise(F.lit(train_name))).drop(
-        "__i", "__n"
-    )
+    """Seeded split with exactly ceil(fraction * n) test rows: those of smallest seeded hash
+    (ties by key). The cut is found on a written (hash, key) table; the rows themselves are
+    neither sorted nor written."""
+    from math import ceil
+
+    from packwright.session import cut_lineage
+
+    h = seeded_hash(seed, key)
+    keys = cut_lineage(df.select(h.alias("__h"), key))
+    last = smallest(keys, "__h", key, ceil(keys.count() * fraction))
+    if last is None:
+        return df.withColumn(out, F.lit(train_name))
+    at, row = F.lit(last[0]), F.lit(last[1])
+    test = (h < at) | ((h == at) & (F.col(key) <= row))
+    return df.withColumn(out, F.when(test, F.lit(test_name)).otherwise(F.lit(train_name)))

@@ -10,9 +10,9 @@ Plan shape (default, ``group_rows`` consecutive keys per group):
 * no task ever holds more than one group's documents; a group is a bounded number of
   documents, so a hot source is spread over many groups and tasks.
 
-Corpus-wide packing (``group_rows=None``) cannot bound a group by rows; it uses
-two-level offsets instead: per-(group, key bucket) token sums, a window over that
-small table, then a window inside each bucket. No single task sees a whole source.
+Corpus-wide packing (``corpus_wide=True``) cannot bound a group by rows; it uses
+two-level offsets instead: token sums per (group, key range), a window over that small
+table, then a window inside each range. No single task sees a whole source.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.functions.arrays import segment_mask
+from packwright.operators.ordering import global_index
 from packwright.operators.tokens import lookup_ids, pretoken_count, pretokens
 from packwright.params import DEFAULT, Params
 
@@ -39,47 +40,44 @@ def pos_div(x: Column, n: int) -> Column:
     return F.floor(x / F.lit(n)).cast("bigint")
 
 
-def with_pack_group(df: DataFrame, order_col: str, params: Params = DEFAULT, name: str = "pack_group") -> DataFrame:
-    """Packing batch number: ``order_key div group_rows`` (1000 consecutive keys by
-    default, like the reference's 1000-row map batches). Independent of worker count."""
-    return df.withColumn(name, key_div(order_col, params.group_rows))
+def with_pack_group(df: DataFrame, group_cols: list[str], order_col: str, params: Params = DEFAULT,
+                    name: str = "pack_group") -> DataFrame:
+    """Packing batch number: each group's rows, in key order, in batches of ``group_rows``
+    (1000 by default, as map batches are built). Independent of worker count. ``group_cols``
+    and ``order_col`` together must name a row."""
+    d = global_index(df, [order_col], out="__i", partition_cols=group_cols)
+    return d.withColumn(name, key_div("__i", params.group_rows)).drop("__i")
 
 
-def running_offsets(df: DataFrame, group_cols: list[str], order_col: str, n_col: str,
-                    bucket_width: int | None = None, out: str = "start", keep_bucket: str | None = None) -> DataFrame:
+def offset_buckets(keys: DataFrame, group_cols: list[str], order_col: str, out: str = "__bucket") -> DataFrame:
+    """The rows dealt out to key ranges of about equal row counts (Spark samples the keys, so
+    an outlying key widens no other range), fixed by a checkpoint."""
+    from packwright.session import cut_lineage
+
+    s = cut_lineage(keys.repartitionByRange(*group_cols, order_col))
+    return s.withColumn(out, F.shiftright(F.monotonically_increasing_id(), 33))
+
+
+def running_offsets(df: DataFrame, group_cols: list[str], order_col: str, n_col: str, corpus_wide: bool = False,
+                    out: str = "start") -> DataFrame:
     """Exclusive running sum of ``n_col`` per group in ``order_col`` order.
 
-    ``bucket_width=None``: one window per group (groups must be bounded).
-    Otherwise two levels: token sums per (group, order_key div bucket_width), a
-    window over those sums (one small row per bucket), joined back (AQE turns the
-    join into a broadcast when the bucket table is small, else a sort-merge join
-    that shares the next window's partitioning), then a window inside each bucket."""
-    if bucket_width is None:
+    By default one window per group (groups must be bounded). ``corpus_wide``: the small
+    (group, key, n) table is written once in key ranges; token sums per (group, range), a
+    window over those sums (one row per range), a window inside each range; the offsets
+    are joined back by (group, key), which must name a row. No task holds a whole group."""
+    if not corpus_wide:
         w = Window.partitionBy(*group_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, (F.sum(n_col).over(w) - F.col(n_col)).cast("bigint"))
-    bucket_width = auto_bucket_width(df, order_col, bucket_width)
     b = "__bucket"
-    d = df.withColumn(b, key_div(order_col, bucket_width))
+    d = offset_buckets(df.select(*group_cols, order_col, n_col), group_cols, order_col, b)
     sums = d.groupBy(*group_cols, b).agg(F.sum(n_col).alias("__bn"))
     wb = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, 0)
     offs = sums.select(*group_cols, b, (F.sum("__bn").over(wb) - F.col("__bn")).alias("__boff"))
-    j = d.join(offs, on=[*group_cols, b], how="inner")
     wi = Window.partitionBy(*group_cols, b).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    j = j.withColumn(out, (F.col("__boff") + F.sum(n_col).over(wi) - F.col(n_col)).cast("bigint")).drop("__boff")
-    return j.withColumnRenamed(b, keep_bucket) if keep_bucket else j.drop(b)
-
-
-MAX_OFFSET_BUCKETS = 1 << 20
-
-
-def auto_bucket_width(df: DataFrame, order_col: str, min_width: int, max_buckets: int = MAX_OFFSET_BUCKETS) -> int:
-    """Keys per offset bucket: at least ``min_width``, and wide enough that the key range
-    has at most ``max_buckets`` buckets, so the per-group window over bucket sums stays
-    bounded (two numbers come back to the driver)."""
-    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
-    if lo is None:
-        return min_width
-    return max(min_width, -(-(hi - lo + 1) // max_buckets))
+    starts = d.join(offs, on=[*group_cols, b]).select(
+        *group_cols, order_col, (F.col("__boff") + F.sum(n_col).over(wi) - F.col(n_col)).cast("bigint").alias(out))
+    return df.join(starts, on=[*group_cols, order_col])
 
 
 def _finish(rows: DataFrame, params: Params, ids: str = "input_ids") -> DataFrame:
@@ -88,26 +86,19 @@ def _finish(rows: DataFrame, params: Params, ids: str = "input_ids") -> DataFram
 
 
 def pack_text(df: DataFrame, text_col: str, group_cols: list[str], order_col: str, vocab: DataFrame,
-              params: Params = DEFAULT, bucket_width: int | None = None, shuffle_text: bool = True) -> DataFrame:
+              params: Params = DEFAULT, corpus_wide: bool = False) -> DataFrame:
     """Encode + pack in one pass on the JVM.
 
     Pre-tokens are exploded after the group exchange, ids come from the broadcast
     vocabulary (a map-side hash join), and tokens are gathered straight into their
-    chunk: the only shuffle moves each document once. With ``shuffle_text`` the
-    exchange carries the raw text and its token count (compact) and the pre-tokens
-    are extracted again after it, instead of shuffling arrays of token strings."""
+    chunk: the only shuffle moves each document once. The exchange carries the raw text
+    and its token count (compact); the pre-tokens are extracted after it, instead of
+    shuffling arrays of token strings."""
     L = params.max_length
-    if bucket_width is not None:
-        return _pack_text_two_level(df, text_col, group_cols, order_col, vocab, params, bucket_width)
-    if shuffle_text:
-        d = df.select(*group_cols, order_col, F.col(text_col).alias("__text"),
-                      pretoken_count(text_col).alias("__n"))
-        d = running_offsets(d, group_cols, order_col, "__n", bucket_width, out="__start")
-        d = d.withColumn("__toks", pretokens("__text"))
-    else:
-        d = df.select(*group_cols, order_col, pretokens(text_col).alias("__toks"))
-        d = d.withColumn("__n", F.size("__toks"))
-        d = running_offsets(d, group_cols, order_col, "__n", bucket_width, out="__start")
+    if corpus_wide:
+        return _pack_text_two_level(df, text_col, group_cols, order_col, vocab, params)
+    d = df.select(*group_cols, order_col, F.col(text_col).alias("__text"), pretoken_count(text_col).alias("__n"))
+    d = running_offsets(d, group_cols, order_col, "__n", out="__start").withColumn("__toks", pretokens("__text"))
     t = d.select(*group_cols, "__start", F.posexplode("__toks").alias("__pos", "__tok"))
     t = t.withColumn("__g", F.col("__start") + F.col("__pos")).withColumn(
         CHUNK, pos_div(F.col("__g"), L)
@@ -120,16 +111,16 @@ def pack_text(df: DataFrame, text_col: str, group_cols: list[str], order_col: st
 
 
 def _pack_text_two_level(df: DataFrame, text_col: str, group_cols: list[str], order_col: str, vocab: DataFrame,
-                         params: Params, bucket_width: int) -> DataFrame:
-    """Corpus-wide packing. After the (group, offset bucket) exchange the ids of each
-    document are gathered by (group, bucket, document) -- a clustering that exchange
-    already provides, so no second exchange of token rows -- and only L-sized id slices
-    are shuffled to assemble the chunks."""
-    d = df.select(*group_cols, order_col, F.col(text_col).alias("__text"), pretoken_count(text_col).alias("__n"))
-    d = running_offsets(d, group_cols, order_col, "__n", bucket_width, out="__start", keep_bucket="__obk")
-    t = d.select(*group_cols, "__obk", order_col, "__start", F.posexplode(pretokens("__text")).alias("__pos", "__tok"))
+                         params: Params) -> DataFrame:
+    """Corpus-wide packing. The join of the offsets clusters rows by (group, document), which
+    the gather of each document's ids uses too (no exchange of token rows); only L-sized id
+    slices are shuffled to assemble the chunks."""
+    counted = df.select(*group_cols, order_col, pretoken_count(text_col).alias("__n"))
+    starts = running_offsets(counted, group_cols, order_col, "__n", corpus_wide=True, out="__start").drop("__n")
+    d = df.select(*group_cols, order_col, F.col(text_col).alias("__text")).join(starts, on=[*group_cols, order_col])
+    t = d.select(*group_cols, order_col, "__start", F.posexplode(pretokens("__text")).alias("__pos", "__tok"))
     t = lookup_ids(t, vocab, params, token="__tok")
-    docs = t.groupBy(*group_cols, "__obk", order_col, "__start").agg(
+    docs = t.groupBy(*group_cols, order_col, "__start").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("__pos", "id"))), lambda s: s["id"]).alias("__ids"))
     return _assemble(docs, group_cols, "__ids", "__start", params)
 
@@ -165,12 +156,12 @@ def chunk_slices(ids: str, start: str, L: int) -> Column:
 
 
 def pack_ids(df: DataFrame, ids_col: str, group_cols: list[str], order_col: str, params: Params = DEFAULT,
-             bucket_width: int | None = None) -> DataFrame:
+             corpus_wide: bool = False) -> DataFrame:
     """Pack rows that already carry id arrays: only L-sized slices reach the chunk
     aggregation, each chunk gathers at most L tokens (bounded memory)."""
     L = params.max_length
     d = df.select(*group_cols, order_col, F.col(ids_col).alias("__ids")).withColumn("__n", F.size("__ids"))
-    d = running_offsets(d, group_cols, order_col, "__n", bucket_width, out="__start")
+    d = running_offsets(d, group_cols, order_col, "__n", corpus_wide, out="__start")
     return _assemble(d, group_cols, "__ids", "__start", params)
 
 

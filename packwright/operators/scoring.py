@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packwright.params import IGNORE_INDEX
+from packwright.operators.tokens import bounded_broadcast
+from packwright.params import DEFAULT, IGNORE_INDEX, Params
 
 
 def softplus(x: Column) -> Column:
@@ -28,13 +29,13 @@ def unigram_logp(counts: DataFrame, id_col: str = "id", cnt_col: str = "cnt") ->
 
 
 def sequence_logps(df: DataFrame, key: list[str], labels: str, logp: DataFrame, shift: bool = True,
-                   ignore: int = IGNORE_INDEX, eps: float = 1e-5) -> DataFrame:
+                   ignore: int = IGNORE_INDEX, eps: float = 1e-5, params: Params = DEFAULT) -> DataFrame:
     """Per sequence: sum of log-probs of trained labels, their count, and the mean
     sum / (count + eps). ``logp`` is a broadcast (id, logp) table (<= vocabulary)."""
     start = 1 if shift else 0
     ex = df.select(*key, F.posexplode(labels).alias("__pos", "__lab")).filter(
         (F.col("__pos") >= start) & (F.col("__lab") != ignore))
-    j = ex.join(F.broadcast(logp.select(F.col("id").alias("__lab"), "logp")), "__lab", "left")
+    j = ex.join(bounded_broadcast(logp.select(F.col("id").alias("__lab"), "logp"), params), "__lab", "left")
     g = j.groupBy(*key).agg(F.sum("logp").alias("logp_sum"), F.count(F.lit(1)).alias("n_trained"))
     return g.withColumn("logp_avg", F.col("logp_sum") / (F.col("n_trained") + F.lit(eps)))
 
@@ -132,9 +133,3 @@ def capacity_assign(df: DataFrame, group: list[str], item: str, probs: str, n_bu
     untaken = df.select(*group, item).join(taken.select(*group, item).distinct(), [*group, item], "left_anti") \
         .withColumn("bucket", F.lit(-1))
     return taken.unionByName(untaken)
-
-
-def truncate_rows(df: DataFrame, ids: str, stop_id: int, max_len: int) -> DataFrame:
-    from packwright.functions.arrays import truncate_at
-
-    return df.withColumn(ids, truncate_at(ids, stop_id, max_len))

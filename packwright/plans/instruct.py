@@ -10,6 +10,7 @@ from packwright.functions import arrays as AR
 from packwright.functions.text import prompt_text, template_replace
 from packwright.operators import examples as X
 from packwright.operators import instruct as I
+from packwright.operators.tokens import vocab_for_join
 from packwright.params import BOS_ID, BOS_TOKEN, EOS_TOKEN, ROLE_ASSISTANT, ROLE_USER
 from packwright.plans.common import EOS, EOS_LIT, L, P, ids_str, tokens_sql, vocab, vocab_sql
 from packwright.sources import adapters as A
@@ -232,19 +233,13 @@ SELECT kind, count(*)::BIGINT, max(length)::BIGINT FROM (
          CASE WHEN len(chosen_ids) >= {L} THEN len(chosen_ids) ELSE len(rejected_ids) END AS length
   FROM de WHERE len(chosen_ids) >= {L} OR len(rejected_ids) >= {L}) GROUP BY kind""")
 def overlength_report(spark, sf_dir):
-    v = vocab(spark, sf_dir)
-    s = X.sft_examples(A.sft(spark, sf_dir), KEY, v, P, keep_overlength=True)
-    d = X.dpo_examples(A.preference(spark, sf_dir), KEY, v, P, keep_overlength=True)
-    return X.overlength_report(s, d, P)
+    return X.overlength_report(X.sft_lengths(A.sft(spark, sf_dir), [], P), X.dpo_lengths(A.preference(spark, sf_dir), [], P), P)
 
 
 @q("preference_validation", f"""SELECT conv_id, turn, len(output)::INTEGER AS n_outputs,
 CASE WHEN len(output) = 2 THEN 'valid' ELSE 'quarantined' END AS status FROM ({A.PREFERENCE_SQL})""")
 def preference_validation(spark, sf_dir):
-    p = A.preference(spark, sf_dir)
-    valid, bad = X.validate_preferences(p)
-    return valid.withColumn("status", F.lit("valid")).unionByName(bad.withColumn("status", F.lit("quarantined"))).select(
-        *KEY, F.size("output").alias("n_outputs"), "status")
+    return X.preference_status(A.preference(spark, sf_dir)).select(*KEY, F.size("output").alias("n_outputs"), "status")
 
 
 # Final pair only: prompt block ids masked, reply ids + eos trained.
@@ -283,9 +278,10 @@ def pad_rows(spark, sf_dir):
 SELECT conv_id, turn, len(list_filter(labels[2:], lambda z: z <> {IGN}))::INTEGER AS n_targets,
        (len(ids) - 1)::INTEGER AS n_positions FROM ex WHERE len(ids) < {L}""")
 def loss_token_count(spark, sf_dir):
-    e = X.sft_examples(A.sft(spark, sf_dir), KEY, vocab(spark, sf_dir), P)
-    return e.select(*KEY, AR.trained_count(AR.shifted_targets("labels"), IGN).alias("n_targets"),
-                    (F.col("n_tokens") - 1).alias("n_positions"))
+    """Counted from tokens per block; the first position is a prompt token, so the shift drops
+    no trained label."""
+    e = X.sft_lengths(A.sft(spark, sf_dir), KEY, P).filter(F.col("n_tokens") < L)
+    return e.select(*KEY, F.col("n_trained").alias("n_targets"), (F.col("n_tokens") - 1).alias("n_positions"))
 
 
 @q("special_token_arrays", f"""WITH {token_rows_sql(A.SFT_SQL, "[{'text': instruction, 'trained': false, 'side': 0}, {'text': output, 'trained': true, 'side': 1}]")},
@@ -311,17 +307,45 @@ def special_token_arrays(spark, sf_dir):
     )
 
 
+def _first_row_sql(ex: str, where: str, sides: list[tuple[str, str, str]]) -> str:
+    """(side, pos, id, label, token) of the first kept row; the vocabulary is joined last."""
+    rows = " UNION ALL ".join(
+        f"SELECT '{side}' AS side, unnest(range(0, {L})) AS pos, unnest({pad_sql(ids, P.pad_id)}) AS id, "
+        f"unnest({pad_sql(labels, IGN)}) AS label FROM first_row" for side, ids, labels in sides)
+    return f"""first_row AS MATERIALIZED (SELECT * FROM {ex} WHERE {where} ORDER BY conv_id, turn LIMIT 1),
+u AS MATERIALIZED ({rows})
+SELECT u.side, u.pos::INTEGER AS pos, u.id, u.label, v.token FROM u JOIN vocab v ON v.id = u.id WHERE v.token <> '<unk>'"""
+
+
+def _inspect(rows, sides, v):
+    """(side, position, id, label, token) of padded rows, unknown and padding tokens skipped."""
+    parts = F.array(*[F.struct(F.lit(side).alias("side"), F.col(ids).alias("ids"), F.col(labels).alias("labels"))
+                      for side, ids, labels in sides])
+    z = rows.select(F.explode(parts).alias("s")).select(
+        "s.side", F.posexplode(F.arrays_zip(F.col("s.ids").alias("id"), F.col("s.labels").alias("label"))).alias("pos", "z"))
+    z = z.select("side", "pos", F.col("z.id").alias("id"), F.col("z.label").alias("label"))
+    d = z.join(vocab_for_join(v, P).select(F.col("id").alias("__id"), "token"), F.col("id") == F.col("__id")).drop("__id")
+    return d.filter(F.col("token") != "<unk>")
+
+
 @q("inspect_tokens", f"""WITH {sft_encoded_sql()},
-first_row AS (SELECT * FROM ex WHERE len(ids) < {L} ORDER BY conv_id, turn LIMIT 1),
-padded AS (SELECT {pad_sql('ids', P.pad_id)} AS ids, {pad_sql('labels', IGN)} AS labels FROM first_row),
-u AS (SELECT unnest(range(0, {L})) AS pos, unnest(ids) AS id, unnest(labels) AS label FROM padded)
-SELECT u.pos::INTEGER AS pos, u.id, u.label, v.token FROM u JOIN vocab v ON v.id = u.id WHERE v.token <> '<unk>'""")
+{_first_row_sql('ex', f'len(ids) < {L}', [('sft', 'ids', 'labels')])}""")
 def inspect_tokens(spark, sf_dir):
-    """Row inspector for the first example: (position, id, label, token), unknown /
-    padding tokens skipped. Showing one row is the feature, hence the limit."""
+    """Row inspector for the first example. Showing one row is the feature, hence the limit;
+    only that row is encoded."""
+    kept = X.sft_lengths(A.sft(spark, sf_dir), KEY, P).filter(F.col("n_tokens") < L).select(*KEY).orderBy(*KEY).limit(1)
     v = vocab(spark, sf_dir)
-    e = X.sft_examples(A.sft(spark, sf_dir), KEY, v, P).orderBy(*KEY).limit(1)
-    z = e.select(F.posexplode(F.arrays_zip(F.col("input_ids").alias("id"), F.col("labels").alias("label"))).alias("pos", "z"))
-    z = z.select("pos", F.col("z.id").alias("id"), F.col("z.label").alias("label"))
-    d = z.join(F.broadcast(v.select(F.col("id").alias("__id"), "token")), F.col("id") == F.col("__id")).drop("__id")
-    return d.filter(F.col("token") != "<unk>")
+    e = X.sft_examples(A.sft(spark, sf_dir).join(F.broadcast(kept), KEY, "left_semi"), KEY, v, P)
+    return _inspect(e, [("sft", "input_ids", "labels")], v)
+
+
+@q("inspect_preference", f"""WITH {dpo_encoded_sql()},
+{_first_row_sql('de', f'len(chosen_ids) < {L} AND len(rejected_ids) < {L}',
+                [('chosen', 'chosen_ids', 'chosen_labels'), ('rejected', 'rejected_ids', 'rejected_labels')])}""")
+def inspect_preference(spark, sf_dir):
+    """The same for the first preference pair: its chosen and its rejected row."""
+    n = X.dpo_lengths(A.preference(spark, sf_dir), KEY, P)
+    kept = n.filter((F.col("n_chosen") < L) & (F.col("n_rejected") < L)).select(*KEY).orderBy(*KEY).limit(1)
+    v = vocab(spark, sf_dir)
+    e = X.dpo_examples(A.preference(spark, sf_dir).join(F.broadcast(kept), KEY, "left_semi"), KEY, v, P)
+    return _inspect(e, [("chosen", "chosen_ids", "chosen_labels"), ("rejected", "rejected_ids", "rejected_labels")], v)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from packwright.operators import examples as X
 from packwright.operators import loading as LD
+from packwright.operators.ordering import sequential_index
+from packwright.operators.packing import with_pack_group
 from packwright.plans.common import L, P, ids_str, vocab
 from packwright.plans.corpus import GROUP, packed_sql_cte, saved_packed
-from packwright.plans.instruct import KEY, dpo_encoded_sql, pad_sql, s_, sft_encoded_sql
+from packwright.plans.instruct import KEY, dpo_encoded_sql, ones_sql, pad_sql, sft_encoded_sql
 from packwright.sources import adapters as A
 
 QUERIES: dict = {}
@@ -56,7 +58,8 @@ def epoch_shuffle(spark, sf_dir):
 
 
 SFT_ROWS_SQL = f"""(WITH {sft_encoded_sql()}
-SELECT conv_id, turn, conv_id * 1000 + turn AS idx, {pad_sql('ids', P.pad_id)} AS input_ids, {pad_sql('labels', P.ignore_index)} AS labels
+SELECT conv_id, turn, conv_id * 1000 + turn AS idx, {pad_sql('ids', P.pad_id)} AS input_ids,
+  {pad_sql(ones_sql('ids'), 0)} AS attention_mask, {pad_sql('labels', P.ignore_index)} AS labels
 FROM ex WHERE len(ids) < {L})"""
 
 
@@ -67,8 +70,12 @@ def _sft_rows(spark, sf_dir):
 
 RANKED_SQL = f"""(WITH o AS (SELECT *, row_number() OVER (ORDER BY md5('{P.seed}:0:' || CAST(idx AS VARCHAR)), idx) - 1 AS p,
   count(*) OVER () AS n FROM {SFT_ROWS_SQL}),
-padded AS (SELECT * EXCLUDE (n) FROM o UNION ALL SELECT * EXCLUDE (n) REPLACE (p + n AS p) FROM o WHERE p < ({W} - n % {W}) % {W})
-SELECT (p % {W})::INTEGER AS rank, (p // {W})::BIGINT AS position, conv_id, turn, input_ids, labels FROM padded)"""
+padded AS (SELECT * EXCLUDE (n, p), unnest(range(p, CAST(ceil(n / {W}) * {W} AS BIGINT), n)) AS p FROM o)
+SELECT (p % {W})::INTEGER AS rank, (p // {W})::BIGINT AS position, conv_id, turn, input_ids, attention_mask, labels FROM padded)"""
+
+
+def _matrix_sql(c: str, order: str) -> str:
+    return f"string_agg(array_to_string({c}, ' '), ';' ORDER BY {order})"
 
 
 @q("rank_shards", f"SELECT rank, position, conv_id, turn FROM {RANKED_SQL}")
@@ -78,21 +85,39 @@ def rank_shards(spark, sf_dir):
 
 
 @q("collate_batches", f"""SELECT rank, (position // {B})::BIGINT AS batch, count(*)::INTEGER AS n_rows,
-  md5(string_agg(array_to_string(input_ids, ' '), ';' ORDER BY position)) AS ids_md5,
-  md5(string_agg(array_to_string(labels, ' '), ';' ORDER BY position)) AS labels_md5
+  md5({_matrix_sql('input_ids', 'position')}) AS ids_md5, md5({_matrix_sql('attention_mask', 'position')}) AS mask_md5,
+  md5({_matrix_sql('labels', 'position')}) AS labels_md5
 FROM {RANKED_SQL} GROUP BY ALL""")
 def collate_batches(spark, sf_dir):
     r = LD.rank_shards(_sft_rows(spark, sf_dir), "idx", P)
     b = LD.fixed_batches(r, "position", B)
-    c = LD.collate(b, ["rank", "batch"], "position", ["input_ids", "labels"])
+    c = LD.collate(b, ["rank", "batch"], "position", LD.SFT_COLUMNS)
     return c.select("rank", "batch", "n_rows", F.md5(LD.matrix_str("input_ids")).alias("ids_md5"),
+                    F.md5(LD.matrix_str("attention_mask")).alias("mask_md5"),
                     F.md5(LD.matrix_str("labels")).alias("labels_md5"))
 
 
+LM_BATCH = 72  # rows per device of the pretraining run
+
+
+@q("collate_lm", f"""SELECT (i // {LM_BATCH})::BIGINT AS batch, count(*)::INTEGER AS n_rows,
+  md5({_matrix_sql('ids', 'i')}) AS ids_md5, md5({_matrix_sql('segs', 'i')}) AS mask_md5
+FROM (WITH {packed_sql_cte()},
+      r AS (SELECT source, pack_group, chunk, list(id ORDER BY g) AS ids, list(seg ORDER BY g) AS segs FROM m WHERE split = 'train' GROUP BY ALL)
+      SELECT *, row_number() OVER (ORDER BY source, pack_group, chunk) - 1 AS i FROM r) GROUP BY ALL""")
+def collate_lm(spark, sf_dir):
+    """Batches of packed rows: ids and segment masks."""
+    p = saved_packed(spark, sf_dir).filter(F.col("split") == "train")
+    s = sequential_index(p, ["source", "pack_group", "chunk"], out="i")
+    c = LD.collate(LD.fixed_batches(s, "i", LM_BATCH), ["batch"], "i", LD.LM_COLUMNS)
+    return c.select("batch", "n_rows", F.md5(LD.matrix_str("input_ids")).alias("ids_md5"),
+                    F.md5(LD.matrix_str("attention_mask")).alias("mask_md5"))
+
+
 @q("fixed_batches", f"""SELECT (i // {B})::BIGINT AS batch, count(*)::BIGINT AS n_rows, min(idx) AS first_key, max(idx) AS last_key
 FROM (SELECT idx, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM {SFT_ROWS_SQL}) GROUP BY ALL""")
 def fixed_batches(spark, sf_dir):
-    s = LD.sequential_index(_sft_rows(spark, sf_dir), KEY, out="i")
+    s = sequential_index(_sft_rows(spark, sf_dir), KEY, out="i")
     b = LD.fixed_batches(s, "i", B)
     return b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"), F.min("idx").alias("first_key"),
                                   F.max("idx").alias("last_key"))
@@ -101,19 +126,40 @@ def fixed_batches(spark, sf_dir):
 PB = 18  # preference batch size of the reference's preference run
 
 
-@q("stack_preference", f"""WITH {dpo_encoded_sql()},
-r AS (SELECT conv_id, turn, {pad_sql('chosen_ids', P.pad_id)} AS c, {pad_sql('rejected_ids', P.pad_id)} AS rj,
-        row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM de WHERE len(chosen_ids) < {L} AND len(rejected_ids) < {L})
-SELECT (i // {PB})::BIGINT AS batch, (2 * count(*))::INTEGER AS n_rows,
-  md5(string_agg(array_to_string(c, ' '), ';' ORDER BY i) || ';' || string_agg(array_to_string(rj, ' '), ';' ORDER BY i)) AS stacked_md5
+_PAIR_MATRICES = {"chosen_ids": pad_sql("chosen_ids", P.pad_id), "chosen_attention_mask": pad_sql(ones_sql("chosen_ids"), 0),
+                  "chosen_labels": pad_sql("chosen_labels", P.ignore_index), "rejected_ids": pad_sql("rejected_ids", P.pad_id),
+                  "rejected_attention_mask": pad_sql(ones_sql("rejected_ids"), 0),
+                  "rejected_labels": pad_sql("rejected_labels", P.ignore_index)}
+PAIR_ROWS_SQL = f"""{dpo_encoded_sql()},
+r AS (SELECT {', '.join(f'{x} AS {c}' for c, x in _PAIR_MATRICES.items())}, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i
+      FROM de WHERE len(chosen_ids) < {L} AND len(rejected_ids) < {L})"""
+
+
+def _pair_batches(spark, sf_dir):
+    d = X.dpo_examples(A.preference(spark, sf_dir), KEY, vocab(spark, sf_dir), P)
+    b = LD.fixed_batches(sequential_index(d, KEY, out="i"), "i", PB)
+    return LD.collate(b, ["batch"], "i", LD.PREFERENCE_COLUMNS)
+
+
+@q("collate_preference", f"""WITH {PAIR_ROWS_SQL}
+SELECT (i // {PB})::BIGINT AS batch, count(*)::INTEGER AS n_rows, {', '.join(f"md5({_matrix_sql(c, 'i')}) AS {c}_md5" for c in LD.PREFERENCE_COLUMNS)}
 FROM r GROUP BY ALL""")
+def collate_preference(spark, sf_dir):
+    c = _pair_batches(spark, sf_dir)
+    return c.select("batch", "n_rows", *[F.md5(LD.matrix_str(x)).alias(f"{x}_md5") for x in LD.PREFERENCE_COLUMNS])
+
+
+def _stacked_sql(c: str, out: str) -> str:
+    return f"md5({_matrix_sql(f'chosen_{c}', 'i')} || ';' || {_matrix_sql(f'rejected_{c}', 'i')}) AS {out}"
+
+
+@q("stack_preference", f"""WITH {PAIR_ROWS_SQL}
+SELECT (i // {PB})::BIGINT AS batch, (2 * count(*))::INTEGER AS n_rows, {_stacked_sql('ids', 'stacked_md5')},
+  {_stacked_sql('attention_mask', 'mask_md5')}, {_stacked_sql('labels', 'labels_md5')} FROM r GROUP BY ALL""")
 def stack_preference(spark, sf_dir):
-    d = X.dpo_examples(A.preference(spark, sf_dir), KEY, vocab(spark, sf_dir), P)
-    s = LD.sequential_index(d, KEY, out="i")
-    b = LD.fixed_batches(s, "i", PB)
-    c = LD.collate(b, ["batch"], "i", ["chosen_ids", "rejected_ids"])
-    st = LD.stack_preference(c, "chosen_ids", "rejected_ids", "input_ids")
-    return st.select("batch", F.size("input_ids").alias("n_rows"), F.md5(LD.matrix_str("input_ids")).alias("stacked_md5"))
+    st = LD.stack_preference(_pair_batches(spark, sf_dir))
+    return st.select("batch", F.size("input_ids").alias("n_rows"), F.md5(LD.matrix_str("input_ids")).alias("stacked_md5"),
+                     F.md5(LD.matrix_str("attention_mask")).alias("mask_md5"), F.md5(LD.matrix_str("labels")).alias("labels_md5"))
 
 
 def _plan_sql(task: str, n: str) -> str:
@@ -129,7 +175,7 @@ def _pretrain_rows(spark, sf_dir):
     from packwright.functions import text as T
     from packwright.operators.packing import packed_counts
 
-    d = A.corpus(spark, sf_dir).filter(F.col("split") == "train").withColumn("pack_group", F.expr(f"doc_id div {P.group_rows}"))
+    d = with_pack_group(A.corpus(spark, sf_dir).filter(F.col("split") == "train"), ["split", "source"], "doc_id", P)
     c = packed_counts(d.withColumn("text", T.assemble_plain("text")), "text", GROUP, P)
     return c.agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
 
@@ -138,12 +184,13 @@ def _pretrain_rows(spark, sf_dir):
 UNION ALL {_plan_sql('sft', f"(SELECT count(*) FROM {SFT_ROWS_SQL})")}
 UNION ALL {_plan_sql('dpo', f"(WITH {dpo_encoded_sql()} SELECT count(*) FROM de WHERE len(chosen_ids) < {L} AND len(rejected_ids) < {L})")}""")
 def step_plan(spark, sf_dir):
-    v = vocab(spark, sf_dir)
+    """Rows are counted from token counts; nothing is encoded."""
+    sft = X.sft_lengths(A.sft(spark, sf_dir), [], P).filter(F.col("n_tokens") < L)
+    dpo = X.dpo_lengths(A.preference(spark, sf_dir), [], P).filter((F.col("n_chosen") < L) & (F.col("n_rejected") < L))
     counts = (
         _pretrain_rows(spark, sf_dir).withColumn("task", F.lit("pretrain"))
-        .unionByName(_sft_rows(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("task", F.lit("sft")))
-        .unionByName(X.dpo_examples(A.preference(spark, sf_dir), KEY, v, P).agg(F.count(F.lit(1)).alias("n_rows"))
-                     .withColumn("task", F.lit("dpo")))
+        .unionByName(sft.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("task", F.lit("sft")))
+        .unionByName(dpo.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("task", F.lit("dpo")))
     )
     return LD.step_plan(counts, P)
 

@@ -8,14 +8,7 @@ MODULES = ("corpus", "instruct", "loading", "scores", "storage", "incremental")
 
 
 def _modules():
-    out = []
-    for m in MODULES:
-        try:
-            out.append(importlib.import_module(f"packwright.plans.{m}"))
-        except ModuleNotFoundError as e:  # module not written yet
-            if f"packwright.plans.{m}" not in str(e):
-                raise
-    return out
+    return [importlib.import_module(f"packwright.plans.{m}") for m in MODULES]
 
 
 def queries() -> dict:

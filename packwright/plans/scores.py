@@ -10,8 +10,9 @@ from packwright import sql as S
 from packwright.functions.arrays import truncate_at
 from packwright.operators import examples as X
 from packwright.operators import scoring as SC
-from packwright.operators.loading import fixed_batches, sequential_index
-from packwright.operators.tokens import encode, pretokens
+from packwright.operators.loading import fixed_batches
+from packwright.operators.ordering import sequential_index
+from packwright.operators.tokens import bounded_broadcast, encode, pretokens
 from packwright.params import EOS_TOKEN, SPECIAL_TOKENS
 from packwright.plans.common import EOS, L, P, ids_str, tokens_sql, vocab, vocab_sql
 from packwright.plans.corpus import CONV_TEXT_SQL, packed_sql_cte, saved_packed
@@ -88,7 +89,7 @@ SELECT count(*)::BIGINT AS n_pairs, round(avg(-c + {BETA} * orl), 6) AS loss, ro
   round({BETA} * avg(r), 6) AS rejected_rewards, round(avg(CASE WHEN c > r THEN 1.0 ELSE 0.0 END), 6) AS acc FROM lo""")
 def orpo_metrics(spark, sf_dir):
     x = _pair_token_rows(spark, sf_dir)
-    j = x.join(F.broadcast(_logp(spark, sf_dir).withColumnRenamed("id", "lab")), "lab", "left")
+    j = x.join(bounded_broadcast(_logp(spark, sf_dir).withColumnRenamed("id", "lab")), "lab", "left")
     side = F.col("side")
     pa = j.groupBy(*KEY).agg(
         (F.sum(F.when(side == 0, F.col("logp"))) / (F.count(F.when(side == 0, 1)) + F.lit(1e-5))).alias("c"),
@@ -98,23 +99,20 @@ def orpo_metrics(spark, sf_dir):
     return m.select("n_pairs", *[F.round(c, 6).alias(c) for c in m.columns if c != "n_pairs"])
 
 
-REF_LANG = "en"
-
-
 def _ref_logp(spark, sf_dir):
-    """Reference-model stand-in: unigram of one language's documents over the same ids.
+    """Reference-model stand-in: unigram of all conversation turns over the same ids.
     Tokens are matched to the broadcast vocabulary before counting, so both sides of
     the final join are vocabulary-sized."""
-    d = A.table(spark, sf_dir, "documents").filter(F.col("lang") == REF_LANG)
+    d = A.table(spark, sf_dir, "conversations")
     v = vocab(spark, sf_dir).select("token", "id")
-    toks = d.select(F.explode(pretokens("text")).alias("token")).join(F.broadcast(v), "token")
+    toks = d.select(F.explode(pretokens("text")).alias("token")).join(bounded_broadcast(v), "token")
     cnt = toks.groupBy("id").agg(F.count(F.lit(1)).alias("c_ref"))
     j = v.join(cnt, "id", "left").select("id", F.coalesce("c_ref", F.lit(0)).cast("bigint").alias("cnt"))
     return SC.unigram_logp(j).withColumnRenamed("logp", "logp_ref")
 
 
 @q("dpo_loss", f"""WITH {PAIR_ROWS_SQL},
-rc AS (SELECT token, count(*) AS c_ref FROM (SELECT unnest({S.pretokens('text')}) AS token FROM documents WHERE lang = '{REF_LANG}') GROUP BY token),
+rc AS (SELECT token, count(*) AS c_ref FROM (SELECT unnest({S.pretokens('text')}) AS token FROM conversations) GROUP BY token),
 rl AS (SELECT id, ln((cnt + 1) / (sum(cnt) OVER () + count(*) OVER ())) AS logp_ref FROM (SELECT v.id, coalesce(rc.c_ref, 0) AS cnt FROM vocab v LEFT JOIN rc USING (token))),
 j AS (SELECT conv_id, turn, side, logp, logp_ref FROM u LEFT JOIN lp ON lp.id = u.s.lab LEFT JOIN rl ON rl.id = u.s.lab WHERE s.pos >= 2 AND s.lab <> {IGN}),
 pa AS (SELECT conv_id, turn, sum(logp) FILTER (WHERE side = 0) AS pc, sum(logp) FILTER (WHERE side = 1) AS pr,
@@ -123,7 +121,7 @@ SELECT conv_id, turn, round({_softplus_sql(f'-{BETA} * ((pc - pr) - (rc_ - rr))'
 def dpo_loss(spark, sf_dir):
     x = _pair_token_rows(spark, sf_dir)
     lp = _logp(spark, sf_dir).join(_ref_logp(spark, sf_dir), "id").withColumnRenamed("id", "lab")
-    j = x.join(F.broadcast(lp), "lab", "left")  # vocabulary-sized
+    j = x.join(bounded_broadcast(lp), "lab", "left")  # vocabulary-sized
     side = F.col("side")
     pa = j.groupBy(*KEY).agg(
         F.sum(F.when(side == 0, F.col("logp"))).alias("pc"), F.sum(F.when(side == 1, F.col("logp"))).alias("pr"),
@@ -147,7 +145,7 @@ def perplexity(spark, sf_dir):
     p = sequential_index(p, ["pack_group", "source", "chunk"], out="i")
     p = fixed_batches(p, "i", P.batch_size)
     t = p.select("batch", F.posexplode("input_ids").alias("pos", "id")).filter(F.col("pos") >= 1)
-    t = t.join(F.broadcast(_logp(spark, sf_dir)), "id")
+    t = t.join(bounded_broadcast(_logp(spark, sf_dir)), "id")
     b = t.groupBy("batch").agg(F.sum(-F.col("logp")).alias("s"), F.count(F.lit(1)).alias("n"))
     return b.agg(
         F.count(F.lit(1)).alias("n_batches"), F.sum("n").cast("bigint").alias("n_tokens"),
@@ -170,7 +168,7 @@ def _penalised(spark, sf_dir):
     cc = d.select("lang", F.explode(pretokens("text")).alias("token")).groupBy("lang", "token").agg(
         F.count(F.lit(1)).alias("cnt"))
     specials = F.array(*[F.lit(t) for t in SPECIAL_TOKENS])
-    v = F.broadcast(vocab(spark, sf_dir).select("token"))
+    v = bounded_broadcast(vocab(spark, sf_dir).select("token"))
     cand = cc.join(v, "token", "left_semi").filter(~F.array_contains(specials, F.col("token")))
     cand = cand.select("lang", "token", (F.log(F.col("cnt")) - F.lit(2.0)).alias("score"))
     hist = A.table(spark, sf_dir, "benchmark").select(F.explode(pretokens("text")).alias("token"))
@@ -228,11 +226,11 @@ def topn_in_order(spark, sf_dir):
     return d.select("doc_id", ids_str(SC.top_n_in_order(F.col("lines"), F.length, KEEP_RATIO)).alias("kept"))
 
 
-N_BUCKETS = 4
+N_BUCKETS = 64  # one for each element of a vector
 PER_ITEM = 1
 
 
-@q("capacity_assign", f"""WITH e AS (SELECT vec_id // {GROUP_ITEMS} AS grp, vec_id, list_transform(embedding[1:{N_BUCKETS}], lambda x: x::DOUBLE) AS v FROM embeddings),
+@q("capacity_assign", f"""WITH e AS (SELECT vec_id // {GROUP_ITEMS} AS grp, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 p AS (SELECT grp, vec_id, list_transform(v, lambda x: round(exp(x - list_max(v)) / list_sum(list_transform(v, lambda y: exp(y - list_max(v)))), 6)) AS probs FROM e),
 x AS (SELECT grp, vec_id, unnest(list_transform(probs, lambda x, i: {{'b': i - 1, 'p': x}})) AS s FROM p),
 r AS (SELECT grp, vec_id, s.b AS bucket, row_number() OVER (PARTITION BY grp, s.b ORDER BY s.p DESC, vec_id) AS rk,
@@ -241,7 +239,7 @@ t AS (SELECT grp, vec_id, bucket::INTEGER AS bucket FROM r WHERE rk <= cap)
 SELECT * FROM t UNION ALL SELECT grp, vec_id, -1 FROM e WHERE (grp, vec_id) NOT IN (SELECT (grp, vec_id) FROM t)""")
 def capacity_assign(spark, sf_dir):
     e = _emb(spark, sf_dir)
-    v = F.slice("v", 1, N_BUCKETS)
+    v = F.col("v")
     m = F.array_max(v)
     ex = F.transform(v, lambda x: F.exp(x - m))
     s = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)

@@ -74,19 +74,52 @@ def packed_roundtrip(spark, sf_dir):
 CORRUPT_EVERY = 97
 
 
-@q("file_audit", f"""SELECT source, (count(*) + count(*) FILTER (WHERE doc_id % {CORRUPT_EVERY} = 0))::BIGINT AS n_rows,
-  count(*)::BIGINT AS n_valid, count(*) FILTER (WHERE doc_id % {CORRUPT_EVERY} = 0)::BIGINT AS n_corrupt FROM documents GROUP BY source""")
+SOUND_SQL = "SELECT source, count(*) AS n FROM documents GROUP BY source"
+BROKEN_SQL = f"SELECT source, count(*) AS n FROM documents WHERE doc_id % {CORRUPT_EVERY} = 0 GROUP BY source"
+
+
+def _broken_lines(d):
+    return d.filter(F.col("doc_id") % CORRUPT_EVERY == 0).select(
+        F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" {")).alias("value"), "source")
+
+
+def _source_of(file):
+    return F.regexp_extract(file, "source=([^/]*)/", 1).alias("source")
+
+
+@q("file_audit", f"""SELECT source, n::BIGINT AS n_rows, n::BIGINT AS n_valid, 0::BIGINT AS n_corrupt FROM ({SOUND_SQL})
+UNION ALL SELECT source, n::BIGINT, 0::BIGINT, n::BIGINT FROM ({BROKEN_SQL})""")
 def file_audit(spark, sf_dir):
-    """Corpus as JSON shards per source, plus broken lines for every 97th document;
-    the audit counts rows and unparsable rows per shard folder."""
-    d = A.table(spark, sf_dir, "documents")
+    """A sound JSON file for each source, and one of broken lines from every 97th document; the
+    audit has a row for each file, which names it (here its source folder is shown)."""
+    d = A.table(spark, sf_dir, "documents").repartition("source")  # one file a source
     base = R.new_location(spark, "audit")
     R.write_jsonl(d.select("doc_id", "text", "source"), base, partition_by=["source"])
-    broken = d.filter(F.col("doc_id") % CORRUPT_EVERY == 0).select(
-        F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" {")).alias("value"), "source")
-    broken.write.mode("append").partitionBy("source").text(base)
-    schema = StructType.fromDDL("doc_id bigint, text string")
-    return R.audit_json(spark, base, schema, ["source"])
+    _broken_lines(d).write.mode("append").partitionBy("source").text(base)
+    a = R.audit_json(spark, base, StructType.fromDDL("doc_id bigint, text string"))
+    return a.select(_source_of("file"), "n_rows", "n_valid", "n_corrupt")
+
+
+@q("parquet_audit", f"""SELECT source, n::BIGINT AS n_rows, true AS readable FROM ({SOUND_SQL})
+UNION ALL SELECT source, 0::BIGINT, false FROM ({BROKEN_SQL})""")
+def parquet_audit(spark, sf_dir):
+    """The same for Parquet: sound files, and files that are not Parquet at all."""
+    d = A.table(spark, sf_dir, "documents").repartition("source")
+    base = R.new_location(spark, "audit-parquet")
+    d.select("doc_id", "text", "source").write.partitionBy("source").parquet(base)
+    _broken_lines(d).write.mode("append").partitionBy("source").text(base)
+    a = R.audit_parquet(spark, base, "doc_id bigint, text string")
+    return a.select(_source_of("file"), "n_rows", "readable")
+
+
+SAMPLE_N = 10
+
+
+@q("sample_jsonl", f"SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id LIMIT {SAMPLE_N}")
+def sample_jsonl(spark, sf_dir):
+    """The first rows of a folder of JSON lines (the preview is the feature)."""
+    path = R.write_jsonl(A.table(spark, sf_dir, "documents"), R.new_location(spark, "sample-json"))
+    return R.read_jsonl(spark, path, DOC_SCHEMA, "doc_id", SAMPLE_N).select("doc_id", "source", "n_chars")
 
 
 NUM_SHARDS = 5
@@ -115,6 +148,6 @@ def json_array_scan(spark, sf_dir):
         F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.struct("conv_id", "turn", rec.alias("j"))))
                                           .getField("j"), ","), F.lit("]")).alias("value"))
     base = R.new_location(spark, "json-arrays")
-    docs.write.partitionBy("shard").text(base)
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(base)  # one folder, one array a file
     back = R.read_json_array(spark, base, SFT_SCHEMA)
     return back.select("conv_id", "turn", F.size("history").alias("n_history"), "output")

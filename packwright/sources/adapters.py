@@ -10,42 +10,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packwright import sql as S
-from packwright.params import DEFAULT, Params
 
 # Fixed values of the adapters (test-data conventions).
-VALIDATION_EVERY = 10                    # doc_id % 10 = 0 -> validation split
+# Blocks of consecutive ids go to one split, every tenth to validation; sources repeat within
+# a block, so split and source are independent.
+SPLIT_BLOCK = 20
+VALIDATION_EVERY = 10
 SFT_INPUT_SUFFIX = "Reply in the same language."
 SCREENSHOT_TITLE = "截图"
 
 
-# Row key of every shared table (the column the tables are spread by when needed).
-TABLE_KEYS = {"documents": "doc_id", "conversations": "conv_id", "embeddings": "vec_id", "benchmark": "item_id",
-              "labels": "doc_id", "pages": "page_id", "events": "event_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), TABLE_KEYS.get(name))
-
-
-def spread(df: DataFrame, key: str | None) -> DataFrame:
-    """A scan planned as fewer splits than the cluster has task slots (a small table,
-    or one file with one row group) would be read, tokenized and cleaned by a handful
-    of tasks; such a table is small relative to the cluster, so it is hash-partitioned
-    by its row key first (cheap). Scans with at least as many splits as slots are left
-    alone, so large inputs are never reshuffled here. Hashing by the key keeps rows of
-    one key together, so later windows and aggregations by that key reuse it."""
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    if key is None or df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(max(slots, 2 * df.rdd.getNumPartitions()), key)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def split_col(key: str = "doc_id"):
-    return F.when(F.col(key) % VALIDATION_EVERY == 0, F.lit("validation")).otherwise(F.lit("train"))
+    block = F.expr(f"{key} div {SPLIT_BLOCK}")
+    return F.when(block % VALIDATION_EVERY == 0, F.lit("validation")).otherwise(F.lit("train"))
 
 
-SPLIT_SQL = f"(CASE WHEN doc_id % {VALIDATION_EVERY} = 0 THEN 'validation' ELSE 'train' END)"
+SPLIT_SQL = f"(CASE WHEN doc_id // {SPLIT_BLOCK} % {VALIDATION_EVERY} = 0 THEN 'validation' ELSE 'train' END)"
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +220,3 @@ SFT_DUP_SQL = (
     "SELECT *, conv_id * 1000 + turn AS idx FROM (" + SFT_SQL + ") UNION ALL "
     "SELECT *, 10000000000 + conv_id * 1000 + turn AS idx FROM (" + SFT_SQL + ") WHERE conv_id % 5 = 0"
 )
-
-
-def params_for_tests() -> Params:
-    return DEFAULT

@@ -15,9 +15,24 @@ from packwright.session import scratch_path
 CORRUPT = "_corrupt_record"
 
 
+_MADE: list[str] = []
+
+
 def new_location(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location for one written table."""
-    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    _MADE.append(scratch_path(spark, f"{name}-{uuid.uuid4().hex}"))
+    return _MADE[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the folders that :func:`new_location` gave out in this process; results that read
+    them are over by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _MADE:
+        p = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(p.getFileSystem(conf).delete(p, True))
+    return n
 
 
 def read_splits(spark: SparkSession, fmt: str, train: list[str], validation: list[str],
@@ -87,10 +102,22 @@ def shard_subset(spark: SparkSession, base: str, num_shards: int, fmt: str = "pa
     return r.format(fmt).load(chosen)
 
 
-def audit_json(spark: SparkSession, path: str, schema: StructType, by: list[str]) -> DataFrame:
-    """File health: rows and unparsable rows per group (e.g. per shard folder)."""
+def audit_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """File health, one row per file: rows, sound rows and unparsable rows."""
     s = StructType(schema.fields + [StructField(CORRUPT, StringType(), True)])
     df = spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     first = schema.fields[0].name  # referencing a data column keeps the raw-file scan legal
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count(first).alias("n_valid"),
-                               F.count(CORRUPT).alias("n_corrupt"))
+    return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(first).alias("n_valid"), F.count(CORRUPT).alias("n_corrupt"))
+
+
+def audit_parquet(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """File health, one row per file: its rows, and whether any could be read. The listing is
+    Spark's own (paths only, no content); files that cannot be read give no rows."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        F.regexp_replace("path", "^file:/+", "file:///").alias("file"))
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path)
+    read = rows.groupBy(F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("file")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return files.join(read, "file", "left").select(
+        "file", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"), F.col("n").isNotNull().alias("readable"))

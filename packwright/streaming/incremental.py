@@ -13,21 +13,16 @@ from pyspark.sql.types import StructType
 from packwright.params import DEFAULT, Params
 
 
-ROWS_PER_LANDED_FILE = 250_000
-
-
-def land(df: DataFrame, path: str, key: str, unit: str | None = None, min_files: int = 4,
-         rows_per_file: int = ROWS_PER_LANDED_FILE) -> str:
-    """Land a table as key-ordered files, the way a stream would see shards arrive.
+def land(df: DataFrame, path: str, key: str, unit: str | None = None, files: int = 4) -> str:
+    """Land a table as ``files`` key-ordered files, the way a stream would see shards arrive.
 
     One distributed write: rows are range-partitioned on ``unit`` (default ``key``), so
     rows sharing a unit are never split across files, sorted by ``key`` inside each
-    file; the file count grows with the data. File modification times are then set in
-    key order (metadata only), so a file stream (oldest first) reads them in order.
-    A test-side helper: in production the files arrive from upstream."""
-    n = max(min_files, -(-df.count() // rows_per_file))
+    file. File modification times are then set in key order (metadata only), so a file
+    stream (oldest first) reads them in order; on a store that ignores them the order of
+    arrival is the store's. A test-side helper: in production files arrive from upstream."""
     part = F.col(unit) if unit else F.col(key)
-    df.repartitionByRange(n, part).sortWithinPartitions(key).write.parquet(path)
+    df.repartitionByRange(files, part).sortWithinPartitions(key).write.parquet(path)
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -66,11 +61,18 @@ def dedup_within_watermark(stream: DataFrame, key_cols: list[str], event_time: s
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(key_cols)
 
 
+def with_lane(df: DataFrame, key: str, block: int, lanes: int, out: str = "lane") -> DataFrame:
+    """Blocks of ``block`` consecutive keys dealt out to ``lanes`` packing lanes in turn."""
+    return df.withColumn(out, F.expr(f"cast({key} div {block} % {lanes} as string)"))
+
+
 def carry_over_pack(stream: DataFrame, group_cols: list[str], order_col: str, ids_col: str,
                     params: Params = DEFAULT) -> DataFrame:
     """Pack across micro-batches: per group the remainder (< max_length tokens) is kept
     in state and prefixed to the next batch's tokens, so no tokens are dropped at batch
-    boundaries. State per group is bounded by max_length."""
+    boundaries. State per group is bounded by max_length. A group is one task at a time:
+    put a lane of the key (see ``with_lane``) into ``group_cols``, so that a source that holds
+    a third of the rows is packed by many tasks, each with its share of a micro-batch."""
     import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout

@@ -124,3 +124,31 @@ def test_pretrain_job_with_sentencepiece_model(spark, tmp_path):
         for t, m in zip(r.input_ids, r.attention_mask):
             assert m == cur
             cur += t == eos
+
+
+def test_combined_split_is_the_same_for_any_cluster_size(spark, tmp_path):
+    src = tmp_path / "d.jsonl"
+    src.write_text("\n".join(json.dumps({"instruction": f"q{i % 900}", "input": "", "output": f"o{i}", "history": [["u", "v"]]})
+                             for i in range(1000)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled",
+                                          "spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes")}
+    got = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for parts, split in (("8", "128m"), ("16", "8k")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            out = jobs.combine(spark, [], str(src), None, str(tmp_path / f"out{parts}"), array=False)
+            res = spark.read.schema(jobs.SCHEMAS["sft"] + ", split string").json(out)
+            got.append(sorted(r.output for r in res.filter("split = 'test'").collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got[0]) == 90 and got[0] == got[1]
+
+
+def test_code_corpus_keeps_its_rows_by_default(spark):
+    raw = spark.createDataFrame([(0, "train", "x = 1", "Python"), (1, "train", "int x;", "C")],
+                                "__order long, split string, code string, language string")
+    assert [r.text for r in jobs.corpus_text(raw, "code").collect()] == ["x = 1<|endoftext|>"]

@@ -15,7 +15,7 @@ def test_carry_over_pack_equals_corpus_wide_packing(spark):
     rows = [(k, "s" + str(k % 2), [rnd.randrange(3, 40) for _ in range(rnd.randrange(1, 25))] + [2]) for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, source string, ids array<int>").withColumn(
         "unit", F.expr("doc_id div 10"))
-    path = ST.land(df, new_location(spark, "t-landing"), "doc_id", unit="unit", min_files=6, rows_per_file=50)
+    path = ST.land(df, new_location(spark, "t-landing"), "doc_id", unit="unit", files=6)
     stream = ST.source(spark, path, "doc_id long, source string, ids array<int>, unit long")
     p = Params(max_length=16)
     packed = ST.carry_over_pack(stream, ["source"], "doc_id", "ids", p)
@@ -25,13 +25,29 @@ def test_carry_over_pack_equals_corpus_wide_packing(spark):
     assert got == want and len(got) > 20
 
 
+def test_lanes_spread_a_hot_source_over_tasks(spark):
+    # "hot" holds a third of the rows; with lanes its packing is many groups, not one
+    rows = [(k, "hot" if k % 3 == 0 else f"s{k % 5}", [k % 30 + 3] * (k % 7 + 1) + [2]) for k in range(2000)]
+    df = ST.with_lane(spark.createDataFrame(rows, "doc_id long, source string, ids array<int>"), "doc_id", 10, 8)
+    hot = df.filter("source = 'hot'").groupBy("lane").count().collect()
+    assert len(hot) == 8 and max(r["count"] for r in hot) < 120
+    path = ST.land(df.withColumn("unit", F.expr("doc_id div 100")), new_location(spark, "t-lanes"), "doc_id", unit="unit", files=4)
+    stream = ST.source(spark, path, "doc_id long, source string, ids array<int>, lane string")
+    p = Params(max_length=16)
+    out = ST.run_to_table(ST.carry_over_pack(stream, ["source", "lane"], "doc_id", "ids", p),
+                          new_location(spark, "t-lanes-out"), new_location(spark, "t-lanes-ckpt"))
+    got = {(r.source, r.lane, r.chunk): r.input_ids for r in spark.read.parquet(out).collect()}
+    want = {(r.source, r.lane, r.chunk): r.input_ids for r in pack_ids(df, "ids", ["source", "lane"], "doc_id", p).collect()}
+    assert got == want and len({k[1] for k in got if k[0] == "hot"}) == 8
+
+
 def test_watermark_dedup_keeps_one_per_key(spark):
     # event times start well after the epoch: Spark counts rows at or below the
     # watermark as late, and the first watermark is 0
     rows = [(i, f"k{i % 7}", 1_000 + i % 7) for i in range(70)]
     df = spark.createDataFrame(rows, "idx long, key string, t long").withColumn("ts", F.timestamp_seconds("t"))
-    path = ST.land(df.select("idx", "key", "ts"), new_location(spark, "t-land2"), "idx", min_files=3)
-    s = ST.source(spark, path, "idx long, key string, ts timestamp", files_per_trigger=10)
+    path = ST.land(df.select("idx", "key", "ts"), new_location(spark, "t-land2"), "idx", files=3)
+    s = ST.source(spark, path, "idx long, key string, ts timestamp", files_per_trigger=1)
     out = ST.run_to_table(ST.dedup_within_watermark(s, ["key"], "ts", "1 hour").select("key"),
                           new_location(spark, "t-out2"), new_location(spark, "t-ckpt2"))
     assert sorted(r.key for r in spark.read.parquet(out).collect()) == [f"k{i}" for i in range(7)]

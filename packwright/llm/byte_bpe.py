@@ -3,9 +3,8 @@
 ``encode`` gives each text's ids exactly as the library's ``encode_ordinary`` does; ``decode``
 gives the raw bytes of ids (which need not be valid UTF-8 on their own).
 
-Texts are cut before white space that follows other characters. Every match of the pattern
-ends there, so the ids of the pieces, one after another, are the ids of the text; a long text
-never reaches the library whole. Ids of short pieces are kept in a table of bounded size.
+Long texts are cut before white space that follows other characters. Every match of the
+pattern ends there, so the ids of the parts, one after another, are the ids of the text.
 The ranks are read once on the driver and broadcast (one vocabulary file, about 1 MB).
 
 Defined cases: null and empty texts have no ids; strings of special tokens are ordinary text;
@@ -18,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -31,52 +30,49 @@ from packwright.llm import common as C
 #: White space as the pre-tokenization patterns of these vocabularies know it (Unicode
 #: White_Space). Fixed values.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-TABLE_PIECES = 200_000
-PIECE_CHARS = 48
+#: Where a text may be cut: white space after something else.
+_CUT = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
+LONG = 1 << 16  # characters handed to the library at once, to the next cut
 
 
-class PieceTable(dict):
-    """piece -> its ids as little-endian 32-bit integers; short pieces are remembered, and
-    the table starts anew when full."""
+def cuts(text: str, size: int = LONG) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters that end where a match must end."""
+    at = 0
+    while len(text) - at > size:
+        m = _CUT.search(text, at + size)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
-    def __init__(self, encode: Callable[[str], list[int]]):
-        super().__init__()
-        self.encode = encode
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.encode(piece), dtype="<u4").tobytes()
-        if len(piece) <= PIECE_CHARS:
-            if len(self) >= TABLE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, PIECES.findall(text)))
-
-
-_TABLES: dict = {}  # of this Python worker
+_LIBRARIES: dict = {}  # of this Python worker
 
 
 def ranks_of(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
-def piece_table(data: bytes, pattern: str) -> PieceTable:
+def library(data: bytes, pattern: str):
     import tiktoken
 
     name = hashlib.md5(data + pattern.encode()).hexdigest()
-    if name not in _TABLES:
-        library = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks_of(data), special_tokens={})
-        _TABLES[name] = PieceTable(library.encode_ordinary)
-    return _TABLES[name]
+    if name not in _LIBRARIES:
+        _LIBRARIES[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks_of(data), special_tokens={})
+    return _LIBRARIES[name]
+
+
+def encode_text(lib, text: str) -> np.ndarray:
+    parts = [np.asarray(lib.encode_ordinary(x), dtype=np.int32) for x in cuts(text)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def id_lists(parts: list[bytes]) -> pa.Array:
-    """Arrow lists of 32-bit ids from their bytes."""
-    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+def id_lists(parts: list[np.ndarray]) -> pa.Array:
+    """Arrow lists of 32-bit ids."""
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,8 +81,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def run(b: pa.RecordBatch) -> dict:
-        table = piece_table(data.value, pattern)
-        return {"id": b.column("id"), "ids": id_lists([table.text(t or "") for t in b.column("t").to_pylist()])}
+        lib = library(data.value, pattern)
+        return {"id": b.column("id"), "ids": id_lists([encode_text(lib, t or "") for t in b.column("t").to_pylist()])}
 
     return C.arrow_map(src, run, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>")
 

@@ -23,10 +23,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,15 +39,138 @@ from packwright.session import scratch_path
 SCHEMA = "id long, part int, at long, n_tokens long, ids array<int>"
 
 
-def piece_table(data: bytes) -> byte_bpe.PieceTable:
-    from tokenizers import Tokenizer
-
+#: What a text split at spaces shows if white space or nothing follows a space in it.
+_ODD = f"^(?:[{byte_bpe._SPACE}]|$)"
+#: Letters for certain (Latin, Cyrillic) and ASCII symbols other than the apostrophe.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯ"
+_SYMBOLS = r"!-&(-/:-@\[-`{-~"
+LIBRARY_WORDS = 20_000  # in one string
+_WORD = f"^(?P<word>[{_LETTERS}]+)(?P<tail>[{_SYMBOLS}]*)$"
+GROUP_BYTES = 8 << 20  # of text in which equal words are encoded once
+
+
+class Encoder:
+    """Ids of texts by the library, which sees each different word of a group of texts once.
+
+    No token spans the border before a space that something other than white space follows, nor
+    the one between a letter and an ASCII symbol other than the apostrophe. So a text's ids are
+    those of its words (with the space before them) and their trailing symbols, one after
+    another. Arrow's dictionary encoding tells words apart; the library gets the different ones
+    in one string, and their ids are told apart by counting bytes."""
+
+    def __init__(self, data: bytes):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library = Tokenizer.from_str(data.decode())
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the same for strings of words of letters only, whose matches are known beforehand
+        self.letters = Tokenizer.from_str(data.decode())
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(" ", "merged_with_next"),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        # byte-level vocabularies write every byte as one character
+        self.size_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, number in vocabulary.items():
+            self.size_of[number] = len(token)
+
+    def plain(self, text: str) -> np.ndarray:
+        parts = [np.asarray(self.library.encode(x, add_special_tokens=False).ids, dtype=np.int32)
+                 for x in byte_bpe.cuts(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    def spaced(self, library, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words with a space before each, and how many each has."""
+        n, out = len(words), [np.empty(0, np.int32)]
+        ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        for i in range(0, n, LIBRARY_WORDS):
+            part = words.slice(i, LIBRARY_WORDS)
+            text = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(part)], part), " ")[0].as_py()
+            out.append(np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32))
+        ids = np.concatenate(out)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.size_of[ids]), ends) + 1, prepend=0)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for different words of any kind."""
+        found = pc.extract_regex(words, _WORD)
+        simple = found.is_valid().to_numpy(zero_copy_only=False)
+        kind = np.where(simple)[0]
+        base = pc.dictionary_encode(found.field("word").filter(pa.array(simple)))
+        tail = pc.dictionary_encode(found.field("tail").filter(pa.array(simple)))
+        tails = [self.plain(x) for x in tail.dictionary.to_pylist()]
+        other = words.filter(pa.array(~simple))
+        base_ids, base_n = self.spaced(self.letters, base.dictionary)
+        other_ids, other_n = self.spaced(self.library, other)
+        # lists one after another: base words, tails, other words
+        n = np.concatenate([base_n, np.array([len(x) for x in tails], dtype=np.int64), other_n])
+        pool = np.concatenate([base_ids, *tails, other_ids])
+        place = np.cumsum(n) - n
+        parts = np.full((len(words), 2), -1)
+        parts[kind, 0] = base.indices.to_numpy()
+        parts[kind, 1] = len(base_n) + tail.indices.to_numpy()
+        parts[~simple, 0] = len(base_n) + len(tails) + np.arange(len(other))
+        flat = parts.ravel()
+        size = np.where(flat < 0, 0, n[flat])
+        return take_lists(pool, place[flat], size), size.reshape(-1, 2).sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        starts = split.offsets.to_numpy().astype(np.int64)
+        words = pc.dictionary_encode(split.values)
+        number, distinct = words.indices.to_numpy(), words.dictionary
+        # a text's first word has no space before it
+        heads = split.values.take(pa.array(starts[:-1])).to_pylist()
+        first = np.zeros(len(number), dtype=bool)
+        first[starts[:-1]] = True
+        odd_word = pc.match_substring_regex(distinct, _ODD).to_numpy(zero_copy_only=False)
+        odd = np.logical_or.reduceat(odd_word[number] & ~first, starts[:-1])
+        pool, n = self.words(distinct)
+        size = np.where(first, 0, n[number])
+        ids = take_lists(pool, (np.cumsum(n) - n)[number], size)
+        at = np.concatenate(([0], np.cumsum(size)))[starts].tolist()
+        out = []
+        for i, head in enumerate(heads):
+            rest = ids[at[i] : at[i + 1]]
+            if odd[i]:  # encoded on its own
+                out.append(self.plain(texts[i].as_py()))
+            else:
+                out.append(np.concatenate([self.plain(head), rest]) if head else rest)
+        return out
+
+
+def take_lists(pool: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs pool[place : place + size], one after another."""
+    total = int(size.sum())
+    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((place - np.cumsum(size) + size).astype(kind), size)
+    at += np.arange(total, dtype=kind)
+    return pool[at]
+
+
+_ENCODERS: dict = {}  # of this Python worker
+
+
+def encoder(data: bytes) -> Encoder:
     name = hashlib.md5(data).hexdigest()
-    if name not in byte_bpe._TABLES:
-        library = Tokenizer.from_str(data.decode())
-        library.encode_special_tokens = True  # their strings in a text are ordinary text
-        byte_bpe._TABLES[name] = byte_bpe.PieceTable(lambda s: library.encode(s, add_special_tokens=False).ids)
-    return byte_bpe._TABLES[name]
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(data)
+    return _ENCODERS[name]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together while ``column`` holds less than ``limit`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.column(column).nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def encode_sorted(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -54,16 +179,16 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: s
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"),
                       F.col(text_col).alias("t")).repartitionByRange("id", "th").sortWithinPartitions("id", "th")
     types = C.pa_schema(docs.sparkSession, SCHEMA)
-    end = np.asarray([end_id], dtype="<u4").tobytes()
+    end = np.asarray([end_id], dtype=np.int32)
 
     def run(batches):
         from pyspark import TaskContext
 
-        table, part, at = piece_table(data.value), TaskContext.get().partitionId(), 0
-        for b in batches:
-            lists = [table.text(t or "") + end for t in b.column("t").to_pylist()]
-            n = np.array([len(x) // 4 for x in lists], dtype=np.int64)
-            yield C.to_batch({"id": b.column("id"), "part": np.full(len(n), part, np.int32),
+        enc, part, at = encoder(data.value), TaskContext.get().partitionId(), 0
+        for group in grouped(batches, "t", GROUP_BYTES):
+            lists = [np.concatenate([x, end]) for x in enc.encode(group.column("t"))]
+            n = np.array([len(x) for x in lists], dtype=np.int64)
+            yield C.to_batch({"id": group.column("id"), "part": np.full(len(n), part, np.int32),
                               "at": at + np.cumsum(n) - n, "n_tokens": n, "ids": byte_bpe.id_lists(lists)}, types)
             at += int(n.sum())
 

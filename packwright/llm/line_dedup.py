@@ -86,7 +86,7 @@ def without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
     """Texts put together again, by position, from the lines that stay."""
     out = texts.to_pylist()
     for i, positions in enumerate(gone.to_pylist()):
-        if positions is not None:
+        if positions is not None and out[i] is not None:
             drop = set(positions)
             out[i] = "\n".join([x for p, x in enumerate(out[i].split("\n")) if p not in drop])
     return pa.array(out, type=pa.string())

@@ -12,8 +12,8 @@
    whose distance is within ``ratio`` of the nearest one's: few where vectors lie in clusters,
    many where they do not.
 6. Lists are stored in blocks of bounded size, so long ones are read by many tasks; queries of
-   a list come in blocks too. A task multiplies two blocks and hands on each query's best; the
-   best of all blocks are ranked with a limit applied before the shuffle.
+   a list come in blocks too. A task multiplies pairs of blocks and hands on each query's best
+   of all of them; these are ranked with a limit applied before the shuffle.
 
 Scores are exact inner products of the original vectors in double precision; what is
 approximate is which points are compared. At least 16 lists are read, so small tables give
@@ -158,23 +158,56 @@ def matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def best_of_blocks(met: DataFrame, top: int) -> DataFrame:
-    """qid, qh, pid, ph, score: the best points of one block for each query of another."""
+def best_only(rows: list[np.ndarray], top: int) -> list[np.ndarray]:
+    """qid, qh, pid, ph, score: each query's ``top`` best points, each once; ties to smaller ids."""
+    qid, qh, pid, ph, score = rows
+    order = np.lexsort((ph, pid, -score, qh, qid))
+    rows = [x[order] for x in rows]
+    qid, qh, pid, ph, score = rows
+    same_query = np.concatenate(([False], (qid[1:] == qid[:-1]) & (qh[1:] == qh[:-1])))
+    again = same_query & np.concatenate(([False], (pid[1:] == pid[:-1]) & (ph[1:] == ph[:-1])))
+    rows = [x[~again] for x in rows]
+    first = np.flatnonzero(~same_query[~again])
+    rank = np.arange(len(rows[0])) - np.repeat(first, np.diff(np.append(first, len(rows[0]))))
+    return [x[rank < top] for x in rows]
 
-    def run(b: pa.RecordBatch) -> dict:
-        out = [[] for _ in range(5)]
-        for (qi, qh, q), (pi, ph, p) in zip(matrix(b.column("qblock")), matrix(b.column("block"))):
-            s = q @ p.T
-            k = min(len(p), top + 1)
-            at = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(p) else np.tile(np.arange(k), (len(q), 1))
-            row = np.repeat(np.arange(len(q)), k)
-            at = at.ravel()
-            score = (q[row] * p[at]).sum(axis=1)  # the same for a pair whatever its block
-            for o, x in zip(out, (qi[row], qh[row], pi[at], ph[at], score)):
-                o.append(x)
-        return {n: np.concatenate(x) for n, x in zip(("qid", "qh", "pid", "ph", "score"), out)}
 
-    return C.arrow_map(met.select("qblock", "block"), run, "qid long, qh long, pid long, ph long, score double")
+def best_of_blocks(met: DataFrame, top: int) -> DataFrame:
+    """qid, qh, pid, ph, score: the best points that a task finds for each query, over all the
+    pairs of blocks that it multiplies."""
+    schema = "qid long, qh long, pid long, ph long, score double"
+    types = C.pa_schema(met.sparkSession, schema)
+
+    def multiply(qi, qh, q, pi, ph, p):
+        s = q @ p.T
+        if len(p) > top:
+            # all that may be among the best, with room for rounding
+            least = np.partition(s, len(p) - top, axis=1)[:, len(p) - top]
+            row, at = np.nonzero(s >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
+        else:
+            row, at = np.repeat(np.arange(len(q)), len(p)), np.tile(np.arange(len(p)), len(q))
+        score = (q[row] * p[at]).sum(axis=1)  # the same for a pair whatever its blocks
+        return qi[row], qh[row], pi[at], ph[at], score
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for left, right in zip(matrix(b.column("qblock")), matrix(b.column("block"))):
+                held.append(multiply(*left, *right))
+                size += len(held[-1][0])
+                if size > HELD_ROWS:
+                    held = [best_only([np.concatenate(x) for x in zip(*held)], top)]
+                    size = len(held[0][0])
+                    if size > HELD_ROWS // 2:  # many queries: hand on what there is
+                        yield C.to_batch(dict(zip(types.names, held[0])), types)
+                        held, size = [], 0
+        if held:
+            yield C.to_batch(dict(zip(types.names, best_only([np.concatenate(x) for x in zip(*held)], top))), types)
+
+    return C.arrow_stream(met.select("qblock", "block"), run, schema)
+
+
+HELD_ROWS = 1_000_000  # candidates that a task holds
 
 
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -224,7 +257,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     flat = ["pid", "ph", "v", F.explode("lists").alias("list")]
     stored = blocks_of(C.cut(posted.select(*flat)), size)
     asked_blocks = blocks_of(C.cut(asking.select(*flat)), size).withColumnRenamed("block", "qblock")
-    found = best_of_blocks(stored.join(asked_blocks, "list"), top)
+    found = best_of_blocks(stored.join(asked_blocks, "list"), top + 1)
     # a point met in two lists has one score, so one dense rank
     w = Window.partitionBy("qid", "qh").orderBy(F.desc("score"), "pid", "ph")
     ranked = found.withColumn("r", F.dense_rank().over(w)).filter(F.col("r") <= top + 1)

@@ -15,6 +15,14 @@ P: Params = DEFAULT
 L = P.max_length
 
 
+def stamp(spark: SparkSession, sf_dir: str, name: str = "documents") -> tuple:
+    """Size and time of a table's files, so that saved tables made from it notice a change."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = p.getFileSystem(conf)
+    return fs.getContentSummary(p).getLength(), max(s.getModificationTime() for s in fs.listStatus(p))
+
+
 _VOCABS: dict = {}
 
 
@@ -22,7 +30,7 @@ def vocab(spark: SparkSession, sf_dir: str, params: Params = P) -> DataFrame:
     """The corpus vocabulary, built once per session and input folder and kept as a
     written table in the shared checkpoint folder (like a saved tokenizer file); later
     queries read it instead of re-scanning the corpus."""
-    key = (spark.sparkContext.applicationId, sf_dir, params.vocab_size)
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir), params.vocab_size)
     path = _VOCABS.get(key)
     if path is None:
         from packwright.sources.readers import new_location

@@ -11,7 +11,7 @@ from packwright.functions.arrays import attention_pairs, segment_mask
 from packwright.operators.packing import pack_text, packed_counts, with_pack_group
 from packwright.operators.tokens import decode_tokens, encode, pretokens, strip_specials, tokens_to_string
 from packwright.params import EOS_TOKEN, SPECIAL_TOKENS, WS
-from packwright.plans.common import EOS, EOS_LIT, L, P, ids_str, tokens_sql, vocab, vocab_sql
+from packwright.plans.common import EOS, EOS_LIT, L, P, ids_str, stamp, tokens_sql, vocab, vocab_sql
 from packwright.sources import adapters as A
 
 QUERIES: dict = {}
@@ -49,7 +49,7 @@ def saved_packed(spark: SparkSession, sf_dir: str, corpus: str = "plain") -> Dat
     """The packed corpus as a saved table (pre-tokenize once, load for training, as the
     reference does): packed once per session and input folder, written under the shared
     checkpoint folder, then read. Loading-side queries start from it."""
-    key = (spark.sparkContext.applicationId, sf_dir, corpus, P.max_length)
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir), corpus, P.max_length)
     path = _PACKED.get(key)
     if path is None:
         from packwright.sources.readers import new_location, write_splits

@@ -53,7 +53,12 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | lis
 def arrow_stream(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with the batch size of this subpackage (whole texts in a row)."""
     ready(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def released(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
+
+    return df.mapInArrow(released, schema)
 
 
 _SHIPPED: set[str] = set()
@@ -104,6 +109,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def low_hash(*cols) -> F.Column:
+    """A number of 31 bits from the hash of columns."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 31))
+
+
+def low_limit(total: int, want: int) -> int:
+    """A bound on :func:`low_hash` under which about twice ``want`` of ``total`` rows lie."""
+    return 1 << 31 if total <= 2 * want else (2 * want << 31) // total
+
+
+def sample(df: DataFrame, hash_cols: list[str], order_cols: list[str], total: int, want: int) -> DataFrame:
+    """At most ``want`` of the ``total`` rows, those of smallest hash. The bound on the hash comes
+    first, so that what meets in the last task is about twice the sample at any size."""
+    h = low_hash(*hash_cols)
+    return df.filter(h < low_limit(total, want)).orderBy(h, *order_cols).limit(want)
+
+
 def split_texts(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of texts (bytes) of about ``limit`` bytes each, one text at least."""
     i, size = 0, 0

@@ -230,7 +230,10 @@ def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     if not langs:
         return Model(pieces, [], np.ones((pieces.size, 0)), np.zeros(0))
     w = Window.partitionBy("lang").orderBy("r", "id", "th")
-    ranked = learn.select("lang", "id", F.xxhash64("id").alias("r"), F.xxhash64("t").alias("th"))
+    # a bound on the hash leaves about twice the sample of each language for the ranking
+    limits = F.create_map(*[F.lit(x) for lang in langs for x in (lang, C.low_limit(share[lang], docs_per_language))])
+    ranked = learn.select("lang", "id", C.low_hash("id").alias("r"), F.xxhash64("t").alias("th"))
+    ranked = ranked.filter(F.col("r") < limits[F.col("lang")])
     chosen = ranked.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= docs_per_language)
     # bounded by docs_per_language rows of ids a language
     picked = F.broadcast(chosen.select(F.col("id").alias("cid"), F.col("th").alias("cth")).distinct())

@@ -207,7 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     one = usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(
         F.min(label_col).alias("y"), F.max(label_col).alias("y2")).filter("y = y2")
-    chosen = one.orderBy(F.xxhash64("id"), "id").limit(max_rows).select("id", F.col("y").cast("double").alias("y"))
+    one = one.select("id", F.col("y").cast("double").alias("y"))
+    chosen = C.sample(one, ["id"], ["id"], one.count(), max_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     # bounded: max_rows pairs of numbers; a repeated id teaches once
     rows = texts.join(F.broadcast(chosen), "id")

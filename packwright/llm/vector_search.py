@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from packwright.llm import common as C
 
 BLOCK_BYTES = 1 << 16
+SAMPLE_BYTES = 64 << 20  # of vectors that the centroids are learnt from, on the driver
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -227,15 +228,16 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     q_points = asked.groupBy("v").agg(F.min("id").alias("pid"), F.first("qh").alias("ph"))
 
     lists = 1 << max(0, min(int(np.log2(max_lists)), round(np.log2(max(1, stats.n / list_size)))))
-    part = pts.orderBy("ph", "pid").limit(sample).select("v").toArrow()
-    x = np.array(part.column("v").to_pylist())
+    rows = max(2 * lists, min(sample, SAMPLE_BYTES // (8 * stats.dim)))
+    part = C.sample(pts, ["ph"], ["ph", "pid"], stats.n, rows).select("v").toArrow()
+    x = part.column("v").combine_chunks().flatten().to_numpy().reshape(-1, stats.dim)
     x = np.concatenate([x, np.sqrt(np.maximum(stats.m2 - (x * x).sum(axis=1), 0))[:, None]], axis=1)
     centroids = halve(x, lists)
     sent = spark.sparkContext.broadcast((centroids, graph_of(centroids)))  # max_lists rows
     m2 = float(stats.m2)
 
     def post(b: pa.RecordBatch) -> dict:
-        v = np.array(b.column("v").to_pylist())
+        v = b.column("v").flatten().to_numpy().reshape(len(b.column("v")), -1)
         wide = np.concatenate([v, np.sqrt(np.maximum(m2 - (v * v).sum(axis=1), 0))[:, None]], axis=1)
         return {"pid": b.column("pid"), "ph": b.column("ph"), "v": b.column("v"),
                 "lists": lists_of(wide, sent.value[0], copies, spread)}
@@ -243,8 +245,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     def visit(b: pa.RecordBatch) -> dict:
         c, graph = sent.value
         out = []
-        for v in b.column("v").to_pylist():
-            v = np.array(v)
+        for v in b.column("v").flatten().to_numpy().reshape(len(b.column("v")), -1):
             # a longer query has the same order of nearness; M is the scale of the points
             q = np.append(v * (np.sqrt(m2) / np.sqrt(v @ v)), 0.0)
             out.append(walk(q, c, graph, ratio).tolist())

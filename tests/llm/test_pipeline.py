@@ -71,3 +71,27 @@ def test_empty_documents(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         assert docs.count() == 0
+
+
+def test_messy_documents_pass_through_every_stage(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, columns with odd names."""
+    good = [(i, f"A plain document number {i} with words of its own, {i * 7} and {i * 13}.\nIt has a second line, {i}.", "en", "s", 1)
+            for i in range(40)]
+    odd = [(None, None, None, None, None), (None, None, None, None, None), (50, "", "en", None, 0), (51, None, None, "s", None),
+           (52, "\n\n\n", "de", "s", 3), (53, "| | | ### %%%", "en", "s", 1), (54, "word " * 60_000, "en", "s", 5),
+           (55, "x" * 200_000, "en", "s", 5), (None, "null id but a text of its own", "en", "s", 2), good[3], good[3], (3, "same id, other text", "en", "s", 1)]
+    docs = spark.createDataFrame(good + odd, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    names = {n: i for i, n in enumerate(("id", "th", "row", "kept", "key", "score", "ids", "rid", "rth", "again", "t", "n_words"))}
+    docs = docs.selectExpr("*", *[f"{i} AS {n}" for n, i in names.items()])
+    columns, counts = docs.columns, [docs.count()]
+    for k, (name, stage) in enumerate(CP.STAGES):
+        out = stage(spark, docs, SF)
+        if name != "byte_bpe":
+            assert out.columns == columns
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        counts.append(docs.count())
+        if name == "near_dup":
+            kept = docs.groupBy("doc_id", "text").count().collect()
+            assert all(r["count"] == 1 or r.text is None for r in kept)
+    assert all(b <= a for a, b in zip(counts, counts[1:])) and counts[-1] > 0

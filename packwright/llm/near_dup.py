@@ -12,8 +12,8 @@ linked if sum(min weights) / sum(max weights) >= ``similarity``; classes are wha
 2. Each content gets ``bands * rows`` ICWS samples; ``rows`` samples make one band hash.
 3. Contents with an equal band hash share a bucket. No bucket is gathered or paired up: its
    members are compared with the bucket's hub, the member that shares most buckets with
-   others (the centre of a group of near copies). In later rounds the members that are not yet
-   in the hub's class meet the next hubs in that order, see ``rounds``.
+   others (the centre of a group of near copies). Members that are not in the hub's class then
+   meet the next ``rounds - 1`` hubs in that order.
 4. A pair is verified on whole texts: exact weighted Jaccard similarity of all shingles.
 5. Classes: connected components over the verified links, by alternating large-star and
    small-star steps on checkpointed edges.
@@ -194,7 +194,9 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, size: int, similarity: flo
         hub, a, b = batch.column("hub").to_pylist(), C.text_bytes(batch.column("a")), C.text_bytes(batch.column("b"))
         for i, k in enumerate(hub):
             if k not in seen:
-                seen = {k: bag(b[i])}  # rows come sorted by hub
+                if len(seen) >= 64:
+                    seen.clear()
+                seen[k] = bag(b[i])
             keep.append(weighted_jaccard(*bag(a[i]), *seen[k]) >= similarity)
         return {"u": batch.column("key").filter(pa.array(keep)), "v": batch.column("hub").filter(pa.array(keep))}
 
@@ -213,24 +215,37 @@ def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndar
 
 
 def components(links: DataFrame) -> DataFrame:
-    """key, root (smallest key that links lead to) of all linked keys."""
-    edges = C.cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
-    state = None
+    """key, root (smallest key that links lead to) of the linked keys other than the roots."""
+    edges, state = C.cut(links.filter("u != v").select(
+        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+
+    def with_least(e: DataFrame) -> DataFrame:
+        # partial minima, then a join that Spark splits where one key has many rows: the centre
+        # of a large class is no hot group
+        return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        m = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", m)
-        edges = C.cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-                      .unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        # large star: each larger neighbour to the smallest one (or the key itself)
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
+        large = with_least(both.select("e.u", "e.v")).filter("v > u").select(
+            F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        # small star: the smaller neighbours, and the key, to the smallest one
+        small = with_least(large).select(F.explode(F.array(
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        edges = C.cut(small.select("e.u", "e.v").filter("u != v").distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
-            return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+            return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
         state = now
 
 
+def not_joined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (key, hub) that are not in one class yet."""
+    other = roots.select(F.col("key").alias("hub"), F.col("root").alias("hub_root"))
+    apart = F.coalesce("root", "key") != F.coalesce("hub_root", "hub")
+    return pairs.join(roots, "key", "left").join(other, "hub", "left").filter(apart).select("key", "hub")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
                     similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
                     idf_share: float = IDF_SHARE, rounds: int = ROUNDS) -> DataFrame:
@@ -249,20 +264,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     need = shared.select("key").distinct().join(contents.select("key", "least"), "key")
     texts = saved_texts(docs, id_col, text_col, need)
 
-    links, roots = None, None
-    for k in range(1, rounds + 1):
-        met = shared.select("key", "band", "bh").join(
-            centre.filter(F.col("round") == k).select("band", "bh", "hub"), ["band", "bh"])
-        pairs = met.filter("key != hub").select("key", "hub").distinct()
-        if roots is not None:  # only contents that are not in one class yet
-            r = roots
-            pairs = pairs.join(r, "key", "left").withColumnRenamed("root", "rk").join(
-                r.select(F.col("key").alias("hub"), F.col("root").alias("rh")), "hub", "left").filter(
-                F.coalesce("rk", "key") != F.coalesce("rh", "hub")).select(
-                F.greatest("key", "hub").alias("key"), F.least("key", "hub").alias("hub")).distinct()
-        found = verified(C.cut(pairs), texts, idf, size, similarity)
-        links = C.cut(found if links is None else links.unionByName(found))
-        roots = C.cut(components(links))
+    members = shared.select("key", "band", "bh")
+    met = members.join(centre, ["band", "bh"]).filter("key != hub")
+    first = met.filter("round = 1").select("key", "hub").distinct()
+    roots = components(verified(first, texts, idf, size, similarity))
+    if rounds > 1:
+        # a pair can come from either side and from several buckets
+        later = not_joined(met.filter("round > 1").select(F.greatest("key", "hub").alias("key"), F.least("key", "hub").alias("hub"))
+                           .distinct(), roots)
+        found = verified(later, texts, idf, size, similarity)
+        roots = components(roots.select(F.col("key").alias("u"), F.col("root").alias("v")).unionByName(found))
 
     named = contents.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = named.groupBy("root").agg(F.min("least").alias("stays"), F.sum("n").alias("class_size"))

@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packwright.llm import byte_bpe, decontamination, line_dedup, near_dup, quality
+from packwright.llm import decontamination, line_dedup, near_dup, quality
 from packwright.llm import common as C
 from packwright.llm import queries as Q
 from packwright.session import scratch_path
@@ -41,10 +41,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and digests of the ids and of the bytes they decode to."""
-    import public_tokenizers
-
-    encoded = byte_bpe.encode(docs, Q.vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return Q.bpe_digests(encoded, "ids")
+    return Q.bpe_digests(docs, "ids")
 
 
 STAGES = [

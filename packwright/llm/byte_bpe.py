@@ -87,6 +87,27 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return C.arrow_map(src, run, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ids and decoded (the bytes that the ids, and nothing else, decode to) of every row:
+    :func:`encode` and :func:`decode` in one Python step, so a task needs one worker."""
+    data = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+
+    def run(b: pa.RecordBatch) -> dict:
+        lib, back = library(data.value, pattern), worker_decoder(data.value)
+        ids = [encode_text(lib, t or "") for t in b.column("t").to_pylist()]
+        return {"id": b.column("id"), "ids": id_lists(ids), "decoded": [back(x.tolist()) for x in ids]}
+
+    return C.arrow_map(src, run, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary")
+
+
+def worker_decoder(data: bytes) -> Callable[[list[int]], bytes]:
+    name = hashlib.md5(data).hexdigest()
+    if name not in _DECODERS:
+        _DECODERS[name] = decoder(data)
+    return _DECODERS[name]
+
+
 def decoder(data: bytes) -> Callable[[list[int]], bytes]:
     tokens = {rank: token for token, rank in ranks_of(data).items()}
     return lambda ids: b"".join(map(tokens.__getitem__, ids))
@@ -98,14 +119,10 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     data = encoded.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
     def run(ids: pa.Array) -> pa.Array:
-        key = id(data)
-        if key not in _DECODERS:
-            _DECODERS.clear()
-            _DECODERS[key] = decoder(data.value)
-        back = _DECODERS[key]
+        back = worker_decoder(data.value)
         return pa.array([None if x is None else back(x) for x in ids.to_pylist()], type=pa.binary())
 
     return encoded.withColumn(out_col, F.arrow_udf(run, "binary")(F.col(ids_col)))
 
 
-_DECODERS: dict = {}
+_DECODERS: dict = {}  # of this Python worker

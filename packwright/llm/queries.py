@@ -141,14 +141,13 @@ FROM lengths GROUP BY conv_id
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    return bpe_digests(C.table(spark, sf_dir, "documents"))
 
-    return bpe_digests(byte_bpe.encode(C.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"),
-                                       public_tokenizers.PATTERN))
 
+def bpe_digests(docs: DataFrame, *more: str) -> DataFrame:
+    import public_tokenizers
 
-def bpe_digests(encoded: DataFrame, *more: str) -> DataFrame:
-    out = byte_bpe.decode(encoded, vocabulary("byte_bpe_50k.tiktoken"))
+    out = byte_bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select(F.col("id").alias("doc_id"), *more, F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))

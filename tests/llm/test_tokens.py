@@ -46,9 +46,10 @@ def test_encode_as_the_library_and_decode_back(make_docs, texts):
     enc = B.encode(make_docs(texts, 5).withColumn("ids", F.lit(1)), RANKS, P.PATTERN)
     got = {r.id: r for r in B.decode(enc, RANKS).collect()}
     assert len(got) == len(texts)
+    both = {r.id: r for r in B.round_trip(make_docs(texts, 5), RANKS, P.PATTERN).collect()}
     for i, t in enumerate(texts):
-        assert list(got[i].ids) == lib.encode_ordinary(t or "")
-        assert bytes(got[i].decoded) == (t or "").encode()
+        assert list(got[i].ids) == list(both[i].ids) == lib.encode_ordinary(t or "")
+        assert bytes(got[i].decoded) == bytes(both[i].decoded) == (t or "").encode()
 
 
 def test_decode_gives_raw_bytes(spark):
@@ -59,18 +60,21 @@ def test_decode_gives_raw_bytes(spark):
     assert bytes(got[1]) == lib.decode_bytes(ids[:1]) and got[2] is None and bytes(got[3]) == b""
 
 
-def test_group_encoder_is_the_library(texts):
+@pytest.mark.parametrize("kept", [10, 800_000])
+def test_group_encoder_is_the_library(texts, kept, monkeypatch):
     import pyarrow as pa
 
     tok = Tokenizer.from_file(JSON)
     tok.encode_special_tokens = True
+    monkeypatch.setattr(T, "KEPT_WORDS", kept)
     enc = T.Encoder(open(JSON, "rb").read())
     rng = random.Random(1)
     words = ["word", "Word,", "naïve...", "l'été", "don't!", "x'", "a1", "12.", "(b)", "Привет!", "日本,", "…,", "×!", "ŉ?", "\n\nq", "--"]
     more = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(200)]
-    for group in (texts, more, [" " + t for t in more], texts[:1], []):
+    for group in (texts, more, [" " + t for t in more], more[:5], texts[:1], []):
         got = enc.encode(pa.array(group, type=pa.string()))
         assert [x.tolist() for x in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in group]
+        assert len(enc.kept) <= kept
 
 
 def test_token_files_round_trip(spark, make_docs, texts, tmp_path):

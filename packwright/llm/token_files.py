@@ -45,8 +45,9 @@ _ODD = f"^(?:[{byte_bpe._SPACE}]|$)"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯ"
 _SYMBOLS = r"!-&(-/:-@\[-`{-~"
 LIBRARY_WORDS = 20_000  # in one string
+KEPT_WORDS = 800_000  # whose ids a worker keeps (some 30 MB)
 _WORD = f"^(?P<word>[{_LETTERS}]+)(?P<tail>[{_SYMBOLS}]*)$"
-GROUP_BYTES = 8 << 20  # of text in which equal words are encoded once
+GROUP_BYTES = 6 << 20  # of text in which equal words are encoded once
 
 
 class Encoder:
@@ -56,7 +57,8 @@ class Encoder:
     the one between a letter and an ASCII symbol other than the apostrophe. So a text's ids are
     those of its words (with the space before them) and their trailing symbols, one after
     another. Arrow's dictionary encoding tells words apart; the library gets the different ones
-    in one string, and their ids are told apart by counting bytes."""
+    in one string, and their ids are told apart by counting bytes. Words of letters are kept
+    for the worker's next groups, up to ``KEPT_WORDS``; then the table starts anew."""
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -73,6 +75,26 @@ class Encoder:
         self.size_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
             self.size_of[number] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        self.kept = pa.array([], type=pa.string())
+        self.pool, self.n = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def letter_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`spaced` for words of letters, through the table."""
+        at = pc.index_in(words, value_set=self.kept)
+        new = words.filter(at.is_null())
+        if len(new):
+            if len(self.kept) + len(new) > KEPT_WORDS:
+                self.forget()
+                return self.spaced(self.letters, words)
+            ids, n = self.spaced(self.letters, new)
+            self.kept = pa.concat_arrays([self.kept, new])
+            self.pool, self.n = np.concatenate([self.pool, ids]), np.concatenate([self.n, n])
+            at = pc.index_in(words, value_set=self.kept)
+        place, at = np.cumsum(self.n) - self.n, at.to_numpy()
+        return take_lists(self.pool, place[at], self.n[at]), self.n[at]
 
     def plain(self, text: str) -> np.ndarray:
         parts = [np.asarray(self.library.encode(x, add_special_tokens=False).ids, dtype=np.int32)
@@ -99,7 +121,7 @@ class Encoder:
         tail = pc.dictionary_encode(found.field("tail").filter(pa.array(simple)))
         tails = [self.plain(x) for x in tail.dictionary.to_pylist()]
         other = words.filter(pa.array(~simple))
-        base_ids, base_n = self.spaced(self.letters, base.dictionary)
+        base_ids, base_n = self.letter_words(base.dictionary)
         other_ids, other_n = self.spaced(self.library, other)
         # lists one after another: base words, tails, other words
         n = np.concatenate([base_n, np.array([len(x) for x in tails], dtype=np.int64), other_n])

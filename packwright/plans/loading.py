@@ -68,6 +68,12 @@ def _sft_rows(spark, sf_dir):
     return e.withColumn("idx", F.col("conv_id") * 1000 + F.col("turn"))
 
 
+def _sft_keys(spark, sf_dir):
+    """Keys of the kept examples, from token counts: what is only ordered need not be encoded."""
+    n = X.sft_lengths(A.sft(spark, sf_dir), KEY, P).filter(F.col("n_tokens") < L)
+    return n.select(*KEY, (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"))
+
+
 RANKED_SQL = f"""(WITH o AS (SELECT *, row_number() OVER (ORDER BY md5('{P.seed}:0:' || CAST(idx AS VARCHAR)), idx) - 1 AS p,
   count(*) OVER () AS n FROM {SFT_ROWS_SQL}),
 padded AS (SELECT * EXCLUDE (n, p), unnest(range(p, CAST(ceil(n / {W}) * {W} AS BIGINT), n)) AS p FROM o)
@@ -80,7 +86,7 @@ def _matrix_sql(c: str, order: str) -> str:
 
 @q("rank_shards", f"SELECT rank, position, conv_id, turn FROM {RANKED_SQL}")
 def rank_shards(spark, sf_dir):
-    r = LD.rank_shards(_sft_rows(spark, sf_dir), "idx", P)
+    r = LD.rank_shards(_sft_keys(spark, sf_dir), "idx", P)
     return r.select("rank", "position", *KEY)
 
 
@@ -89,8 +95,8 @@ def rank_shards(spark, sf_dir):
   md5({_matrix_sql('labels', 'position')}) AS labels_md5
 FROM {RANKED_SQL} GROUP BY ALL""")
 def collate_batches(spark, sf_dir):
-    r = LD.rank_shards(_sft_rows(spark, sf_dir), "idx", P)
-    b = LD.fixed_batches(r, "position", B)
+    r = LD.rank_shards(_sft_keys(spark, sf_dir), "idx", P)
+    b = LD.fixed_batches(r, "position", B).drop("idx").join(_sft_rows(spark, sf_dir), KEY)
     c = LD.collate(b, ["rank", "batch"], "position", LD.SFT_COLUMNS)
     return c.select("rank", "batch", "n_rows", F.md5(LD.matrix_str("input_ids")).alias("ids_md5"),
                     F.md5(LD.matrix_str("attention_mask")).alias("mask_md5"),
@@ -117,7 +123,7 @@ def collate_lm(spark, sf_dir):
 @q("fixed_batches", f"""SELECT (i // {B})::BIGINT AS batch, count(*)::BIGINT AS n_rows, min(idx) AS first_key, max(idx) AS last_key
 FROM (SELECT idx, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM {SFT_ROWS_SQL}) GROUP BY ALL""")
 def fixed_batches(spark, sf_dir):
-    s = sequential_index(_sft_rows(spark, sf_dir), KEY, out="i")
+    s = sequential_index(_sft_keys(spark, sf_dir), KEY, out="i")
     b = LD.fixed_batches(s, "i", B)
     return b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"), F.min("idx").alias("first_key"),
                                   F.max("idx").alias("last_key"))
@@ -136,8 +142,10 @@ r AS (SELECT {', '.join(f'{x} AS {c}' for c, x in _PAIR_MATRICES.items())}, row_
 
 
 def _pair_batches(spark, sf_dir):
+    n = X.dpo_lengths(A.preference(spark, sf_dir), KEY, P)
+    keys = n.filter((F.col("n_chosen") < L) & (F.col("n_rejected") < L)).select(*KEY)
     d = X.dpo_examples(A.preference(spark, sf_dir), KEY, vocab(spark, sf_dir), P)
-    b = LD.fixed_batches(sequential_index(d, KEY, out="i"), "i", PB)
+    b = LD.fixed_batches(sequential_index(keys, KEY, out="i"), "i", PB).join(d, KEY)
     return LD.collate(b, ["batch"], "i", LD.PREFERENCE_COLUMNS)
 
 

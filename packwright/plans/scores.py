@@ -240,10 +240,14 @@ SELECT * FROM t UNION ALL SELECT grp, vec_id, -1 FROM e WHERE (grp, vec_id) NOT
 def capacity_assign(spark, sf_dir):
     e = _emb(spark, sf_dir)
     v = F.col("v")
-    m = F.array_max(v)
-    ex = F.transform(v, lambda x: F.exp(x - m))
-    s = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
-    probs = F.transform(ex, lambda x: F.round(x / s, 6))
+
+    def once(value, fn):
+        """fn of a value that is computed once a row, not once for each element."""
+        return F.transform(F.array(value), fn)[0]
+
+    ex = once(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+    probs = once(ex, lambda e: once(F.aggregate(e, F.lit(0.0), lambda a, x: a + x),
+                                    lambda s: F.transform(e, lambda x: F.round(x / s, 6))))
     return SC.capacity_assign(e.select("grp", "vec_id", probs.alias("probs")), ["grp"], "vec_id", "probs", N_BUCKETS, PER_ITEM)
 
 

@@ -13,14 +13,19 @@ linked if sum(min weights) / sum(max weights) >= ``similarity``; classes are wha
 3. Contents with an equal band hash share a bucket. No bucket is gathered or paired up: its
    members are compared with the bucket's hub, the member that shares most buckets with
    others (the centre of a group of near copies). Members that are not in the hub's class then
-   meet the next ``rounds - 1`` hubs in that order.
-4. A pair is verified on whole texts: exact weighted Jaccard similarity of all shingles.
-5. Classes: connected components over the verified links, by alternating large-star and
+   meet the next ``rounds - 1`` hubs in that order. This compares buckets of up to
+   ``rounds + 1`` contents wholly.
+4. The members of larger buckets that are still of different classes are joined exactly: in one
+   order of all shingles, rarest first, two texts that are similar enough share a shingle in
+   their prefixes (what stands before less than ``similarity`` of the weight), and from the first
+   one on both have enough weight left for the overlap they need. Pairs of different classes
+   that meet these two conditions are verified; no pair that is similar enough fails them.
+5. A pair is verified on whole texts: exact weighted Jaccard similarity of all shingles.
+6. Classes: connected components over the verified links, by alternating large-star and
    small-star steps on checkpointed edges.
 
-Links found are exact; links missed are those that no band (probability below 0.2 % at
-similarity 0.8, for 12 bands of 4) or no hub brings together. Buckets of up to ``rounds + 1``
-contents are compared wholly.
+Links found are exact; links missed are those that no band brings together (probability below
+0.2 % at similarity 0.8, for 12 bands of 4).
 
 Defined cases: null texts are never copies of anything; texts without words are copies only of
 the very same text; repeated rows are copies of each other; ids may be null or repeated; an
@@ -246,6 +251,74 @@ def not_joined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(roots, "key", "left").join(other, "hub", "left").filter(apart).select("key", "hub")
 
 
+def left_apart(shared: DataFrame, roots: DataFrame, rounds: int) -> DataFrame:
+    """key, root of the members of buckets that the hubs do not compare wholly, if the bucket
+    holds more than one class."""
+    members = shared.filter(F.col("size") > rounds + 1).select("key", "band", "bh").join(roots, "key", "left").withColumn(
+        "root", F.coalesce("root", "key"))
+    apart = members.groupBy("band", "bh").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b")
+    return members.join(apart.select("band", "bh"), ["band", "bh"]).select("key", "root").distinct()
+
+
+def prefix(h: np.ndarray, idf: np.ndarray, size: int, similarity: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The shingles of a text's prefix, the weight from each on (itself included), and the
+    weight of all. What follows the prefix weighs less than ``similarity`` of all."""
+    s, w = weights(h, idf, size)
+    order = np.lexsort((s, -idf[cell_of(s)]))  # one order for all texts: rarest first, then by hash
+    w = w[order].astype(np.float64)
+    left = np.cumsum(w[::-1])[::-1]
+    n = np.count_nonzero(left >= similarity * left[0] * (1 - SLACK)) if len(w) else 0
+    return s[order[:n]], left[:n], float(left[0]) if len(w) else 0.0
+
+
+def prefixes(members: DataFrame, texts: DataFrame, idf, size: int, similarity: float) -> DataFrame:
+    """key, root, weight of the text, token (shingle of its prefix), left (weight from it on)."""
+
+    def first(b: pa.RecordBatch) -> dict:
+        got = [prefix(C.hash_words(t)[0], idf.value, size, similarity) for t in C.text_bytes(b.column("text"))]
+        return {"key": b.column("key"), "root": b.column("root"), "weight": [w for _, _, w in got],
+                "tokens": [C.as_long(s) for s, _, _ in got], "left": [x for _, x, _ in got]}
+
+    rows = C.arrow_map(members.join(texts, "key").select("key", "root", "text"), first,
+                       "key binary, root binary, weight double, tokens array<long>, left array<double>")
+    return rows.select("key", "root", "weight", F.explode(F.arrays_zip("tokens", "left")).alias("t")).select(
+        "key", "root", "weight", F.col("t.tokens").alias("token"), F.col("t.left").alias("left"))
+
+
+def possible_pairs(first: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (key, hub) of different classes that can be similar enough, by their prefixes
+    (``first``). Classes meet first, so that members of one class are not paired up; a token of
+    many classes is dealt out in parts of about ``PART`` of them."""
+    bound = similarity * (1 - SLACK)
+
+    def can(left1, left2, least1, most1, least2, most2):
+        # shared shingles stand at or after the first shared one; lengths are alike
+        need = bound / (1 + bound) * (F.col(least1) + F.col(least2))
+        return ((F.least(left1, left2) >= need) & (F.col(most1) >= bound * F.col(least2))
+                & (F.col(most2) >= bound * F.col(least1)))
+
+    classes = first.groupBy("token", "root").agg(F.min("weight").alias("least"), F.max("weight").alias("most"),
+                                                 F.max("left").alias("left"))
+    several = classes.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "token", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    c = C.cut(classes.join(several, "token"))
+    side = lambda n, *more: c.select("token", *(F.col(x).alias(f"{x}{n}") for x in ("root", "least", "most", "left")), *more)
+    one = side(1, F.pmod(F.xxhash64("root"), F.col("parts")).cast("int").alias("part"))
+    two = side(2, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = one.join(two, ["token", "part"]).filter("root1 < root2").filter(
+        can("left1", "left2", "least1", "most1", "least2", "most2")).drop("part", "least1", "most1", "left1")
+    member = lambda n: first.select("token", F.col("root").alias(f"root{n}"), F.col("key").alias(f"key{n}"),
+                                    F.col("weight").alias(f"w{n}"), F.col("left").alias(f"l{n}"))
+    half = met.join(member(1), ["token", "root1"]).filter(can("l1", "left2", "w1", "w1", "least2", "most2")).select(
+        "token", "root2", "key1", "w1", "l1")
+    both = half.join(member(2), ["token", "root2"]).filter(can("l1", "l2", "w1", "w1", "w2", "w2"))
+    return both.select(F.greatest("key1", "key2").alias("key"), F.least("key1", "key2").alias("hub")).distinct()
+
+
+SLACK = 1e-5  # of weights summed in different orders and precisions
+PART = 1000
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
                     similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
                     idf_share: float = IDF_SHARE, rounds: int = ROUNDS) -> DataFrame:
@@ -274,6 +347,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                            .distinct(), roots)
         found = verified(later, texts, idf, size, similarity)
         roots = components(roots.select(F.col("key").alias("u"), F.col("root").alias("v")).unionByName(found))
+    apart = C.cut(left_apart(shared, roots, rounds))
+    if not apart.isEmpty():
+        prefixed = C.cut(prefixes(apart, texts, idf, size, similarity))
+        found = verified(C.cut(possible_pairs(prefixed, similarity)), texts, idf, size, similarity)
+        roots = components(roots.select(F.col("key").alias("u"), F.col("root").alias("v")).unionByName(found))
 
     named = contents.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = named.groupBy("root").agg(F.min("least").alias("stays"), F.sum("n").alias("class_size"))

@@ -87,6 +87,45 @@ def test_hub_in_the_centre_joins_copies_that_are_not_alike(make_docs):
     assert len({r.class_id for r in run(docs).values()}) == 1
 
 
+def template_texts(pages=200, planted=60, seed=11):
+    """Pages that share three quarters of their shingles, and near copies of some of them whose
+    similarity is little over the bound: most of their common samples are the template's."""
+    rng = random.Random(seed)
+    own = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    template = own(174)
+    bases = [template + own(18) for _ in range(pages)]
+    return [" ".join(b) for b in bases] + [" ".join(b[:-12] + own(12)) for b in bases[:planted]]
+
+
+def test_pairs_of_a_template_that_are_no_hubs(make_docs):
+    texts = template_texts()
+    docs = make_docs(texts, 4)
+    want = brute(texts, idf_of(docs))
+    assert len(set(want)) == 200
+    got = run(docs)
+    assert [got[i].class_id for i in range(len(texts))] == want
+
+
+def test_prefixes_lose_no_similar_pair(spark, make_docs):
+    """Also pairs at the bound, of unlike lengths, and with repeated shingles."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randint(5, 120))]
+        texts += [" ".join(base), " ".join(base + base[: rng.randint(0, len(base) // 3)]), " ".join(base[rng.randint(0, len(base) // 4):])]
+    docs = make_docs(texts)
+    idf = idf_of(docs)
+    rows = [(bytearray(b"%03d" % i), bytearray(b"%03d" % (i - i % 2 if i < 20 else i)), t) for i, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "key binary, root binary, text string")
+    first = N.prefixes(members.select("key", "root"), members.select("key", "text"), spark.sparkContext.broadcast(idf), 5, 0.8)
+    got = {(int(bytes(r.key)), int(bytes(r.hub))) for r in N.possible_pairs(first, 0.8).collect()}
+    bags = [N.weights(C.hash_words(t.encode())[0], idf, 5) for t in texts]
+    alike = {(j, i) for i, j in combinations(range(len(texts)), 2)
+             if rows[i][1] != rows[j][1] and N.weighted_jaccard(*bags[i], *bags[j]) >= 0.8}
+    assert len(alike) > 10 and alike <= got
+    assert all(rows[i][1] != rows[j][1] for i, j in got) and len(got) < 200
+
+
 def test_icws_agrees_with_weighted_similarity():
     rng = np.random.default_rng(2)
     h = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))

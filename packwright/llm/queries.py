@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.llm import common as C
-from packwright.llm import byte_bpe, chat, decontamination, html_extract, language_id, line_dedup, near_dup, quality, token_files, vector_search
+from packwright.llm import (byte_bpe, chat, conversation_repair, decontamination, html_extract, language_id, line_dedup, near_dup, quality,
+                            token_files, vector_search)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +159,74 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(C.table(spark, sf_dir, "conversations"))
+    return conversation_repair.conversation_audits(rows, present=F.col("present"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, coalesce(CAST(turn AS VARCHAR), ' ') AS t
+  FROM conversations),
+hashed AS (  -- crc32 bit by bit
+  SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv || ':' || t, ''),
+                  lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                lambda crc, x: xor(xor(crc, x) >> 1, (xor(crc, x) & 1) * 3988292384)), 4294967295) % 20 AS how
+  FROM named),
+damaged AS (
+  SELECT conv, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+         CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, (VALUES (1), (2)) AS copies(copy) WHERE how <> 0 AND (copy = 1 OR how = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS ini_before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+         WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+inserts(st, mid, tail, more, added) AS (VALUES
+  ('n', 'n', '', 0, []), ('n', 'u', 'I', 2, ['user:']), ('n', 'a', 'II', 4, ['user:', 'assistant:']),
+  ('s', 's', '', 0, []), ('s', 'u', 'I', 2, ['user:']), ('s', 'a', 'II', 4, ['user:', 'assistant:']),
+  ('u', 'u', '', 0, []), ('u', 'a', 'I', 2, ['assistant:']), ('u', 'u', 'II', 4, ['assistant:', 'user:']),
+  ('a', 'a', '', 0, []), ('a', 'u', 'I', 2, ['user:']), ('a', 'a', 'II', 4, ['user:', 'assistant:'])),
+edits(mid, letter, ini, st2, cost, role) AS (VALUES
+  ('n', 'D', NULL, 'n', 3, NULL), ('s', 'D', NULL, 's', 3, NULL), ('u', 'D', NULL, 'u', 3, NULL), ('a', 'D', NULL, 'a', 3, NULL),
+  ('n', 'R', NULL, 'u', 2, 'user'), ('s', 'R', NULL, 'u', 2, 'user'), ('u', 'R', NULL, 'a', 2, 'assistant'), ('a', 'R', NULL, 'u', 2, 'user'),
+  ('n', 'K', 's', 's', 0, NULL), ('n', 'K', 'u', 'u', 0, NULL), ('s', 'K', 'u', 'u', 0, NULL), ('a', 'K', 'u', 'u', 0, NULL), ('u', 'K', 'a', 'a', 0, NULL)),
+steps AS (
+  SELECT st, st2, tail || letter AS letters, more + cost AS cost, added, letter, ini, role FROM inserts JOIN edits USING (mid)),
+best AS (
+  SELECT DISTINCT conv, CAST(0 AS BIGINT) AS i, 'n' AS st, {'cost': 0, 'audit': '', 'turns': CAST([] AS VARCHAR[])} AS way FROM named
+  UNION ALL
+  SELECT conv, i, st, min(way) FROM (
+    SELECT m.conv, m.i, s.st2 AS st, {
+      'cost': b.way.cost + s.cost + CASE WHEN m.fault = 'truncated' AND s.letter <> 'D' THEN 1 ELSE 0 END,
+      'audit': b.way.audit || s.letters,
+      'turns': list_concat(b.way.turns, list_concat(s.added,
+        CASE WHEN s.letter = 'D' THEN [] ELSE [coalesce(s.role, m.role) || ':' || m.text] END))} AS way
+    FROM best b JOIN marked m ON m.conv = b.conv AND m.i = b.i + 1 JOIN steps s ON s.st = b.st
+    WHERE (s.letter = 'D' OR m.fault NOT IN ('blank', 'duplicate')) AND (s.letter <> 'K' OR s.ini = m.ini))
+  GROUP BY conv, i, st),
+sizes AS (SELECT conv, coalesce(max(i), 0) AS n FROM (SELECT conv, NULL AS i FROM named UNION ALL SELECT conv, i FROM marked) GROUP BY conv),
+ended AS (
+  SELECT conv, min({'cost': way.cost + more, 'audit': way.audit || tail, 'turns': list_concat(way.turns, added)}) AS way
+  FROM best JOIN sizes USING (conv) JOIN inserts USING (st)
+  WHERE i = n AND mid IN ('n', 'a') GROUP BY conv),
+counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv)
+SELECT TRY_CAST(conv AS BIGINT) AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(way.cost AS BIGINT) AS cost, way.audit AS audit, sha256(array_to_string(way.turns, chr(10))) AS repaired_sha256
+FROM ended LEFT JOIN counts USING (conv)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -169,5 +238,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_html_extract": op10_html_extract,
+    "op11_conversation_repair": op11_conversation_repair,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op8_chat": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op8_chat": OP8_SQL,
+                           "op11_conversation_repair": OP11_SQL}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from packwright.llm import common as C
 from packwright.llm import (byte_bpe, chat, conversation_repair, decontamination, html_extract, language_id, line_dedup, near_dup, quality,
-                            token_files, vector_search)
+                            sharding, token_files, vector_search)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,6 +227,14 @@ FROM ended LEFT JOIN counts USING (conv)
 """
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sharding.write(C.table(spark, sf_dir, "documents"), sharding.new_folder(spark), shards=24)
+    text = F.coalesce("row.text", F.lit(""))
+    return sharding.read(spark, path).select(
+        F.col("row.doc_id").alias("doc_id"), "size", F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -239,6 +247,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_html_extract": op10_html_extract,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_sharding": op13_sharding,
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op8_chat": OP8_SQL,
                            "op11_conversation_repair": OP11_SQL}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from packwright.llm import common as C
 from packwright.llm import (byte_bpe, chat, conversation_repair, decontamination, html_extract, language_id, line_dedup, near_dup, quality,
-                            sharding, token_files, vector_search)
+                            sharding, token_files, vector_search, whitening)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,6 +227,10 @@ FROM ended LEFT JOIN counts USING (conv)
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(C.table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = sharding.write(C.table(spark, sf_dir, "documents"), sharding.new_folder(spark), shards=24)
     text = F.coalesce("row.text", F.lit(""))
@@ -247,6 +251,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_html_extract": op10_html_extract,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_whitening": op12_whitening,
     "op13_sharding": op13_sharding,
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op8_chat": OP8_SQL,

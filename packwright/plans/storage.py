@@ -135,19 +135,10 @@ def shard_subset(spark, sf_dir):
     return s.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-ARRAY_SHARD_CONVS = 50  # conversations per JSON-array document
-
-
 @q("json_array_scan", f"SELECT conv_id, turn, len(history)::INTEGER AS n_history, output FROM ({A.SFT_SQL})")
 def json_array_scan(spark, sf_dir):
-    """Whole-document JSON arrays (one array per shard of 50 conversations, so no
-    document grows with the data) read back with the multi-line reader."""
-    sft = A.sft(spark, sf_dir)
-    rec = F.to_json(F.struct("conv_id", "turn", "instruction", "input", "output", "history"))
-    docs = sft.groupBy(F.expr(f"conv_id div {ARRAY_SHARD_CONVS}").alias("shard")).agg(
-        F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.struct("conv_id", "turn", rec.alias("j"))))
-                                          .getField("j"), ","), F.lit("]")).alias("value"))
-    base = R.new_location(spark, "json-arrays")
-    docs.select("value").write.option("maxRecordsPerFile", 1).text(base)  # one folder, one array a file
-    back = R.read_json_array(spark, base, SFT_SCHEMA)
+    """Whole-document JSON arrays, each written as one task's rows come and read back by byte
+    ranges: a file is cut among tasks wherever its size asks for it."""
+    path = R.write_json_arrays(A.sft(spark, sf_dir), R.new_location(spark, "json-arrays"))
+    back = R.read_json_array(spark, path, SFT_SCHEMA)
     return back.select("conv_id", "turn", F.size("history").alias("n_history"), "output")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from packwright.session import scratch_path
+from packwright.sources.json_array import read_json_array, write_json_arrays  # noqa: F401
 
 CORRUPT = "_corrupt_record"
 
@@ -45,12 +46,6 @@ def read_splits(spark: SparkSession, fmt: str, train: list[str], validation: lis
     return one(train, "train").unionByName(one(validation, "validation"))
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One whole JSON document (an array of records). Such a file cannot be split, so
-    convert it to parquet once before heavy use."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, order_col: str | None = None,
                num_samples: int | None = None) -> DataFrame:
     """JSON lines; with ``num_samples`` the first n rows in ``order_col`` order

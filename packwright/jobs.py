@@ -15,7 +15,7 @@ from __future__ import annotations
 import argparse
 from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packwright.functions import text as T
@@ -60,35 +60,47 @@ def corpus_text(df: DataFrame, dataset: str, params: Params = DEFAULT) -> DataFr
     raise ValueError(f"unknown dataset {dataset!r}")
 
 
-def with_order(df: DataFrame) -> DataFrame:
-    """Input order key: increasing within every input split, so a packing batch is a
-    run of consecutive rows of one input split (the reference packs per map batch of
-    one worker shard)."""
-    return df.withColumn(ORDER, F.monotonically_increasing_id())
+PLACE = ["__file", "__at", "__row"]
+MOST_RANGES = 500_000  # byte ranges whose offsets are broadcast
 
 
-def in_file_order(df: DataFrame, out: str) -> DataFrame:
-    """Records with their position in the source (file path, place in the file), from 0: the
-    same for any cluster size. The records are written once, as their order rests on the scan."""
-    from packwright.operators.ordering import global_index
-    from packwright.session import cut_lineage
-
-    d = cut_lineage(df.select("*", F.col("_metadata.file_path").alias("__file"),
-                              F.col("_metadata.file_block_start").alias("__at"),
-                              F.monotonically_increasing_id().alias("__row")))
-    return global_index(d, ["__file", "__at", "__row"], out=out).drop("__file", "__at", "__row")
+def placed(df: DataFrame, fmt: str) -> DataFrame:
+    """PLACE columns of a file scan: file, byte range (Parquet: the whole file), and a number that
+    goes up by one from row to row of a range. They follow from the files alone, so a second scan
+    gives the same."""
+    if fmt == "parquet":
+        at, row = F.lit(0).cast("long"), F.col("_metadata.row_index")
+    else:
+        at, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    return df.select("*", *[c.alias(n) for c, n in zip((F.col("_metadata.file_path"), at, row), PLACE)])
+
+
+def in_file_order(df: DataFrame, out: str, within: list[str] | None = None) -> DataFrame:
+    """Rows of :func:`placed` with their position in the source (file path, place in the file),
+    from 0 in each value of ``within``: the same for any cluster size and any input splits. Rows
+    stay where they are: only the counts of byte ranges, one row each, are put in order."""
+    keys = [*(within or []), "__file", "__at"]
+    ranges = df.groupBy(*keys).agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*(within or [F.lit(0)])).orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.select(*keys, (F.coalesce(F.sum("__n").over(w), F.lit(0)) - F.col("__first")).alias("__shift"))
+    path = R.new_location(df.sparkSession, "range-offsets")
+    before.write.parquet(path)
+    before = df.sparkSession.read.parquet(path)
+    if before.count() <= MOST_RANGES:
+        before = F.broadcast(before)
+    return df.join(before, keys).withColumn(out, F.col("__row") + F.col("__shift")).drop(*PLACE, "__shift")
 
 
 def read_pretraining(spark: SparkSession, dataset: str, train_dir: str, valid_dir: str,
                      num_files: int | None = None, file_type: str | None = None) -> DataFrame:
+    """The records of both splits, in file order within each."""
     fmt = file_type or ("json" if dataset in JSON_CORPORA else "parquet")
-    schema = SCHEMAS[dataset]
-
-    def pick(d):
-        shards = R.list_shards(spark, d)
-        return shards if num_files is None else shards[:num_files]
-
-    return with_order(R.read_splits(spark, fmt, pick(train_dir), pick(valid_dir), schema))
+    frames = []
+    for name, where in (("train", train_dir), ("validation", valid_dir)):
+        shards = R.list_shards(spark, where)
+        shards = shards if num_files is None else shards[:num_files]
+        frames.append(placed(spark.read.schema(SCHEMAS[dataset]).format(fmt).load(shards), fmt).withColumn("split", F.lit(name)))
+    return in_file_order(frames[0].unionByName(frames[1]), ORDER, ["split"])
 
 
 def encoder_inputs(spark: SparkSession, params: Params, vocab_path: str | None, build_from: DataFrame | None,
@@ -121,9 +133,12 @@ def pretrain(spark: SparkSession, dataset: str, train_dir: str, valid_dir: str,
 
 
 def read_records(spark: SparkSession, path: str, task: str, file_type: str = "json", array: bool = False) -> DataFrame:
+    """Records with their position in the source."""
     if file_type == "json" and array:
-        return R.read_json_array(spark, path, SCHEMAS[task])
-    return spark.read.schema(SCHEMAS[task]).format(file_type).load(path)
+        rows = R.read_json_array(spark, path, SCHEMAS[task], PLACE)
+    else:
+        rows = placed(spark.read.schema(SCHEMAS[task]).format(file_type).load(path), file_type)
+    return in_file_order(rows, ORDER)
 
 
 def examples(spark: SparkSession, task: str, train_file: str, valid_file: str, output_path: str,
@@ -132,7 +147,7 @@ def examples(spark: SparkSession, task: str, train_file: str, valid_file: str, o
     """SFT or preference examples for both splits, written partitioned by split."""
     frames = []
     for name, path in (("train", train_file), ("validation", valid_file)):
-        frames.append(with_order(read_records(spark, path, task, file_type, array)).withColumn("split", F.lit(name)))
+        frames.append(read_records(spark, path, task, file_type, array).withColumn("split", F.lit(name)))
     recs = frames[0].unionByName(frames[1])
     if vocab_path is None:
         text = F.concat_ws("\n", "instruction", "input", F.array_join(F.flatten(F.coalesce(
@@ -159,7 +174,7 @@ def combine(spark: SparkSession, sources: list[str], dedup_source: str | None, p
     inside ``dedup_source`` only, rewrite placeholders in ``placeholder_source``, give
     every record a history, split exactly (test fraction, seed), write JSON lines."""
     def records(path):
-        return in_file_order(read_records(spark, path, "sft", array=array), ORDER)
+        return read_records(spark, path, "sft", array=array)
 
     frames = [records(path) for path in sources]
     if dedup_source:

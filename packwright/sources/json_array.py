@@ -175,16 +175,18 @@ def _elements(starts: dict, batch_rows: int = 512):
     return run
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, schema: StructType | str, place: list[str] | None = None) -> DataFrame:
     """The records of whole JSON documents: the elements of each file that is an array, or the
-    file itself if it is one object. Elements that do not fit ``schema`` give null columns."""
+    file itself if it is one object. Elements that do not fit ``schema`` give null columns.
+    ``place`` names three more columns: file, start of the range that an element begins in, and
+    its number there, which goes up by one."""
     starts = spark.sparkContext.broadcast(range_starts(spark, path))
 
     def cut(batches):
         yield from _elements(starts.value)(batches)
 
     parts = _pieces(spark, path).mapInArrow(cut, PART_SCHEMA)
-    inner = parts.filter("place > 0 AND NOT last").select("text")
+    inner = parts.filter("place > 0 AND NOT last").select("file", "start", "place", "text")
     # the ends of the ranges, two a range at most: a first piece belongs to the last one before
     # it that began an element
     w = Window.partitionBy("file").orderBy("start", "place")
@@ -192,8 +194,9 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str) ->
     ends = parts.filter("place = 0 OR last").withColumn("element", F.last(begins, ignorenulls=True).over(w))
     joined = ends.groupBy("file", "element").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "place", "text"))), lambda p: p["text"]), "").alias("text"))
-    texts = inner.unionByName(joined.select("text")).filter(F.trim(F.translate("text", "\r\n\t", "   ")) != "")
-    return texts.select(F.from_json("text", schema).alias("r")).select("r.*")
+    texts = inner.unionByName(joined.select("file", "element.*", "text")).filter(F.trim(F.translate("text", "\r\n\t", "   ")) != "")
+    where = [F.col(c).alias(n) for c, n in zip(("file", "start", "place"), place or [])]
+    return texts.select(*where, F.from_json("text", schema).alias("r")).select("r.*", *(place or []))
 
 
 def write_json_arrays(df: DataFrame, path: str) -> str:

@@ -67,6 +67,31 @@ def test_combine_and_sft_and_dpo_jobs(spark, tmp_path):
     assert d.count() == 12 and d.filter(F.size("rejected_labels") != 64).count() == 0
 
 
+def test_pretraining_does_not_depend_on_input_splits(spark, tmp_path):
+    """Packing batches are runs of rows in file order, however the files are cut among tasks."""
+    lines = [json.dumps({"id": str(i), "content": f"doc {i} " + "w " * (i % 9)}) for i in range(700)]
+    for name, of in (("train", [lines[:300], lines[300:650]]), ("valid", [lines[650:]])):
+        (tmp_path / name).mkdir()
+        for k, part in enumerate(of):
+            (tmp_path / name / f"part-{k}.json").write_text("\n".join(part))
+    conf = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before, got = [spark.conf.get(c) for c in conf], []
+    try:
+        for k, size in enumerate(("1000000", "900")):
+            spark.conf.set(conf[0], size)
+            spark.conf.set(conf[1], "0")
+            out = jobs.pretrain(spark, "wanjuan", str(tmp_path / "train"), str(tmp_path / "valid"), str(tmp_path / f"out{k}"),
+                                Params(max_length=16, vocab_size=200, group_rows=100))
+            got.append(sorted((r.split, r.input_ids) for r in spark.read.parquet(out).collect()))
+        raw = jobs.read_pretraining(spark, "wanjuan", str(tmp_path / "train"), str(tmp_path / "valid"))
+        assert [r.id for r in raw.filter("split = 'train'").orderBy(jobs.ORDER).collect()] == [str(i) for i in range(650)]
+        assert sorted(r[0] for r in raw.filter("split = 'train'").select(jobs.ORDER).collect()) == list(range(650))
+    finally:
+        for c, v in zip(conf, before):
+            spark.conf.set(c, v)
+    assert got[0] == got[1] and len(got[0]) > 50
+
+
 def test_cli_entry(spark, tmp_path):
     tr, va, out = str(tmp_path / "train"), str(tmp_path / "valid"), str(tmp_path / "out")
     _write_pile(spark, tr, 100, 2)

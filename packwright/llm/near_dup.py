@@ -2,10 +2,12 @@
 banded, verified by weighted Jaccard similarity.
 
 A text is the weighted set of its shingles of ``size`` words (all words, if fewer): weight =
-occurrences x idf, idf = 1 + idf_share * log((N+1)/(df+1)) / log(N+1). N and df come from all
-documents; df is counted in a sketch of fixed size (2**18 cells, the median cell taken off as
-noise), so the table that tasks get has a proven bound whatever the corpus. Two texts are
-linked if sum(min weights) / sum(max weights) >= ``similarity``; classes are what links connect.
+occurrences x idf, idf = 1 + idf_share * log((N+1)/(df+1)) / log((N+1)/(least+1)). N and df are
+exact, over all documents. Shingles of fewer than ``least`` documents count as ``least``, where
+``least`` = max(2, shingles of all documents / ``FREQUENT``): so at most ``FREQUENT`` shingles
+have a weight of their own, and the table of them that tasks get is of proven size whatever the
+corpus. Two texts are linked if sum(min weights) / sum(max weights) >= ``similarity``; classes
+are what links connect.
 
 1. Texts with the same word sequence are one content (key: 128-bit hash). Only distinct
    contents go on, so a group of copies of any size costs its counts.
@@ -17,9 +19,11 @@ linked if sum(min weights) / sum(max weights) >= ``similarity``; classes are wha
    ``rounds + 1`` contents wholly.
 4. The members of larger buckets that are still of different classes are joined exactly: in one
    order of all shingles, rarest first, two texts that are similar enough share a shingle in
-   their prefixes (what stands before less than ``similarity`` of the weight), and from the first
-   one on both have enough weight left for the overlap they need. Pairs of different classes
-   that meet these two conditions are verified; no pair that is similar enough fails them.
+   their prefixes (what stands before less than ``similarity`` of the weight; in the lighter
+   text, less than 2 s / (1 + s) of it), and from the first one on both have enough weight left
+   for the overlap they need. Pairs of different classes that meet these conditions are
+   verified; no pair that is similar enough fails them. Pages of one template, too unlike for a
+   link, share no shingle of the lighter one's shorter prefix, so they do not meet at all.
 5. A pair is verified on whole texts: exact weighted Jaccard similarity of all shingles.
 6. Classes: connected components over the verified links, by alternating large-star and
    small-star steps on checkpointed edges.
@@ -34,8 +38,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -49,7 +51,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 IDF_SHARE = 0.5
 ROUNDS = 3
-CELLS = 1 << 18  # of the document-frequency sketch
+CELLS = 1 << 18  # of the sketch that orders shingles and finds those that may be frequent
+FREQUENT = 1 << 16  # shingles with a weight of their own, at most
 TABLE_ROWS = 1 << 15  # of the table of random numbers of ICWS
 STEP = 1024  # shingles sampled in one vectorised step
 SEED = 20_240_607
@@ -66,8 +69,8 @@ def cell_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)  # 18 high bits
 
 
-def document_frequencies(docs: DataFrame, text_col: str, size: int) -> tuple[int, np.ndarray]:
-    """Number of documents, and the sketch: documents' shingles in each cell."""
+def document_sketch(docs: DataFrame, text_col: str, size: int) -> tuple[int, np.ndarray]:
+    """Number of documents, and documents' shingles in each cell: at least the df of each."""
     types = C.pa_schema(docs.sparkSession, "cell int, n long")
 
     def count(batches):
@@ -91,10 +94,46 @@ def document_frequencies(docs: DataFrame, text_col: str, size: int) -> tuple[int
     return int(n[cell < 0].sum()), sketch
 
 
-def idf_table(total: int, sketch: np.ndarray, idf_share: float) -> np.ndarray:
-    df = np.maximum(1.0, sketch - np.median(sketch) + 1)
-    scaled = np.log((total + 1) / (np.minimum(df, total) + 1)) / max(math.log(total + 1), 1e-9)
-    return (1 + idf_share * np.maximum(scaled, 0)).astype(np.float32)
+class Idf:
+    """Inverse document frequency of shingles, and the order that puts rare ones first."""
+
+    def __init__(self, total: int, least: int, hashes: np.ndarray, df: np.ndarray, sketch: np.ndarray, idf_share: float):
+        order = np.argsort(hashes)
+        self.hashes, self.sketch, self.rest = hashes[order], sketch, np.float32(1 + idf_share)
+        span = max(np.log((total + 1) / (least + 1)), 1e-9)
+        scaled = np.log((total + 1) / (df[order] + 1)) / span
+        self.idf = (1 + idf_share * np.clip(scaled, 0, 1)).astype(np.float32)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        out = np.full(len(s), self.rest, dtype=np.float32)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
+            known = self.hashes[at] == s
+            out[known] = self.idf[at[known]]
+        return out
+
+
+def document_frequencies(docs: DataFrame, text_col: str, size: int, idf_share: float) -> Idf:
+    """Exact df of all shingles of ``least`` documents or more. A first pass counts cells; the
+    second counts the shingles of cells that hold enough, pre-aggregated by task."""
+    spark = docs.sparkSession
+    total, sketch = document_sketch(docs, text_col, size)
+    least = max(2, -int(-int(sketch.sum()) // FREQUENT))
+    sent = spark.sparkContext.broadcast(sketch >= least)
+
+    def often(b: pa.RecordBatch) -> dict:
+        found = [np.empty(0, np.uint64)]
+        for _, _, h, _, _, bounds in C.words_of(C.text_bytes(b.column("t"))):
+            for k in range(len(bounds) - 1):
+                s, _ = shingles(h[bounds[k]:bounds[k + 1]], size)
+                found.append(s[sent.value[cell_of(s)]])
+        s, n = np.unique(np.concatenate(found), return_counts=True)
+        return {"h": C.as_long(s), "n": n}
+
+    rows = C.arrow_map(docs.select(F.col(text_col).alias("t")), often, "h long, n long")
+    got = rows.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()  # FREQUENT rows at most
+    h, n = (got.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
+    return Idf(total, least, h.view(np.uint64), n, sketch, idf_share)
 
 
 _RANDOM: dict = {}
@@ -133,14 +172,14 @@ def icws(h: np.ndarray, weight: np.ndarray, samples: int) -> np.ndarray:
     return out
 
 
-def weights(h: np.ndarray, idf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def weights(h: np.ndarray, idf: Idf, size: int) -> tuple[np.ndarray, np.ndarray]:
     s, n = shingles(h, size)
-    return s, n * idf[cell_of(s)]
+    return s, n * idf.of(s)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, idf) -> DataFrame:
-    """id, th, key (16 bytes naming the word sequence), bands (hash of each; null without
-    words). A null text's key holds its id, so that it meets no other."""
+    """id, th, content (16 bytes naming the word sequence), bands (hash of each; null without
+    words). A null text's content holds its id, so that it meets no other."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"),
                       F.col(text_col).alias("t"))
     mult = C.mix64(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
@@ -158,14 +197,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
                     out[i] = C.as_long(C.mix64((got * mult).sum(axis=1) + np.arange(bands, dtype=np.uint64)))
                 else:
                     key[i] = xxhash.xxh3_128_digest(b"text" + texts[i] if known[i] else b"null%r" % ids[i])
-        return {"id": b.column("id"), "th": b.column("th"), "key": key, "bands": out}
+        return {"id": b.column("id"), "th": b.column("th"), "content": key, "bands": out}
 
-    return C.arrow_map(src, sign, "id long, th long, key binary, bands array<long>")
+    return C.arrow_map(src, sign, "id long, th long, content binary, bands array<long>")
 
 
 def buckets(contents: DataFrame) -> DataFrame:
-    """key, band, bh, place (0: the hub, then by falling degree), of buckets with 2 or more."""
-    flat = contents.filter(F.col("bands").isNotNull()).select("key", F.posexplode("bands").alias("band", "bh"))
+    """key, tie, band, bh, size, degree, of buckets with 2 or more. Ties in degree are settled by
+    what a content holds, not by its number, which follows the partitions."""
+    flat = contents.filter(F.col("bands").isNotNull()).select(
+        "key", F.xxhash64("bands").alias("tie"), F.posexplode("bands").alias("band", "bh"))
     size = flat.groupBy("band", "bh").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = C.cut(flat.join(size, ["band", "bh"]))
     degree = shared.groupBy("key").agg(F.sum("size").alias("degree"))
@@ -175,17 +216,20 @@ def buckets(contents: DataFrame) -> DataFrame:
 def hubs(shared: DataFrame, rounds: int) -> DataFrame:
     """band, bh, hub, round: the first ``rounds`` members of each bucket, by falling degree.
     Spark cuts the ranks to ``rounds`` a task before the shuffle (group limit)."""
-    w = Window.partitionBy("band", "bh").orderBy(F.desc("degree"), "key")
+    w = Window.partitionBy("band", "bh").orderBy(F.desc("degree"), "tie", "key")
     ranked = shared.withColumn("round", F.row_number().over(w)).filter(F.col("round") <= rounds)
     return ranked.select("band", "bh", F.col("key").alias("hub"), "round")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, size: int, similarity: float) -> DataFrame:
-    """The pairs (key, hub) whose texts are similar enough. A hub's rows are dealt out by the
-    other side's key too, so that the hub of a large group is no hot key."""
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
-    left = pairs.join(texts.select("key", F.col("text").alias("a")), "key").withColumn("salt", salt)
-    hub_text = pairs.select("hub", salt.alias("salt")).distinct().join(
+    """The pairs (key, hub) whose texts are similar enough. The rows of a hub of more than
+    ``PART`` pairs are dealt out in parts of about so many, so it is no hot key."""
+    large = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART).select(
+        "hub", F.ceil(F.col("n") / PART).alias("parts"))
+    pairs = C.cut(pairs.join(large, "hub", "left").select(
+        "key", "hub", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt")))
+    left = pairs.join(texts.select("key", F.col("text").alias("a")), "key")
+    hub_text = pairs.select("hub", "salt").distinct().join(
         texts.select(F.col("key").alias("hub"), F.col("text").alias("b")), "hub")
     both = left.join(hub_text, ["hub", "salt"])
 
@@ -205,10 +249,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, size: int, similarity: flo
             keep.append(weighted_jaccard(*bag(a[i]), *seen[k]) >= similarity)
         return {"u": batch.column("key").filter(pa.array(keep)), "v": batch.column("hub").filter(pa.array(keep))}
 
-    return C.arrow_map(both.select("key", "hub", "a", "b"), compare, "u binary, v binary")
-
-
-SALTS = 16
+    return C.arrow_map(both.select("key", "hub", "a", "b"), compare, "u long, v long")
 
 
 def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -260,11 +301,11 @@ def left_apart(shared: DataFrame, roots: DataFrame, rounds: int) -> DataFrame:
     return members.join(apart.select("band", "bh"), ["band", "bh"]).select("key", "root").distinct()
 
 
-def prefix(h: np.ndarray, idf: np.ndarray, size: int, similarity: float) -> tuple[np.ndarray, np.ndarray, float]:
+def prefix(h: np.ndarray, idf: Idf, size: int, similarity: float) -> tuple[np.ndarray, np.ndarray, float]:
     """The shingles of a text's prefix, the weight from each on (itself included), and the
     weight of all. What follows the prefix weighs less than ``similarity`` of all."""
     s, w = weights(h, idf, size)
-    order = np.lexsort((s, -idf[cell_of(s)]))  # one order for all texts: rarest first, then by hash
+    order = np.lexsort((s, idf.sketch[cell_of(s)]))  # one order for all texts: rarest first, then by hash
     w = w[order].astype(np.float64)
     left = np.cumsum(w[::-1])[::-1]
     n = np.count_nonzero(left >= similarity * left[0] * (1 - SLACK)) if len(w) else 0
@@ -280,7 +321,7 @@ def prefixes(members: DataFrame, texts: DataFrame, idf, size: int, similarity: f
                 "tokens": [C.as_long(s) for s, _, _ in got], "left": [x for _, x, _ in got]}
 
     rows = C.arrow_map(members.join(texts, "key").select("key", "root", "text"), first,
-                       "key binary, root binary, weight double, tokens array<long>, left array<double>")
+                       "key long, root long, weight double, tokens array<long>, left array<double>")
     return rows.select("key", "root", "weight", F.explode(F.arrays_zip("tokens", "left")).alias("t")).select(
         "key", "root", "weight", F.col("t.tokens").alias("token"), F.col("t.left").alias("left"))
 
@@ -288,7 +329,8 @@ def prefixes(members: DataFrame, texts: DataFrame, idf, size: int, similarity: f
 def possible_pairs(first: DataFrame, similarity: float) -> DataFrame:
     """The pairs (key, hub) of different classes that can be similar enough, by their prefixes
     (``first``). Classes meet first, so that members of one class are not paired up; a token of
-    many classes is dealt out in parts of about ``PART`` of them."""
+    many classes is dealt out in parts of about ``PART`` of them. Side 1 is the lighter text,
+    which must hold the token in its shorter prefix."""
     bound = similarity * (1 - SLACK)
 
     def can(left1, left2, least1, most1, least2, most2):
@@ -297,21 +339,26 @@ def possible_pairs(first: DataFrame, similarity: float) -> DataFrame:
         return ((F.least(left1, left2) >= need) & (F.col(most1) >= bound * F.col(least2))
                 & (F.col(most2) >= bound * F.col(least1)))
 
-    classes = first.groupBy("token", "root").agg(F.min("weight").alias("least"), F.max("weight").alias("most"),
-                                                 F.max("left").alias("left"))
-    several = classes.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "token", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    def lighter(left, weight):
+        return F.col(left) >= 2 * bound / (1 + bound) * F.col(weight)
+
+    classes = first.groupBy("token", "root").agg(
+        F.min("weight").alias("least"), F.max("weight").alias("most"), F.max("left").alias("left"),
+        F.max(lighter("left", "weight")).alias("light"))
+    several = classes.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("light").alias("any")).filter(
+        "n > 1 AND any").select("token", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     c = C.cut(classes.join(several, "token"))
-    side = lambda n, *more: c.select("token", *(F.col(x).alias(f"{x}{n}") for x in ("root", "least", "most", "left")), *more)
-    one = side(1, F.pmod(F.xxhash64("root"), F.col("parts")).cast("int").alias("part"))
+    side = lambda n, *more: c.select("token", *(F.col(x).alias(f"{x}{n}") for x in ("root", "least", "most", "left", "light")), *more)
+    one = side(1, F.pmod(F.xxhash64("root"), F.col("parts")).cast("int").alias("part")).filter("light1")
     two = side(2, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    met = one.join(two, ["token", "part"]).filter("root1 < root2").filter(
-        can("left1", "left2", "least1", "most1", "least2", "most2")).drop("part", "least1", "most1", "left1")
+    met = one.join(two, ["token", "part"]).filter("root1 != root2").filter(
+        can("left1", "left2", "least1", "most1", "least2", "most2")).drop("part", "least1", "most1", "left1", "light1", "light2")
     member = lambda n: first.select("token", F.col("root").alias(f"root{n}"), F.col("key").alias(f"key{n}"),
                                     F.col("weight").alias(f"w{n}"), F.col("left").alias(f"l{n}"))
-    half = met.join(member(1), ["token", "root1"]).filter(can("l1", "left2", "w1", "w1", "least2", "most2")).select(
-        "token", "root2", "key1", "w1", "l1")
-    both = half.join(member(2), ["token", "root2"]).filter(can("l1", "l2", "w1", "w1", "w2", "w2"))
+    half = met.join(member(1).filter(lighter("l1", "w1")), ["token", "root1"]).filter(
+        can("l1", "left2", "w1", "w1", "least2", "most2")).select("token", "root2", "key1", "w1", "l1")
+    both = half.join(member(2), ["token", "root2"]).filter(
+        can("l1", "l2", "w1", "w1", "w2", "w2") & (F.col("w1") <= F.col("w2") * (1 + SLACK)))
     return both.select(F.greatest("key1", "key2").alias("key"), F.least("key1", "key2").alias("hub")).distinct()
 
 
@@ -325,13 +372,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, th (hash of the text), class_id (smallest id of its class),
     class_th (with it names the row that stays for the class), class_size, kept."""
     spark = docs.sparkSession
-    total, sketch = document_frequencies(docs, text_col, size)
-    idf = spark.sparkContext.broadcast(idf_table(total, sketch, idf_share))
+    idf = spark.sparkContext.broadcast(document_frequencies(docs, text_col, size, idf_share))
     signed = C.cut(signatures(docs, id_col, text_col, size, bands, rows, idf))
-    # one row per content: F.first of the bands, as they follow from the key
-    contents = C.cut(signed.groupBy("key").agg(F.first("bands").alias("bands"),
-                                               F.min(F.struct("id", "th")).alias("least"),
-                                               F.count(F.lit(1)).alias("n")))
+    # one row per content: F.first of the bands, as they follow from the content; key: a number
+    # for it, half the size, for all that follows
+    contents = C.cut(signed.groupBy("content").agg(
+        F.first("bands").alias("bands"), F.min(F.struct("id", "th")).alias("least"),
+        F.count(F.lit(1)).alias("n")).withColumn("key", F.monotonically_increasing_id()))
     shared = C.cut(buckets(contents))
     centre = C.cut(hubs(shared, rounds))
     need = shared.select("key").distinct().join(contents.select("key", "least"), "key")
@@ -355,8 +402,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = contents.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = named.groupBy("root").agg(F.min("least").alias("stays"), F.sum("n").alias("class_size"))
-    of = C.cut(named.select("key", "root").join(classes, "root").select("key", "stays", "class_size"))
-    out = signed.select("id", "th", "key").join(of, "key")
+    of = C.cut(named.select("content", "root").join(classes, "root").select("content", "stays", "class_size"))
+    out = signed.select("id", "th", "content").join(of, "content")
     first = (F.col("id").eqNullSafe(F.col("stays.id"))) & (F.col("th") == F.col("stays.th"))
     return out.select("id", "th", F.col("stays.id").alias("class_id"), F.col("stays.th").alias("class_th"),
                       F.col("class_size").cast("long").alias("class_size"), first.alias("kept"))

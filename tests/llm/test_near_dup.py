@@ -10,8 +10,7 @@ from packwright.llm import near_dup as N
 
 
 def idf_of(docs):
-    total, sketch = N.document_frequencies(docs, "text", 5)
-    return N.idf_table(total, sketch, N.IDF_SHARE)
+    return N.document_frequencies(docs, "text", 5, N.IDF_SHARE)
 
 
 def brute(texts, idf, similarity=0.8):
@@ -115,10 +114,10 @@ def test_prefixes_lose_no_similar_pair(spark, make_docs):
         texts += [" ".join(base), " ".join(base + base[: rng.randint(0, len(base) // 3)]), " ".join(base[rng.randint(0, len(base) // 4):])]
     docs = make_docs(texts)
     idf = idf_of(docs)
-    rows = [(bytearray(b"%03d" % i), bytearray(b"%03d" % (i - i % 2 if i < 20 else i)), t) for i, t in enumerate(texts)]
-    members = spark.createDataFrame(rows, "key binary, root binary, text string")
+    rows = [(i, i - i % 2 if i < 20 else i, t) for i, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "key long, root long, text string")
     first = N.prefixes(members.select("key", "root"), members.select("key", "text"), spark.sparkContext.broadcast(idf), 5, 0.8)
-    got = {(int(bytes(r.key)), int(bytes(r.hub))) for r in N.possible_pairs(first, 0.8).collect()}
+    got = {(r.key, r.hub) for r in N.possible_pairs(first, 0.8).collect()}
     bags = [N.weights(C.hash_words(t.encode())[0], idf, 5) for t in texts]
     alike = {(j, i) for i, j in combinations(range(len(texts)), 2)
              if rows[i][1] != rows[j][1] and N.weighted_jaccard(*bags[i], *bags[j]) >= 0.8}
@@ -140,21 +139,45 @@ def test_icws_agrees_with_weighted_similarity():
     assert len(np.unique(N.icws(x, np.ones(5000), 48))) > 40
 
 
-def test_document_frequencies_count_all_documents(make_docs):
-    texts = ["a b c d e f"] * 7 + ["a b c d e", "x", "", None, "a b c d e a b c d e"]
-    total, sketch = N.document_frequencies(make_docs(texts), "text", 5)
-    abcde, _ = N.shingles(C.hash_words(b"a b c d e")[0], 5)
-    assert total == 12 and sketch[N.cell_of(abcde)[0]] >= 9
-    idf = N.idf_table(total, sketch, 0.5)
-    assert 1 <= idf[N.cell_of(abcde)[0]] < idf.max() <= 1.5
+def test_template_pages_below_the_bound_do_not_meet(spark, make_docs):
+    """Pages alike at 0.73: own parts weigh less than a prefix, so template shingles stand in all
+    prefixes; no page holds them in the shorter prefix of a lighter text."""
+    rng = random.Random(5)
+    own = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    template = own(204)
+    texts = [" ".join(template + own(25)) for _ in range(150)]
+    docs = make_docs(texts, 4)
+    idf = idf_of(docs)
+    members = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "key long, root long, text string")
+    first = N.prefixes(members.select("key", "root"), members.select("key", "text"), spark.sparkContext.broadcast(idf), 5, 0.8)
+    assert first.groupBy("token").count().filter("count = 150").count() > 0
+    assert N.possible_pairs(first, 0.8).count() == 0
+    assert len({r.class_id for r in run(docs).values()}) == 150
+
+
+def test_weights_are_tf_idf(make_docs, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 30))) for _ in range(80)] + [None, "", "a b", "a b"]
+    sets = [set(map(tuple, bag)) for bag in (
+        [w[i : i + 5] for i in range(max(1, len(w) - 4))] if w else [] for w in ((t or "").split() for t in texts))]
+    of_all = sum(map(len, sets))
+    for most in (1 << 16, 40):
+        monkeypatch.setattr(N, "FREQUENT", most)
+        least = max(2, -(-of_all // most))
+        idf = N.document_frequencies(make_docs(texts, 5), "text", 5, 0.5)
+        assert len(idf.hashes) <= most
+        for shingle in set().union(*sets):
+            df = max(least, sum(shingle in s for s in sets))
+            want = 1 + 0.5 * np.log((len(texts) + 1) / (df + 1)) / np.log((len(texts) + 1) / (least + 1))
+            words = C.hash_words(" ".join(shingle * 2).encode())[0][: len(shingle)]
+            s, w = N.weights(words, idf, 5)
+            assert len(s) == 1 and abs(w[0] - want) < 1e-5
 
 
 def test_components(spark):
     rng = random.Random(3)
-    key = lambda k: f"{k:06d}".encode()
     links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(25)] + [(7, 7)]
-    rows = [(bytearray(key(a)), bytearray(key(b))) for a, b in links]
-    got = {bytes(r.key): bytes(r.root) for r in N.components(spark.createDataFrame(rows, "u binary, v binary")).collect()}
+    got = {r.key: r.root for r in N.components(spark.createDataFrame(links, "u long, v long")).collect()}
     root = {}
 
     def find(i):
@@ -166,7 +189,7 @@ def test_components(spark):
         if a != b:
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    assert got == {key(i): key(find(i)) for i in root if find(i) != i}
+    assert got == {i: find(i) for i in root if find(i) != i}
 
 
 def test_one_row_of_each_class_stays(spark, make_docs):

@@ -16,7 +16,8 @@ columns of the table, whatever their names), ``size`` (UTF-8 bytes of the text a
 ``part`` and ``at`` (place in the part). A row's slot in its shard is ``at`` plus the rows of
 the shard's parts before its own, one number per part.
 
-What meets on the driver is ``PROBES`` numbers per part, not per row. Which row of several that
+What meets on the driver is ``PROBES`` numbers per part, not per row, and there are at most
+``MOST_PARTS``. Which row of several that
 agree in id and text goes below a splitter may change if a lost task is run again on other
 partitions; no row is lost or doubled by it, and slots are counted in what is written.
 
@@ -39,7 +40,8 @@ from packwright.session import scratch_path
 
 OVERHEAD = 8  # bytes that a row counts besides its text
 PROBES = 12  # of each open splitter in a round
-PART_MB = 64
+PART_MB = 32
+MOST_PARTS = 50_000  # of all shards; parts of larger tables are larger
 TOLERANCE = 0.005  # of a shard's bytes
 PART_TOLERANCE = 0.1  # of a part's bytes
 KEY = ["a", "b", "c"]
@@ -176,7 +178,7 @@ def write(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id",
     rows = keyed(docs, id_col, text_col)
     keys = C.saved(rows.select(*KEY, "size"), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -int(-total // (shards * part_mb * (1 << 20))))  # of a shard
+    parts = max(1, min(MOST_PARTS // shards, -int(-total // (shards * part_mb * (1 << 20)))))  # of a shard
     n = shards * parts
     cuts = [(total * i / n, min(tolerance * total / shards, total / n / 3) if i % parts == 0 else PART_TOLERANCE * total / n)
             for i in range(1, n)]
@@ -193,7 +195,8 @@ def write(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id",
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     out = out.select("row", "size", "part", at.alias("at"), "shard")
     spark.createDataFrame([], out.schema).write.parquet(f"{path}/schema")
-    out.write.partitionBy("shard").parquet(f"{path}/rows")
+    with C.shuffles_released(spark):
+        out.write.partitionBy("shard").parquet(f"{path}/rows")
     return path
 
 

@@ -10,6 +10,7 @@ from packwright import sql as S
 from packwright.functions.arrays import truncate_at
 from packwright.operators import examples as X
 from packwright.operators import scoring as SC
+from packwright.operators.topn import top_share
 from packwright.operators.loading import fixed_batches
 from packwright.operators.ordering import sequential_index
 from packwright.operators.tokens import bounded_broadcast, encode, pretokens
@@ -226,6 +227,19 @@ def topn_in_order(spark, sf_dir):
     return d.select("doc_id", ids_str(SC.top_n_in_order(F.col("lines"), F.length, KEEP_RATIO)).alias("kept"))
 
 
+TOP_ONE_TASK = 100  # rows of a source above which the cut is found by counting
+
+
+@q("topn_by_source", f"""SELECT source, doc_id, n FROM (SELECT source, doc_id, length(text)::BIGINT AS n,
+  row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rk, count(*) OVER (PARTITION BY source) AS c FROM documents)
+WHERE rk <= floor(c * {KEEP_RATIO}::DOUBLE)""")
+def topn_by_source(spark, sf_dir):
+    """The longest documents of each source, a share of its unknown number: a source that holds a
+    third of the rows is not gathered."""
+    d = A.table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").cast("bigint").alias("n"))
+    return top_share(d, ["source"], "n", "doc_id", KEEP_RATIO, TOP_ONE_TASK)
+
+
 N_BUCKETS = 64  # one for each element of a vector
 PER_ITEM = 1
 

@@ -10,6 +10,7 @@ from packwright.plans.common import P, ids_str
 from packwright.plans.corpus import GROUP, packed, packed_sql_cte
 from packwright.sources import adapters as A
 from packwright.sources import readers as R
+from packwright.sources.footers import audit_footers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -90,26 +91,50 @@ def _source_of(file):
 @q("file_audit", f"""SELECT source, n::BIGINT AS n_rows, n::BIGINT AS n_valid, 0::BIGINT AS n_corrupt FROM ({SOUND_SQL})
 UNION ALL SELECT source, n::BIGINT, 0::BIGINT, n::BIGINT FROM ({BROKEN_SQL})""")
 def file_audit(spark, sf_dir):
-    """A sound JSON file for each source, and one of broken lines from every 97th document; the
-    audit has a row for each file, which names it (here its source folder is shown)."""
-    d = A.table(spark, sf_dir, "documents").repartition("source")  # one file a source
+    """Sound JSON files of each source, and files of broken lines from every 97th document; the
+    audit has a row for each file, which names it (here files are summed by source folder and
+    soundness, as their number is Spark's)."""
+    d = A.table(spark, sf_dir, "documents")
     base = R.new_location(spark, "audit")
     R.write_jsonl(d.select("doc_id", "text", "source"), base, partition_by=["source"])
     _broken_lines(d).write.mode("append").partitionBy("source").text(base)
     a = R.audit_json(spark, base, StructType.fromDDL("doc_id bigint, text string"))
-    return a.select(_source_of("file"), "n_rows", "n_valid", "n_corrupt")
+    return a.groupBy(_source_of("file"), (F.col("n_corrupt") > 0).alias("broken")).agg(
+        *[F.sum(c).alias(c) for c in ("n_rows", "n_valid", "n_corrupt")]).drop("broken")
 
 
 @q("parquet_audit", f"""SELECT source, n::BIGINT AS n_rows, true AS readable FROM ({SOUND_SQL})
 UNION ALL SELECT source, 0::BIGINT, false FROM ({BROKEN_SQL})""")
 def parquet_audit(spark, sf_dir):
     """The same for Parquet: sound files, and files that are not Parquet at all."""
-    d = A.table(spark, sf_dir, "documents").repartition("source")
+    d = A.table(spark, sf_dir, "documents")
     base = R.new_location(spark, "audit-parquet")
     d.select("doc_id", "text", "source").write.partitionBy("source").parquet(base)
     _broken_lines(d).write.mode("append").partitionBy("source").text(base)
     a = R.audit_parquet(spark, base, "doc_id bigint, text string")
-    return a.select(_source_of("file"), "n_rows", "readable")
+    return a.groupBy(_source_of("file"), "readable").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@q("footer_audit", f"""WITH s AS ({SOUND_SQL}), b AS ({BROKEN_SQL})
+SELECT source, s.n::BIGINT AS n_rows, coalesce(b.n, 0) > 0 AS broken, coalesce(b.n, 0) > 0 AS other_schema,
+  'doc_id int64, n_chars int64, text string' AS columns, coalesce(b.n, 0)::BIGINT AS n_rows_other
+FROM s LEFT JOIN b USING (source)""")
+def footer_audit(spark, sf_dir):
+    """Sound files, files of another schema (from every 97th document) and files that are not
+    Parquet, told apart by footers; no row is read. Shown by source folder, as the number of files
+    is Spark's."""
+    d = A.table(spark, sf_dir, "documents")
+    base = R.new_location(spark, "audit-footers")
+    d.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "text", "source").write.partitionBy("source").parquet(base)
+    some = d.filter(F.col("doc_id") % CORRUPT_EVERY == 0)
+    some.select("doc_id", "source").write.mode("append").partitionBy("source").parquet(base)
+    _broken_lines(d).write.mode("append").partitionBy("source").text(base)
+    a = audit_footers(spark, base)
+    usual = F.col("differs") == F.lit(False)
+    return a.groupBy(_source_of("file")).agg(
+        F.sum(F.when(usual, F.col("n_rows"))).alias("n_rows"), F.max(F.col("problem").isNotNull()).alias("broken"),
+        F.max(F.coalesce("differs", F.lit(False))).alias("other_schema"), F.max(F.when(usual, F.col("columns"))).alias("columns"),
+        F.coalesce(F.sum(F.when(F.col("differs"), F.col("n_rows"))), F.lit(0)).cast("bigint").alias("n_rows_other"))
 
 
 SAMPLE_N = 10

@@ -3,10 +3,10 @@ shards, fixed-size batches, collation, preference stacking, step plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.operators.ordering import seeded_order
+from packwright.operators.ordering import permutation_keys, permuted, seeded_order
 from packwright.params import DEFAULT, Params
 
 
@@ -40,6 +40,29 @@ def rank_shards(df: DataFrame, key: str, params: Params = DEFAULT, epoch: int =
         "position", F.expr(f"__p div {w}")).drop("__p", "__n")
 
 
+def write_rank_shards(ranked: DataFrame, path: str) -> str:
+    """Rows of :func:`rank_shards` as one set of sorted files for each rank. Ranges of (rank,
+    position), so a rank is written by as many tasks as its share asks for, and its files follow
+    one another."""
+    ranked.repartitionByRange("rank", "position").sortWithinPartitions("rank", "position").write.partitionBy("rank").parquet(path)
+    return path
+
+
+def read_rank(spark: SparkSession, path: str, rank: int) -> DataFrame:
+    """One rank's rows; the other ranks' files are not opened. Rows within a file are in order of
+    ``position``."""
+    return spark.read.parquet(path).filter(F.col("rank") == rank)
+
+
+def permuted_epochs(df: DataFrame, index: str, n: int, params: Params = DEFAULT, epochs: int | None = None) -> DataFrame:
+    """A row for each epoch with its ``position`` in it, by arithmetic on the row's number
+    ``index`` (0 to n - 1): no epoch is sorted, and any epoch can be had by itself."""
+    e = params.epochs if epochs is None else epochs
+    places = F.array(*[F.struct(F.lit(k).alias("epoch"), permuted(F.col(index), n, permutation_keys(params.seed, k)).alias("position"))
+                       for k in range(e)])
+    return df.withColumn("__e", F.explode(places)).select(*df.columns, "__e.*")
+
+
 def fixed_batches(df: DataFrame, idx: str, batch_size: int) -> DataFrame:
     """Batch number = position div batch size; the last batch may be short."""
     return df.withColumn("batch", F.expr(f"{idx} div {batch_size}"))

@@ -116,3 +116,58 @@ def exact_split(df: DataFrame, key: str, fraction: float, seed, out: str = "spli
     at, row = F.lit(last[0]), F.lit(last[1])
     test = (h < at) | ((h == at) & (F.col(key) <= row))
     return df.withColumn(out, F.when(test, F.lit(test_name)).otherwise(F.lit(train_name)))
+
+
+#: Modulus and multiplier of the round function of :func:`permuted` (products stay below 2^62).
+PRIME, MULTIPLIER = 2_147_483_647, 48_271
+STEPS = 3  # of two half rounds
+
+
+def permutation_keys(seed: int, epoch: int) -> list[int]:
+    """One key for each half round, below PRIME."""
+    import hashlib
+
+    return [int(hashlib.md5(f"{seed}:{epoch}:{i}".encode()).hexdigest()[:8], 16) % PRIME for i in range(2 * STEPS)]
+
+
+def permutation_sides(n: int) -> tuple[int, int]:
+    """(a, b): whole numbers whose product is n or little more."""
+    import math
+
+    a = max(1, math.isqrt(n))
+    return a, max(1, -(-n // a))
+
+
+def permuted(index: Column, n: int, keys: list[int]) -> Column:
+    """The place of ``index`` (0 to n - 1) in a permutation of 0 to n - 1 that ``keys`` name: plain
+    arithmetic, so any epoch's order, or any row's place in it, needs no sort and no table.
+
+    A Feistel network on pairs (x div b, x mod b): each half round adds a function of one half to
+    the other, which can be undone, so the whole is one to one on 0 to a*b - 1. A value of n or
+    more (few: a*b - n < a) goes through again until it is below n, which keeps it one to one.
+    ``n`` is below 2^62."""
+    import math
+
+    a, b = permutation_sides(n)
+    spare = a * b - n
+    # more walks than the longest possible, or so many that none is left (2^-100 a row)
+    walks = 0 if not spare else min(spare, math.ceil(100 / math.log2(a * b / spare)))
+
+    def half(value: Column, key: Column, side: int) -> Column:
+        x = (value + key) % F.lit(PRIME)
+        return ((x * x) % F.lit(PRIME) * F.lit(MULTIPLIER) + key) % F.lit(PRIME) % F.lit(side)
+
+    def once(x: Column) -> Column:
+        def step(acc, k):
+            left = (acc["l"] + half(acc["r"], k["l"], a)) % F.lit(a)
+            return F.struct(left.alias("l"), ((acc["r"] + half(left, k["r"], b)) % F.lit(b)).alias("r"))
+
+        ks = F.array(*[F.struct(F.lit(keys[2 * i]).cast("long").alias("l"), F.lit(keys[2 * i + 1]).cast("long").alias("r"))
+                       for i in range(STEPS)])
+        start = F.struct(((x - x % F.lit(b)) / F.lit(b)).cast("long").alias("l"), (x % F.lit(b)).cast("long").alias("r"))
+        return F.aggregate(ks, start, step, lambda acc: acc["l"] * F.lit(b).cast("long") + acc["r"])
+
+    out = once(index.cast("long"))
+    if walks:
+        out = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), out, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(index < n, out)

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from packwright import sql as S
 from packwright.functions import text as T
 from packwright.functions.arrays import attention_pairs, segment_mask
+from packwright.operators import sketches as K
 from packwright.operators.packing import pack_text, packed_counts, with_pack_group
 from packwright.operators.tokens import decode_tokens, encode, pretokens, strip_specials, tokens_to_string
 from packwright.params import EOS_TOKEN, SPECIAL_TOKENS, WS
 from packwright.plans.common import EOS, EOS_LIT, L, P, ids_str, stamp, tokens_sql, vocab, vocab_sql
 from packwright.sources import adapters as A
+from packwright.sources import readers as R
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -353,6 +355,26 @@ def distinct_titles(spark, sf_dir):
     return w.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("title").alias("n_titles"))
 
 
+SHARDS = 7  # of each source, whose sketches are stored and merged
+
+
+@q("distinct_merged", f"""SELECT source, count(*)::BIGINT AS n_rows, count(DISTINCT title)::BIGINT AS n_titles, true AS within, true AS same
+FROM (SELECT source, string_split(text, chr(10))[1] AS title FROM documents) GROUP BY source""")
+def distinct_merged(spark, sf_dir):
+    """Distinct titles of each source from sketches stored by source and shard: held to the stated
+    error against the exact count, and to the sketch of one pass."""
+    d = A.table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % SHARDS).alias("shard"),
+                                                   F.substring_index("text", "\n", 1).alias("title"))
+    path = R.new_location(spark, "title-sketches")
+    K.distinct_sketches(d, ["source", "shard"], "title").write.parquet(path)
+    stored = K.estimated(K.merged(spark.read.parquet(path), ["source"]), "stored")
+    once = K.estimated(K.distinct_sketches(d, ["source"], "title"), "once").drop("n_rows")
+    exact = d.groupBy("source").agg(F.countDistinct("title").alias("n_titles"))
+    return stored.join(once, "source").join(exact, "source").select(
+        "source", "n_rows", "n_titles", (F.abs(F.col("stored") - F.col("n_titles")) <= F.col("n_titles") * K.ERROR).alias("within"),
+        (F.abs(F.col("stored") - F.col("once")) <= F.lit(0.01) * F.col("once")).alias("same"))
+
+
 @q("split_summary", f"SELECT split, count(*)::BIGINT AS n_rows, 5::INTEGER AS n_columns FROM ({A.CORPUS_SQL}) GROUP BY split")
 def split_summary(spark, sf_dir):
     c = A.corpus(spark, sf_dir)

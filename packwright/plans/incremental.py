@@ -17,10 +17,10 @@ from packwright.plans.instruct import KEY_SQL
 from packwright.sources import adapters as A
 from packwright.sources import readers as R
 from packwright.streaming import incremental as ST
+from packwright.streaming import state as SS
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-N_FILES = 4
 STREAM_BLOCK = 100  # consecutive ids that arrive, and are packed, together
 LANES = 8  # packing lanes of a source in the stateful stream
 EVENT_TIME_BASE = 1_000_000_000  # seconds; keeps every event after the first watermark (0)
@@ -38,11 +38,15 @@ def q(name, sql=None):
     return deco
 
 
+def _stream(spark, landing, schema):
+    return ST.source(spark, landing, schema, ST.files_a_batch(spark, landing))
+
+
 def _landed_docs(spark, sf_dir):
     """The corpus as key-ordered files; a block of consecutive ids never spans two files, so
-    per-micro-batch packing by block equals batch packing by block. One file a micro-batch."""
+    per-micro-batch packing by block equals batch packing by block."""
     d = A.corpus(spark, sf_dir).withColumn("pack_group", F.expr(f"doc_id div {STREAM_BLOCK}"))
-    return ST.land(d, R.new_location(spark, "landing"), "doc_id", unit="pack_group", files=N_FILES)
+    return ST.land(d, R.new_location(spark, "landing"), "doc_id", unit="pack_group")
 
 
 @q("stream_encode", f"""SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, chr(31))) AS tokens_md5
@@ -50,7 +54,7 @@ FROM (SELECT doc_id, {S.pretokens('text || ' + EOS_LIT)} AS t FROM documents)"""
 def stream_encode(spark, sf_dir):
     """Stateless stream over landed shards; the result equals the batch computation."""
     landing = _landed_docs(spark, sf_dir)
-    s = ST.source(spark, landing, LANDED_SCHEMA)
+    s = _stream(spark, landing, LANDED_SCHEMA)
     t = s.select("doc_id", pretokens(T.assemble_plain("text")).alias("t"))
     r = t.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.md5(F.array_join("t", "\x1f")).alias("tokens_md5"))
     out = ST.run_to_table(r, R.new_location(spark, "stream-encode"), R.new_location(spark, "ckpt-encode"))
@@ -73,7 +77,7 @@ def stream_pack(spark, sf_dir):
         rows = pack_text(docs, "text", ["split", "source", "pack_group"], "doc_id", v, P)
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    ST.run_batches(ST.source(spark, landing, LANDED_SCHEMA), per_batch, R.new_location(spark, "ckpt-pack"))
+    ST.run_batches(_stream(spark, landing, LANDED_SCHEMA), per_batch, R.new_location(spark, "ckpt-pack"))
     back = spark.read.parquet(out)
     return back.select("split", "source", "pack_group", "chunk", F.md5(ids_str("input_ids")).alias("ids_md5"))
 
@@ -88,10 +92,10 @@ def stream_pack_stateful(spark, sf_dir):
     stateful step, and the set-based encoder's gather would be another)."""
     landing = _landed_docs(spark, sf_dir)
     v = vocab(spark, sf_dir)
-    s = ST.source(spark, landing, LANDED_SCHEMA).select("doc_id", "split", "source", T.assemble_plain("text").alias("text"))
+    s = _stream(spark, landing, LANDED_SCHEMA).select("doc_id", "split", "source", T.assemble_plain("text").alias("text"))
     e = encode_with_arrow(s, "text", v, P).select("doc_id", "split", "source", "ids")
     e = ST.with_lane(e, "doc_id", A.SPLIT_BLOCK, LANES)
-    packed = ST.carry_over_pack(e, ["split", "source", "lane"], "doc_id", "ids", P)
+    packed = SS.carry_over_pack(e, ["split", "source", "lane"], "doc_id", "ids", P)
     out = ST.run_to_table(packed, R.new_location(spark, "stream-pack-state"), R.new_location(spark, "ckpt-state"))
     back = spark.read.parquet(out)
     return back.select("split", "source", "lane", "chunk", F.md5(ids_str("input_ids")).alias("ids_md5"),
@@ -105,9 +109,34 @@ def stream_dedup(spark, sf_dir):
     d = A.sft_with_duplicates(spark, sf_dir).withColumn("key", I.dedup_key(P)).withColumn(
         "event_time", F.timestamp_seconds(F.lit(EVENT_TIME_BASE) + F.col("conv_id") * 1000 + F.col("turn")))
     landing = R.new_location(spark, "landing-sft")
-    ST.land(d.select("idx", "key", "event_time"), landing, "idx", files=N_FILES)
-    s = ST.source(spark, landing, "idx bigint, key string, event_time timestamp")
+    ST.land(d.select("idx", "key", "event_time"), landing, "idx")
+    s = _stream(spark, landing, "idx bigint, key string, event_time timestamp")
     u = ST.dedup_within_watermark(s, ["key"], "event_time", "1 hour")
     out = ST.run_to_table(u.select(F.md5("key").alias("key_md5")), R.new_location(spark, "stream-dedup"),
                           R.new_location(spark, "ckpt-dedup"))
     return spark.read.parquet(out)
+
+
+ARRIVAL_BLOCK = 20  # conversations that arrive in the wrong order
+LATEST_DELAY = 12 * 3600  # seconds: more than the event times of a block span
+
+
+@q("stream_dedup_first", f"""SELECT md5(k) AS key_md5, min(idx) AS idx, arg_min(output, idx) AS output
+FROM (SELECT idx, output, {KEY_SQL} AS k FROM ({A.SFT_DUP_SQL})) GROUP BY k""")
+def stream_dedup_first(spark, sf_dir):
+    """The first row of each key in input order, though copies arrive before what they copy: rows
+    come in blocks of conversations, the last row of a block first. Equals the batch's first
+    occurrence. A closing row with a far event time lets the watermark pass all others."""
+    d = A.sft_with_duplicates(spark, sf_dir).select(
+        "idx", "output", I.dedup_key(P).alias("key"), F.expr(f"conv_id div {ARRIVAL_BLOCK}").alias("block"),
+        F.timestamp_seconds(F.lit(EVENT_TIME_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("event_time"))
+    end = spark.range(1).select(
+        F.lit(1 << 62).alias("idx"), F.lit(None).cast("string").alias("output"), F.lit(None).cast("string").alias("key"),
+        F.lit(1 << 62).alias("block"), F.timestamp_seconds(F.lit(9_000_000_000)).alias("event_time"))
+    d = d.unionByName(end).withColumn("arrival", F.col("block").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(20,0)") - F.col("idx"))
+    landing = ST.land(d, R.new_location(spark, "landing-first"), "arrival", unit="block")
+    s = _stream(spark, landing, "idx bigint, output string, key string, event_time timestamp")
+    first = SS.first_occurrences(s, "key", "idx", "event_time", LATEST_DELAY)
+    out = ST.run_to_table(first.select(F.md5("key").alias("key_md5"), "idx", "output"),
+                          R.new_location(spark, "stream-first"), R.new_location(spark, "ckpt-first"))
+    return spark.read.parquet(out)

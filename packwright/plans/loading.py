@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from packwright.operators import examples as X
 from packwright.operators import loading as LD
-from packwright.operators.ordering import sequential_index
+from packwright.operators.batch_map import map_batches
+from packwright.operators.ordering import MULTIPLIER, PRIME, STEPS, permutation_keys, sequential_index
 from packwright.operators.packing import with_pack_group
 from packwright.plans.common import L, P, ids_str, vocab
 from packwright.plans.corpus import GROUP, packed_sql_cte, saved_packed
 from packwright.plans.instruct import KEY, dpo_encoded_sql, ones_sql, pad_sql, sft_encoded_sql
 from packwright.sources import adapters as A
+from packwright.sources import readers as R
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -211,3 +213,63 @@ def sample_rows(spark, sf_dir):
     """First n rows in key order (the preview is the feature, so the limit stays)."""
     d = A.table(spark, sf_dir, "documents")
     return d.select("doc_id", "source", "n_chars").orderBy("doc_id").limit(SAMPLE_N)
+
+
+def _round_sql(value, key, side):
+    x = f"(({value} + {key}) % {PRIME})"
+    return f"((({x} * {x}) % {PRIME} * {MULTIPLIER} + {key}) % {PRIME} % {side})"
+
+
+def permutation_sql(epoch):
+    """One epoch's places of the documents, with the same arithmetic: (doc_id, epoch, position)."""
+    keys = permutation_keys(P.seed, epoch)
+    def once(src):
+        q = f"(SELECT doc_id, n, a, b, y // b AS l, y % b AS r FROM {src})"
+        for i in range(STEPS):
+            q = f"(SELECT doc_id, n, a, b, (l + {_round_sql('r', keys[2 * i], 'a')}) % a AS l, r FROM {q})"
+            q = f"(SELECT doc_id, n, a, b, l, (r + {_round_sql('l', keys[2 * i + 1], 'b')}) % b AS r FROM {q})"
+        return f"SELECT doc_id, n, a, b, l * b + r AS y FROM {q}"
+    return f"""(WITH RECURSIVE sized AS (SELECT doc_id, count(*) OVER () AS n, row_number() OVER (ORDER BY doc_id) - 1 AS y FROM documents),
+sided AS (SELECT doc_id, n, CAST(floor(sqrt(n)) AS BIGINT) AS a, CAST(ceil(n / floor(sqrt(n))) AS BIGINT) AS b, y FROM sized),
+walk AS ({once('sided')} UNION ALL {once('(SELECT * FROM walk WHERE y >= n)')})
+SELECT doc_id, {epoch}::INTEGER AS epoch, y AS position FROM walk WHERE y < n)"""
+
+
+@q("epoch_permutation", " UNION ALL ".join(f"SELECT * FROM {permutation_sql(e)}" for e in range(P.epochs)))
+def epoch_permutation(spark, sf_dir):
+    """Every epoch's order of the documents from one index, by arithmetic: only the index is sorted."""
+    d = sequential_index(A.table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], out="idx")
+    n = d.count()
+    return LD.permuted_epochs(d, "idx", n, P).select("doc_id", "epoch", "position")
+
+
+SINK_RANK = 1
+
+
+@q("rank_sink", f"SELECT rank, position, conv_id, turn FROM {RANKED_SQL} WHERE rank = {SINK_RANK}")
+def rank_sink(spark, sf_dir):
+    """All ranks written as sorted file sets of their own; one is read back by pruning."""
+    ranked = LD.rank_shards(_sft_keys(spark, sf_dir), "idx", P)
+    path = LD.write_rank_shards(ranked.select("rank", "position", "conv_id", "turn"), R.new_location(spark, "ranks"))
+    return LD.read_rank(spark, path, SINK_RANK).select("rank", "position", "conv_id", "turn")
+
+
+MAP_ROWS = 300  # of a batch
+CHUNK_CHARS = 5000
+
+
+@q("batched_map", f"""SELECT batch, chunk, count(*)::BIGINT AS n_docs, min(doc_id) AS first_doc, sum(n)::BIGINT AS n_chars
+FROM (SELECT *, CAST((sum(n) OVER (PARTITION BY batch ORDER BY idx) - n) // {CHUNK_CHARS} AS BIGINT) AS chunk FROM (
+  SELECT doc_id, length(text) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS idx, (row_number() OVER (ORDER BY doc_id) - 1) // {MAP_ROWS} AS batch
+  FROM documents)) GROUP BY batch, chunk""")
+def batched_map(spark, sf_dir):
+    """A user's function on batches of a stated number of rows, which returns fewer: documents of a
+    batch, in order, put together to chunks of some characters."""
+    d = A.table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("bigint").alias("n"))
+    d = sequential_index(d, ["doc_id"], out="idx")
+
+    def chunks(b):
+        b = b.assign(chunk=(b.n.cumsum() - b.n) // CHUNK_CHARS, batch=b.idx // MAP_ROWS)
+        return b.groupby(["batch", "chunk"], as_index=False).agg(n_docs=("n", "size"), first_doc=("doc_id", "min"), n_chars=("n", "sum"))
+
+    return map_batches(d, chunks, "batch bigint, chunk bigint, n_docs bigint, first_doc bigint, n_chars bigint", MAP_ROWS, index="idx")

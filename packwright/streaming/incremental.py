@@ -1,6 +1,6 @@
 """Structured Streaming forms of the batch jobs: newly landed shards are cleaned and
-encoded incrementally, packed per micro-batch (idempotent per batch id), carried over
-between micro-batches with per-source state, or de-duplicated within a watermark."""
+encoded incrementally, packed per micro-batch (idempotent per batch id), or de-duplicated
+within a watermark. ``state`` has the operators that keep state of their own."""
 
 from __future__ import annotations
 
@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from packwright.params import DEFAULT, Params
+from packwright.streaming.state import rocksdb
 
+BATCHES = 4  # micro-batches that a landed table makes, if not told otherwise
 
-def land(df: DataFrame, path: str, key: str, unit: str | None = None, files: int = 4) -> str:
-    """Land a table as ``files`` key-ordered files, the way a stream would see shards arrive.
+
+def land(df: DataFrame, path: str, key: str, unit: str | None = None, files: int | None = None) -> str:
+    """Land a table as ``files`` key-ordered files, the way a stream would see shards arrive. By
+    default as many as Spark has shuffle partitions, so that no task sorts more than its share.
 
     One distributed write: rows are range-partitioned on ``unit`` (default ``key``), so
     rows sharing a unit are never split across files, sorted by ``key`` inside each
@@ -22,6 +25,7 @@ def land(df: DataFrame, path: str, key: str, unit: str | None = None, files: int
     stream (oldest first) reads them in order; on a store that ignores them the order of
     arrival is the store's. A test-side helper: in production files arrive from upstream."""
     part = F.col(unit) if unit else F.col(key)
+    files = files or max(BATCHES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df.repartitionByRange(files, part).sortWithinPartitions(key).write.parquet(path)
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
@@ -36,6 +40,13 @@ def land(df: DataFrame, path: str, key: str, unit: str | None = None, files: int
     return path
 
 
+def files_a_batch(spark: SparkSession, path: str, batches: int = BATCHES) -> int:
+    """Files of a micro-batch if what lies in ``path`` is to make ``batches`` of them."""
+    from packwright.sources.readers import list_shards
+
+    return max(1, -(-len(list_shards(spark, path)) // batches))
+
+
 def source(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
@@ -43,9 +54,10 @@ def source(spark: SparkSession, path: str, schema: StructType | str, files_per_t
 def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> str:
     """Process everything available now into a parquet sink and stop (restartable from
     the checkpoint; the file sink is exactly-once)."""
-    q = (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start(out))
-    q.awaitTermination()
+    with rocksdb(stream.sparkSession):
+        q = (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(availableNow=True).start(out))
+        q.awaitTermination()
     return out
 
 
@@ -64,42 +76,3 @@ def dedup_within_watermark(stream: DataFrame, key_cols: list[str], event_time: s
 def with_lane(df: DataFrame, key: str, block: int, lanes: int, out: str = "lane") -> DataFrame:
     """Blocks of ``block`` consecutive keys dealt out to ``lanes`` packing lanes in turn."""
     return df.withColumn(out, F.expr(f"cast({key} div {block} % {lanes} as string)"))
-
-
-def carry_over_pack(stream: DataFrame, group_cols: list[str], order_col: str, ids_col: str,
-                    params: Params = DEFAULT) -> DataFrame:
-    """Pack across micro-batches: per group the remainder (< max_length tokens) is kept
-    in state and prefixed to the next batch's tokens, so no tokens are dropped at batch
-    boundaries. State per group is bounded by max_length. A group is one task at a time:
-    put a lane of the key (see ``with_lane``) into ``group_cols``, so that a source that holds
-    a third of the rows is packed by many tasks, each with its share of a micro-batch."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    L = params.max_length
-    out_schema = ", ".join([f"{c} string" for c in group_cols]) + ", chunk long, input_ids array<int>"
-    state_schema = "tail array<int>, next_chunk long"
-
-    def fn(key, pdfs, state):
-        if state.exists:
-            tail, next_chunk = state.get
-            tail = list(tail)
-        else:
-            tail, next_chunk = [], 0
-        parts = [np.asarray(tail, dtype=np.int32)]
-        # this key's rows of one micro-batch (bounded by the trigger size), in order
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(order_col)
-        parts.extend(np.asarray(x, dtype=np.int32) for x in batch[ids_col])
-        flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
-        n = len(flat) // L
-        rows = [flat[i * L:(i + 1) * L].tolist() for i in range(n)]
-        state.update((flat[n * L:].tolist(), next_chunk + n))
-        if n:
-            data = {c: [key[i]] * n for i, c in enumerate(group_cols)}
-            data["chunk"] = list(range(next_chunk, next_chunk + n))
-            data["input_ids"] = rows
-            yield pd.DataFrame(data)
-
-    return stream.groupBy(*group_cols).applyInPandasWithState(
-        fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)

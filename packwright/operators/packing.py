@@ -165,12 +165,20 @@ def pack_ids(df: DataFrame, ids_col: str, group_cols: list[str], order_col: str,
     return _assemble(d, group_cols, "__ids", "__start", params)
 
 
-def packed_counts(df: DataFrame, text_col: str, group_cols: list[str], params: Params = DEFAULT) -> DataFrame:
-    """Rows and tokens that packing will produce, without packing: a group of n tokens
-    yields exactly n div L rows of L tokens (the tail is dropped). One regex count per
-    document and an aggregation (map-side combined), no exchange of token data."""
+N_TOKENS = "__n_tokens"
+
+
+def token_counts(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` and the number of pre-tokens of each text: what goes on to be ordered, grouped and
+    counted is a few bytes a row."""
+    return df.select(*keep, pretoken_count(text_col).alias(N_TOKENS))
+
+
+def packed_counts(counts: DataFrame, group_cols: list[str], params: Params = DEFAULT) -> DataFrame:
+    """Rows and tokens that packing will produce, without packing, from :func:`token_counts`: a
+    group of n tokens yields exactly n div L rows of L tokens (the tail is dropped). An
+    aggregation (map-side combined), no exchange of texts or token data."""
     L = params.max_length
-    g = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_docs"),
-                                    F.sum(pretoken_count(text_col)).cast("bigint").alias("n_tokens"))
+    g = counts.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(N_TOKENS).cast("bigint").alias("n_tokens"))
     return g.withColumn("n_rows", F.expr(f"n_tokens div {L}")).withColumn(
         "packed_tokens", F.col("n_rows") * F.lit(L)).withColumn("dropped_tokens", F.expr(f"n_tokens % {L}"))

@@ -108,9 +108,10 @@ def encode(df: DataFrame, text_col: str, key: list[str], vocab: DataFrame, param
     """Per-row id arrays: explode pre-tokens, look ids up, gather back per row key.
 
     Rows without pre-tokens stay: an empty text has an empty list, a null text a null.
-    The gather is a shuffle on the row key, which must name a row; callers that go on to
-    pack rows should use :func:`packwright.operators.packing.pack_text`, which gathers
-    directly by chunk."""
+    The only exchange moves each text once, to its row key (which must name a row); pre-tokens
+    are exploded and gathered within that clustering. Callers that go on to pack rows should use
+    :func:`packwright.operators.packing.pack_text`, which gathers directly by chunk."""
+    df = df.select(*key, text_col).repartition(*key)
     t = df.select(*key, F.col(text_col).isNull().alias("__null"), F.posexplode_outer(pretokens(text_col)).alias("pos", "token"))
     ided = lookup_ids(t, vocab, params)
     placed = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
@@ -196,10 +197,11 @@ def encode_with_sentencepiece(df: DataFrame, text_col: str, model_path: str, spe
 def decode_tokens(df: DataFrame, ids_col: str, key: list[str], vocab: DataFrame, params: Params = DEFAULT,
                   out: str = "tokens") -> DataFrame:
     """Ids back to tokens, one list per row: a broadcast join per position, gathered by the
-    row key (which must name a row). An id outside the vocabulary, negative ids such as ignored
+    row key (which must name a row), within the one exchange of the id lists. An id outside the vocabulary, negative ids such as ignored
     labels included, is the unknown token; null ids decode to null, an empty list to an empty
     one."""
     v = vocab_for_join(vocab, params).select(F.col("id").alias("__id"), "token")
+    df = df.select(*key, ids_col).repartition(*key)
     ex = df.select(*key, F.col(ids_col).isNull().alias("__null"), F.posexplode_outer(ids_col).alias("pos", "id"))
     j = ex.join(v, F.col("id") == F.col("__id"), "left")
     placed = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(UNK_TOKEN)).alias("token")))

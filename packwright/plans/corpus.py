@@ -9,7 +9,7 @@ from packwright import sql as S
 from packwright.functions import text as T
 from packwright.functions.arrays import attention_pairs, segment_mask
 from packwright.operators import sketches as K
-from packwright.operators.packing import pack_text, packed_counts, with_pack_group
+from packwright.operators.packing import pack_text, packed_counts, token_counts, with_pack_group
 from packwright.operators.tokens import decode_tokens, encode, pretokens, strip_specials, tokens_to_string
 from packwright.params import EOS_TOKEN, SPECIAL_TOKENS, WS
 from packwright.plans.common import EOS, EOS_LIT, L, P, ids_str, stamp, tokens_sql, vocab, vocab_sql
@@ -44,6 +44,12 @@ def packed(spark: SparkSession, sf_dir: str, corpus: str = "plain") -> DataFrame
     return pack_text(docs, "text", GROUP, "doc_id", vocab(spark, sf_dir), P)
 
 
+def counted_groups(corpus: DataFrame) -> DataFrame:
+    """Token counts of the corpus by packing group; texts stay where they are read."""
+    counts = token_counts(corpus.withColumn("text", T.assemble_plain("text")), "text", ["split", "source", "doc_id"])
+    return with_pack_group(counts, ["split", "source"], "doc_id", P)
+
+
 _PACKED: dict = {}
 
 
@@ -107,8 +113,7 @@ SELECT source, split, count(DISTINCT (pack_group, chunk))::BIGINT AS n_rows, cou
 def token_budget(spark, sf_dir):
     """Packed rows and tokens per (source, split), counted from per-group token totals
     (n div L rows of L tokens per group) instead of materialising the rows."""
-    docs = with_pack_group(A.corpus(spark, sf_dir), ["split", "source"], "doc_id", P)
-    c = packed_counts(docs.withColumn("text", T.assemble_plain("text")), "text", GROUP, P)
+    c = packed_counts(counted_groups(A.corpus(spark, sf_dir)), GROUP, P)
     # a group too short for one row has no rows to report
     return c.filter("n_rows > 0").groupBy("source", "split").agg(
         F.sum("n_rows").cast("bigint").alias("n_rows"),
@@ -132,8 +137,7 @@ def attention_pairs_q(spark, sf_dir):
   (sum(len({S.pretokens('text || ' + EOS_LIT)})) % {L})::BIGINT AS dropped_tokens
 FROM (SELECT *, CAST({PACK_GROUP_SQL} AS BIGINT) AS pack_group FROM ({A.CORPUS_SQL})) GROUP BY ALL""")
 def pack_groups(spark, sf_dir):
-    d = with_pack_group(A.corpus(spark, sf_dir), ["split", "source"], "doc_id", P)
-    g = packed_counts(d.withColumn("text", T.assemble_plain("text")), "text", GROUP, P)
+    g = packed_counts(counted_groups(A.corpus(spark, sf_dir)), GROUP, P)
     return g.select(*GROUP, "n_docs", "n_tokens", "n_rows", "dropped_tokens")
 
 

@@ -308,13 +308,14 @@ def special_token_arrays(spark, sf_dir):
 
 
 def _first_row_sql(ex: str, where: str, sides: list[tuple[str, str, str]]) -> str:
-    """(side, pos, id, label, token) of the first kept row; the vocabulary is joined last."""
+    """(side, pos, id, label, token) of the first kept row: one row is chosen, one list of positions
+    opened for each side, and the vocabulary joined last."""
     rows = " UNION ALL ".join(
-        f"SELECT '{side}' AS side, unnest(range(0, {L})) AS pos, unnest({pad_sql(ids, P.pad_id)}) AS id, "
-        f"unnest({pad_sql(labels, IGN)}) AS label FROM first_row" for side, ids, labels in sides)
-    return f"""first_row AS MATERIALIZED (SELECT * FROM {ex} WHERE {where} ORDER BY conv_id, turn LIMIT 1),
-u AS MATERIALIZED ({rows})
-SELECT u.side, u.pos::INTEGER AS pos, u.id, u.label, v.token FROM u JOIN vocab v ON v.id = u.id WHERE v.token <> '<unk>'"""
+        f"SELECT '{side}' AS side, unnest(list_transform(range(0, {L}), lambda i: {{'pos': i, 'id': a[i + 1], 'label': b[i + 1]}})) AS z "
+        f"FROM (SELECT {pad_sql(ids, P.pad_id)} AS a, {pad_sql(labels, IGN)} AS b FROM first_row)" for side, ids, labels in sides)
+    return f"""first_row AS (SELECT * FROM {ex} WHERE {where} QUALIFY row_number() OVER (ORDER BY conv_id, turn) = 1),
+u AS ({rows})
+SELECT u.side, u.z.pos::INTEGER AS pos, u.z.id AS id, u.z.label AS label, v.token FROM u JOIN vocab v ON v.id = u.z.id WHERE v.token <> '<unk>'"""
 
 
 def _inspect(rows, sides, v):

@@ -9,9 +9,8 @@ from packwright.operators import examples as X
 from packwright.operators import loading as LD
 from packwright.operators.batch_map import map_batches
 from packwright.operators.ordering import MULTIPLIER, PRIME, STEPS, permutation_keys, sequential_index
-from packwright.operators.packing import with_pack_group
 from packwright.plans.common import L, P, ids_str, vocab
-from packwright.plans.corpus import GROUP, packed_sql_cte, saved_packed
+from packwright.plans.corpus import GROUP, counted_groups, packed_sql_cte, saved_packed
 from packwright.plans.instruct import KEY, dpo_encoded_sql, ones_sql, pad_sql, sft_encoded_sql
 from packwright.sources import adapters as A
 from packwright.sources import readers as R
@@ -182,11 +181,9 @@ def _plan_sql(task: str, n: str) -> str:
 
 def _pretrain_rows(spark, sf_dir):
     """Packed training rows, counted without packing (n div L per group)."""
-    from packwright.functions import text as T
     from packwright.operators.packing import packed_counts
 
-    d = with_pack_group(A.corpus(spark, sf_dir).filter(F.col("split") == "train"), ["split", "source"], "doc_id", P)
-    c = packed_counts(d.withColumn("text", T.assemble_plain("text")), "text", GROUP, P)
+    c = packed_counts(counted_groups(A.corpus(spark, sf_dir).filter(F.col("split") == "train")), GROUP, P)
     return c.agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
 
 

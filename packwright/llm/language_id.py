@@ -2,22 +2,23 @@
 
 A language is a probability for each piece of a public byte-level vocabulary (its pieces of
 lower-case ASCII letters and non-ASCII bytes, with or without a leading space, and all single
-bytes; at most ``MAX_PIECE`` bytes). The probability of a word is the sum over all ways to
+bytes). The probability of a word is the sum over all ways to
 write it with pieces of the product of their probabilities: the forward algorithm. A text's
 score for a language adds up the log probabilities of its words and the log share of the
 language; the prediction is the largest, its score the posterior probability.
 
 Words: runs of letters of the lower-cased text (ASCII letters and all non-ASCII bytes), each
-with a leading space; longer ones are modelled in parts of ``MAX_WORD`` bytes. Every word of
-the text counts; equal words of a batch are summed up once. The forward algorithm runs on all
-words of a batch at once, byte by byte.
+with a leading space. Every word of the text counts, whole; equal words of a batch are summed up
+once. The forward algorithm runs on all words of a batch of up to ``SHORT`` bytes at once, byte by
+byte; longer ones (runs without spaces) go one by one in logarithms, over a window of the longest
+piece that moves through blocks of ``BLOCK`` bytes.
 
 Learning: expected piece counts (forward-backward) on at most ``docs_per_language`` labelled
 documents of each language, those of smallest id hash (a documented bound), a few EM steps from
 equal probabilities; smoothed with the mean of all languages. Shares of the languages count all
 labelled documents. What returns to the driver is vocabulary x languages numbers.
 
-Defined cases: text that is null or has no letter is ``und`` with score 0; without labelled
+Defined cases: text that is null or has no letter (Unicode category L) is ``und`` with score 0; without labelled
 documents every text is ``und``; ties go to the smaller language name; repeated rows get equal
 results; labels that are null teach nothing.
 """
@@ -30,6 +31,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +40,9 @@ from packwright.llm.byte_bpe import ranks_of
 from packwright.llm.quality import held_out
 
 UND = "und"
-MAX_PIECE = 12
-MAX_WORD = 32
-LETTER = re.compile(r"[^\W\d_]")
+SHORT = 32  # bytes: products of so many probabilities are far from underflow
+BLOCK = 1 << 16
+LETTER = regex.compile(r"\p{L}")
 _PIECE = re.compile(rb" ?[a-z\x80-\xff]+\Z")
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[ord("a") : ord("z") + 1] = True
@@ -50,7 +52,7 @@ _MULT = np.uint64(0xD6E8FEB86659FD93)
 
 def vocabulary(path: str) -> list[bytes]:
     """The pieces of a rank file that can occur in words, with all single bytes."""
-    found = {t for t in ranks_of(Path(path).read_bytes()) if len(t) <= MAX_PIECE and _PIECE.match(t)}
+    found = {t for t in ranks_of(Path(path).read_bytes()) if _PIECE.match(t)}
     return sorted(found | {bytes([b]) for b in range(256)})
 
 
@@ -61,6 +63,7 @@ class Pieces:
     hashes: np.ndarray = field(default=None)
     slots: np.ndarray = field(default=None)
     size: int = 0
+    lengths: tuple[int, ...] = ()  # that pieces have
 
     @staticmethod
     def of(pieces: list[bytes]) -> Pieces:
@@ -72,7 +75,11 @@ class Pieces:
             while slots[at]:
                 at += 1
             hashes[at], slots[at] = x, i + 1
-        return Pieces(hashes, slots, len(pieces))
+        return Pieces(hashes, slots, len(pieces), tuple(sorted({len(p) for p in pieces})))
+
+    @property
+    def longest(self) -> int:
+        return self.lengths[-1]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """1 + number of the piece, 0 if there is none."""
@@ -122,16 +129,15 @@ _SPLIT = bytes(b if _WORD_BYTE[b] else 32 for b in range(256))
 
 
 class Lattice:
-    """All segmentations of words: sorted by falling length, bytes in a matrix, piece numbers
-    by piece length. Words longer than MAX_WORD stand in parts."""
+    """All segmentations of words. Up to ``SHORT`` bytes: sorted by falling length, bytes in a
+    matrix, piece numbers by piece length. ``long``: (number of the word, its bytes) of others."""
 
     def __init__(self, distinct: list[bytes], pieces: Pieces):
-        parts, self.of = [], []
-        for i, w in enumerate(distinct):
-            w = b" " + w
-            for a in range(0, len(w), MAX_WORD):
-                parts.append(w[a : a + MAX_WORD])
-                self.of.append(i)
+        self.pieces = pieces
+        wide_words = [b" " + w for w in distinct]
+        self.long = [(i, np.frombuffer(w, dtype=np.uint8)) for i, w in enumerate(wide_words) if len(w) > SHORT]
+        self.of = [i for i, w in enumerate(wide_words) if len(w) <= SHORT]
+        parts = [wide_words[i] for i in self.of]
         length = np.array([len(p) for p in parts], dtype=np.int64)
         order = np.argsort(-length, kind="stable")
         self.of = np.array(self.of, dtype=np.int64)[order]
@@ -149,9 +155,11 @@ class Lattice:
         self.arcs: list[list] = [[] for _ in range(self.width + 1)]
         for start in range(self.width):
             h = np.zeros(n, dtype=np.uint64)
-            for size in range(1, min(MAX_PIECE, self.width - start) + 1):
+            for size in range(1, min(pieces.longest, self.width - start) + 1):
                 live = self.active[start + size]
                 h = _step(h[:live], wide[:live, start + size - 1])
+                if size not in pieces.lengths:
+                    continue
                 piece = pieces.find(_end(h, size))
                 rows = np.flatnonzero(piece)
                 if len(rows):
@@ -169,7 +177,11 @@ class Lattice:
     def log_likelihood(self, p: np.ndarray, n_words: int) -> np.ndarray:
         a = self.forward(p)
         out = np.zeros((n_words, p.shape[1]))
-        np.add.at(out, self.of, np.log(a[self.length, np.arange(len(self.length))]))
+        out[self.of] = np.log(a[self.length, np.arange(len(self.length))])
+        if self.long:
+            log_p = np.log(p)
+            for i, raw in self.long:
+                out[i] = long_forward(raw, log_p, self.pieces)[-1]
         return out
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -185,9 +197,61 @@ class Lattice:
                 inner = p[piece, 0] * b[end, rows]
                 b[start, rows] += inner
                 np.add.at(counts, piece, share[rows] * a[start, rows] * inner)
+        for i, raw in self.long:
+            long_expected(raw, np.log(p[:, 0]), self.pieces, weight[i], counts)
         return counts
 
 
+def long_arcs(raw: np.ndarray, lo: int, hi: int, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, piece, bounds) of the pieces of a word that end in (lo, hi], by end: those that end
+    at lo + 1 + k are bounds[k]:bounds[k + 1]. Every byte is a piece, so none is empty."""
+    first = max(0, lo + 1 - pieces.longest)
+    seg = raw[first:hi].astype(np.uint64)
+    h, found = np.zeros(len(seg), dtype=np.uint64), []
+    for size in range(1, min(pieces.longest, len(seg)) + 1):
+        h = _step(h[: len(seg) - size + 1], seg[size - 1 :])
+        if size in pieces.lengths:
+            piece = pieces.find(_end(h, size))
+            at = np.flatnonzero(piece[max(0, lo + 1 - size - first) :]) + max(0, lo + 1 - size - first)
+            found.append((at + first, at + first + size, piece[at] - 1))
+    start, end, piece = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(end, kind="stable")
+    return start[order], piece[order], np.searchsorted(end[order], np.arange(lo + 1, hi + 2))
+
+
+def long_forward(raw: np.ndarray, log_p: np.ndarray, pieces: Pieces, keep: bool = False) -> np.ndarray:
+    """Log alpha of the last positions of a word (all of them with ``keep``) by language."""
+    back = pieces.longest
+    a, base = np.zeros((1, log_p.shape[1])), 0  # rows: positions from base on
+    for lo in range(0, len(raw), BLOCK):
+        hi = min(lo + BLOCK, len(raw))
+        start, piece, bounds = long_arcs(raw, lo, hi, pieces)
+        if not keep and len(a) > back:
+            base += len(a) - back
+            a = a[-back:]
+        a = np.concatenate([a, np.empty((hi - lo, a.shape[1]))])
+        weight = log_p[piece]
+        for k in range(hi - lo):
+            i, j = bounds[k], bounds[k + 1]
+            a[lo + 1 + k - base] = np.logaddexp.reduce(a[start[i:j] - base] + weight[i:j], axis=0)
+    return a
+
+
+def long_expected(raw: np.ndarray, log_p: np.ndarray, pieces: Pieces, weight: float, counts: np.ndarray) -> None:
+    """Adds a word's expected piece counts under one language."""
+    a = long_forward(raw, log_p[:, None], pieces, keep=True)[:, 0]
+    b = np.full(len(raw) + 1, -np.inf)
+    b[-1] = 0
+    for lo in reversed(range(0, len(raw), BLOCK)):
+        hi = min(lo + BLOCK, len(raw))
+        start, piece, bounds = long_arcs(raw, lo, hi, pieces)
+        for k in reversed(range(hi - lo)):
+            at = slice(bounds[k], bounds[k + 1])
+            inner = log_p[piece[at]] + b[lo + 1 + k]
+            b[start[at]] = np.logaddexp(b[start[at]], inner)
+            counts[piece[at]] += weight * np.exp(a[start[at]] + inner - a[-1])
+
+
 @dataclass
 class Model:
     pieces: Pieces

@@ -75,6 +75,57 @@ def test_quality_defined_cases(spark, make_docs):
     assert Q.score(empty, Q.train(empty, none)).count() == 0
 
 
+def plain_forward(word, table):
+    """Log of the sum over all segmentations, position by position."""
+    a = [None] * (len(word) + 1)
+    a[0] = np.zeros(len(next(iter(table.values()))))
+    longest = max(map(len, table))
+    for end in range(1, len(word) + 1):
+        ways = [a[s] + table[word[s:end]] for s in range(max(0, end - longest), end) if word[s:end] in table]
+        a[end] = np.logaddexp.reduce(ways, axis=0)
+    return a[-1]
+
+
+def test_words_of_any_length_are_whole(monkeypatch):
+    vocabulary = L.vocabulary(VOCAB)
+    assert max(map(len, vocabulary)) > 12
+    pieces, p = L.Pieces.of(vocabulary), np.random.default_rng(4).random((len(vocabulary), 2)) * 1e-3
+    table = dict(zip(vocabulary, np.log(p)))
+    long_piece = max(vocabulary, key=len)
+    words = [b"donaudampfschifffahrtsgesellschaftskapitaen", "汉语没有空格".encode() * 9, b"a", b"internationalization",
+             long_piece.strip() * 3, "สวัสดีชาวโลก".encode() * 40]
+    assert sum(len(w) >= L.SHORT for w in words) >= 4
+    want = [plain_forward(b" " + w, table) for w in words]
+    assert np.allclose(L.Lattice(words, pieces).log_likelihood(p, len(words)), want, rtol=1e-9)
+    monkeypatch.setattr(L, "BLOCK", 37)  # windows that move over many blocks
+    assert np.allclose(L.Lattice(words, pieces).log_likelihood(p, len(words)), want, rtol=1e-9)
+
+
+def test_expected_counts_of_long_words(monkeypatch):
+    """Against the derivative of the log likelihood, which they are."""
+    vocabulary = sorted({bytes([b]) for b in range(256)} | {b" a", b"ab", b"abab", b"ba", b"bab"})
+    pieces = L.Pieces.of(vocabulary)
+    rng = np.random.default_rng(2)
+    p = (rng.random((len(vocabulary), 1)) + 0.1) / 100
+    words, weight = [b"abab" * 20, b"abba", b"b" * 50], np.array([2.0, 3.0, 0.5])
+    monkeypatch.setattr(L, "BLOCK", 29)
+    got = L.Lattice(words, pieces).expected(p, weight)
+    for piece in (b"a", b"ab", b"abab", b" a", b"b", b"bab"):
+        k, step = vocabulary.index(piece), 1e-6
+        up, down = p.copy(), p.copy()
+        up[k] *= 1 + step
+        down[k] *= 1 - step
+        ll = [weight @ L.Lattice(words, pieces).log_likelihood(x, 3)[:, 0] for x in (up, down)]
+        assert got[k] == pytest.approx((ll[0] - ll[1]) / (2 * step), abs=1e-3)
+
+
+def test_texts_without_letters():
+    model = L.Model(L.Pieces.of(L.vocabulary(VOCAB)), ["de", "en"], np.full((len(L.vocabulary(VOCAB)), 2), 1e-4), np.zeros(2))
+    lang, score = model.predict(["½", "² 12", "Ⅳ ①", "__ 3", "é", "ª", "汉", "", None, "x"])
+    assert [x == L.UND for x in lang] == [True] * 4 + [False] * 3 + [True, True, False]
+    assert [s == 0 for s in score] == [True] * 4 + [False] * 3 + [True, True, False]
+
+
 def test_forward_sums_all_segmentations():
     pieces = [b"a", b"b", b" ", b"ab", b" a", b"aba", b"ba"]
     rng = np.random.default_rng(1)

@@ -77,9 +77,10 @@ def lines_to_drop(docs: DataFrame, id_col: str, text_col: str, min_docs: int, mi
     seen = lines.join(of_hot, ["k1", "k2"], "left")
     rest = seen.filter(F.col("hot").isNull()).select("k1", "k2", "id", "th", "at").join(
         often.filter(~hot).select("k1", "k2"), ["k1", "k2"], "left_semi")
-    dropped = seen.filter(F.col("hot")).select("id", "th", "at").unionByName(rest.select("id", "th", "at"))
-    # repeats of one row give the same positions, hence the set
-    return dropped.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
+    dropped = seen.filter(F.col("hot")).select("id", "th", "k1", "k2", "at").unionByName(rest.select("id", "th", "k1", "k2", "at"))
+    # repeats of one row give the same positions: one of them stays before a document's are gathered
+    once = dropped.groupBy("id", "th", "k1", "k2").agg(F.first("at").alias("at"))
+    return once.groupBy("id", "th").agg(F.flatten(F.collect_list("at")).alias("gone"))
 
 
 def without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:

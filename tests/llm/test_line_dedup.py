@@ -61,3 +61,10 @@ def test_empty_table_and_clashing_columns(spark, make_docs):
 def test_all_lines_dropped_leaves_empty_text(make_docs):
     out = L.with_lines_dropped(make_docs(["same\nsame", "same", None]), min_docs=2).collect()
     assert sorted((r.doc_id, r.text, r.n_chars) for r in out) == [(0, "", 0), (1, "", 0), (2, None, None)]
+
+
+def test_a_row_repeated_often_is_no_large_group(spark):
+    docs = spark.range(0, 30_000, 1, 4).selectExpr("CAST(7 AS LONG) AS doc_id", "'a\nb\na' AS text")
+    gone = L.lines_to_drop(docs, "doc_id", "text", 10, 1, 4096).collect()
+    assert [(r.id, sorted(r.gone)) for r in gone] == [(7, [0, 1, 2])]
+    assert L.drop_repeated_lines(docs).filter("n_lines = 3 AND n_dropped = 3 AND kept = ''").count() == 30_000

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packwright.functions.arrays import ones_like, right_pad
 from packwright.operators.ordering import permutation_keys, permuted, seeded_order
 from packwright.params import DEFAULT, Params
 
@@ -87,6 +88,18 @@ SFT_COLUMNS = ["input_ids", "attention_mask", "labels"]
 PREFERENCE_COLUMNS = [f"{side}_{c}" for side in ("chosen", "rejected") for c in ("ids", "attention_mask", "labels")]
 
 
+def pad_batch(batch: DataFrame, params: Params = DEFAULT, ids: str = "ids", labels: str = "labels", prefix: str = "") -> DataFrame:
+    """Matrices of a batch whose rows were gathered without padding: ids, masks and labels of
+    ``max_length`` columns. Padding comes last, so no exchange carries it."""
+    L = params.max_length
+    rows = lambda c, fn: F.transform(F.col(c), fn)
+    return batch.select(
+        *[c for c in batch.columns if c not in (ids, labels)],
+        rows(ids, lambda x: right_pad(x, L, params.pad_id)).alias(f"{prefix}ids" if prefix else "input_ids"),
+        rows(ids, lambda x: right_pad(ones_like(x), L, 0)).alias(f"{prefix}attention_mask"),
+        rows(labels, lambda x: right_pad(x, L, params.ignore_index)).alias(f"{prefix}labels"))
+
+
 def stack_preference(batch: DataFrame) -> DataFrame:
     """Preference batch: chosen rows stacked above rejected rows, for ids, masks and labels."""
     for out, c in (("input_ids", "ids"), ("attention_mask", "attention_mask"), ("labels", "labels")):

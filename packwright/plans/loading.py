@@ -64,11 +64,6 @@ SELECT conv_id, turn, conv_id * 1000 + turn AS idx, {pad_sql('ids', P.pad_id)} A
 FROM ex WHERE len(ids) < {L})"""
 
 
-def _sft_rows(spark, sf_dir):
-    e = X.sft_examples(A.sft(spark, sf_dir), KEY, vocab(spark, sf_dir), P)
-    return e.withColumn("idx", F.col("conv_id") * 1000 + F.col("turn"))
-
-
 def _sft_keys(spark, sf_dir):
     """Keys of the kept examples, from token counts: what is only ordered need not be encoded."""
     n = X.sft_lengths(A.sft(spark, sf_dir), KEY, P).filter(F.col("n_tokens") < L)
@@ -97,8 +92,9 @@ def rank_shards(spark, sf_dir):
 FROM {RANKED_SQL} GROUP BY ALL""")
 def collate_batches(spark, sf_dir):
     r = LD.rank_shards(_sft_keys(spark, sf_dir), "idx", P)
-    b = LD.fixed_batches(r, "position", B).drop("idx").join(_sft_rows(spark, sf_dir), KEY)
-    c = LD.collate(b, ["rank", "batch"], "position", LD.SFT_COLUMNS)
+    rows = X.sft_examples(A.sft(spark, sf_dir), KEY, vocab(spark, sf_dir), P, keep_overlength=True).filter(F.col("n_tokens") < L)
+    b = LD.fixed_batches(r, "position", B).drop("idx").join(rows, KEY)
+    c = LD.pad_batch(LD.collate(b, ["rank", "batch"], "position", ["ids", "labels"]), P)
     return c.select("rank", "batch", "n_rows", F.md5(LD.matrix_str("input_ids")).alias("ids_md5"),
                     F.md5(LD.matrix_str("attention_mask")).alias("mask_md5"),
                     F.md5(LD.matrix_str("labels")).alias("labels_md5"))
@@ -145,9 +141,12 @@ r AS (SELECT {', '.join(f'{x} AS {c}' for c, x in _PAIR_MATRICES.items())}, row_
 def _pair_batches(spark, sf_dir):
     n = X.dpo_lengths(A.preference(spark, sf_dir), KEY, P)
     keys = n.filter((F.col("n_chosen") < L) & (F.col("n_rejected") < L)).select(*KEY)
-    d = X.dpo_examples(A.preference(spark, sf_dir), KEY, vocab(spark, sf_dir), P)
+    d = X.dpo_examples(A.preference(spark, sf_dir), KEY, vocab(spark, sf_dir), P, keep_overlength=True)
     b = LD.fixed_batches(sequential_index(keys, KEY, out="i"), "i", PB).join(d, KEY)
-    return LD.collate(b, ["batch"], "i", LD.PREFERENCE_COLUMNS)
+    c = LD.collate(b, ["batch"], "i", ["chosen_ids", "chosen_labels", "rejected_ids", "rejected_labels"])
+    for side in ("chosen", "rejected"):
+        c = LD.pad_batch(c, P, f"{side}_ids", f"{side}_labels", f"{side}_")
+    return c
 
 
 @q("collate_preference", f"""WITH {PAIR_ROWS_SQL}

@@ -91,7 +91,7 @@ def test_classes_are_equal_occurrence_vectors_and_nest(spark):
         extra = "<div><p>q</p></div>" if k % 4 else ""
         rows.append((k, "//c.example.com", f"<body><main><ul>{items}</ul>{extra}</main>{'<i>r</i>' if k < 5 else ''}</body>"))
     pages = frame(spark, rows).select(H.host_of(F.col("url")).alias("host"), F.col("page_id").alias("ph"), "html")
-    got = H.templates(pages, 0.5, 4).collect()
+    got = H.templates(pages, 0.5, 4, 8).collect()
     assert len(got) == 1 and got[0].host == "c.example.com" and got[0].host_pages == 40
     vectors, parent = {}, {}
     for k, _, source in rows:
@@ -102,6 +102,14 @@ def test_classes_are_equal_occurrence_vectors_and_nest(spark):
     for token, v in vectors.items():
         if len(v) >= 20:
             want.setdefault(tuple(sorted(v.items())), set()).add(token)
+    texts = {}
+    for k, _, source in rows:
+        for token, _ in H.Page(source).text_tokens():
+            texts.setdefault(token, {}).setdefault(k, 0)
+            texts[token][k] += 1
+    for token, v in texts.items():
+        if len(v) >= 20:
+            want.setdefault(tuple(sorted(v.items())), set()).add(token)
     assert sorted(sorted(c.tokens) for c in got[0].classes) == sorted(sorted(x) for x in want.values())
     assert all(p == 0 or p in got[0].tokens for c in got[0].classes for p in c.parents)
 
@@ -118,3 +126,38 @@ def test_given_pages(spark):
         blocks = [re.sub(r"<br>", " ", re.sub(r"</?b>", "", x)) for x in re.split(r"</?(?:p|h1)>", inner)]
         blocks = [" ".join(html.unescape(x).split()) for x in blocks]
         assert got[r.page_id] == "\n\n".join(x for x in blocks if x)
+
+
+@pytest.mark.parametrize("inside, text", [
+    ("<section id='discussion'><p>t</p></section>", "t"), ("<h2 id='search'>H</h2>", "H"), ("<p>a <span class='alert'>b</span> c</p>", "a b c"),
+    ("<p class='notice-period'>t</p>", "t"), ("<div class='related-work'><p>t</p></div>", "t"), ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> so</p>", "if x=1 so"),
+    ("<h3 class='comments'>t</h3>", "t"), ("<p id='share'>t</p>", "t"), ("<div class='notice'>t</div>", "t")])
+def test_names_alone_take_no_text_out_of_an_article(inside, text):
+    assert H.Page(f"<article><p>x</p>{inside}</article>").text(frozenset()) == f"x\n\n{text}"
+
+
+def strip_pages(n, strip, at_least=""):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    rows, want = [], []
+    for k in range(n):
+        blocks = [f"Title {k}", *(" ".join(word() for _ in range(25)) for _ in range(rng.randint(2, 4))), "The same passage on every page of it."]
+        body = "".join(f"<p>{b}</p>" for b in blocks[1:])
+        rows.append((k, f"https://s.example.com/{k}", f"<html><body><article><h1>{blocks[0]}</h1>{strip}{body}</article></body></html>"))
+        want.append("\n\n".join(blocks))
+    return rows, want
+
+
+def test_an_unnamed_strip_in_the_articles_of_a_host_goes(spark):
+    """By its class: its element says the same on every page. A repeated passage does not."""
+    rows, want = strip_pages(20, "<div class='x1'>Read this too</div><div class='notice'><p>Late news</p></div>")
+    got = {r.id: r.text for r in H.extract(frame(spark, rows)).collect()}
+    assert [got[k] for k in range(20)] == want
+    alone = {r.id: r.text for r in H.extract(frame(spark, rows), min_pages=21).collect()}  # no template: the strips are slots
+    assert all("Read this too" in alone[k] and "Late news" in alone[k] for k in range(20))
+
+
+def test_copies_of_a_page_teach_no_strip(spark):
+    rows, _ = strip_pages(1, "<div class='lead'>In short</div>")
+    rows = [(k, rows[0][1], rows[0][2]) for k in range(30)]
+    assert all("In short" in r.text and "The same passage" in r.text for r in H.extract(frame(spark, rows)).collect())

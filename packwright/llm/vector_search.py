@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from packwright.llm import common as C
 
 BLOCK_BYTES = 1 << 16
+QUERIES_A_TASK = 256  # walks over the graph of centroids
 SAMPLE_BYTES = 64 << 20  # of vectors that the centroids are learnt from, on the driver
 
 
@@ -225,7 +226,9 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
         return spark.createDataFrame([], out_schema)
     asked = usable(queries, id_col, vector_col).select("id", F.xxhash64("v").alias("qh"), "v")
     asked = C.cut(asked.filter(F.size("v") == stats.dim))
-    q_points = asked.groupBy("v").agg(F.min("id").alias("pid"), F.first("qh").alias("ph"))
+    # dealt out by their number: partitions merged by bytes would leave all walks to a few tasks
+    q_points = asked.groupBy("v").agg(F.min("id").alias("pid"), F.first("qh").alias("ph")).repartition(
+        max(1, -(-asked.count() // QUERIES_A_TASK)))
 
     lists = 1 << max(0, min(int(np.log2(max_lists)), round(np.log2(max(1, stats.n / list_size)))))
     rows = max(2 * lists, min(sample, SAMPLE_BYTES // (8 * stats.dim)))

@@ -86,8 +86,8 @@ def _finish(rows: DataFrame, params: Params, ids: str = "input_ids") -> DataFram
 
 
 def pack_text(df: DataFrame, text_col: str, group_cols: list[str], order_col: str, vocab: DataFrame,
-              params: Params = DEFAULT, corpus_wide: bool = False) -> DataFrame:
-    """Encode + pack in one pass on the JVM.
+              params: Params = DEFAULT, corpus_wide: bool = False, counted: str | None = None) -> DataFrame:
+    """Encode + pack in one pass on the JVM. ``counted``: a column with the texts' pre-token counts.
 
     Pre-tokens are exploded after the group exchange, ids come from the broadcast
     vocabulary (a map-side hash join), and tokens are gathered straight into their
@@ -97,7 +97,8 @@ def pack_text(df: DataFrame, text_col: str, group_cols: list[str], order_col: st
     L = params.max_length
     if corpus_wide:
         return _pack_text_two_level(df, text_col, group_cols, order_col, vocab, params)
-    d = df.select(*group_cols, order_col, F.col(text_col).alias("__text"), pretoken_count(text_col).alias("__n"))
+    n = F.col(counted) if counted else pretoken_count(text_col)
+    d = df.select(*group_cols, order_col, F.col(text_col).alias("__text"), n.alias("__n"))
     d = running_offsets(d, group_cols, order_col, "__n", out="__start").withColumn("__toks", pretokens("__text"))
     t = d.select(*group_cols, "__start", F.posexplode("__toks").alias("__pos", "__tok"))
     t = t.withColumn("__g", F.col("__start") + F.col("__pos")).withColumn(
@@ -110,6 +111,77 @@ def pack_text(df: DataFrame, text_col: str, group_cols: list[str], order_col: st
     return _finish(rows, params)
 
 
+MOST_PARTS = 10_000  # of :func:`pack_text_in_batches`: borders that meet on the driver
+MOST_GROUPS = 10_000  # values of the group columns whose borders are broadcast
+
+
+def _borders(keys: DataFrame, group_cols: list[str], order_col: str, params: Params) -> DataFrame | None:
+    """group_cols, base (borders of smaller groups), keys and at (the group's borders: order key of the
+    row, and its place in the group), one row a group; a border is the first row of a packing batch.
+    None if there are more than MOST_GROUPS groups. What is sorted is keys only."""
+    from packwright.session import cut_lineage
+
+    spark = keys.sparkSession
+    indexed = global_index(keys.select(*group_cols, order_col), [order_col], out="__i", partition_cols=group_cols)
+    starts = cut_lineage(indexed.filter(F.col("__i") % params.group_rows == 0))
+    groups = starts.filter("__i = 0").select(*group_cols)
+    if groups.count() > MOST_GROUPS:
+        return None
+    parts = min(MOST_PARTS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    every = max(1, -(-starts.count() // parts))
+    numbered = global_index(starts, [*group_cols, order_col], out="__no")
+    some = F.col("__no") % every == 0
+    of = numbered.groupBy(*group_cols).agg(
+        F.sort_array(F.collect_list(F.when(some, F.struct(F.col(order_col).alias("k"), F.col("__i").alias("i"))))).alias("__b"))
+    w = Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)  # one row a group
+    return cut_lineage(of.select(*group_cols, F.coalesce(F.sum(F.size("__b")).over(w), F.lit(0)).cast("int").alias("__base"),
+                                 F.transform("__b", lambda b: b["k"]).alias("__keys"), F.transform("__b", lambda b: b["i"]).alias("__at")))
+
+
+def _below(keys: Column, value: Column, most: int) -> Column:
+    """How many of the sorted ``keys`` (up to ``most``) are at or below ``value``: halving."""
+    steps = max(1, int(most).bit_length())
+    start = F.struct(F.lit(0).alias("lo"), F.size(keys).alias("hi"))  # keys before lo are, from hi on are not
+
+    def halve(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        return F.when(acc["lo"] < acc["hi"], F.when(F.get(keys, mid) <= value, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
+                      .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))).otherwise(acc)
+
+    return F.aggregate(F.array_repeat(F.lit(0), steps), start, halve, lambda acc: acc["lo"])
+
+
+def pack_text_in_batches(df: DataFrame, text_col: str, group_cols: list[str], order_col: str, vocab: DataFrame,
+                         params: Params = DEFAULT, name: str = "pack_group") -> DataFrame:
+    """Encode + pack by batches of ``group_rows`` rows of each group in key order (as
+    :func:`with_pack_group` numbers them), with one exchange of the texts.
+
+    Tasks are ranges of whole batches in (group, key) order. Their borders come from a sort of the
+    keys alone; each row finds its range among its group's borders (broadcast, at most MOST_PARTS
+    of them), goes there, and gets its batch and offset from its place in the range. The windows
+    and the chunk aggregation keep that partitioning."""
+    keyed = df.select(*group_cols, order_col)
+    borders = _borders(keyed, group_cols, order_col, params)
+    if borders is None:
+        docs = with_pack_group(df.select(*group_cols, order_col, text_col), group_cols, order_col, params, name)
+        return pack_text(docs, text_col, [*group_cols, name], order_col, vocab, params)
+    size = borders.agg(F.max(F.size("__keys")), F.sum(F.size("__keys"))).first()
+    most, parts = size[0] or 1, size[1] or 1
+    b = borders.withColumnsRenamed({c: f"__b_{c}" for c in group_cols})
+    same = [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in group_cols]
+    d = df.select(*group_cols, order_col, F.col(text_col).alias("__text"), pretoken_count(text_col).alias("__n"))
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    d = d.join(F.broadcast(b), on).withColumn("__below", _below(F.col("__keys"), F.col(order_col), most))
+    d = d.select(*group_cols, order_col, "__text", "__n", (F.col("__base") + F.col("__below") - 1).cast("int").alias("__part"),
+                 F.when(F.col("__below") > 0, F.get("__at", F.col("__below") - 1)).otherwise(0).alias("__first"))
+    d = d.repartitionById(parts, "__part")
+    place = F.row_number().over(Window.partitionBy("__part", *group_cols).orderBy(order_col))
+    d = d.withColumn("__i", F.col("__first") + place - 1).withColumn(name, key_div("__i", params.group_rows)).drop("__i", "__first")
+    return pack_text(d, "__text", ["__part", *group_cols, name], order_col, vocab, params, counted="__n").drop("__part")
+
+
 def _pack_text_two_level(df: DataFrame, text_col: str, group_cols: list[str], order_col: str, vocab: DataFrame,
                          params: Params) -> DataFrame:
     """Corpus-wide packing. The join of the offsets clusters rows by (group, document), which

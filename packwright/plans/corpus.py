@@ -9,7 +9,7 @@ from packwright import sql as S
 from packwright.functions import text as T
 from packwright.functions.arrays import attention_pairs, segment_mask
 from packwright.operators import sketches as K
-from packwright.operators.packing import pack_text, packed_counts, token_counts, with_pack_group
+from packwright.operators.packing import pack_text, pack_text_in_batches, packed_counts, token_counts, with_pack_group
 from packwright.operators.tokens import decode_tokens, encode, pretokens, strip_specials, tokens_to_string
 from packwright.params import EOS_TOKEN, SPECIAL_TOKENS, WS
 from packwright.plans.common import EOS, EOS_LIT, L, P, ids_str, stamp, tokens_sql, vocab, vocab_sql
@@ -40,8 +40,7 @@ def packed(spark: SparkSession, sf_dir: str, corpus: str = "plain") -> DataFrame
         docs = A.wikipedia(spark, sf_dir).withColumn("text", T.assemble_wikipedia("title", "text"))
     else:
         docs = A.corpus(spark, sf_dir).withColumn("text", T.assemble_plain("text"))
-    docs = with_pack_group(docs, ["split", "source"], "doc_id", P)
-    return pack_text(docs, "text", GROUP, "doc_id", vocab(spark, sf_dir), P)
+    return pack_text_in_batches(docs, "text", ["split", "source"], "doc_id", vocab(spark, sf_dir), P)
 
 
 def counted_groups(corpus: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 def test_names_and_registration():
     assert [n for n, _ in CP.STAGES] == ["quality", "line_dedup", "near_dup", "decontamination", "byte_bpe"]
     names = set(E.queries())
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
 
 
 def test_stages_one_by_one(spark, tmp_path):

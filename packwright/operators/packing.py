@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from packwright.functions.arrays import segment_mask
 from packwright.operators.ordering import global_index
-from packwright.operators.tokens import lookup_ids, pretoken_count, pretokens
+from packwright.operators.tokens import by_key, lookup_table, pretoken_count, pretokens, with_token_ids
 from packwright.params import DEFAULT, Params
 
 CHUNK = "chunk"
@@ -89,26 +89,16 @@ def pack_text(df: DataFrame, text_col: str, group_cols: list[str], order_col: st
               params: Params = DEFAULT, corpus_wide: bool = False, counted: str | None = None) -> DataFrame:
     """Encode + pack in one pass on the JVM. ``counted``: a column with the texts' pre-token counts.
 
-    Pre-tokens are exploded after the group exchange, ids come from the broadcast
-    vocabulary (a map-side hash join), and tokens are gathered straight into their
-    chunk: the only shuffle moves each document once. The exchange carries the raw text
-    and its token count (compact); the pre-tokens are extracted after it, instead of
-    shuffling arrays of token strings."""
-    L = params.max_length
+    The only shuffle moves each document once, as raw text and token count. After it each row's
+    pre-tokens are looked up in place in the broadcast vocabulary, and slices of at most
+    ``max_length`` ids go to their chunks: what is sorted is texts and slices, never tokens."""
     if corpus_wide:
         return _pack_text_two_level(df, text_col, group_cols, order_col, vocab, params)
     n = F.col(counted) if counted else pretoken_count(text_col)
     d = df.select(*group_cols, order_col, F.col(text_col).alias("__text"), n.alias("__n"))
-    d = running_offsets(d, group_cols, order_col, "__n", out="__start").withColumn("__toks", pretokens("__text"))
-    t = d.select(*group_cols, "__start", F.posexplode("__toks").alias("__pos", "__tok"))
-    t = t.withColumn("__g", F.col("__start") + F.col("__pos")).withColumn(
-        CHUNK, pos_div(F.col("__g"), L)
-    )
-    t = lookup_ids(t, vocab, params, token="__tok")
-    rows = t.groupBy(*group_cols, CHUNK).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("__g", "id"))), lambda s: s["id"]).alias("input_ids")
-    )
-    return _finish(rows, params)
+    d = running_offsets(d, group_cols, order_col, "__n", out="__start").select(*group_cols, "__start", "__text")
+    d = with_token_ids(d, "__text", vocab, params, "__ids")
+    return _assemble(d, group_cols, "__ids", "__start", params)
 
 
 MOST_PARTS = 10_000  # of :func:`pack_text_in_batches`: borders that meet on the driver
@@ -185,46 +175,30 @@ def pack_text_in_batches(df: DataFrame, text_col: str, group_cols: list[str], or
 def _pack_text_two_level(df: DataFrame, text_col: str, group_cols: list[str], order_col: str, vocab: DataFrame,
                          params: Params) -> DataFrame:
     """Corpus-wide packing. The join of the offsets clusters rows by (group, document), which
-    the gather of each document's ids uses too (no exchange of token rows); only L-sized id
-    slices are shuffled to assemble the chunks."""
+    the gather of each document's ids uses too; only L-sized id slices are shuffled to assemble
+    the chunks."""
+    table = lookup_table(vocab, "token", "id", params)
     counted = df.select(*group_cols, order_col, pretoken_count(text_col).alias("__n"))
     starts = running_offsets(counted, group_cols, order_col, "__n", corpus_wide=True, out="__start").drop("__n")
     d = df.select(*group_cols, order_col, F.col(text_col).alias("__text")).join(starts, on=[*group_cols, order_col])
-    t = d.select(*group_cols, order_col, "__start", F.posexplode(pretokens("__text")).alias("__pos", "__tok"))
-    t = lookup_ids(t, vocab, params, token="__tok")
-    docs = t.groupBy(*group_cols, order_col, "__start").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("__pos", "id"))), lambda s: s["id"]).alias("__ids"))
-    return _assemble(docs, group_cols, "__ids", "__start", params)
+    docs = by_key(d, [*group_cols, order_col, "__start"], "__text", table, pretokens, params.unk_id, params)
+    return _assemble(docs.withColumnRenamed("__list", "__ids"), group_cols, "__ids", "__start", params)
 
 
 def _assemble(d: DataFrame, group_cols: list[str], ids: str, start: str, params: Params) -> DataFrame:
-    """Per document (ids, start) -> L-sized slices -> rows of L tokens per chunk."""
-    s = d.select(*group_cols, F.explode(chunk_slices(ids, start, params.max_length)).alias("__s"))
-    rows = s.groupBy(*group_cols, F.col("__s.chunk").alias(CHUNK)).agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__s.g", "__s.part"))), lambda x: x["part"]))
-        .alias("input_ids")
-    )
-    return _finish(rows, params)
-
-
-def chunk_slices(ids: str, start: str, L: int) -> Column:
-    """Per document: (chunk, first global position, slice) for every chunk it touches."""
+    """Per document (ids, start) -> L-sized slices -> rows of L tokens per chunk. A slice is cut from
+    the ids after the chunks are told apart, so a long document is not walked once a chunk."""
+    L = params.max_length
     n = F.size(ids)
-    first = pos_div(F.col(start), L)
-    last = pos_div(F.col(start) + n - F.lit(1), L)
-
-    def one(c: Column) -> Column:
-        lo = F.greatest(c * L - F.col(start), F.lit(0))
-        hi = F.least((c + 1) * L - F.col(start), n)
-        return F.struct(
-            c.cast("bigint").alias(CHUNK),
-            (F.col(start) + lo).cast("bigint").alias("g"),
-            F.slice(ids, (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"),
-        )
-
-    return F.when(n > 0, F.transform(F.sequence(first.cast("bigint"), last.cast("bigint")), one)).otherwise(
-        F.array()
-    )
+    chunks = F.when(n > 0, F.sequence(pos_div(F.col(start), L), pos_div(F.col(start) + n - F.lit(1), L)))
+    s = d.select(*group_cols, F.col(start).alias("__start"), F.col(ids).alias("__ids"), F.explode(chunks).alias(CHUNK))
+    lo = F.greatest(F.col(CHUNK) * L - F.col("__start"), F.lit(0))
+    hi = F.least((F.col(CHUNK) + 1) * L - F.col("__start"), F.size("__ids"))
+    s = s.select(*group_cols, CHUNK, (F.col("__start") + lo).cast("bigint").alias("__g"),
+                 F.slice("__ids", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("__ids_of"))
+    rows = s.groupBy(*group_cols, CHUNK).agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__g", "__ids_of"))), lambda x: x["__ids_of"])).alias("input_ids"))
+    return _finish(rows, params)
 
 
 def pack_ids(df: DataFrame, ids_col: str, group_cols: list[str], order_col: str, params: Params = DEFAULT,

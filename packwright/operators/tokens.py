@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packwright.functions.arrays import _let as let
 from packwright.params import (
     BOS_ID,
     BOS_TOKEN,
@@ -103,20 +104,64 @@ def lookup_ids(tokens: DataFrame, vocab: DataFrame, params: Params = DEFAULT, to
     return out.withColumn("id", F.coalesce(F.col("id"), F.lit(params.unk_id)).cast("int")).drop("__vtok")
 
 
+def lookup_table(pairs: DataFrame, key: str, value: str, params: Params = DEFAULT) -> Column:
+    """The vocabulary as one value that rows look up in place (see :func:`looked_up`): an array of
+    small maps, each with the keys of one hash value. A scalar subquery, so it is made once a query
+    and sent to the tasks, at most ``vocab_size`` entries as for a broadcast join."""
+    n = _slots(params)
+    entries = pairs.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(value).alias("v"))
+    filled = entries.groupBy(_slot(F.col("k"), n).alias("slot")).agg(F.collect_list(F.struct("k", "v")).alias("of"))
+    slots = pairs.sparkSession.range(n).select(F.col("id").cast("int").alias("slot"))
+    table = slots.join(bounded_broadcast(filled, params), "slot", "left").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("slot", "of"))), lambda s: F.map_from_entries(s["of"])).alias("t"))
+    return table.scalar()
+
+
+def _slots(params: Params) -> int:
+    return 1 << int(params.vocab_size).bit_length()
+
+
+def _slot(key: Column, n: int) -> Column:
+    return F.hash(key).bitwiseAND(F.lit(n - 1))
+
+
+def looked_up(df: DataFrame, table: Column, out: str, of) -> DataFrame:
+    """``df`` with ``out``, which ``of`` makes with a function that replaces a list's entries by what
+    ``table`` (of :func:`lookup_table`) holds for them, else by a default, within the row: no row per
+    token is made, joined or gathered. The table is a column of its own only until the optimizer
+    merges the two steps (a subquery may not stand in a higher-order function as written)."""
+    body = let(F.col("__table"), lambda t: of(lambda keys, default, n: F.transform(
+        keys, lambda k: F.coalesce(F.get(t, _slot(k, n))[k], F.lit(default)))))
+    return df.withColumn("__table", table).select(*df.columns, body.alias(out))
+
+
+def with_token_ids(df: DataFrame, text_col: str, vocab: DataFrame, params: Params = DEFAULT, out: str = "ids") -> DataFrame:
+    """``df`` with the ids of each text's pre-tokens; a null text has null."""
+    table = lookup_table(vocab, "token", "id", params)
+    return looked_up(df, table, out, lambda found: found(pretokens(text_col), params.unk_id, _slots(params)))
+
+
+def by_key(df: DataFrame, key: list[str], col: str, table: Column, split, default, params: Params = DEFAULT) -> DataFrame:
+    """key, __null, __list: what ``table`` holds for the list that ``split`` makes of ``col``, one row
+    per key. Rows are gathered before they are split, within the clustering of ``df``. Where rows
+    share a key, their entries come in order of (place, entry)."""
+    g = df.groupBy(*key, F.col(col).isNull().alias("__null")).agg(F.collect_list(col).alias("__rows"))
+    g = looked_up(g, table, "__lists", lambda found: F.transform("__rows", lambda c: found(split(c), default, _slots(params))))
+    placed = F.sort_array(F.flatten(F.transform("__lists", lambda a: F.transform(a, lambda x, i: F.struct(i.alias("pos"), x.alias("x"))))))
+    merged = F.when(F.size("__lists") == 1, F.get("__lists", 0)).otherwise(F.transform(placed, lambda s: s["x"]))
+    return g.select(*key, "__null", merged.alias("__list"))
+
+
 def encode(df: DataFrame, text_col: str, key: list[str], vocab: DataFrame, params: Params = DEFAULT,
            out: str = "ids") -> DataFrame:
-    """Per-row id arrays: explode pre-tokens, look ids up, gather back per row key.
+    """Per-row id arrays, looked up in place.
 
     Rows without pre-tokens stay: an empty text has an empty list, a null text a null.
-    The only exchange moves each text once, to its row key (which must name a row); pre-tokens
-    are exploded and gathered within that clustering. Callers that go on to pack rows should use
-    :func:`packwright.operators.packing.pack_text`, which gathers directly by chunk."""
-    df = df.select(*key, text_col).repartition(*key)
-    t = df.select(*key, F.col(text_col).isNull().alias("__null"), F.posexplode_outer(pretokens(text_col)).alias("pos", "token"))
-    ided = lookup_ids(t, vocab, params)
-    placed = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
-    return ided.groupBy(*key, "__null").agg(F.sort_array(F.collect_list(placed)).alias("__s")).select(
-        *key, F.when(~F.col("__null"), F.transform("__s", lambda s: s["id"])).alias(out))
+    The only exchange moves each text once, to its row key (which must name a row); what is
+    gathered there is one text a row."""
+    table = lookup_table(vocab, "token", "id", params)
+    e = by_key(df.select(*key, text_col).repartition(*key), key, text_col, table, pretokens, params.unk_id, params)
+    return e.select(*key, F.when(~F.col("__null"), F.col("__list")).alias(out))
 
 
 _BROADCASTS: dict = {}
@@ -143,11 +188,12 @@ def encode_with_arrow(df: DataFrame, text_col: str, vocab: DataFrame, params: Pa
 
     @pandas_udf("array<int>")
     def _enc(texts: pd.Series) -> pd.Series:
+        import numpy as np
         import regex  # the module caches compiled patterns per worker
 
         findall = regex.compile(pattern).findall
         get = bvocab.value.get
-        return pd.Series([None if t is None else [get(p, unk) for p in findall(t)] for t in texts])
+        return pd.Series([None if t is None else np.fromiter((get(p, unk) for p in findall(t)), np.int32) for t in texts], dtype=object)
 
     return df.withColumn(out, _enc(F.col(text_col)))
 
@@ -196,17 +242,13 @@ def encode_with_sentencepiece(df: DataFrame, text_col: str, model_path: str, spe
 
 def decode_tokens(df: DataFrame, ids_col: str, key: list[str], vocab: DataFrame, params: Params = DEFAULT,
                   out: str = "tokens") -> DataFrame:
-    """Ids back to tokens, one list per row: a broadcast join per position, gathered by the
-    row key (which must name a row), within the one exchange of the id lists. An id outside the vocabulary, negative ids such as ignored
-    labels included, is the unknown token; null ids decode to null, an empty list to an empty
-    one."""
-    v = vocab_for_join(vocab, params).select(F.col("id").alias("__id"), "token")
-    df = df.select(*key, ids_col).repartition(*key)
-    ex = df.select(*key, F.col(ids_col).isNull().alias("__null"), F.posexplode_outer(ids_col).alias("pos", "id"))
-    j = ex.join(v, F.col("id") == F.col("__id"), "left")
-    placed = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(UNK_TOKEN)).alias("token")))
-    return j.groupBy(*key, "__null").agg(F.sort_array(F.collect_list(placed)).alias("__s")).select(
-        *key, F.when(~F.col("__null"), F.transform("__s", lambda s: s["token"])).alias(out))
+    """Ids back to tokens, one list per row, looked up in place after the one exchange of the id
+    lists by the row key (which must name a row). An id outside the vocabulary, negative ids such as
+    ignored labels included, is the unknown token; null ids decode to null, an empty list to an
+    empty one."""
+    table = lookup_table(vocab, "id", "token", params)
+    d = by_key(df.select(*key, ids_col).repartition(*key), key, ids_col, table, lambda x: x, UNK_TOKEN, params)
+    return d.select(*key, F.when(~F.col("__null"), F.col("__list")).alias(out))
 
 
 def tokens_to_string(tokens) -> Column:

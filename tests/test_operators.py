@@ -242,3 +242,33 @@ def test_two_level_pack_text_equals_single_window(spark):
     a = {(r.g, r.chunk): r.input_ids for r in pack_text(df, "text", ["g"], "k", v, p).collect()}
     b = {(r.g, r.chunk): r.input_ids for r in pack_text(df, "text", ["g"], "k", v, p, corpus_wide=True).collect()}
     assert a == b and len(a) > 10
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_encoding_and_decoding_make_no_row_per_token(spark):
+    df = spark.createDataFrame([(1, "ab c"), (2, ""), (3, None), (4, "ab"), (4, "c ab"), (None, "c")], "k int, text string")
+    v = build_vocab(df, "text")
+    e = encode(df, "text", ["k"], v)
+    d = decode_tokens(e, "ids", ["k"], v)
+    for p in (_plan(e), _plan(d)):
+        assert "posexplode" not in p and "Generate" not in p.split("Subquery")[0]
+    ids = {r.token: r.id for r in v.collect()}
+    got = {r.k: r.ids for r in e.collect()}
+    merged = sorted([(0, ids["ab"]), (0, ids["c"]), (1, ids[" "]), (2, ids["ab"])])  # rows of one key, by place
+    assert got[4] == [i for _, i in merged] and got[None] == [ids["c"]] and got[2] == [] and got[3] is None
+    assert {r.k: r.tokens for r in d.collect()}[1] == ["ab", " ", "c"]
+
+
+def test_packing_sorts_slices_not_tokens(spark):
+    rows = [(g, k, "ab c, " * (k * 7 % 23) + "z") for g in range(2) for k in range(40)]
+    df = spark.createDataFrame(rows, "g int, k int, text string")
+    v = build_vocab(df, "text")
+    want = pack_ids(encode(df, "text", ["g", "k"], v), "ids", ["g"], "k", Params(max_length=16))
+    for wide in (False, True):
+        p = pack_text(df, "text", ["g"], "k", v, Params(max_length=16), corpus_wide=wide)
+        assert "posexplode" not in _plan(p)
+        key = lambda r: (r.g, r.chunk)
+        assert sorted(p.collect(), key=key) == sorted(want.select(*p.columns).collect(), key=key)

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,6 +29,7 @@ from pyspark.sql.types import StructType
 CUT = "}"
 QUOTE, BACKSLASH, COMMA = ord('"'), ord("\\"), ord(",")
 SPACE = b" \t\r\n"
+STRETCH = 1 << 20  # bytes looked at together, unless one piece of text is longer
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -38,15 +40,24 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
-    """(file, start, bytes) of each batch's stretches of one range, ``}`` put back."""
+    """(file, start, bytes) of stretches of one range, ``}`` put back; a stretch ends with a piece and
+    holds about STRETCH bytes, however many a batch has."""
     for b in batches:
         if not b.num_rows:
             continue
-        files, starts = b.column("file").to_pylist(), b.column("start").to_numpy()
-        change = [0, *[i for i in range(1, b.num_rows) if starts[i] != starts[i - 1] or files[i] != files[i - 1]], b.num_rows]
+        files, starts = b.column("file"), b.column("start").to_numpy()
         values = b.column("value").cast(pa.binary())
-        for i, j in zip(change, change[1:]):
-            yield files[i], int(starts[i]), b"".join(v + b"}" for v in values.slice(i, j - i).to_pylist())
+        until = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False) + 1, dtype=np.int64)
+        part = until // STRETCH
+        i = 0
+        while i < b.num_rows:
+            j = int(np.searchsorted(part, part[i], side="right"))
+            file, other = files[i].as_py(), np.flatnonzero(starts[i:j] != starts[i])
+            j = i + int(other[0]) if len(other) else j
+            names = files.slice(i, j - i).to_pylist()
+            j = next((i + k for k, f in enumerate(names) if f != file), j)
+            yield file, int(starts[i]), b"".join(v + b"}" for v in values.slice(i, j - i).to_pylist())
+            i = j
 
 
 def _quotes(raw: np.ndarray) -> np.ndarray:
@@ -55,7 +66,7 @@ def _quotes(raw: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(quote)
     slash = raw == BACKSLASH
     if len(at) and slash.any():
-        last_other = np.maximum.accumulate(np.where(slash, -1, np.arange(len(raw))))
+        last_other = np.maximum.accumulate(np.where(slash, np.int32(-1), np.arange(len(raw), dtype=np.int32)))
         run = np.where(at > 0, at - 1 - last_other[np.maximum(at - 1, 0)], 0)  # backslashes before it
         quote[at[run % 2 == 1]] = False
     return quote
@@ -63,13 +74,12 @@ def _quotes(raw: np.ndarray) -> np.ndarray:
 
 def _depths(raw: np.ndarray, in_string: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     """(depth after each byte, counted from 0; marks of bytes in strings; whether the end is)."""
-    parity = np.cumsum(_quotes(raw)) + in_string
-    inside = parity % 2 == 1
-    step = np.zeros(len(raw), dtype=np.int64)
+    inside = np.logical_xor.accumulate(_quotes(raw)) ^ in_string
+    step = np.zeros(len(raw), dtype=np.int8)
     step[(raw == ord("[")) | (raw == ord("{"))] = 1
     step[(raw == ord("]")) | (raw == ord("}"))] = -1
     step[inside] = 0
-    return np.cumsum(step), inside, bool(inside[-1]) if len(raw) else in_string
+    return np.cumsum(step, dtype=np.int32), inside, bool(inside[-1]) if len(raw) else in_string
 
 
 STATE_SCHEMA = "file string, start long, first string, out_in boolean, out_depth long, in_in boolean, in_depth long"
@@ -114,7 +124,7 @@ def range_starts(spark: SparkSession, path: str) -> dict[tuple[str, int], tuple[
 PART_SCHEMA = "file string, start long, place long, last boolean, text string"
 
 
-def _elements(starts: dict, batch_rows: int = 512):
+def _elements(starts: dict, batch_rows: int = 512, batch_bytes: int = 4 * STRETCH):
     """Rows of PART_SCHEMA: the parts of elements in a range, numbered; place 0 goes on from the
     range before, ``last`` goes on into the next."""
     types = pa.schema([("file", pa.string()), ("start", pa.int64()), ("place", pa.int64()), ("last", pa.bool_()), ("text", pa.string())])
@@ -157,7 +167,7 @@ def _elements(starts: dict, batch_rows: int = 512):
             yield (*now, place, True, b"".join(held))
 
     def run(batches):
-        held = []
+        held, size = [], 0
 
         def batch():
             file, start, place, last, text = zip(*held)
@@ -166,9 +176,10 @@ def _elements(starts: dict, batch_rows: int = 512):
 
         for p in parts(batches):
             held.append(p)
-            if len(held) == batch_rows:
+            size += len(p[-1])
+            if len(held) == batch_rows or size >= batch_bytes:
                 yield batch()
-                held = []
+                held, size = [], 0
         if held:
             yield batch()
 
@@ -204,8 +215,7 @@ def write_json_arrays(df: DataFrame, path: str) -> str:
 
     def lines(batches):
         lead = "["
-        for b in batches:
-            rows = b.column("value").to_pylist()
+        for rows in (b.column("value").slice(i, 512).to_pylist() for b in batches for i in range(0, b.num_rows, 512)):
             out = [("," if i else lead) + r for i, r in enumerate(rows)]
             if out:
                 lead = ","

@@ -72,3 +72,25 @@ def test_written_arrays_are_whole_documents(spark, ranges):
     ranges(900)
     schema = "id long, text string, tags array<string>"
     assert rows(J.read_json_array(spark, path, schema)) == rows(df)
+
+
+def test_a_batch_is_looked_at_in_stretches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "STRETCH", 100)
+    files = ["a"] * 500 + ["b"] * 500
+    starts = [0] * 300 + [7] * 700  # the files share a start
+    values = [f'{{"k": "{i}"' for i in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"file": files, "start": pa.array(starts, pa.int64()), "value": values})
+    got = list(J._ranges([batch]))
+    assert max(len(data) for _, _, data in got) < 200
+    whole = {}
+    for file, start, data in got:
+        whole[file, start] = whole.get((file, start), b"") + data
+    want = {}
+    for f, s, v in zip(files, starts, values):
+        want[f, s] = want.get((f, s), b"") + v.encode() + b"}"
+    assert whole == want
+    parts = pa.Table.from_batches(J._elements({("a", 0): (False, 0, True)}, batch_bytes=50)([pa.RecordBatch.from_pydict(
+        {"file": ["a"] * 9, "start": pa.array([0] * 9, pa.int64()), "value": ['[{"k": 1'] + [',{"k": 1'] * 8})]))
+    assert parts.num_rows == 9 and max(c.num_chunks for c in parts.columns) >= 2

@@ -12,7 +12,8 @@ from pyspark.sql.types import StructType
 
 from packwright.streaming.state import rocksdb
 
-BATCHES = 4  # micro-batches that a landed table makes, if not told otherwise
+BATCHES = 4  # micro-batches that a landed table makes at least, if not told otherwise
+BATCH_BYTES = 512 << 20  # of files in a micro-batch: a larger table makes more of them
 
 
 def land(df: DataFrame, path: str, key: str, unit: str | None = None, files: int | None = None) -> str:
@@ -40,11 +41,15 @@ def land(df: DataFrame, path: str, key: str, unit: str | None = None, files: int
     return path
 
 
-def files_a_batch(spark: SparkSession, path: str, batches: int = BATCHES) -> int:
-    """Files of a micro-batch if what lies in ``path`` is to make ``batches`` of them."""
+def files_a_batch(spark: SparkSession, path: str, batches: int = BATCHES, most_bytes: int = BATCH_BYTES) -> int:
+    """Files of a micro-batch if what lies in ``path`` is to make ``batches`` of them, or more where
+    they would be larger than ``most_bytes``: what a task holds does not grow with the table."""
     from packwright.sources.readers import list_shards
 
-    return max(1, -(-len(list_shards(spark, path)) // batches))
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    n = len(list_shards(spark, path))
+    return max(1, -(-n // max(batches, -(-size // most_bytes))))
 
 
 def source(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1) -> DataFrame:

@@ -89,6 +89,9 @@ def first_occurrences(stream: DataFrame, key: str, order_col: str, event_time: s
         First(schema, names, order_col, 1000 * delay_seconds), schema, "append", "EventTime")
 
 
+FRAME = 256  # packed rows handed on together
+
+
 class Carry(StatefulProcessor):
     """Packs a lane's tokens; what is left over waits for the next micro-batch."""
 
@@ -111,8 +114,9 @@ class Carry(StatefulProcessor):
                 self.handle.deleteTimer(old)
             if len(flat) > n * self.length:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.flush_ms)
-        if n:
-            yield self.out(key, range(chunk, chunk + n), flat[: n * self.length].reshape(n, -1).tolist())
+        packed = flat[: n * self.length].reshape(n, self.length)
+        for i in range(0, n, FRAME):
+            yield self.out(key, range(chunk + i, chunk + min(i + FRAME, n)), list(packed[i : i + FRAME]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         tail, chunk = self.tail.get() if self.tail.exists() else ([], 0)

@@ -113,3 +113,35 @@ def test_first_occurrence_under_late_arrival(spark):
         ST.run_to_table(SS.first_occurrences(s, "key", "idx", "ts", 30), out, ckpt)
     got = sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str)
     assert got == sorted(((i, k, v) for i, k, v, _ in rows if i < 40), key=str)
+
+
+def test_a_lane_hands_on_frames_of_few_rows():
+    import pandas as pd
+
+    class State:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value = v
+
+    c = SS.Carry(["source"], "doc_id", "ids", 4, None)
+    c.tail = State()
+    frames = [pd.DataFrame({"doc_id": [2, 1], "ids": [[5] * 1001, [3] * 1002]})]
+    out = list(c.handleInputRows(("s",), iter(frames), None))
+    assert len(out) > 1 and max(len(f) for f in out) <= SS.FRAME
+    flat = [x for f in out for row in f.input_ids for x in row]
+    assert flat == [3] * 1002 + [5] * 998 and [k for f in out for k in f.chunk] == list(range(500))
+    assert c.tail.value == ([5] * 3, 500)
+
+
+def test_a_larger_table_makes_more_micro_batches(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(4000).repartition(16).write.parquet(path)
+    assert ST.files_a_batch(spark, path) == 4
+    assert ST.files_a_batch(spark, path, most_bytes=1) == 1

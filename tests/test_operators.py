@@ -272,3 +272,19 @@ def test_packing_sorts_slices_not_tokens(spark):
         assert "posexplode" not in _plan(p)
         key = lambda r: (r.g, r.chunk)
         assert sorted(p.collect(), key=key) == sorted(want.select(*p.columns).collect(), key=key)
+
+
+def test_pretokens_and_their_count_by_the_fast_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from packwright.operators.tokens import JVM_PATTERN, pretoken_count, pretokens
+    from packwright.params import PRETOKEN_PATTERN
+
+    texts = ["", "ab c1 22", "<unk", "<unk>x<|endoftext|><|startoftext|>", "<<unk>> <|endoftext>|", "a\nb\r\n\u2028\x85é", "e\u0301ß中文", "😀𝒳𝒴𐐀1²Ⅷ", "\x00 <|", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert JVM_PATTERN != PRETOKEN_PATTERN
+    rows = df.select("text", pretokens("text").alias("got"), F.regexp_extract_all("text", F.lit(PRETOKEN_PATTERN), 0).alias("want"),
+                     pretoken_count("text").alias("n")).collect()
+    assert all(r.got == r.want and r.n == (None if r.want is None else len(r.want)) for r in rows)
+    # no list of tokens is made to count them
+    assert "extract_all" not in _plan(df.select(pretoken_count("text")))

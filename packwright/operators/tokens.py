@@ -131,14 +131,31 @@ def _slot(key: Column, n: int) -> Column:
     return F.hash(key).bitwiseAND(F.lit(n - 1))
 
 
-def looked_up(df: DataFrame, table: Column, out: str, of) -> DataFrame:
+def looked_up(df: DataFrame, table: Column, out: str, of, dense: Column | None = None) -> DataFrame:
     """``df`` with ``out``, which ``of`` makes with a function that replaces a list's entries by what
     ``table`` (of :func:`lookup_table`) holds for them, else by a default, within the row: no row per
     token is made, joined or gathered. The table is a column of its own only until the optimizer
-    merges the two steps (a subquery may not stand in a higher-order function as written)."""
-    body = let(F.col("__table"), lambda t: of(lambda keys, default, n: F.transform(
-        keys, lambda k: F.coalesce(F.get(t, _slot(k, n))[k], F.lit(default)))))
-    return df.withColumn("__table", table).select(*df.columns, body.alias(out))
+    merges the two steps (a subquery may not stand in a higher-order function as written).
+    ``dense`` (of :func:`token_list`) is asked first: a place in an array, where the table is searched."""
+    def body(first):
+        return let(F.col("__table"), lambda t: of(lambda keys, default, n: F.transform(
+            keys, lambda k: F.coalesce(*first(k), F.get(t, _slot(k, n))[k], F.lit(default)))))
+
+    d = df.withColumn("__table", table)
+    if dense is None:
+        return d.select(*df.columns, body(lambda k: []).alias(out))
+    return d.withColumn("__dense", dense).select(
+        *df.columns, let(F.col("__dense"), lambda a: body(lambda k: [F.get(a, k)])).alias(out))
+
+
+def token_list(pairs: DataFrame, params: Params = DEFAULT) -> Column:
+    """The tokens of ids 0 to ``vocab_size`` and a little more, each at its id's place in one array (null
+    for ids without a token): a scalar subquery, as :func:`lookup_table`."""
+    n = _slots(params)
+    entries = pairs.filter((F.col("id") >= 0) & (F.col("id") < n)).groupBy(F.col("id").cast("int").alias("id")).agg(F.min("token").alias("token"))
+    ids = pairs.sparkSession.range(n).select(F.col("id").cast("int").alias("id"))
+    return ids.join(bounded_broadcast(entries, params), "id", "left").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("id", "token"))), lambda s: s["token"]).alias("t")).scalar()
 
 
 def with_token_ids(df: DataFrame, text_col: str, vocab: DataFrame, params: Params = DEFAULT, out: str = "ids") -> DataFrame:
@@ -147,12 +164,13 @@ def with_token_ids(df: DataFrame, text_col: str, vocab: DataFrame, params: Param
     return looked_up(df, table, out, lambda found: found(pretokens(text_col), params.unk_id, _slots(params)))
 
 
-def by_key(df: DataFrame, key: list[str], col: str, table: Column, split, default, params: Params = DEFAULT) -> DataFrame:
+def by_key(df: DataFrame, key: list[str], col: str, table: Column, split, default, params: Params = DEFAULT,
+           lookup=None) -> DataFrame:
     """key, __null, __list: what ``table`` holds for the list that ``split`` makes of ``col``, one row
-    per key. Rows are gathered before they are split, within the clustering of ``df``. Where rows
+    per key. ``lookup`` (as :func:`looked_up`) adds a list's values in another way. Rows are gathered before they are split, within the clustering of ``df``. Where rows
     share a key, their entries come in order of (place, entry)."""
     g = df.groupBy(*key, F.col(col).isNull().alias("__null")).agg(F.collect_list(col).alias("__rows"))
-    g = looked_up(g, table, "__lists", lambda found: F.transform("__rows", lambda c: found(split(c), default, _slots(params))))
+    g = (lookup or looked_up)(g, table, "__lists", lambda found: F.transform("__rows", lambda c: found(split(c), default, _slots(params))))
     placed = F.sort_array(F.flatten(F.transform("__lists", lambda a: F.transform(a, lambda x, i: F.struct(i.alias("pos"), x.alias("x"))))))
     merged = F.when(F.size("__lists") == 1, F.get("__lists", 0)).otherwise(F.transform(placed, lambda s: s["x"]))
     return g.select(*key, "__null", merged.alias("__list"))
@@ -252,8 +270,13 @@ def decode_tokens(df: DataFrame, ids_col: str, key: list[str], vocab: DataFrame,
     lists by the row key (which must name a row). An id outside the vocabulary, negative ids such as
     ignored labels included, is the unknown token; null ids decode to null, an empty list to an
     empty one."""
-    table = lookup_table(vocab, "id", "token", params)
-    d = by_key(df.select(*key, ids_col).repartition(*key), key, ids_col, table, lambda x: x, UNK_TOKEN, params)
+    pairs = vocab.select("id", "token")
+    lookup = None
+    if dict(df.dtypes)[ids_col] == "array<int>":  # a place in an array is an int
+        dense, pairs = token_list(pairs, params), pairs.filter((F.col("id") < 0) | (F.col("id") >= _slots(params)))
+        lookup = lambda g, table, out, of: looked_up(g, table, out, of, dense)
+    table = lookup_table(pairs, "id", "token", params)
+    d = by_key(df.select(*key, ids_col).repartition(*key), key, ids_col, table, lambda x: x, UNK_TOKEN, params, lookup)
     return d.select(*key, F.when(~F.col("__null"), F.col("__list")).alias(out))
 
 
@@ -261,14 +284,11 @@ def tokens_to_string(tokens) -> Column:
     """Join decoded tokens; a space goes before a special token unless it is first or
     the previous token was special too."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    specials = F.array(*[F.lit(x) for x in SPECIAL_TOKENS])
     return F.array_join(
         F.transform(
             t,
             lambda tok, i: F.when(
-                F.array_contains(specials, tok)
-                & (i > 0)
-                & ~F.array_contains(specials, F.get(t, i - 1)),
+                tok.isin(*SPECIAL_TOKENS) & (i > 0) & ~F.get(t, i - 1).isin(*SPECIAL_TOKENS),
                 F.concat(F.lit(" "), tok),
             ).otherwise(tok),
         ),

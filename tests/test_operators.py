@@ -288,3 +288,15 @@ def test_pretokens_and_their_count_by_the_fast_patterns(spark):
     assert all(r.got == r.want and r.n == (None if r.want is None else len(r.want)) for r in rows)
     # no list of tokens is made to count them
     assert "extract_all" not in _plan(df.select(pretoken_count("text")))
+
+
+def test_decoding_finds_tokens_by_place(spark):
+    v = spark.createDataFrame([("a", 3), ("c", 3), ("b", 5), ("far", 10**9), ("low", -7), ("nil", None)], "token string, id int")
+    df = spark.createDataFrame([(1, [3, 5, 4, 10**9, -7, None, -100, 2**31 - 1])], "k int, ids array<int>")
+    p = Params(vocab_size=8)
+    want = ["a", "b", "<unk>", "far", "low", "<unk>", "<unk>", "<unk>"]
+    d = decode_tokens(df, "ids", ["k"], v, p)
+    assert d.first().tokens == want
+    assert "__dense" in d._jdf.queryExecution().analyzed().toString()
+    wide = decode_tokens(df.selectExpr("k", "cast(ids as array<bigint>) ids"), "ids", ["k"], v.selectExpr("token", "cast(id as bigint) id"), p)
+    assert wide.first().tokens == want

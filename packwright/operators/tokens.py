@@ -298,5 +298,4 @@ def tokens_to_string(tokens) -> Column:
 
 def strip_specials(tokens) -> Column:
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    specials = F.array(*[F.lit(x) for x in SPECIAL_TOKENS])
-    return F.filter(t, lambda x: ~F.array_contains(specials, x))
+    return F.filter(t, lambda x: ~x.isin(*SPECIAL_TOKENS))

@@ -177,8 +177,11 @@ def _pack_text_two_level(df: DataFrame, text_col: str, group_cols: list[str], or
     """Corpus-wide packing. The join of the offsets clusters rows by (group, document), which
     the gather of each document's ids uses too; only L-sized id slices are shuffled to assemble
     the chunks."""
+    from packwright.session import cut_lineage
+
     table = lookup_table(vocab, "token", "id", params)
-    counted = df.select(*group_cols, order_col, pretoken_count(text_col).alias("__n"))
+    # written first: to sample the ranges and to deal the rows out to them reads the counts twice
+    counted = cut_lineage(df.select(*group_cols, order_col, pretoken_count(text_col).alias("__n")))
     starts = running_offsets(counted, group_cols, order_col, "__n", corpus_wide=True, out="__start").drop("__n")
     d = df.select(*group_cols, order_col, F.col(text_col).alias("__text")).join(starts, on=[*group_cols, order_col])
     docs = by_key(d, [*group_cols, order_col, "__start"], "__text", table, pretokens, params.unk_id, params)

@@ -300,3 +300,13 @@ def test_decoding_finds_tokens_by_place(spark):
     assert "__dense" in d._jdf.queryExecution().analyzed().toString()
     wide = decode_tokens(df.selectExpr("k", "cast(ids as array<bigint>) ids"), "ids", ["k"], v.selectExpr("token", "cast(id as bigint) id"), p)
     assert wide.first().tokens == want
+
+
+def test_corpus_wide_packing_counts_tokens_once(spark, monkeypatch):
+    from packwright.operators import packing
+
+    seen, real = [], packing.running_offsets
+    monkeypatch.setattr(packing, "running_offsets", lambda df, *a, **b: (seen.append(_plan(df)), real(df, *a, **b))[1])
+    df = spark.createDataFrame([(0, k, f"w{k} x") for k in range(40)], "g int, k int, text string")
+    p = pack_text(df, "text", ["g"], "k", build_vocab(df, "text"), Params(max_length=16), corpus_wide=True)
+    assert p.count() == 11 and len(seen) == 1 and "regexp" not in seen[0]

@@ -60,7 +60,12 @@ def audit_footers(spark: SparkSession, path: str, files_a_task: int = FILES_A_TA
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
         F.col("path").alias("file"), F.col("length").alias("bytes"))
-    n = files.count()
+    n, listed = files.count(), files.inputFiles()
+    if len(listed) > n:  # Spark lists files without a byte, but reads none of them
+        jvm = spark.sparkContext._jvm
+        paths = [(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).toString(), 0) for f in listed]
+        files = files.unionByName(spark.createDataFrame(paths, "file string, bytes long").join(files, "file", "left_anti"))
+        n = len(listed)
     rows = files.repartition(max(1, -(-n // files_a_task))).mapInArrow(footers, SCHEMA)
     from packwright.session import cut_lineage
 
